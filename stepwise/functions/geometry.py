@@ -7,7 +7,7 @@ struct<width,height>.  Spaces are ``pixel``, ``normalized_1000`` and
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The coordinate spaces and the parts of a side that one is.
@@ -17,6 +17,16 @@ DISTANCE_BUCKETS = ((20, "<=20px"), (50, "<=50px"), (100, "<=100px"))
 FAR_BUCKET, UNKNOWN_BUCKET = ">100px", "unknown"
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once a row, however often later steps name them.
+
+    A plain projection may be merged into those above it, or into a filter that
+    is pushed below it, which repeats nested expressions many times over; a
+    generated row of one element is neither merged nor passed.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
 def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
@@ -132,7 +142,7 @@ def overlap(a: Column, b: Column) -> Column:
     """Intersection over the smaller area (1 at least); 0 where a box is missing or they only touch."""
     w = F.least(a["x2"], b["x2"]) - F.greatest(a["x1"], b["x1"])
     h = F.least(a["y2"], b["y2"]) - F.greatest(a["y1"], b["y1"])
-    return F.when((w > 0) & (h > 0), w * h / F.greatest(F.lit(1.0), F.least(area(a), area(b)))).otherwise(0.0)
+    return F.when(a.isNotNull() & b.isNotNull() & (w > 0) & (h > 0), w * h / F.greatest(F.lit(1.0), F.least(area(a), area(b)))).otherwise(0.0)
 
 
 def clamp(value: Column, low: Column, high: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepwise.functions.geometry import center, clamp, first_at, from_pixel, point, primary_point, to_pixel
+from stepwise.functions.geometry import center, clamp, first_at, from_pixel, once, point, primary_point, to_pixel
 from stepwise.functions.text import uniform
 
 # Tries for a point off all elements, and the shifts, nearest first.
@@ -42,12 +42,11 @@ def with_sampling(steps: DataFrame, seed: int = 42) -> DataFrame:
     element, else the last; the step's key and the seed fix them all.
     """
     screen, key = F.col("screen_size"), F.concat_ws(":", "episode_id", F.col("step_id").cast("string"))
-    df = steps.withColumns({"_p": to_pixel(primary_point(F.col("action")), screen, F.col("action.coordinate_space")), "_key": key})
-    df = df.withColumn("_source", first_at(F.col("boxes"), F.col("_p")))
+    df = once(steps, _p=to_pixel(primary_point(F.col("action")), screen, F.col("action.coordinate_space")), _key=key)
     tried = F.transform(F.sequence(F.lit(0), F.lit(RANDOM_TRIES - 1)), lambda i: point(uniform(F.col("_key"), i, "x", seed) * (screen["width"] - 1), uniform(F.col("_key"), i, "y", seed) * (screen["height"] - 1)))
     free = lambda q: ~F.exists("boxes", lambda b: b["valid"] & q["x"].between(b["x1"], b["x2"]) & q["y"].between(b["y1"], b["y2"]))
-    df = df.withColumn("_tried", F.when(screen.isNotNull(), tried))
-    return df.withColumn("_free", F.get(F.filter("_tried", free), F.lit(0)))
+    df = once(df, _source=first_at(F.col("boxes"), F.col("_p")), _tried=F.when(screen.isNotNull(), tried))
+    return once(df, _free=F.get(F.filter("_tried", free), F.lit(0)))
 
 
 def random_coordinate() -> Column:

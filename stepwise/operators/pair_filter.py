@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepwise.functions.geometry import overlap, primary_point, to_pixel
+from stepwise.functions.geometry import once, overlap, primary_point, to_pixel
 from stepwise.operators.regions import CARD, COMPACT, CTA, SEARCH, in_region, with_region
 
 # Kinds by confidence, the overlap that counts, variants and what they drop.
@@ -26,9 +26,9 @@ def decided(pairs: DataFrame) -> DataFrame:
     """
     screen, chosen, rejected = F.col("screen_size"), F.col("chosen"), F.col("rejected")
     at = lambda a: F.when(a["type"] == "click", to_pixel(primary_point(a), screen, a["coordinate_space"]))
-    df = pairs.withColumns({"_c": at(chosen), "_r": at(rejected)})
+    df = once(pairs, _c=at(chosen), _r=at(rejected))
     df = with_region(with_region(df, F.col("_c"), "target_region"), F.col("_r"), "candidate_region")
-    df = df.withColumn("region_overlap", overlap(F.col("target_region"), F.col("candidate_region")))
+    df = once(df, region_overlap=overlap(F.col("target_region"), F.col("candidate_region")))
     kind, other = F.col("target_region.kind"), F.col("candidate_region.kind")
     by_type = F.col("negative_type") == "wrong_action_type"
     inside = in_region("target_region", F.col("_r"))
@@ -48,7 +48,7 @@ def decided(pairs: DataFrame) -> DataFrame:
         .when(other.isin(*FUNCTIONAL) | F.col("negative_type").isin("same_screen_element", "shifted_coordinate"), _said("keep", "candidate_other_ui_or_functional_region", "semantic_hard_negative"))
         .otherwise(_said("keep", "candidate_other_ui_region", "clean_negative"))
     )
-    return df.withColumn("_d", tree).select("*", "_d.*").drop("_d", "_c", "_r")
+    return once(df, _d=tree).select("*", "_d.*").drop("_d", "_c", "_r")
 
 
 def last_by_key(rows: DataFrame, key: str, pos: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepwise.functions.geometry import distance, distance_bucket, first_at, primary_point, to_pixel
+from stepwise.functions.geometry import distance, distance_bucket, first_at, once, primary_point, to_pixel
 
 
 def histograms(rows: DataFrame, dims: Mapping[str, Column]) -> DataFrame:
@@ -45,8 +45,8 @@ def with_pair_facts(pairs: DataFrame) -> DataFrame:
     screen = F.col("screen_size")
     g = to_pixel(primary_point(F.col("chosen")), screen, F.col("chosen.coordinate_space"))
     r = to_pixel(primary_point(F.col("rejected")), screen, F.col("rejected.coordinate_space"))
-    df = pairs.withColumns({"_g": g, "_r": r})
-    df = df.withColumns({"gt_element": first_at(F.col("boxes"), F.col("_g"), True), "rejected_element": first_at(F.col("boxes"), F.col("_r"), True), "distance_px": distance(F.col("_g"), F.col("_r"))})
+    df = once(pairs, _g=g, _r=r)
+    df = once(df, gt_element=first_at(F.col("boxes"), F.col("_g"), True), rejected_element=first_at(F.col("boxes"), F.col("_r"), True), distance_px=distance(F.col("_g"), F.col("_r")))
     same = F.coalesce(F.col("gt_element.index") == F.col("rejected_element.index"), F.lit(False))
     return df.withColumn("same_element", same).drop("_g", "_r")
 

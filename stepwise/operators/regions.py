@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepwise.functions.geometry import clamp, contains, pixel_boxes, smallest_at
+from stepwise.functions.geometry import clamp, contains, once, pixel_boxes, smallest_at
 
 # Word lists and icon types.
 SEARCH_WORD = "search"
@@ -107,7 +107,7 @@ def _union(boxes: Column) -> dict[str, Column]:
 
 
 def with_pixel_boxes(steps: DataFrame) -> DataFrame:
-    return steps.withColumn("boxes", pixel_boxes(F.col("ui_elements"), F.col("screen_size")))
+    return once(steps, boxes=pixel_boxes(F.col("ui_elements"), F.col("screen_size")))
 
 
 def with_region(df: DataFrame, p: Column, name: str) -> DataFrame:
@@ -118,10 +118,17 @@ def with_region(df: DataFrame, p: Column, name: str) -> DataFrame:
     are columns of their own, so that each is computed once.
     """
     t, row, screen = F.col("_target"), F.col("_row"), F.col("screen_size")
-    df = df.withColumn("_target", smallest_at(F.col("boxes"), p))
-    df = df.withColumn("_row", same_row(F.col("boxes"), t, 1.6))
+    df = once(df, _target=smallest_at(F.col("boxes"), p))
+    df = once(df, _row=same_row(F.col("boxes"), t, 1.6))
     found = F.filter(search_boxes(row, t), lambda b: (_w(b) > 2) & (_h(b) > 2))
-    df = df.withColumns({"_search": F.when(search_like(t), F.when(F.size(found) > 0, found).otherwise(F.array(t))), "_side": F.when(_any_in(t["text"], COMPACT_WORDS), side_by_side(row, t)), "_card": F.when(_any_in(F.lower(F.coalesce("task", F.lit(""))), PRODUCT_WORDS), card_boxes(F.col("boxes"), t)), "_cta": full_width_cta(row_text(row))})
+    df = once(df, _found=found, _row_text=row_text(row))
+    df = once(
+        df,
+        _search=F.when(search_like(t), F.when(F.size("_found") > 0, F.col("_found")).otherwise(F.array(t))),
+        _side=F.when(_any_in(t["text"], COMPACT_WORDS), side_by_side(row, t)),
+        _card=F.when(_any_in(F.lower(F.coalesce("task", F.lit(""))), PRODUCT_WORDS), card_boxes(F.col("boxes"), t)),
+        _cta=full_width_cta(F.col("_row_text")),
+    )
     search = _padded(SEARCH, _union(F.col("_search")), screen, F.lit(10.0), _most(8, _h(t), 0.35))
     search = region(SEARCH, F.greatest(F.lit(0.0), search["x1"] - 8), search["y1"], F.least(screen["width"], search["x2"] + 8), search["y2"])
     half = _most(52, _h(t), 2.7) / 2
@@ -130,7 +137,8 @@ def with_region(df: DataFrame, p: Column, name: str) -> DataFrame:
     card = _padded(CARD, _union(F.col("_card")), screen, F.lit(10.0), F.lit(10.0))
     own = _padded(PADDED, {k: t[k] for k in ("x1", "y1", "x2", "y2")}, screen, _most(6, _w(t), 0.12), _most(4, _h(t), 0.12))
     cascade = F.when(t.isNull(), F.lit(None)).when(F.col("_search").isNotNull(), search).when(F.col("_cta"), cta).when(F.col("_side").isNotNull(), compact).when(F.size("_card") >= 2, card).otherwise(own)
-    return df.withColumns({name: cascade, f"{name}_element": t}).drop("_target", "_row", "_search", "_side", "_card", "_cta")
+    df = once(df, **{name: cascade, f"{name}_element": t})
+    return df.drop("_target", "_row", "_found", "_row_text", "_search", "_side", "_card", "_cta")
 
 
 def in_region(name: str, p: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stepwise.functions.geometry import box, point
+from stepwise.functions.geometry import box, once, point
 
 EVENT_TYPES = {"click": "click", "view": "swipe", "signup": "type", "purchase": "finish", "error": "back"}
 WIDTH, HEIGHT = 1080, 2400
@@ -65,10 +65,11 @@ def steps(spark: SparkSession, sf_dir: str, texts: bool = True) -> DataFrame:
         return F.struct(box(x, y, x + w, y + h, F.when(i == 6, "normalized_1000").otherwise("pixel")).alias("bbox"), _pick(ELEMENT_TEXTS, (e + i * 3) % 10).alias("text"), _pick(ELEMENT_TYPES, (e + i) % 5).alias("ui_type"), i.alias("index"))
 
     target = F.when(e % 4 == 0, box((e * 11) % 800, (e * 19) % 1800, (e * 11) % 800 + 200, (e * 19) % 1800 + 300))
+    df = once(df, task=task, action=action, target_bbox=target, screen_size=screen)
     return df.select(
-        "event_id", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("episode_id"), "step_id", task.alias("task"),
-        F.when(e % 7 != 0, F.concat(F.lit("shots/"), e.cast("string"), F.lit(".png"))).alias("screenshot_before"), screen.alias("screen_size"), action.alias("action"),
-        target.alias("target_bbox"), F.transform(F.sequence(F.lit(0), F.lit(6)), element).alias("ui_elements"), (F.col("value") / 500).alias("difficulty"),
+        "event_id", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("episode_id"), "step_id", "task",
+        F.when(e % 7 != 0, F.concat(F.lit("shots/"), e.cast("string"), F.lit(".png"))).alias("screenshot_before"), "screen_size", "action",
+        "target_bbox", F.transform(F.sequence(F.lit(0), F.lit(6)), element).alias("ui_elements"), (F.col("value") / 500).alias("difficulty"),
     )
 
 
