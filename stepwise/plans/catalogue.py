@@ -505,7 +505,7 @@ for _name, _kind in (("region_search", regions.SEARCH), ("region_cta", regions.C
 
 _DECIDED = _NEG + _region_sql("SELECT pair_id || '+' AS id, event_id, task, px AS qx, py AS qy FROM pr WHERE kind = 'click' AND screen UNION ALL SELECT pair_id || '-', event_id, task, rpx, rpy FROM pr WHERE rkind = 'click' AND screen") + """, j AS (
     SELECT pr.*, t.kind AS tk, o.kind AS ok, coalesce(rkind = 'click' AND rpx BETWEEN t.a AND t.c AND rpy BETWEEN t.b AND t.d, FALSE) AS inside,
-           CASE WHEN least(t.c, o.c) - greatest(t.a, o.a) > 0 AND least(t.d, o.d) - greatest(t.b, o.b) > 0
+           CASE WHEN t.a IS NOT NULL AND o.a IS NOT NULL AND least(t.c, o.c) - greatest(t.a, o.a) > 0 AND least(t.d, o.d) - greatest(t.b, o.b) > 0
                 THEN (least(t.c, o.c) - greatest(t.a, o.a)) * (least(t.d, o.d) - greatest(t.b, o.b)) / greatest(1.0::DOUBLE, least((t.c - t.a) * (t.d - t.b), (o.c - o.a) * (o.d - o.b))) ELSE 0.0::DOUBLE END AS ov
     FROM pr LEFT JOIN rg t ON t.id = pair_id || '+' LEFT JOIN rg o ON o.id = pair_id || '-'),
   dn AS (
