@@ -2,76 +2,117 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import new_folder, stage
+from .shared import bitmap, in_bitmap, new_folder, short_batches, stage
 
 #: Payloads below this many bytes are never replaced by a reference.
 LEAST_BYTES = 100
-#: Bytes of one archive file, about.
-FILE_BYTES = 256 << 20
-#: Files of a small archive, so that no few tasks write or read it all.
-LEAST_FILES = 64
-#: Records whose ranges lie in one stretch of this many bytes are read by one task; neighbours by one read.
+#: Records whose ranges begin in one stretch of this many bytes are read by one task; neighbours by one read.
 STRETCH_BYTES = 4 << 20
 #: Unwanted bytes that a read rather takes along than stops at.
 GAP_BYTES = 64 << 10
-END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
-
-
-def write_archive(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFrame:
+INDEX = "page_id long, url string, digest string, file string, offset long, length long"
+
+
+def record(page_id: int | None, url: str, digest: str, n_bytes: int, body: bytes, first: int | None) -> bytes:
+    """One record as a gzip member of its own; ``first``: the page that a revisit refers to."""
+    revisit = first is not None
+    name = lambda i: f"<urn:page:{'' if i is None else i}>"
+    lines = [
+        "WARC/1.1",
+        f"WARC-Type: {'revisit' if revisit else 'response'}",
+        f"WARC-Record-ID: {name(page_id)}",
+        f"WARC-Date: {DATE}",
+        f"WARC-Target-URI: {url.translate({10: ' ', 13: ' '})}",
+        f"WARC-Payload-Digest: sha256:{digest}",
+        f"WARC-Payload-Length: {n_bytes}",
+    ]
+    if revisit:
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {name(first)}"]
+    lines += [f"Content-Length: {len(body)}", "", ""]
+    return gzip.compress("\r\n".join(lines).encode() + body + b"\r\n\r\n", 6, mtime=0)
+
+
+def _flags(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = in_bitmap(shared.value, batch.column("h").to_numpy(zero_copy_only=False).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit, pa.bool_())], [*batch.schema.names, "shared"])
+
+    return run
+
+
+def _write(folder: str):
+    """Write a task's rows as one archive file; its index rows say where each record is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        # A file of an attempt that is lost, or that another one overtakes, is in no index.
+        file = f"{folder}/{uuid.uuid4().hex}.warc.gz"
+        system, path = fs.FileSystem.from_uri(file)
+        out, at = None, 0
+        for batch in batches:
+            if out is None:
+                system.create_dir(path.rpartition("/")[0], recursive=True)
+                out = system.open_output_stream(path, compression=None)
+            offsets, lengths = [], []
+            cols = [batch.column(c).to_pylist() for c in ("page_id", "url", "digest", "n", "payload", "first")]
+            for page_id, url, digest, n, payload, first in zip(*cols, strict=True):
+                data = record(page_id, url, digest, n, b"" if payload is None else payload.encode(), first)
+                out.write(data)
+                offsets.append(at)
+                lengths.append(len(data))
+                at += len(data)
+            names = ["page_id", "url", "digest", "file", "offset", "length"]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id").cast(pa.int64()), batch.column("url"), batch.column("digest"), pa.array([file] * len(offsets), pa.string()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64())], names)
+        if out is not None:
+            out.close()
+
+    return run
+
+
+def write_archive(pages: DataFrame, folder: str) -> DataFrame:
     """Write one WARC record for each row of ``pages`` (page_id, url, html) and return the archive's index.
 
     Index columns: page_id, url, digest, file, offset, length.  Of records of
     equal payloads of ``LEAST_BYTES`` or more, that of the smallest page_id (and
     each row that repeats it) is a response; others are revisits that refer to
-    it.  Spark's text writer writes a record a row, in page order within each
-    file, so a file is committed whole and a lost executor's is written anew;
-    the offsets are running sums over the same order.
+    it.  A task writes its rows to a file of its own, one gzip member a record,
+    and the index, which is staged once, names only files of committed tasks.
+
+    Digests are counted first, and a bit map of fixed size says which may be
+    shared: all other payloads go from the table to the archive without a
+    shuffle.  The rest meet their group's first page, and only a payload that is
+    kept goes on.
     """
+    spark = pages.sparkSession
+    short_batches(spark)
     payload = F.coalesce("html", F.lit(""))
-    seen = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("n"))
-    meta = stage(seen.select("page_id", "digest", "n"), "payloads")
-    firsts = meta.where(F.col("n") >= LEAST_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    firsts = stage(firsts.select("digest", "first"), "firsts")
-    size = meta.agg(F.coalesce(F.sum(F.col("n") + 600), F.lit(0)).alias("s")).first()["s"]
-    files = max(LEAST_FILES, -(-size // file_bytes))
-    rows = seen.join(firsts, "digest", "left")
-    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    seen = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("n"))
+    firsts = seen.where(F.col("n") >= LEAST_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    firsts = stage(firsts.select("digest", "first", F.xxhash64("digest").alias("h")), "firsts")
+    sent = spark.sparkContext.broadcast(bitmap(firsts, "h"))
+    flagged = seen.withColumn("h", F.xxhash64("digest"))
+    flagged = flagged.mapInArrow(_flags(sent), "page_id long, url string, payload string, digest string, n long, h long, shared boolean")
+    alone = flagged.where("not shared").select("page_id", "url", "digest", "n", "payload", F.lit(None).cast("long").alias("first"))
+    copies = flagged.where("shared").join(firsts.select("digest", "first"), "digest", "left")
     # Where all ids of a group are null there is no first, and all are responses.
-    body = F.when(revisit, "").otherwise(F.col("payload"))
-    name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
-    line = lambda k, v: F.concat(F.lit(f"{k}: "), v, F.lit("\r\n"))
-    head = F.concat(
-        F.lit("WARC/1.1\r\n"),
-        line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        line("WARC-Record-ID", name(F.col("page_id"))),
-        line("WARC-Date", F.lit(DATE)),
-        line("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", " ")),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
-        line("WARC-Payload-Length", F.col("n").cast("string")),
-        F.when(revisit, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", name(F.col("first"))))).otherwise(""),
-        line("Content-Length", F.octet_length(body).cast("string")),
-        F.lit("\r\n"),
-    )
-    shard = F.pmod(F.xxhash64(F.coalesce("page_id", F.lit(0)), "digest"), F.lit(files)).cast("int")
-    records = rows.select("page_id", "url", "digest", shard.alias("shard"), F.concat(head, body).alias("value"))
-    records = records.withColumn("length", F.octet_length("value").cast("long"))
-    order = [F.col("page_id"), F.col("digest"), F.col("url")]
-    placed = records.repartition(files, "shard").sortWithinPartitions("shard", *order)
-    placed.select("shard", "value").write.partitionBy("shard").option("lineSep", END).text(folder)
-
-    paths = pages.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
-    paths = paths.select(F.col("path").alias("file"), F.regexp_extract("path", r"/shard=(\d+)/", 1).cast("int").alias("shard"))
-    ends = F.sum(F.col("length") + len(END)).over(Window.partitionBy("shard").orderBy(*order, "length").rowsBetween(Window.unboundedPreceding, 0))
-    index = records.drop("value").withColumn("offset", ends - F.col("length") - len(END))
-    return stage(index.join(paths, "shard").select("page_id", "url", "digest", "file", "offset", "length"), "index")
+    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    copies = copies.select("page_id", "url", "digest", "n", F.when(~revisit, F.col("payload")).alias("payload"), F.when(revisit, F.col("first")).alias("first"))
+    written = [x.mapInArrow(_write(folder), INDEX) for x in (alone, copies)]
+    return stage(written[0].unionAll(written[1]), "index")
 
 
 def parse(record: bytes) -> tuple[dict[str, str], bytes]:
@@ -103,7 +144,7 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             out = []
             for page_id, digest, offset, length in zip(run["page_id"], run["digest"], run["offset"], run["length"], strict=True):
                 at = int(offset) - first
-                headers, block = parse(data[at : at + int(length)])
+                headers, block = parse(gzip.decompress(data[at : at + int(length)]))
                 named = headers["warc-payload-digest"].removeprefix("sha256:")
                 found = hashlib.sha256(block).hexdigest() if headers["warc-type"] == "response" else named
                 if found != named or found != digest:
