@@ -44,7 +44,8 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         end = w.end[long] if size is None else start + size
         docs.append(w.doc[long])
         found.append(flat.mix(flat.span_hash(w, start, end, salt), BITS))
-    both = np.unique((np.concatenate(docs) << BITS) | np.concatenate(found))
+    both = np.sort((np.concatenate(docs) << BITS) | np.concatenate(found))
+    both = both[np.append(True, both[1:] != both[:-1])[: len(both)]]
     return both >> BITS, both & ((1 << BITS) - 1)
 
 
