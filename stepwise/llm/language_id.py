@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
-from .shared import STEP_CHARS, fold, in_steps, short_batches, text_or_empty
+from .shared import STEP_CHARS, bounded_sample, fold, in_steps, short_batches, stage, text_or_empty
 
 #: Bits of a hashed feature.
 BITS = 18
@@ -163,13 +163,14 @@ def predict(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray]:
 def train(docs: DataFrame, sample: int = SAMPLE, span: int = SPAN) -> Model:
     """Fit on at most ``sample`` texts with a language outside the held-out fold, ``span`` characters of each.
 
-    The sample is the rows of the smallest hashes of their ids.
+    The sample is the rows of the smallest hashes of their ids and texts.
     """
     rows = docs.where((fold("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    near = F.xxhash64(F.lit("language"), F.col("doc_id"))
+    # What is counted needs no text; only the chosen texts go to the driver.
+    n = docs.where((fold("doc_id", 4) != 2) & F.col("lang").isNotNull()).count()
+    rows = bounded_sample(rows.select("doc_id", "lang", "text"), F.xxhash64(F.lit("language"), F.col("doc_id"), F.xxhash64("text")), sample, n)
     start = F.pmod(F.xxhash64(F.lit("place"), F.col("doc_id")), F.greatest(F.length("text") - span, F.lit(0)) + 1)
-    cut = rows.select(near.alias("near"), "lang", F.substr("text", start.cast("int") + 1, F.lit(span)).alias("text"))
-    got = cut.orderBy("near", "lang", "text").limit(sample).select("lang", "text").collect()
+    got = stage(rows.select("lang", F.substr("text", start.cast("int") + 1, F.lit(span)).alias("text")), "sample").orderBy("lang", "text").collect()
     return fit([r["text"] for r in got], [r["lang"] for r in got])
 
 

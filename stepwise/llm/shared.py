@@ -58,6 +58,18 @@ def fold(doc_id: str, parts: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(parts))
 
 
+def bounded_sample(rows: DataFrame, key: Column, limit: int, known: int | None = None) -> DataFrame:
+    """The rows of the ``limit`` smallest hashes ``key`` (long), or all if they are fewer.
+
+    A cut by the number of rows (``known``, or counted) lets about twice as many
+    through, so that what meets for the last choice doesn't grow with the input.
+    """
+    share = (2 * limit + 1000) / max(1, rows.count() if known is None else known)
+    if share < 1:
+        rows = rows.where(key < F.lit(-(1 << 63) + int(share * (1 << 64))))
+    return rows.withColumn("_key", key).orderBy("_key").limit(limit).drop("_key")
+
+
 def in_steps(texts: Iterable[str | None], limit: int = STEP_CHARS) -> Iterator[list[str]]:
     """Groups of neighbouring texts of at most ``limit`` characters together; nulls become empty."""
     group: list[str] = []

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import flat
-from .shared import STEP_CHARS, fold, in_steps, short_batches, stage, text_or_empty
+from .shared import STEP_CHARS, bounded_sample, fold, in_steps, short_batches, stage, text_or_empty
 
 #: Bits of a hashed feature.
 BITS = 22
@@ -119,9 +119,10 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     known = stage(known, "known")
     share = known.agg(F.avg("toxic").alias("p")).first()["p"]
     near = F.xxhash64(F.lit("toxicity"), F.col("doc_id"))
-    yes = known.where("toxic = 1").orderBy(near, "doc_id").limit(positives).select("doc_id", "toxic")
+    yes = bounded_sample(known.where("toxic = 1"), near, positives).select("doc_id", "toxic")
     rows = docs.select("doc_id", "text").where(learn & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    no = rows.select("doc_id").orderBy(near, "doc_id").limit(unlabelled).select("doc_id", F.lit(0).alias("toxic"))
+    n = docs.where(learn & F.col("doc_id").isNotNull()).count()
+    no = bounded_sample(rows.select("doc_id"), near, unlabelled, n).select("doc_id", F.lit(0).alias("toxic"))
     # At most positives + unlabelled ids are broadcast.
     chosen = stage(yes.unionByName(no), "chosen")
     sample = rows.join(F.broadcast(chosen), "doc_id").select("text", "toxic")
