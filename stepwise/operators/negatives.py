@@ -12,10 +12,13 @@ from stepwise.functions.text import uniform
 
 # Tries for a point off all elements, and the shifts, nearest first.
 RANDOM_TRIES = 50
+MOVES = ("swipe", "scroll")
 OFFSET = 120.0
 RADII = (1.0, 1.5, 2.0)
 DIRECTIONS = ((1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (-1, -1), (1, -1), (-1, 1))
 ORDER = ("random_coordinate", "shifted_coordinate", "same_screen_element", "wrong_action_type")
+#: Random points that are tried before the rest of RANDOM_TRIES; most steps need no more.
+FIRST_TRIES = 4
 
 
 def _action(kind: Column | str, at: Column | None = None, text: Column | None = None, start: Column | None = None, end: Column | None = None, direction: Column | None = None) -> Column:
@@ -35,24 +38,36 @@ def _negative(action: Column, source: str, subtype: Column | str) -> Column:
     return F.struct(action.alias("action"), F.lit(source).alias("negative_source"), (F.lit(subtype) if isinstance(subtype, str) else subtype).alias("negative_subtype"))
 
 
+def _attempt(i: Column, seed: int) -> Column:
+    screen, key = F.col("screen_size"), F.col("_key")
+    return point(uniform(key, i, "x", seed) * (screen["width"] - 1), uniform(key, i, "y", seed) * (screen["height"] - 1))
+
+
 def with_sampling(steps: DataFrame, seed: int = 42) -> DataFrame:
-    """``steps`` (with ``boxes``) and what the samplers share: pixel point, element, random pixel point.
+    """``steps`` (with ``boxes``) and what the samplers share: pixel point, element, random point, shifted points, another element.
 
     The random point is the first of RANDOM_TRIES points that lies on no valid
-    element, else the last; the step's key and the seed fix them all.
+    element, else the last; the step's key and the seed fix them all.  Each is
+    computed once a step; points after the FIRST_TRIES only where those all
+    lie on elements.
     """
-    screen, key = F.col("screen_size"), F.concat_ws(":", "episode_id", F.col("step_id").cast("string"))
+    screen, boxes, p, source = F.col("screen_size"), F.col("boxes"), F.col("_p"), F.col("_source")
+    key = F.concat_ws(":", "episode_id", F.col("step_id").cast("string"))
     df = once(steps, _p=to_pixel(primary_point(F.col("action")), screen, F.col("action.coordinate_space")), _key=key)
-    tried = F.transform(F.sequence(F.lit(0), F.lit(RANDOM_TRIES - 1)), lambda i: point(uniform(F.col("_key"), i, "x", seed) * (screen["width"] - 1), uniform(F.col("_key"), i, "y", seed) * (screen["height"] - 1)))
-    free = lambda q: ~F.exists("boxes", lambda b: b["valid"] & q["x"].between(b["x1"], b["x2"]) & q["y"].between(b["y1"], b["y2"]))
-    df = once(df, _source=first_at(F.col("boxes"), F.col("_p")), _tried=F.when(screen.isNotNull(), tried))
-    return once(df, _free=F.get(F.filter("_tried", free), F.lit(0)))
+    taken = lambda q: F.exists(boxes, lambda b: b["valid"] & q["x"].between(b["x1"], b["x2"]) & q["y"].between(b["y1"], b["y2"]))
+    free = lambda low, high: F.get(F.filter(F.transform(F.sequence(F.lit(low), F.lit(high - 1)), lambda i: _attempt(i, seed)), lambda q: ~taken(q)), F.lit(0))
+    df = once(df, _source=F.when(p.isNotNull(), first_at(boxes, p)), _free=F.when(screen.isNotNull(), F.coalesce(free(0, FIRST_TRIES), free(FIRST_TRIES, RANDOM_TRIES))))
+    landed = F.when(p.isNotNull() & ~F.col("action.type").isin(*MOVES), _landed(OFFSET))
+    others = F.filter(boxes, lambda b: b["valid"] & (source.isNull() | ~b["index"].eqNullSafe(source["index"])))
+    df = once(df, _pixel=F.coalesce("_free", F.when(screen.isNotNull(), _attempt(F.lit(RANDOM_TRIES - 1), seed))), _landed=landed, _others=others)
+    first = lambda test: F.get(F.filter("_landed", test), F.lit(0))["q"]
+    pick = F.get("_others", F.floor(uniform(F.col("_key"), F.lit(0), "element", seed) * F.size("_others")).cast("int"))
+    return once(df, _off=first(lambda c: c["pos"].isNull()), _other=first(lambda c: ~c["pos"].eqNullSafe(source["pos"])), _pick=center(pick))
 
 
 def random_coordinate() -> Column:
     screen, space = F.col("screen_size"), F.col("action.coordinate_space")
-    pixel = F.coalesce("_free", F.element_at("_tried", -1))
-    at = F.coalesce(from_pixel(pixel, screen, space), point(F.lit(0.0), F.lit(0.0)))
+    at = F.coalesce(from_pixel(F.col("_pixel"), screen, space), point(F.lit(0.0), F.lit(0.0)))
     return _negative(_action("click", at), "random_coordinate", F.when(screen.isNull() | F.col("_free").isNotNull(), "random_non_ui_point").otherwise("random_coordinate"))
 
 
@@ -63,30 +78,30 @@ def reversed_swipe() -> Column:
     return F.when(ends, _negative(swapped, "shifted_coordinate", "wrong_swipe_direction")).otherwise(random_coordinate())
 
 
-def shifted_coordinate(offset: float = OFFSET) -> Column:
+def _moved(dx: Column, dy: Column) -> Column:
+    p, screen, zero = F.col("_p"), F.col("screen_size"), F.lit(0.0)
+    return point(clamp(p["x"] + dx, zero, (screen["width"] - 1).cast("double")), clamp(p["y"] + dy, zero, (screen["height"] - 1).cast("double")))
+
+
+def _landed(offset: float) -> Column:
+    """Where each shift leads (q), and the element there (pos)."""
+    shifts = F.array(*[_moved(F.lit(offset * r * dx), F.lit(offset * r * dy)) for r in RADII for dx, dy in DIRECTIONS])
+    return F.transform(shifts, lambda q: F.struct(q.alias("q"), first_at(F.col("boxes"), q)["pos"].alias("pos")))
+
+
+def shifted_coordinate() -> Column:
     """The first shift off all elements, else the first onto another element, else a fixed one."""
-    a, screen, boxes, p = F.col("action"), F.col("screen_size"), F.col("boxes"), F.col("_p")
-    shifts = F.array(*[F.struct(F.lit(offset * r * dx).alias("dx"), F.lit(offset * r * dy).alias("dy")) for r in RADII for dx, dy in DIRECTIONS])
-    zero = F.lit(0.0)
-    moved = lambda dx, dy: point(clamp(p["x"] + dx, zero, (screen["width"] - 1).cast("double")), clamp(p["y"] + dy, zero, (screen["height"] - 1).cast("double")))
-    landed = F.transform(F.transform(shifts, lambda s: moved(s["dx"], s["dy"])), lambda q: F.struct(q.alias("q"), first_at(boxes, q)["pos"].alias("pos")))
-    off = F.get(F.filter(landed, lambda c: c["pos"].isNull()), F.lit(0))["q"]
-    other = F.get(F.filter(landed, lambda c: ~c["pos"].eqNullSafe(F.col("_source.pos"))), F.lit(0))["q"]
-    last = moved(F.lit(offset), F.lit(offset))
-    at = from_pixel(F.coalesce(off, other, last), screen, a["coordinate_space"])
-    subtype = F.when(off.isNotNull(), "near_miss_non_ui_shift").when(other.isNotNull(), "shifted_other_ui_element").otherwise("shifted_coordinate_fallback")
+    a, screen = F.col("action"), F.col("screen_size")
+    at = from_pixel(F.coalesce("_off", "_other", _moved(F.lit(OFFSET), F.lit(OFFSET))), screen, a["coordinate_space"])
+    subtype = F.when(F.col("_off").isNotNull(), "near_miss_non_ui_shift").when(F.col("_other").isNotNull(), "shifted_other_ui_element").otherwise("shifted_coordinate_fallback")
     shifted = _negative(_action(a["type"], at, a["text"], a["start_point"], a["end_point"], a["direction"]), "shifted_coordinate", subtype)
-    return F.when(a["type"].isin("swipe", "scroll"), reversed_swipe()).when(p.isNull(), random_coordinate()).otherwise(shifted)
+    return F.when(a["type"].isin(*MOVES), reversed_swipe()).when(F.col("_p").isNull(), random_coordinate()).otherwise(shifted)
 
 
-def same_screen_element(seed: int = 42) -> Column:
+def same_screen_element() -> Column:
     """The middle of another valid element, picked by the step's key."""
-    screen, space = F.col("screen_size"), F.col("action.coordinate_space")
-    source = F.col("_source")
-    others = F.filter("boxes", lambda b: b["valid"] & (source.isNull() | ~b["index"].eqNullSafe(source["index"])))
-    pick = F.get(others, F.floor(uniform(F.col("_key"), F.lit(0), "element", seed) * F.size(others)).cast("int"))
-    found = _negative(_action("click", from_pixel(center(pick), screen, space)), "same_screen_element", "wrong_ui_element")
-    return F.when(F.coalesce(F.size(others) > 0, F.lit(False)), found).otherwise(random_coordinate())
+    found = _negative(_action("click", from_pixel(F.col("_pick"), F.col("screen_size"), F.col("action.coordinate_space"))), "same_screen_element", "wrong_ui_element")
+    return F.when(F.coalesce(F.size("_others") > 0, F.lit(False)), found).otherwise(random_coordinate())
 
 
 def wrong_action_type() -> Column:

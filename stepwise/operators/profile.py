@@ -45,8 +45,9 @@ def with_pair_facts(pairs: DataFrame) -> DataFrame:
     screen = F.col("screen_size")
     g = to_pixel(primary_point(F.col("chosen")), screen, F.col("chosen.coordinate_space"))
     r = to_pixel(primary_point(F.col("rejected")), screen, F.col("rejected.coordinate_space"))
+    at = lambda name: F.when(F.col(name).isNotNull(), first_at(F.col("boxes"), F.col(name), True))
     df = once(pairs, _g=g, _r=r)
-    df = once(df, gt_element=first_at(F.col("boxes"), F.col("_g"), True), rejected_element=first_at(F.col("boxes"), F.col("_r"), True), distance_px=distance(F.col("_g"), F.col("_r")))
+    df = once(df, gt_element=at("_g"), rejected_element=at("_r"), distance_px=distance(F.col("_g"), F.col("_r")))
     same = F.coalesce(F.col("gt_element.index") == F.col("rejected_element.index"), F.lit(False))
     return df.withColumn("same_element", same).drop("_g", "_r")
 

@@ -118,15 +118,15 @@ def with_region(df: DataFrame, p: Column, name: str) -> DataFrame:
     are columns of their own, so that each is computed once.
     """
     t, row, screen = F.col("_target"), F.col("_row"), F.col("screen_size")
-    df = once(df, _target=smallest_at(F.col("boxes"), p))
-    df = once(df, _row=same_row(F.col("boxes"), t, 1.6))
+    df = once(df, _target=F.when(p.isNotNull(), smallest_at(F.col("boxes"), p)))
+    df = once(df, _row=F.when(t.isNotNull(), same_row(F.col("boxes"), t, 1.6)))
     found = F.filter(search_boxes(row, t), lambda b: (_w(b) > 2) & (_h(b) > 2))
-    df = once(df, _found=found, _row_text=row_text(row))
+    df = once(df, _found=F.when(search_like(t), found), _row_text=row_text(row))
     df = once(
         df,
         _search=F.when(search_like(t), F.when(F.size("_found") > 0, F.col("_found")).otherwise(F.array(t))),
         _side=F.when(_any_in(t["text"], COMPACT_WORDS), side_by_side(row, t)),
-        _card=F.when(_any_in(F.lower(F.coalesce("task", F.lit(""))), PRODUCT_WORDS), card_boxes(F.col("boxes"), t)),
+        _card=F.when(t.isNotNull() & _any_in(F.lower(F.coalesce("task", F.lit(""))), PRODUCT_WORDS), card_boxes(F.col("boxes"), t)),
         _cta=full_width_cta(F.col("_row_text")),
     )
     search = _padded(SEARCH, _union(F.col("_search")), screen, F.lit(10.0), _most(8, _h(t), 0.35))
