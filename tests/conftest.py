@@ -22,6 +22,7 @@ def spark(tmp_path_factory) -> SparkSession:
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16k",
         "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
         "spark.checkpoint.dir": f"file://{tmp_path_factory.mktemp('shared')}",
     }
