@@ -21,8 +21,12 @@ SIMILAR = 0.8
 BANDS, ROWS = 12, 4
 #: Lines of one band key that are linked in one chain, about; a hotter key is cut into more.
 GROUP = 1000
-#: A line is paired with this many before it in the chain, so a key of NEAR + 1 lines or fewer loses no pair.
+#: A line is paired with this many before it in the chain, so all pairs of a key of NEAR + 1 lines or fewer are tried at once.
 NEAR = 4
+#: Lines and characters of a block, about: a hotter key's lines that are still apart meet block by block.
+BLOCK, BLOCK_CHARS = 2000, 500_000
+#: Pairs of lines that one vectorised step of a block join holds.
+STEP_PAIRS = 500_000
 _RNG = np.random.default_rng(20240101)
 MULTIPLIERS = _RNG.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 FOLDS = _RNG.integers(1, 1 << 63, ROWS, dtype=np.uint64) | np.uint64(1)
@@ -175,13 +179,157 @@ def _similar(threshold: float):
     return run
 
 
-def candidates(lines: DataFrame) -> DataFrame:
-    """(a, b, pivot): pairs of lines that share a band: each line with its key's smallest (pivot), and with those before it.
+class Labels:
+    """Union-find over the roots of a block join's rows."""
+
+    def __init__(self, roots: np.ndarray):
+        self.held, self.of = np.unique(roots, return_inverse=True)
+        self.parent = list(range(len(self.held)))
+
+    def find(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
+        return x
+
+    def union(self, a: int, b: int) -> bool:
+        """Whether the rows ``a`` and ``b`` were apart."""
+        x, y = self.find(self.of[a]), self.find(self.of[b])
+        self.parent[y] = x
+        return x != y
+
+    def settle(self) -> None:
+        self.of = np.array([self.find(i) for i in range(len(self.parent))], np.int64)[self.of]
+
+
+def prefixes(text: list[str], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, shingle) of each text's prefix, and the size of each text's set.
+
+    Of a set of n shingles, rarest first, two that reach the threshold share one
+    among their first n - ceil(threshold * n) + 1.
+    """
+    number = {x: i for i, x in enumerate(dict.fromkeys(text))}
+    h, n, _ = shingle_hashes(list(number))
+    _, token, times = np.unique(h, return_inverse=True, return_counts=True)
+    rank = np.empty(len(times), np.int64)
+    rank[np.argsort(times, kind="stable")] = np.arange(len(times))
+    owner = np.repeat(np.arange(len(number)), n)
+    held = np.unique((owner << 32) | rank[token])
+    owner, rank = held >> 32, held & 0xFFFFFFFF
+    size = np.bincount(owner, minlength=len(number))
+    place = np.arange(len(held)) - (np.cumsum(size) - size)[owner]
+    own = place < (size - np.ceil(threshold * size - 1e-9) + 1)[owner]
+    owner, rank = owner[own], rank[own]
+    n = np.bincount(owner, minlength=len(number))
+    row = np.array([number[x] for x in text], np.int64)
+    m = n[row]
+    places = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m - (np.cumsum(n) - n)[row], m)
+    return np.repeat(np.arange(len(text)), m), rank[places], size[row]
+
+
+def block_links(group: np.ndarray, part: np.ndarray, whole: np.ndarray, main: np.ndarray, root: np.ndarray, text: list[str], threshold: float) -> list[tuple[int, int]]:
+    """Links that join all roots of rows of one group at the threshold: of whole groups any two rows, of others those of two parts.
+
+    Rows that are ``main`` have their key's commonest root, so two of them are never compared.
+    """
+    row, token, size = prefixes(text, threshold)
+    order = np.lexsort((~main[row], token, group[row]))
+    row, token = row[order], token[order]
+    new = np.append(True, (token[1:] != token[:-1]) | (group[row][1:] != group[row][:-1]))
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    count = np.where(main[row], 0, np.arange(len(row)) - first)
+    labels, length, out = Labels(root), np.array([len(x) for x in text]), []
+    seen, end = 0, np.cumsum(count)
+    while seen < len(row):
+        to = max(seen + 1, int(np.searchsorted(end, (end[seen - 1] if seen else 0) + STEP_PAIRS, side="right")))
+        c = count[seen:to]
+        a = np.repeat(row[seen:to], c)
+        b = row[np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c - first[seen:to], c)]
+        seen = to
+        fit = (labels.of[a] != labels.of[b]) & (whole[a] | (part[a] != part[b])) & (np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b]) - 1e-9)
+        pairs = np.unique(a[fit] * len(text) + b[fit])
+        a, b = pairs // len(text), pairs % len(text)
+        while len(a):
+            n = max(1, int(np.searchsorted(np.cumsum(length[a] + length[b]), STEP, side="right")))
+            hit = similar([text[i] for i in a[:n]], [text[i] for i in b[:n]], threshold)
+            out += [(x, y) for x, y, yes in zip(a[:n].tolist(), b[:n].tolist(), hit, strict=True) if yes and labels.union(x, y)]
+            labels.settle()
+            a, b = a[n:], b[n:]
+            apart = labels.of[a] != labels.of[b]
+            a, b = a[apart], b[apart]
+    return out
+
+
+def _block_links(threshold: float):
+    """Links within the groups (key, i, j) of sorted rows; many small groups are joined in one go."""
+
+    def joined(held: pa.Table) -> pa.RecordBatch:
+        column = lambda c: held.column(c).to_numpy()
+        key, i, j, line = column("key"), column("i"), column("j"), column("line")
+        new = np.append(True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
+        links = block_links(np.cumsum(new), column("part"), i == j, column("main").astype(bool), column("root"), held.column("text").to_pylist(), threshold)
+        ends = np.array(links, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(line[ends[:, 0]], pa.int64()), pa.array(line[ends[:, 1]], pa.int64())], ["src", "dst"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        chars = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            chars += batch.column("text").nbytes
+            if chars < BLOCK_CHARS:
+                continue
+            rows = pa.Table.from_batches(held)
+            key, i, j = (rows.column(c).to_numpy() for c in ("key", "i", "j"))
+            # The last group may go on.
+            cut = int(np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))[-1])
+            if cut:
+                yield joined(rows.slice(0, cut))
+                held = rows.slice(cut).to_batches()
+                chars = sum(x.column("text").nbytes for x in held)
+        if held:
+            yield joined(pa.Table.from_batches(held))
+
+    return run
+
+
+def apart_links(hot: DataFrame, roots: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(src, dst): verified links that join what is still apart of each hot key's lines (key, line), so that no pair is left.
+
+    Lines of a key's commonest root (main) meet only those of other roots.  A
+    key with more than a block of lines is dealt to blocks, and each two blocks
+    that may hold such a pair meet in one group.
+    """
+    named = hot.join(roots, hot["line"] == roots["node"], "left").select("key", "line", F.coalesce("root", "line").alias("root"))
+    named = stage(named, "hot")
+    counts = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    mixed = stage(counts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("key", "most"), "mixed")
+    rows = named.join(mixed, "key").select("key", "line", "root", (F.col("root") == F.col("most")).alias("main"))
+    rows = stage(rows.join(texts, "line"), "apart")
+    size = rows.groupBy("key").agg(*[f(F.when(side, x)).alias(f"{name}_{what}") for name, side in (("main", F.col("main")), ("other", ~F.col("main"))) for what, f, x in (("n", F.count, F.lit(1)), ("chars", F.sum, F.length("text")))])
+    parts = lambda n, chars: F.ceil(F.greatest(F.lit(1), n / BLOCK, chars / BLOCK_CHARS)).cast("int")
+    one = (F.col("main_n") + F.col("other_n") <= BLOCK) & (F.col("main_chars") + F.col("other_chars") <= BLOCK_CHARS)
+    size = size.select("key", one.alias("one"), parts(F.col("main_n"), F.col("main_chars")).alias("mains"), parts(F.col("other_n"), F.col("other_chars")).alias("others"))
+    rows = rows.join(size, "key")
+    part = F.when(F.col("one"), 0).when(F.col("main"), F.col("others") + F.pmod(F.xxhash64("line"), "mains")).otherwise(F.pmod(F.xxhash64("line"), "others")).cast("int")
+    rows = rows.withColumn("part", part)
+    pair = lambda x: F.struct(F.least("part", x).alias("i"), F.greatest("part", x).alias("j"))
+    met = F.when(F.col("one"), F.array(F.lit(0))).when(F.col("main"), F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("others") + F.col("mains") - 1))
+    rows = rows.select("key", "line", "root", "main", "part", "text", F.inline(F.transform(met, pair)))
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return rows.select("key", "i", "j", "part", "main", "root", "line", "text").mapInArrow(_block_links(threshold), "src long, dst long")
+
+
+def candidates(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b, pivot) and (key, line): pairs of lines that share a band, and the lines of the keys that have more pairs.
 
     A key's distinct lines are counted before they meet.  They are chained in
     runs of about ``GROUP``, ordered by their next key, which similar lines
-    often share too, and each is paired with the ``NEAR`` before it: pairs grow
-    with the lines and never with a key's square.
+    often share too.  Each is paired with its key's smallest line (pivot) and
+    the ``NEAR`` before it; that joins most of what is similar, and what is left
+    of a key of more than NEAR + 1 lines is for ``apart_links``.
     """
     spark = lines.sparkSession
     fresh = lines.where("bands is not null").select("line", "bands")
@@ -190,21 +338,24 @@ def candidates(lines: DataFrame) -> DataFrame:
     members = fresh.mapInArrow(_members(sent), "key long, line long, near long").groupBy("key", "line", "near").agg(F.count(F.lit(1)).alias("n")).drop("n")
     members = stage(members, "members")
     groups = members.groupBy("key").agg(F.min("line").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    hot = members.join(groups.where(F.col("n") > NEAR + 1).select("key"), "key").select("key", "line")
     members = members.join(groups, "key").withColumn("part", F.pmod(F.col("line"), F.ceil(F.col("n") / GROUP)))
     chain = Window.partitionBy("key", "part").orderBy("near", "line")
     pairs = members.select("line", F.array(F.struct(F.col("pivot").alias("b"), F.lit(True).alias("pivot")), *[F.struct(F.lag("line", i).over(chain).alias("b"), F.lit(False).alias("pivot")) for i in range(1, NEAR + 1)]).alias("others"))
     both = pairs.select(F.col("line").alias("a"), F.inline("others")).where("a <> b")
-    return both.groupBy("a", "b").agg(F.max("pivot").alias("pivot"))
+    return both.groupBy("a", "b").agg(F.max("pivot").alias("pivot")), hot
 
 
 def line_components(docs: DataFrame, lines: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     """(node, root) of lines with a verified link.
 
-    Pairs with a key's pivot are verified first; of the others, only those whose
-    ends are still apart.  Only texts of lines in a pair move, once each.
+    Pairs with a key's pivot are verified first; then, of the others, only those
+    whose ends are still apart: of the chains, and at last all that hot keys have.
+    Only texts of lines in a pair move.
     """
     spark = lines.sparkSession
-    pairs = stage(candidates(lines), "candidates")
+    pairs, hot = candidates(lines)
+    pairs = stage(pairs, "candidates")
     ends = pairs.select(F.col("a").alias("line")).unionAll(pairs.select("b")).distinct()
     sent = spark.sparkContext.broadcast(bitmap(ends, "line"))
     texts = docs.select(text_or_empty().alias("text")).mapInArrow(_texts(sent), "line long, text string")
@@ -219,7 +370,11 @@ def line_components(docs: DataFrame, lines: DataFrame, threshold: float = SIMILA
     a, b = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
     apart = pairs.where("not pivot").join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
     more = stage(verified(apart), "more")
-    return roots if more.isEmpty() else connected_components(links.unionAll(more))
+    if not more.isEmpty():
+        links = links.unionAll(more)
+        roots = connected_components(links)
+    last = stage(apart_links(hot, roots, texts, threshold), "last")
+    return roots if last.isEmpty() else connected_components(links.unionAll(last))
 
 
 def dedup_lines(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:

@@ -1,6 +1,7 @@
 """The training-data operators: against SQL, brute force, exact round trips or held-out accuracy, and on odd rows."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -162,6 +163,33 @@ def test_line_components_equal_brute_force(spark):
     assert sum(r["kept"] for r in got) == len(set(want.values()))
 
 
+@pytest.mark.parametrize("block", [line_dedup.BLOCK, 300])
+def test_line_components_of_hot_keys_equal_brute_force(spark, monkeypatch, block):
+    """6000 lines with one head: two that are similar often share hot keys only."""
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    head = word(60)
+    lines = [head + own + word(4) for own in (word(10) for _ in range(3000)) for _ in range(2)]
+    ids = [line_dedup.line_id(x) for x in lines]
+    tails = [line_dedup.shingles(x) - line_dedup.shingles(head) for x in lines]
+    # All share the head's shingles; who shares more is found by the tails'.
+    common, holders, links = len(line_dedup.shingles(head)), defaultdict(list), []
+    keys = [set(k) for k in line_dedup.band_keys(lines).tolist()]
+    assert max(Counter(k for x in keys for k in x).values()) > 1000 and common / (common + 2 * min(map(len, tails))) < line_dedup.SIMILAR
+    for i, tail in enumerate(tails):
+        for j, n in Counter(j for g in tail for j in holders[g]).items():
+            if (common + n) / (common + len(tail) + len(tails[j]) - n) >= line_dedup.SIMILAR and keys[i] & keys[j]:
+                links.append((ids[i], ids[j]))
+        for g in tail:
+            holders[g].append(i)
+    want = roots([*links, *((i, i) for i in ids)])
+    docs = spark.createDataFrame([(i, "\n".join(lines[i::40])) for i in range(40)], "doc_id long, text string")
+    got = line_dedup.dedup_lines(docs).collect()
+    assert len(links) > 2900 and {r["line_id"]: r["component_id"] for r in got} == want
+    assert sum(r["kept"] for r in got) == len(set(want.values()))
+
+
 def test_line_similarity_is_exact():
     pairs = [("ab", "ab"), ("ab", "abc"), ("abcdefgh", "abcdefgh"), ("a" * 100, "a" * 50), ("the quick brown fox jumps over", "the quick brown fox jumped over")]
     a, b = zip(*pairs, strict=True)
