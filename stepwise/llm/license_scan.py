@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -13,9 +14,6 @@ from .shared import text_or_empty
 #: A word: letters and digits, or characters beyond ASCII (A-Z are lower-cased first).
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 OTHER = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: No rule matches a text without one of these.
-ANCHOR = r"(?i)licen[cs]|copyleft|spdx|copyright|redistribut|warrant|hereby|creative|gnu|gpl|cc0|domain|opensource|apache|wtfpl|mozilla"
-
 #: The base phrases and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
@@ -24,7 +22,7 @@ class Rule(NamedTuple):
     label: str
     #: 1: a statement that a license applies; 2: a license's full name or address; 3: words that hint at one.
     level: int
-    #: Words that the text must hold for the rule to be tried.
+    #: What every match of the pattern holds, with the blank in front of it; the rule is tried only where it is.
     keyword: str
     #: A regular expression over words, single blanks between.
     pattern: str
@@ -60,11 +58,16 @@ boost | boost | boost software license( version)?( 1 0)? | bsl 1 0, boost licens
 unlicense | unlicense | (the )?unlicense | unlicensed into the public domain, unlicense org
 wtfpl | wtfpl | wtfpl | do what the fuck you want to public license
 cc0 | cc0 | cc0( 1 0)?( universal)? | creative commons zero, cc zero
-cc-by-nc-nd | nd | (cc by nc nd|attribution noncommercial noderiv\w*)( \d 0)? | attribution non commercial no derivatives
-cc-by-nc-sa | sa | (cc by nc sa|attribution noncommercial sharealike)( \d 0)? | attribution non commercial share alike
-cc-by-nc | nc | (cc by nc|attribution noncommercial)( \d 0)? | attribution non commercial
-cc-by-nd | nd | (cc by nd|attribution noderiv\w*)( \d 0)? | attribution no derivatives
-cc-by-sa | sa | (cc by sa|attribution sharealike)( \d 0)? | attribution share alike
+cc-by-nc-nd | cc by nc nd | cc by nc nd( \d 0)? | attribution non commercial no derivatives
+cc-by-nc-nd | attribution noncommercial noderiv | attribution noncommercial noderiv\w*( \d 0)? |
+cc-by-nc-sa | cc by nc sa | cc by nc sa( \d 0)? | attribution non commercial share alike
+cc-by-nc-sa | attribution noncommercial sharealike | attribution noncommercial sharealike( \d 0)? |
+cc-by-nc | cc by nc | cc by nc( \d 0)? | attribution non commercial
+cc-by-nc | attribution noncommercial | attribution noncommercial( \d 0)? |
+cc-by-nd | cc by nd | cc by nd( \d 0)? | attribution no derivatives
+cc-by-nd | attribution noderiv | attribution noderiv\w*( \d 0)? |
+cc-by-sa | cc by sa | cc by sa( \d 0)? | attribution share alike
+cc-by-sa | attribution sharealike | attribution sharealike( \d 0)? |
 cc-by | cc by | cc by( \d 0)? | creative commons attribution, creative commons by
 cc | creative commons | creative commons( license)? | cc licensed, some rights reserved
 public-domain | public domain | (in|into|to) the public domain | public domain dedication, released to the public domain, public domain mark
@@ -85,7 +88,7 @@ osl | open software | open software license( version)?( \d \d)? | osl 3 0
 eupl | european union | european union public licen[cs]e | eupl, eupl 1 2
 cecill | cecill | cecill( license)? | cecill b, cecill c
 ipl | ibm | ibm public license | ibm open source license
-qpl | public license | q public license | qpl 1 0
+qpl | q public license | q public license | qpl 1 0
 npl | netscape | netscape public license | npl 1 1
 apsl | apple | apple public source license | apsl 2 0
 sleepycat | sleepycat | sleepycat license | sleepycat public license
@@ -102,7 +105,7 @@ commons-clause | commons clause | commons clause | commons clause license condit
 polyform | polyform | polyform [a-z]+( [a-z]+)? license | polyform noncommercial, polyform small business
 blueoak | blue oak | blue oak model license | blueoak 1 0 0
 mulan | mulan | mulan (permissive|psl)( software license)? | mulan psl v2
-openrail | openrail | (creativeml |bigscience )?open ?rail( m)?( license)? | responsible ai license
+openrail | open | (creativeml |bigscience )?open ?rail( m)?( license)? | responsible ai license
 llama | llama | llama \d community license | llama community license agreement
 """
 
@@ -119,7 +122,7 @@ apache | as is basis | distributed under the license is distributed on an as is
 gpl | redistribute it | you can redistribute it and or modify it under the terms of the gnu general public license
 lgpl | redistribute it | you can redistribute it and or modify it under the terms of the gnu (lesser|library) general public license
 agpl | redistribute it | you can redistribute it and or modify it under the terms of the gnu affero general public license
-mpl-2.0 | mozilla org | if a copy of the mpl was not distributed with this file
+mpl-2.0 | copy of the mpl | if a copy of the mpl was not distributed with this file
 boost | boost | boost software license version 1 0 august 17th 2003
 zlib | altered source | altered source versions must be plainly marked as such
 unlicense | unencumbered | this is free and unencumbered software released into the public domain
@@ -137,23 +140,29 @@ other | license | see (the )?(file )?license( txt| md)? for details
 
 
 def _lines(table: str) -> list[list[str]]:
-    return [[x.strip() for x in line.split(" | ")] for line in table.strip().splitlines()]
+    return [[x.strip() for x in re.split(r" \|(?: |$)", line)] for line in table.strip().splitlines()]
+
+
+def _opening(pattern: str) -> str:
+    """The plain characters that every match of a pattern without top-level alternatives starts with."""
+    plain = re.match(r"[^?(\[\\]*", pattern)[0]
+    return plain[:-1] if pattern[len(plain) :].startswith("?") else plain
 
 
 def rules() -> list[Rule]:
     """All rules in order of priority: statements, then names and addresses, then hints."""
-    out = [Rule(label, 2, phrase, phrase) for phrase, label in BASE]
+    out = [Rule(label, 2, f" {phrase}", phrase) for phrase, label in BASE]
     for label, keyword, name, others in _lines(NAMES):
         words = label.replace("-", " ").replace(".", " ")
         own = name if "license" in name or "licence" in name else f"{name}( license)?"
-        out.append(Rule(label, 1, "spdx", f"spdx license identifier {words}( 0| \\d)*( or later| only)?"))
-        out.append(Rule(label, 1, "license", f"(licensed|released|distributed|available|published|provided|covered) (under|by) (the )?(terms of )?(the )?{own}( version \\d+( \\d+)?| \\d 0)?"))
+        out.append(Rule(label, 1, " spdx license identifier", f"spdx license identifier {words}( 0| \\d)*( or later| only)?"))
+        out.append(Rule(label, 1, f" {keyword}", f"(licensed|released|distributed|available|published|provided|covered) (under|by) (the )?(terms of )?(the )?{own}( version \\d+( \\d+)?| \\d 0)?"))
         # A single word is a name only with the word license behind it.
-        out.append(Rule(label, 2, keyword, f"(the )?{own}" if " " in name or "license" in name else f"(the )?{name} licen[cs]e"))
-        for other in others.split(", "):
-            out.append(Rule(label, 2 if " " in other else 3, other.split(" ")[0].rstrip("?").split("(")[0], other))
-    out += [Rule(label, 3 if label in ("other", "proprietary") else 1, keyword, pattern) for label, keyword, pattern in _lines(PASSAGES)]
-    return sorted(out, key=lambda r: r.level)
+        out.append(Rule(label, 2, f" {keyword}", f"(the )?{own}" if " " in name or "license" in name else f"(the )?{name} licen[cs]e"))
+        for other in filter(None, others.split(", ")):
+            out.append(Rule(label, 2 if " " in other else 3, f" {_opening(other)}", other))
+    out += [Rule(label, 3 if label in ("other", "proprietary") else 1, f" {keyword}", pattern) for label, keyword, pattern in _lines(PASSAGES)]
+    return sorted(dict.fromkeys(out), key=lambda r: r.level)
 
 
 #: What a detection of each level adds to the score: the chance, by judgement, that a license is meant.
@@ -205,8 +214,8 @@ def _survivors(spans: Column) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections.
 
-    A text goes on to the rules only if it holds an anchor, and each rule is
-    tried only if its keyword is there.  A detection that lies inside another
+    Every text goes on to the rules, and each rule is tried only if its keyword,
+    which all its matches hold, is there.  A detection that lies inside another
     of equal or higher priority is suppressed.  All is row-local: no shuffle.
 
     ``n_base``, ``first_word`` and ``last_word`` tell of the base phrases, which
@@ -216,20 +225,22 @@ def scan(docs: DataFrame) -> DataFrame:
     rows and ids are answered each; an empty table gives no rows; other columns
     are not read.
     """
-    listed = json.dumps([r._asdict() for r in rules()])
-    all_rules = F.from_json(F.lit(listed), "array<struct<label:string,level:int,keyword:string,pattern:string>>")
+    by_keyword: dict[str, list[dict]] = {}
+    for r in rules():
+        by_keyword.setdefault(r.keyword, []).append({"label": r.label, "level": r.level, "pattern": r.pattern})
+    listed = json.dumps([{"keyword": k, "rules": v} for k, v in by_keyword.items()])
+    all_rules = F.from_json(F.lit(listed), "array<struct<keyword:string,rules:array<struct<label:string,level:int,pattern:string>>>>")
     text = text_or_empty()
     rows = docs.select("doc_id", text.alias("text"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"))
     words = F.trim(F.regexp_replace(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), OTHER, " "))
     # The stop in front makes room for a match at the first word.
-    rows = rows.withColumn("norm", F.when(F.col("text").rlike(ANCHOR), F.concat(F.lit(". "), words)))
+    rows = rows.withColumn("norm", F.concat(F.lit(". "), words))
     base = F.lit("(?= (?:" + "|".join(p for p, _ in BASE) + ")(?: |$))")
     pieces = F.split("norm", base, -1)
     rows = rows.select("doc_id", "n_words", "norm", pieces.alias("pieces"))
-    tried = F.filter(all_rules, lambda r: F.contains(F.col("norm"), r["keyword"]))
-    spans = F.when(F.col("norm").isNotNull(), _survivors(F.flatten(F.transform(tried, lambda r: _spans(F.col("norm"), r)))))
-    rows = rows.withColumn("detections", F.coalesce(spans, F.array().cast("array<struct<start:int,stop:int,level:int,label:string>>")))
-    n_base = F.when(F.col("norm").isNull(), 0).otherwise(F.size("pieces") - 1)
+    tried = F.flatten(F.transform(F.filter(all_rules, lambda k: F.contains(F.col("norm"), k["keyword"])), lambda k: k["rules"]))
+    rows = rows.withColumn("detections", _survivors(F.flatten(F.transform(tried, lambda r: _spans(F.col("norm"), r)))))
+    n_base = F.size("pieces") - 1
     found = n_base > 0
     base_labels = F.array_compact(F.array(*[F.when(F.col("norm").rlike(f" {p}(?: |$)"), F.lit(label)) for p, label in BASE]))
     rows = rows.withColumn("base", F.coalesce(base_labels, F.array().cast("array<string>")))

@@ -10,7 +10,7 @@ import xxhash
 from conftest import DATA, same_as_sql
 from pyspark.sql import functions as F
 
-from stepwise.llm import line_dedup
+from stepwise.llm import license_scan, line_dedup
 from stepwise.llm.bpe import encoded
 from stepwise.llm.components import connected_components
 from stepwise.llm.exact_dedup import drop_copies, exact_groups
@@ -114,6 +114,47 @@ def test_license_scan_suppresses_contained_detections(spark):
     assert not any(a != b and a[0] <= b[0] and b[1] <= a[1] and a[2] <= b[2] for a in spans for b in spans)
 
 
+def phrases(parsed):
+    """Texts that a rule's pattern matches: each alternative, with and without what is optional."""
+    out = [""]
+    for op, arg in parsed:
+        kind = str(op)
+        if kind == "LITERAL":
+            more = [chr(arg)]
+        elif kind == "ANY":
+            more = ["x"]
+        elif kind == "IN":
+            first = arg[0]
+            more = ["1" if str(first[0]) == "CATEGORY" else chr(first[1] if str(first[0]) == "LITERAL" else first[1][0])]
+        elif kind == "SUBPATTERN":
+            more = phrases(arg[3])
+        elif kind == "BRANCH":
+            more = [p for branch in arg[1] for p in phrases(branch)]
+        else:
+            assert kind == "MAX_REPEAT", kind
+            more = ([""] if arg[0] == 0 else []) + phrases(arg[2])
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_license_rules_find_their_own_phrases_alone(spark):
+    wanted = []
+    for rule in license_scan.rules():
+        for p in phrases(re._parser.parse(rule.pattern)):
+            assert re.fullmatch(rule.pattern, p) and rule.keyword in f" {p}", (rule, p)
+            if rule.level > 1 or p.startswith(("spdx", "released under")) or not re.match("[a-z]+ (under|by) ", p):
+                wanted.append((rule, p))
+    texts = sorted({p for _, p in wanted})
+    rows = scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)).select("doc_id", "labels", "detections", "score").collect()
+    found = {texts[r["doc_id"]]: r for r in rows}
+    for rule, p in wanted:
+        r, n = found[p], p.count(" ") + 1
+        # Another rule of the same words or more may suppress it.
+        assert r["score"] > 0 and (rule.label in r["labels"].split(",") or any(d["start"] == 0 and d["stop"] == n and d["level"] <= rule.level for d in r["detections"])), (rule, p)
+    text = "Released under MIT. Copyright 2020"
+    assert scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["labels"] == "mit"
+
+
 def test_exact_dedup_numbers_chunks_whose_hashes_clash(odd):
     plain = {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_groups(odd).collect()}
     one_hash = {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_groups(odd, lambda c: F.length(c).cast("long") % 2).collect()}
