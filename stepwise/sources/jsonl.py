@@ -59,20 +59,26 @@ def read_reports(spark: SparkSession, named: list[str]) -> DataFrame:
     return out
 
 
-# Review files are for people: ``most`` rows at most come to the driver.
+# Review files are for people; of the Markdown file ``most`` rows at most come to the driver.
 
 
 def _review_rows(df: DataFrame, most: int) -> list[dict[str, Any]]:
     return [r.asDict(recursive=True) for r in df.limit(most).collect()]
 
 
-def write_csv(df: DataFrame, path: str, most: int = 10_000, empty_header: tuple[str, ...] = ("case_index", "review_label", "notes", "sample_id")) -> None:
-    """One CSV file with a byte order mark; without rows just ``empty_header``."""
-    rows = _review_rows(df, most)
+def write_csv(df: DataFrame, path: str, empty_header: tuple[str, ...] = ("case_index", "review_label", "notes", "sample_id")) -> None:
+    """One CSV file of all rows with a byte order mark; without rows just ``empty_header``.
+
+    Rows come to the driver a partition at a time, so it never holds them all.
+    """
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    rows = (r.asDict(recursive=True) for r in df.toLocalIterator())
+    first = next(rows, None)
     with open(path, "w", encoding="utf-8-sig", newline="") as f:
-        out = csv.DictWriter(f, fieldnames=list(rows[0]) if rows else list(empty_header))
+        out = csv.DictWriter(f, fieldnames=list(empty_header) if first is None else list(first))
         out.writeheader()
+        if first is not None:
+            out.writerow(first)
         out.writerows(rows)
 
 

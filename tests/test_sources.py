@@ -59,3 +59,10 @@ def test_sinks(spark, tmp_path):
     assert jsonl.read_reports(spark, [f"one={tmp_path}/r.json"]).first()["run"] == "one"
     with pytest.raises(ValueError, match="NAME=PATH"):
         jsonl.read_reports(spark, ["broken"])
+
+
+def test_csv_has_all_rows(spark, tmp_path):
+    jsonl.write_csv(spark.range(10_050), str(tmp_path / "x.csv"))
+    assert sorted(map(int, (tmp_path / "x.csv").read_text(encoding="utf-8-sig").split()[1:])) == list(range(10_050))
+    jsonl.write_csv(spark.range(0), str(tmp_path / "none.csv"))
+    assert (tmp_path / "none.csv").read_text(encoding="utf-8-sig").split() == ["case_index,review_label,notes,sample_id"]
