@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from .shared import text_or_empty
 
-#: A word: letters and digits, or characters beyond ASCII (A-Z are lower-cased first).
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words; a word is letters and digits, or characters beyond ASCII.
 OTHER = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: The base phrases and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -22,155 +21,220 @@ class Rule(NamedTuple):
     label: str
     #: 1: a statement that a license applies; 2: a license's full name or address; 3: words that hint at one.
     level: int
-    #: What every match of the pattern holds, with the blank in front of it; the rule is tried only where it is.
-    keyword: str
     #: A regular expression over words, single blanks between.
     pattern: str
+    #: Every match has a word that starts with one of these; other texts are never tried.
+    anchors: tuple[str, ...]
+    #: What every match holds (with the blank in front, where it starts a word); checked before the pattern is.
+    keyword: str
+    #: Whether every match starts with a verb and ``under``, ``by`` or ``as``.
+    stated: bool = False
 
 
-# label | keyword | name as a pattern | other spellings, each a rule of its own
+# label | name as a pattern | other spellings, each a rule of its own
 NAMES = r"""
-mit | mit | mit | expat, mit x11, mit expat
-apache | apache | apache( software)? license | asl 2 0, apache 2 0, apache software foundation license, apache license version 2 0, apache license version 1 1
-gpl | general public | (gnu )?general public license | gnu gpl, gpl ?v?2( 0)?( or later| only)?, gpl ?v?3( 0)?( or later| only)?, gnu general public license version [23]
-lgpl | lesser general | (gnu )?lesser general public license | lgpl, gnu lgpl, lgpl ?v?2 1, lgpl ?v?3, library general public license
-agpl | affero | (gnu )?affero general public license | agpl, agpl ?v?3, gnu agpl
-fdl | free documentation | (gnu )?free documentation license | gfdl, gnu fdl, fdl 1 [123]
-bsd-2-clause | bsd | (bsd 2 clause|simplified bsd)( license)? | freebsd license, two clause bsd
-bsd-3-clause | bsd | (bsd 3 clause|new bsd|modified bsd)( license)? | three clause bsd, revised bsd
-bsd-4-clause | bsd | (bsd 4 clause|original bsd)( license)? | four clause bsd, bsd old
-bsd-0 | 0bsd | 0bsd | zero clause bsd, bsd zero clause
-bsd | bsd | bsd license | bsd style license, berkeley software distribution license
-isc | isc | isc license | internet systems consortium license, isc style license
-mpl-2.0 | mozilla | mozilla public license( version)? 2 0 | mpl 2 0, mpl v2
-mpl-1.1 | mozilla | mozilla public license( version)? 1 1 | mpl 1 1
-mpl | mozilla | mozilla public license | mozilla license
-epl | eclipse | eclipse public license( v| version)?( [12] 0)? | epl 1 0, epl 2 0
-edl | eclipse | eclipse distribution license | edl 1 0
-cpl | common public | common public license( version)?( 1 0)? | cpl 1 0
-cddl | common development | common development and distribution license | cddl, cddl 1 [01]
-ms-pl | microsoft | microsoft public license | ms pl
-ms-rl | microsoft | microsoft reciprocal license | ms rl
-artistic | artistic | (perl )?artistic license( 2 0| 1 0)? | artistic 2 0, clarified artistic license
-zlib | zlib | zlib license | zlib libpng license, zlib png license
-libpng | libpng | libpng license | png reference library license
-boost | boost | boost software license( version)?( 1 0)? | bsl 1 0, boost license
-unlicense | unlicense | (the )?unlicense | unlicensed into the public domain, unlicense org
-wtfpl | wtfpl | wtfpl | do what the fuck you want to public license
-cc0 | cc0 | cc0( 1 0)?( universal)? | creative commons zero, cc zero
-cc-by-nc-nd | cc by nc nd | cc by nc nd( \d 0)? | attribution non commercial no derivatives
-cc-by-nc-nd | attribution noncommercial noderiv | attribution noncommercial noderiv\w*( \d 0)? |
-cc-by-nc-sa | cc by nc sa | cc by nc sa( \d 0)? | attribution non commercial share alike
-cc-by-nc-sa | attribution noncommercial sharealike | attribution noncommercial sharealike( \d 0)? |
-cc-by-nc | cc by nc | cc by nc( \d 0)? | attribution non commercial
-cc-by-nc | attribution noncommercial | attribution noncommercial( \d 0)? |
-cc-by-nd | cc by nd | cc by nd( \d 0)? | attribution no derivatives
-cc-by-nd | attribution noderiv | attribution noderiv\w*( \d 0)? |
-cc-by-sa | cc by sa | cc by sa( \d 0)? | attribution share alike
-cc-by-sa | attribution sharealike | attribution sharealike( \d 0)? |
-cc-by | cc by | cc by( \d 0)? | creative commons attribution, creative commons by
-cc | creative commons | creative commons( license)? | cc licensed, some rights reserved
-public-domain | public domain | (in|into|to) the public domain | public domain dedication, released to the public domain, public domain mark
-pddl | public domain | (open data commons )?public domain dedication and license | pddl
-odbl | open database | (open data commons )?open database license | odbl
-odc-by | open data | open data commons attribution license | odc by
-python | python | python software foundation license | psf license, psfl, python license
-ruby | ruby | ruby license | ruby s license
-php | php | php license( version)?( 3 0\d?)? | php 3 01
-openssl | openssl | openssl license | ssleay license, openssl ssleay
-postgresql | postgresql | postgresql license | postgres license
-tcl | tcl | tcl tk license | tcl license
-w3c | w3c | w3c( software)?( notice and)? license | w3c document license
-ofl | open font | (sil )?open font license( version)?( 1 1)? | sil ofl, ofl 1 1
-ncsa | ncsa | (university of illinois )?ncsa( open source)? license | university of illinois open source license
-afl | academic free | academic free license( version)?( \d \d)? | afl 3 0
-osl | open software | open software license( version)?( \d \d)? | osl 3 0
-eupl | european union | european union public licen[cs]e | eupl, eupl 1 2
-cecill | cecill | cecill( license)? | cecill b, cecill c
-ipl | ibm | ibm public license | ibm open source license
-qpl | q public license | q public license | qpl 1 0
-npl | netscape | netscape public license | npl 1 1
-apsl | apple | apple public source license | apsl 2 0
-sleepycat | sleepycat | sleepycat license | sleepycat public license
-vim | vim | vim license | vim charityware license
-x11 | x11 | x11 license | x11 style license, x consortium license
-hpnd | historical permission | historical permission notice and disclaimer | hpnd
-beerware | beer | beerware( license)? | beer ware license
-json | json | json license | good not evil license
-upl | universal permissive | universal permissive license | upl 1 0
-elastic | elastic | elastic license( 2 0| version 2)? | elv2
-sspl | server side | server side public license | sspl, sspl v1
-busl | business source | business source license | busl 1 1, bsl 1 1
-commons-clause | commons clause | commons clause | commons clause license condition
-polyform | polyform | polyform [a-z]+( [a-z]+)? license | polyform noncommercial, polyform small business
-blueoak | blue oak | blue oak model license | blueoak 1 0 0
-mulan | mulan | mulan (permissive|psl)( software license)? | mulan psl v2
-openrail | open | (creativeml |bigscience )?open ?rail( m)?( license)? | responsible ai license
-llama | llama | llama \d community license | llama community license agreement
+mit | mit | expat, mit x11, mit expat
+apache | apache( software)? license | asl 2 0, apache 2 0, apache software foundation license, apache license version 2 0, apache license version 1 1
+gpl | (gnu )?general public license | gnu gpl, gpl ?v?2( 0)?( or later| only)?, gpl ?v?3( 0)?( or later| only)?, gnu general public license version [23]
+lgpl | (gnu )?lesser general public license | lgpl, gnu lgpl, lgpl ?v?2 1, lgpl ?v?3, library general public license
+agpl | (gnu )?affero general public license | agpl, agpl ?v?3, gnu agpl
+fdl | (gnu )?free documentation license | gfdl, gnu fdl, fdl 1 [123]
+bsd-2-clause | (bsd 2 clause|simplified bsd)( license)? | freebsd license, two clause bsd
+bsd-3-clause | (bsd 3 clause|new bsd|modified bsd)( license)? | three clause bsd, revised bsd
+bsd-4-clause | (bsd 4 clause|original bsd)( license)? | four clause bsd, bsd old
+bsd-0 | 0bsd | zero clause bsd, bsd zero clause
+bsd | bsd license | bsd style license, berkeley software distribution license
+isc | isc license | internet systems consortium license, isc style license
+mpl-2.0 | mozilla public license( version)? 2 0 | mpl 2 0, mpl v2
+mpl-1.1 | mozilla public license( version)? 1 1 | mpl 1 1
+mpl | mozilla public license | mozilla license
+epl | eclipse public license( v| version)?( [12] 0)? | epl 1 0, epl 2 0
+edl | eclipse distribution license | edl 1 0
+cpl | common public license( version)?( 1 0)? | cpl 1 0
+cddl | common development and distribution license | cddl, cddl 1 [01]
+ms-pl | microsoft public license | ms pl
+ms-rl | microsoft reciprocal license | ms rl
+artistic | (perl )?artistic license( 2 0| 1 0)? | artistic 2 0, clarified artistic license
+zlib | zlib license | zlib libpng license, zlib png license
+libpng | libpng license | png reference library license
+boost | boost software license( version)?( 1 0)? | bsl 1 0, boost license
+unlicense | (the )?unlicense | unlicensed into the public domain, unlicense org
+wtfpl | wtfpl | do what the fuck you want to public license
+cc0 | cc0( 1 0)?( universal)? | creative commons zero, cc zero
+cc-by-nc-nd | cc by nc nd( \d 0)? | attribution non commercial no derivatives
+cc-by-nc-nd | attribution noncommercial noderiv\w*( \d 0)? |
+cc-by-nc-sa | cc by nc sa( \d 0)? | attribution non commercial share alike
+cc-by-nc-sa | attribution noncommercial sharealike( \d 0)? |
+cc-by-nc | cc by nc( \d 0)? | attribution non commercial
+cc-by-nc | attribution noncommercial( \d 0)? |
+cc-by-nd | cc by nd( \d 0)? | attribution no derivatives
+cc-by-nd | attribution noderiv\w*( \d 0)? |
+cc-by-sa | cc by sa( \d 0)? | attribution share alike
+cc-by-sa | attribution sharealike( \d 0)? |
+cc-by | cc by( \d 0)? | creative commons attribution, creative commons by
+cc | creative commons( license)? | cc licensed, some rights reserved
+public-domain | (in|into|to) the public domain | public domain dedication, released to the public domain, public domain mark
+pddl | (open data commons )?public domain dedication and license | pddl
+odbl | (open data commons )?open database license | odbl
+odc-by | open data commons attribution license | odc by
+python | python software foundation license | psf license, psfl, python license
+ruby | ruby license | ruby s license
+php | php license( version)?( 3 0\d?)? | php 3 01
+openssl | openssl license | ssleay license, openssl ssleay
+postgresql | postgresql license | postgres license
+tcl | tcl tk license | tcl license
+w3c | w3c( software)?( notice and)? license | w3c document license
+ofl | (sil )?open font license( version)?( 1 1)? | sil ofl, ofl 1 1
+ncsa | (university of illinois )?ncsa( open source)? license | university of illinois open source license
+afl | academic free license( version)?( \d \d)? | afl 3 0
+osl | open software license( version)?( \d \d)? | osl 3 0
+eupl | european union public licen[cs]e | eupl, eupl 1 2
+cecill | cecill( license)? | cecill b, cecill c
+ipl | ibm public license | ibm open source license
+qpl | q public license | qpl 1 0
+npl | netscape public license | npl 1 1
+apsl | apple public source license | apsl 2 0
+sleepycat | sleepycat license | sleepycat public license
+vim | vim license | vim charityware license
+x11 | x11 license | x11 style license, x consortium license
+hpnd | historical permission notice and disclaimer | hpnd
+beerware | beerware( license)? | beer ware license
+json | json license | good not evil license
+upl | universal permissive license | upl 1 0
+elastic | elastic license( 2 0| version 2)? | elv2
+sspl | server side public license | sspl, sspl v1
+busl | business source license | busl 1 1, bsl 1 1
+commons-clause | commons clause | commons clause license condition
+polyform | polyform [a-z]+( [a-z]+)? license | polyform noncommercial, polyform small business
+blueoak | blue oak model license | blueoak 1 0 0
+mulan | mulan (permissive|psl)( software license)? | mulan psl v2
+openrail | (creativeml |bigscience )?open ?rail( m)?( license)? | responsible ai license
+llama | llama \d community license | llama community license agreement
 """
 
-# Sentences of the licenses' own texts: label | keyword | pattern
+# Sentences of the licenses' own texts: label | pattern
 PASSAGES = """
-mit | hereby granted | permission is hereby granted free of charge to any person obtaining a copy
-mit | substantial portions | the above copyright notice and this permission notice shall be included in all copies or substantial portions
-isc | fee is hereby | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
-bsd | redistribution and use | redistribution and use in source and binary forms with or without modification are permitted
-bsd-3-clause | endorse or promote | neither the name of .{1,80} nor the names of its contributors may be used to endorse or promote products
-bsd-4-clause | advertising materials | all advertising materials mentioning features or use of this software must display
-apache | apache org | you may obtain a copy of the license at (http |https )?www apache org licenses license 2 0
-apache | as is basis | distributed under the license is distributed on an as is basis
-gpl | redistribute it | you can redistribute it and or modify it under the terms of the gnu general public license
-lgpl | redistribute it | you can redistribute it and or modify it under the terms of the gnu (lesser|library) general public license
-agpl | redistribute it | you can redistribute it and or modify it under the terms of the gnu affero general public license
-mpl-2.0 | copy of the mpl | if a copy of the mpl was not distributed with this file
-boost | boost | boost software license version 1 0 august 17th 2003
-zlib | altered source | altered source versions must be plainly marked as such
-unlicense | unencumbered | this is free and unencumbered software released into the public domain
-wtfpl | what the fuck | everyone is permitted to copy and distribute verbatim or modified copies .{1,80} you just do what the fuck you want to
-cc | creativecommons | creativecommons org licen[cs]es
-cc0 | creativecommons | creativecommons org publicdomain zero
-gpl | gnu org | (www )?gnu org licenses( gpl)?
-mit | opensource org | opensource org licenses mit
-bsd | opensource org | opensource org licenses bsd
-proprietary | all rights | all rights reserved
-proprietary | confidential | proprietary and confidential
-other | licensed under | licensed under
-other | license | see (the )?(file )?license( txt| md)? for details
+mit | permission is hereby granted free of charge to any person obtaining a copy
+mit | the above copyright notice and this permission notice shall be included in all copies or substantial portions
+isc | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
+bsd | redistribution and use in source and binary forms with or without modification are permitted
+bsd-3-clause | neither the name of .{1,80} nor the names of its contributors may be used to endorse or promote products
+bsd-4-clause | all advertising materials mentioning features or use of this software must display
+apache | you may obtain a copy of the license at (http |https )?www apache org licenses license 2 0
+apache | distributed under the license is distributed on an as is basis
+gpl | you can redistribute it and or modify it under the terms of the gnu general public license
+lgpl | you can redistribute it and or modify it under the terms of the gnu (lesser|library) general public license
+agpl | you can redistribute it and or modify it under the terms of the gnu affero general public license
+mpl-2.0 | if a copy of the mpl was not distributed with this file
+boost | boost software license version 1 0 august 17th 2003
+zlib | altered source versions must be plainly marked as such
+unlicense | this is free and unencumbered software released into the public domain
+wtfpl | everyone is permitted to copy and distribute verbatim or modified copies .{1,80} you just do what the fuck you want to
+cc | creativecommons org licen[cs]es
+cc0 | creativecommons org publicdomain zero
+gpl | (www )?gnu org licenses( gpl)?
+mit | opensource org licenses mit
+bsd | opensource org licenses bsd
+proprietary | all rights reserved
+proprietary | proprietary and confidential
+other | licensed under
+other | see (the )?(file )?license( txt| md)? for details
 """
 
+VERBS = ("licensed", "released", "distributed", "available", "published", "provided", "covered")
+LINKS = ("under", "by", "as")
+#: Words that many texts have: one is an anchor only where a phrase has no other.
+COMMON = frozenset(
+    "license licence licensed public software open version source general new original free use mit license s for the and of in to or as is on an any all not no do what you can may must "
+    "this that with without from be are it copy copies style data system common public domain notice terms names name two three four zero under distributed modified simplified style "
+    "licen clause identifier good mark file university business august document database library community reference condition server".split()
+)
+
 
 def _lines(table: str) -> list[list[str]]:
     return [[x.strip() for x in re.split(r" \|(?: |$)", line)] for line in table.strip().splitlines()]
 
 
-def _opening(pattern: str) -> str:
-    """The plain characters that every match of a pattern without top-level alternatives starts with."""
-    plain = re.match(r"[^?(\[\\]*", pattern)[0]
-    return plain[:-1] if pattern[len(plain) :].startswith("?") else plain
+def _runs(pattern: str) -> list[str]:
+    """The plain runs of characters that every match of a pattern holds; one starts with a blank where it starts a word."""
+    groups = lambda m: "\0 " if all(x.endswith(" ") for x in m[1].split("|")) else "\0"
+    before = None
+    while before != pattern:
+        before, pattern = pattern, re.sub(r"\(([^()]*)\)\??", groups, pattern)
+    pattern = re.sub(r"(?:\[[^\]]*\]|\\.|[^\0])(?:[?*+]|\{[^}]*\})|\[[^\]]*\]|\\.", "\0", pattern)
+    return re.sub("\0+", "\0", f" {pattern}").split("\0")
+
+
+def keyword(pattern: str) -> str:
+    return max(_runs(pattern), key=len)
+
+
+def anchors(pattern: str) -> tuple[str, ...]:
+    """Beginnings of words of which every match of a pattern has one."""
+    words = [w for run in _runs(pattern) for w in run.split(" ")[1:] if w]
+    if words:
+        return (max(words, key=lambda w: (w not in COMMON, len(w))),)
+    choice = re.search(r"\(([^()]*)\)(?!\?)", pattern)
+    if not choice:
+        raise ValueError(f"nothing is in every match of {pattern!r}")
+    return tuple(dict.fromkeys(a for x in choice[1].split("|") for a in anchors(x)))
+
+
+def _rule(label: str, level: int, pattern: str) -> Rule:
+    return Rule(label, level, pattern, anchors(pattern), keyword(pattern))
 
 
 def rules() -> list[Rule]:
     """All rules in order of priority: statements, then names and addresses, then hints."""
-    out = [Rule(label, 2, f" {phrase}", phrase) for phrase, label in BASE]
-    for label, keyword, name, others in _lines(NAMES):
+    out = [_rule(label, 2, phrase) for phrase, label in BASE]
+    for label, name, others in _lines(NAMES):
         words = label.replace("-", " ").replace(".", " ")
-        own = name if "license" in name or "licence" in name else f"{name}( license)?"
-        out.append(Rule(label, 1, " spdx license identifier", f"spdx license identifier {words}( 0| \\d)*( or later| only)?"))
-        out.append(Rule(label, 1, f" {keyword}", f"(licensed|released|distributed|available|published|provided|covered) (under|by) (the )?(terms of )?(the )?{own}( version \\d+( \\d+)?| \\d 0)?"))
+        spellings = [name, *filter(None, others.split(", "))]
+        out.append(_rule(label, 1, f"spdx license identifier {words}( 0| \\d)*( or later| only)?"))
+        either = "|".join(dict.fromkeys([*sorted(spellings, key=len, reverse=True), words]))
+        under = f"({'|'.join(VERBS)}) ({'|'.join(LINKS)}) (the )?(terms of )?(the )?(gnu )?({either})( license| licence)?( version \\d+( \\d+)?| \\d 0)?"
+        out.append(Rule(label, 1, under, tuple(dict.fromkeys(a for x in [*spellings, words] for a in anchors(x))), "", True))
         # A single word is a name only with the word license behind it.
-        out.append(Rule(label, 2, f" {keyword}", f"(the )?{own}" if " " in name or "license" in name else f"(the )?{name} licen[cs]e"))
-        for other in filter(None, others.split(", ")):
-            out.append(Rule(label, 2 if " " in other else 3, f" {_opening(other)}", other))
-    out += [Rule(label, 3 if label in ("other", "proprietary") else 1, f" {keyword}", pattern) for label, keyword, pattern in _lines(PASSAGES)]
+        own = name if "license" in name or "licence" in name else f"{name}( license)?"
+        out.append(_rule(label, 2, f"(the )?{own}" if " " in name or "license" in name else f"(the )?{name} licen[cs]e"))
+        for other in spellings[1:]:
+            out.append(_rule(label, 2 if " " in other else 3, other))
+    out += [_rule(label, 3 if label in ("other", "proprietary") else 1, pattern) for label, pattern in _lines(PASSAGES)]
     return sorted(dict.fromkeys(out), key=lambda r: r.level)
 
 
+def trie(words: list[str]) -> str:
+    """An expression for the words, none of which begins another, that shares their beginnings."""
+    by_first: dict[str, list[str]] = {}
+    for w in words:
+        by_first.setdefault(w[0], []).append(w[1:])
+    parts = [re.escape(c) + (rest[0] if len(rest) == 1 else trie(rest)) for c, rest in sorted(by_first.items())]
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+
+class Gate(NamedTuple):
+    #: Finds the anchors of a text, and where a statement begins.
+    pattern: str
+    #: Numbers of the rules that each find of it brings up.
+    tried: dict[str, list[int]]
+
+
+def gate(listed: list[Rule]) -> Gate:
+    found = sorted({a for r in listed for a in r.anchors})
+    heads = [a for a in found if not any(a != b and a.startswith(b) for b in found)]
+    by_head = {h: [i for i, r in enumerate(listed) if any(a.startswith(h) for a in r.anchors)] for h in heads}
+    stated = [f"{v} {x}" for v in VERBS for x in LINKS]
+    tried = {s: sorted({i for w in s.split(" ") for h in heads if w.startswith(h) for i in by_head[h]}) for s in stated}
+    return Gate(f" ((?:{'|'.join(VERBS)}) (?:{'|'.join(LINKS)})(?= )|{trie(heads)})", {**tried, **by_head})
+
+
 #: What a detection of each level adds to the score: the chance, by judgement, that a license is meant.
 TRUST = {1: 0.95, 2: 0.8, 3: 0.4}
+SPANS = "array<struct<start:int,stop:int,level:int,label:string>>"
 
 
 def _blanks(x: Column) -> Column:
-    return F.length(x) - F.length(F.translate(x, " ", ""))
+    return F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit("")))
 
 
 def _labels_of(detections: str, level: int) -> Column:
@@ -179,27 +243,24 @@ def _labels_of(detections: str, level: int) -> Column:
 
 
 def _spans(norm: Column, rule: Column) -> Column:
-    """Word spans of a rule: cut the text in front of each match, and count the words of the pieces."""
-    pieces = F.split(norm, F.concat(F.lit("(?= (?:"), rule["pattern"], F.lit(")(?: |$))")), -1)
-    empty = F.array().cast("array<struct<start:int,stop:int,level:int,label:string>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("found"))
+    """Word spans of a rule's matches, from the left, none overlapping another: mark them, and count the words between the marks."""
+    marked = F.regexp_replace(norm, F.concat(F.lit("(?s) (?:"), rule["pattern"], F.lit(r")(?= |\z)")), F.lit("\1$0\2"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("found"))
 
     def step(acc: Column, piece: Column) -> Column:
-        hit = F.regexp_substr(piece, F.concat(F.lit("^ (?:"), rule["pattern"], F.lit(")(?= |$)")))
-        words = F.greatest(F.coalesce(_blanks(hit), F.lit(1)), F.lit(1))
+        words = _blanks(F.substring_index(piece, "\2", 1))
         span = F.struct(acc["at"].alias("start"), (acc["at"] + words).alias("stop"), rule["level"].alias("level"), rule["label"].alias("label"))
         # The first piece stands before the first match.
-        found = F.when(F.startswith(piece, F.lit(" ")), F.array_append(acc["found"], span)).otherwise(acc["found"])
+        found = F.when(F.contains(piece, F.lit("\2")), F.array_append(acc["found"], span)).otherwise(acc["found"])
         return F.struct((acc["at"] + _blanks(piece)).cast("int").alias("at"), found.alias("found"))
 
-    return F.aggregate(pieces, start, step, lambda acc: acc["found"])
+    return F.aggregate(F.split(marked, "\1", -1), start, step, lambda acc: acc["found"])
 
 
 def _survivors(spans: Column) -> Column:
     """Spans that lie in no other span of equal or higher priority: one sweep by start, longest first."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["stop"]).alias("stop"), s["level"].alias("level"), s["label"].alias("label"))))
-    none = F.array().cast("array<struct<start:int,stop:int,level:int,label:string>>")
-    start = F.struct(F.lit(-1).alias("e1"), F.lit(-1).alias("e2"), F.lit(-1).alias("e3"), none.alias("kept"))
+    start = F.struct(F.lit(-1).alias("e1"), F.lit(-1).alias("e2"), F.lit(-1).alias("e3"), F.array().cast(SPANS).alias("kept"))
 
     def step(acc: Column, s: Column) -> Column:
         stop = -s["stop"]
@@ -214,35 +275,48 @@ def _survivors(spans: Column) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections.
 
-    Every text goes on to the rules, and each rule is tried only if its keyword,
-    which all its matches hold, is there.  A detection that lies inside another
+    One expression over the whole text finds the anchors in it; only rules of
+    these are tried, and of those only the ones whose keyword it holds.  Anchors
+    and keywords are derived from the patterns, so that every match has them.  A
+    detection (words ``start`` to ``stop``, exclusive) that lies inside another
     of equal or higher priority is suppressed.  All is row-local: no shuffle.
 
     ``n_base``, ``first_word`` and ``last_word`` tell of the base phrases, which
     nothing suppresses; their labels are always among ``labels``.  The score is
     1 less the product of the chances that each detected label is none.  Null
-    text counts as empty: no words, no labels, score 0, null places.  Repeated
-    rows and ids are answered each; an empty table gives no rows; other columns
-    are not read.
+    text counts as empty: no words, no labels, score 0, null places.  A very
+    long text is scanned whole, in the memory of its own row.  Repeated rows and
+    ids are answered each; an empty table gives no rows; other columns are not
+    read, whatever their names.
     """
-    by_keyword: dict[str, list[dict]] = {}
-    for r in rules():
-        by_keyword.setdefault(r.keyword, []).append({"label": r.label, "level": r.level, "pattern": r.pattern})
-    listed = json.dumps([{"keyword": k, "rules": v} for k, v in by_keyword.items()])
-    all_rules = F.from_json(F.lit(listed), "array<struct<keyword:string,rules:array<struct<label:string,level:int,pattern:string>>>>")
-    text = text_or_empty()
-    rows = docs.select("doc_id", text.alias("text"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"))
-    words = F.trim(F.regexp_replace(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), OTHER, " "))
+    listed = rules()
+    way = gate(listed)
+    all_rules = F.from_json(F.lit(json.dumps([r._asdict() for r in listed])), "array<struct<label:string,level:int,pattern:string,keyword:string,stated:boolean>>")
+    tried = F.from_json(F.lit(json.dumps(way.tried)), "map<string,array<int>>")
+    # Lower case makes no new word and no new ASCII letter but of the Kelvin sign.
+    lower = F.lower(F.replace(text_or_empty(), F.lit("\u212a"), F.lit("\u03ba")))
+    words = F.trim(F.regexp_replace(lower, OTHER, " "))
     # The stop in front makes room for a match at the first word.
-    rows = rows.withColumn("norm", F.concat(F.lit(". "), words))
-    base = F.lit("(?= (?:" + "|".join(p for p, _ in BASE) + ")(?: |$))")
-    pieces = F.split("norm", base, -1)
-    rows = rows.select("doc_id", "n_words", "norm", pieces.alias("pieces"))
-    tried = F.flatten(F.transform(F.filter(all_rules, lambda k: F.contains(F.col("norm"), k["keyword"])), lambda k: k["rules"]))
-    rows = rows.withColumn("detections", _survivors(F.flatten(F.transform(tried, lambda r: _spans(F.col("norm"), r)))))
+    rows = docs.select("doc_id", F.concat(F.lit(". "), words).alias("norm"))
+    norm = F.col("norm")
+    any_base = F.lit(False)
+    for p, _ in BASE:
+        any_base = any_base | F.contains(norm, F.lit(f" {p}"))
+    base = r"(?= (?:" + "|".join(p for p, _ in BASE) + r")(?: |\z))"
+    rows = rows.select(
+        "doc_id",
+        "norm",
+        F.when(norm == ". ", 0).otherwise(_blanks(norm)).cast("long").alias("n_words"),
+        F.when(any_base, F.split(norm, base, -1)).otherwise(F.array(norm)).alias("pieces"),
+        F.array_distinct(F.regexp_extract_all(norm, F.lit(way.pattern), F.lit(1))).alias("hits"),
+    )
+    numbers = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.element_at(tried, h))))
+    stated = F.exists("hits", lambda h: F.contains(h, F.lit(" ")))
+    chosen = F.filter(F.transform(numbers, lambda i: F.get(all_rules, i)), lambda r: (~r["stated"] | stated) & F.contains(norm, r["keyword"]))
+    rows = rows.withColumn("detections", _survivors(F.flatten(F.transform(chosen, lambda r: _spans(norm, r)))))
     n_base = F.size("pieces") - 1
     found = n_base > 0
-    base_labels = F.array_compact(F.array(*[F.when(F.col("norm").rlike(f" {p}(?: |$)"), F.lit(label)) for p, label in BASE]))
+    base_labels = F.array_compact(F.array(*[F.when(F.contains(norm, F.lit(f" {p}")) & norm.rlike(rf" {p}(?: |\z)"), F.lit(label)) for p, label in BASE]))
     rows = rows.withColumn("base", F.coalesce(base_labels, F.array().cast("array<string>")))
     labels = F.array_sort(F.array_distinct(F.concat("base", F.transform("detections", lambda d: d["label"]))))
     doubt = F.lit(1.0)
