@@ -53,7 +53,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return languages(table(spark, sf_dir, "documents"))
+    return languages(table(spark, sf_dir, "documents")).drop("spans")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
