@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch.  Documents can be long, so batches are short.
+#: Rows that a Python task takes up at once.  Documents can be long, so they are few.
 ARROW_ROWS = 256
 #: Characters that one vectorised step of a Python task holds at most (a single longer text goes alone).
 STEP_CHARS = 1_000_000
@@ -21,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder that all executors see: ``spark.checkpoint.dir``; a temporary one only where it is unset and all run in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='stepwise-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -45,8 +48,35 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def short_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+def small(df: DataFrame, most: int) -> DataFrame:
+    """``df`` (staged), to be broadcast if it has ``most`` rows or fewer, and else joined as Spark sees fit."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+Mapper = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def in_short_batches(f: Mapper) -> Mapper:
+    """``f`` for ``mapInArrow``, on slices of ``ARROW_ROWS`` rows (Spark bounds a batch by its bytes, whatever the session's rows)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return f(batch.slice(at, ARROW_ROWS) for batch in batches for at in range(0, batch.num_rows, ARROW_ROWS))
+
+    return run
+
+
+def packed_rows(docs: DataFrame, **columns: Column) -> DataFrame:
+    """``docs`` with all its columns in one, ``r``, so that none clashes with ``columns``; ``unpacked`` brings them back."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"), *[c.alias(k) for k, c in columns.items()])
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    return rows.select("r.*")
+
+
+def key_parts(doc_id: str = "doc_id") -> dict[str, Column]:
+    """A doc_id as two columns that are never null, so that joins and windows by them share one shuffle."""
+    return {"no_id": F.col(doc_id).isNull(), "id": F.coalesce(F.col(doc_id).cast("string"), F.lit(""))}
 
 
 def text_or_empty(col: str | Column = "text") -> Column:
@@ -58,16 +88,26 @@ def fold(doc_id: str, parts: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(parts))
 
 
-def bounded_sample(rows: DataFrame, key: Column, limit: int, known: int | None = None) -> DataFrame:
-    """The rows of the ``limit`` smallest hashes ``key`` (long), or all if they are fewer.
+def smallest(rows: DataFrame, name: str, key: Column, limit: int) -> DataFrame:
+    """The ``limit`` values of column ``name`` with the smallest hashes ``key`` (long) of them, or all if they are fewer.
 
-    A cut by the number of rows (``known``, or counted) lets about twice as many
-    through, so that what meets for the last choice doesn't grow with the input.
+    A cut by the number of distinct values lets about twice as many through, so
+    that what meets for the last choice doesn't grow with the input, however
+    often a value is repeated.
     """
-    share = (2 * limit + 1000) / max(1, rows.count() if known is None else known)
+    n = rows.agg(F.approx_count_distinct(name).alias("n")).first()["n"]
+    share = (2 * limit + 1000) / max(1, n)
     if share < 1:
         rows = rows.where(key < F.lit(-(1 << 63) + int(share * (1 << 64))))
-    return rows.withColumn("_key", key).orderBy("_key").limit(limit).drop("_key")
+    return rows.distinct().withColumn("key", key).orderBy("key").limit(limit).drop("key")
+
+
+def fresh(name: str, df: DataFrame) -> str:
+    """``name``, with as many underscores in front as keep it off the columns of ``df`` in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def in_steps(texts: Iterable[str | None], limit: int = STEP_CHARS) -> Iterator[list[str]]:
@@ -85,15 +125,23 @@ def in_steps(texts: Iterable[str | None], limit: int = STEP_CHARS) -> Iterator[l
         yield group
 
 
-# A set of 64-bit hashes as a bit map of fixed size: a hash that is in the set
-# is always found; others are found with a small chance, which costs movement
-# and never changes a result.
+# A set of 64-bit hashes as a bit map: a hash that is in the set is always
+# found; others are found with a chance of about 1 in 8 to 1 in 16, which costs
+# movement and never changes a result.  A map is sized by the number of hashes;
+# beyond MAP_WORDS there is none, and all rows count as found.
 
 FILTER_WORD_BITS = 6
+MAP_WORDS = 1 << 21
 
 
-def bitmap(df: DataFrame, column: str, words: int = 1 << 18) -> np.ndarray:
-    """The hashes of ``column`` as ``words`` 64-bit words (2 MB by default, whatever the rows)."""
+def bitmap(df: DataFrame, column: str) -> np.ndarray | None:
+    """The hashes of ``column`` as 64-bit words, 8 to 16 bits a row (16 MB at most); None if that needs more.
+
+    The rows of ``df`` are counted first, so it should be a staged table.
+    """
+    words = 1 << max(10, (df.count() * 8 >> FILTER_WORD_BITS).bit_length())
+    if words > MAP_WORDS:
+        return None
     slot = F.pmod(F.col(column), F.lit(words << FILTER_WORD_BITS))
     held = (
         df.select(
@@ -109,7 +157,9 @@ def bitmap(df: DataFrame, column: str, words: int = 1 << 18) -> np.ndarray:
     return out
 
 
-def in_bitmap(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+def in_bitmap(words: np.ndarray | None, hashes: np.ndarray) -> np.ndarray:
     """Which of the signed 64-bit ``hashes`` the bit map may hold."""
+    if words is None:
+        return np.ones(len(hashes), bool)
     slot = np.mod(hashes, len(words) << FILTER_WORD_BITS)
     return (words[slot >> FILTER_WORD_BITS] >> (slot & 63).astype(np.uint64)) & np.uint64(1) != 0
