@@ -7,12 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stage, text_or_empty
+from .shared import key_parts, packed_rows, stage, text_or_empty, unpacked
 
-#: A chunk ends behind a place that its own neighbourhood alone decides (letters
-#: around a white space), after 64 characters at least and 4096 at most, so an
-#: edit moves only the boundaries beside it.
-CHUNK = r"(?s).{64,4096}?(?:[a-m][n-z][a-m][n-z]\s[a-m][n-z]|\z)|.{1,4096}"
+#: Bytes that decide a chunk's end, and bytes of a chunk, at least and at most.
+WINDOW, LEAST, MOST = 10, 64, 4096
+
+
+def _class(place: int) -> str:
+    """What passes at a place of the window: half of ASCII, a third of the bytes that end a character, all other bytes of one."""
+    mixed = lambda b: ((b + 1) * (0x9E3779B1 + 2 * place * 0x85EBCA6B) & 0xFFFFFFFF) >> 13
+    some = "".join(f"\\x{b:02x}" for b in range(0xC0) if mixed(b) % (2 if b < 0x80 else 3) == 0)
+    return rf"(?:[{some}]|[\xc0-\xff]|[\x80-\xbf](?=[\x80-\xbf]))"
+
+
+#: A chunk of a text's bytes (one character each) ends behind a window whose
+#: bytes are all in their classes, whatever the script; about one place in 1000
+#: is (in 30 to 400 beyond ASCII), so an edit moves only the boundaries beside it.
+CHUNK = rf"(?s).{{{LEAST},{MOST}}}?(?:(?<={''.join(map(_class, range(WINDOW)))})|\z)|.{{1,{MOST}}}"
 
 
 def short_id(chunk: Column) -> Column:
@@ -22,12 +33,15 @@ def short_id(chunk: Column) -> Column:
 def recipes(docs: DataFrame, chunk_id: Callable[[Column], Column] = short_id) -> DataFrame:
     """(doc_id, row, text_sha256, ids, alts): each text as the ordered identifiers of its chunks.
 
-    A chunk's identifier is a 64-bit hash, verified over the whole table: where
-    chunks of different SHA-256 share a hash, each of them gets a number of its
-    own (``alts``, by position; null for documents without such a chunk).
+    A chunk's identifier is a 64-bit hash, verified over the whole table by 128
+    bits of its SHA-256: where chunks that differ in these share a hash, each of
+    them gets a number of its own (``alts``, by position; null for documents
+    without such a chunk).
     """
     text = text_or_empty()
-    cut = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.sha2(text, 256).alias("text_sha256"), F.regexp_extract_all(text, F.lit(CHUNK), F.lit(0)).alias("chunks"))
+    # Bytes as characters: expressions see single bytes.
+    chars = F.decode(text.cast("binary"), "ISO-8859-1")
+    cut = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.sha2(text, 256).alias("text_sha256"), F.regexp_extract_all(chars, F.lit(CHUNK), F.lit(0)).alias("chunks"))
     cut = cut.select("doc_id", "row", "text_sha256", F.transform("chunks", chunk_id).alias("ids"), F.transform("chunks", lambda c: F.unhex(F.substring(F.sha2(c, 256), 1, 32))).alias("digests"))
     cut = stage(cut, "recipes")
     chunks = cut.select("row", F.explode(F.arrays_zip("ids", "digests")).alias("c")).select("row", F.col("c.ids").alias("id"), F.col("c.digests").alias("digest"))
@@ -47,29 +61,37 @@ def recipes(docs: DataFrame, chunk_id: Callable[[Column], Column] = short_id) ->
 def exact_groups(docs: DataFrame, chunk_id: Callable[[Column], Column] = short_id) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
 
-    Documents are equal when their ordered identifier lists are; the texts'
-    SHA-256 is compared with them as the exact check.  Only hashes move, never a
-    text.  Groups are counted before they are shuffled and joined back to the
-    rows, where adaptive execution splits a group that holds many rows.
+    Documents are equal when their ordered identifier lists are; of each group
+    the texts' SHA-256 is asserted to be one.  Only identifiers and hashes move,
+    never a text.  Groups are counted before they are shuffled and joined back
+    to the rows, where adaptive execution splits a group that holds many rows.
 
-    Null text counts as empty, and empty texts equal one another.  The largest
-    doc_id stays; of rows that repeat it, one stays.  A null doc_id is smaller
-    than any other.  An empty table gives no rows; other columns are not read.
+    Null text counts as empty, and empty texts equal one another.  A very long
+    text is cut like any other; its list has one identifier a kilobyte, about.
+    The largest doc_id stays; of rows that repeat it, one stays.  A null doc_id
+    is smaller than any other.  An empty table gives no rows; other columns are
+    not read, whatever their names.
     """
     listed = stage(recipes(docs, chunk_id), "lists")
-    key = F.xxhash64("ids", "alts", "text_sha256")
-    groups = listed.groupBy("ids", "alts", "text_sha256").agg(F.max(F.struct("doc_id", "row")).alias("best"), F.count(F.lit(1)).alias("group_size"))
-    groups = stage(groups.select(key.alias("key"), "text_sha256", F.col("ids").alias("g_ids"), F.col("alts").alias("g_alts"), F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size"), "groups")
-    out = listed.withColumn("key", key).join(groups, ["key", "text_sha256"])
+    key = F.xxhash64("ids", "alts")
+    groups = listed.groupBy("ids", "alts").agg(F.max(F.struct("doc_id", "row")).alias("best"), F.count(F.lit(1)).alias("group_size"), F.min("text_sha256").alias("lo"), F.max("text_sha256").alias("hi"))
+    groups = groups.where(F.assert_true(F.col("lo") == F.col("hi"), "texts that differ have one recipe").isNull())
+    groups = stage(groups.select(key.alias("key"), F.col("ids").alias("g_ids"), F.col("alts").alias("g_alts"), F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size"), "groups")
+    out = listed.withColumn("key", key).join(groups, "key")
     out = out.where(F.col("ids").eqNullSafe(F.col("g_ids")) & F.col("alts").eqNullSafe(F.col("g_alts")))
     return out.select("doc_id", "keep_id", F.col("group_size").cast("long"), (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of equal texts, all columns unchanged."""
-    names = docs.columns
-    keep = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    rows = docs.withColumn("_text_sha", F.sha2(text_or_empty(), 256))
-    rows = rows.join(keep, rows["doc_id"].eqNullSafe(keep["_id"]) & (rows["_text_sha"] == keep["_sha"]), "left_semi")
-    once = Window.partitionBy("doc_id", "_text_sha").orderBy("_text_sha")
-    return rows.withColumn("_n", F.row_number().over(once)).where("_n = 1").select(*[F.col(f"`{c}`") for c in names])
+    """``docs`` with one row of each group of equal texts, all columns unchanged, whatever their names.
+
+    That of the largest doc_id stays (a null one only without another), and one
+    row of those that repeat it; null and empty texts are one group; an empty
+    table gives no rows.  A row and its text move once: rows that repeat another
+    whole are cut before, and the join that follows needs no other shuffle.
+    """
+    keep = exact_groups(docs).where("kept").select(*[c.alias(k) for k, c in key_parts().items()], F.col("text_sha256").alias("sha"))
+    rows = packed_rows(docs, sha=F.sha2(text_or_empty(), 256), **key_parts())
+    once = F.row_number().over(Window.partitionBy("no_id", "id", "sha").orderBy("sha"))
+    rows = rows.withColumn("turn", once).where("turn = 1").drop("turn")
+    return unpacked(rows.join(keep, ["no_id", "id", "sha"], "left_semi"))

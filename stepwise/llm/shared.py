@@ -126,22 +126,24 @@ def in_steps(texts: Iterable[str | None], limit: int = STEP_CHARS) -> Iterator[l
 
 
 # A set of 64-bit hashes as a bit map: a hash that is in the set is always
-# found; others are found with a chance of about 1 in 8 to 1 in 16, which costs
-# movement and never changes a result.  A map is sized by the number of hashes;
-# beyond MAP_WORDS there is none, and all rows count as found.
+# found; others are found with a chance of 1 in 32 or less (1 in 8 for the
+# largest), which costs movement and never changes a result.  A map is sized by
+# the number of hashes, between LEAST_WORDS and MAP_WORDS; where the largest one
+# has fewer than 8 bits a hash there is none, and all rows count as found.
 
 FILTER_WORD_BITS = 6
-MAP_WORDS = 1 << 21
+LEAST_WORDS, MAP_WORDS = 1 << 18, 1 << 21
 
 
 def bitmap(df: DataFrame, column: str) -> np.ndarray | None:
-    """The hashes of ``column`` as 64-bit words, 8 to 16 bits a row (16 MB at most); None if that needs more.
+    """The hashes of ``column`` as 64-bit words (2 to 16 MB), 32 bits a row or more, or at least 8 of the largest map; else None.
 
     The rows of ``df`` are counted first, so it should be a staged table.
     """
-    words = 1 << max(10, (df.count() * 8 >> FILTER_WORD_BITS).bit_length())
-    if words > MAP_WORDS:
+    n = df.count()
+    if n * 8 > MAP_WORDS << FILTER_WORD_BITS:
         return None
+    words = min(MAP_WORDS, max(LEAST_WORDS, 1 << (n * 32 >> FILTER_WORD_BITS).bit_length()))
     slot = F.pmod(F.col(column), F.lit(words << FILTER_WORD_BITS))
     held = (
         df.select(

@@ -9,9 +9,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import connected_components
-from .shared import short_batches, stage, text_or_empty
+from .shared import Mapper, bitmap, in_bitmap, in_short_batches, key_parts, packed_rows, stage, text_or_empty, unpacked
 
 RADIUS = 2
 WORDS = 3
@@ -50,10 +51,9 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, check, fp) of each row; check is a hash of the text, to tell rows of one doc_id apart."""
-    short_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", text_or_empty().alias("text"), F.xxhash64(text_or_empty()).alias("check"))
-    return rows.mapInArrow(_fingerprints, f"doc_id {kind}, check long, fp long")
+    return rows.mapInArrow(in_short_batches(_fingerprints), f"doc_id {kind}, check long, fp long")
 
 
 def ball_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -78,9 +78,11 @@ def near_components(docs: DataFrame) -> DataFrame:
 
     Texts without words share fingerprint zero and are linked like any others.
     A null text counts as empty; a null doc_id takes part and never names a
-    component unless it has no other member; repeated rows stay.  Equal
-    fingerprints are pre-aggregated, so copies cost one row; only the last join
-    meets a hot fingerprint, and adaptive execution splits it.
+    component unless it has no other member; repeated rows stay.  A very long
+    text is hashed whole, in blocks of shingles.  An empty table gives no rows;
+    other columns are not read, whatever their names.  Equal fingerprints are
+    pre-aggregated, so copies cost one row; only the last join meets a hot
+    fingerprint, and adaptive execution splits it.
     """
     prints = stage(fingerprints(docs), "prints")
     distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
@@ -96,13 +98,36 @@ def hex_print(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
 
 
+def _met(sent) -> Mapper:
+    """Add whether a row's ``check`` may be one of the bit map."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = in_bitmap(sent.value, batch.column("check").to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit, pa.bool_())], [*batch.schema.names, "met"])
+
+    return run
+
+
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with the row of the smallest doc_id of each component, all columns unchanged."""
-    names = docs.columns
-    found = stage(near_components(docs), "found")
-    keep = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "check")).alias("best"))
-    keep = keep.select(F.col("best.doc_id").alias("_id"), F.col("best.check").alias("_check"))
-    rows = docs.withColumn("_text_check", F.xxhash64(text_or_empty()))
-    rows = rows.join(keep, rows["doc_id"].eqNullSafe(keep["_id"]) & (rows["_text_check"] == keep["_check"]), "left_semi")
-    once = Window.partitionBy("doc_id", "_text_check").orderBy("_text_check")
-    return rows.withColumn("_n", F.row_number().over(once)).where("_n = 1").select(*[F.col(f"`{c}`") for c in names])
+    """``docs`` with the row of the smallest doc_id of each component, all columns unchanged, whatever their names.
+
+    A null doc_id gives way to any other; of rows that repeat a doc_id and text
+    one stays; null and empty texts are one component; an empty table gives no
+    rows.  Rows alone in their component (a sized bit map of the others' text
+    hashes tells) pass without a shuffle, so the texts that move are those of
+    components of several rows.
+    """
+    spark = docs.sparkSession
+    found = stage(near_components(docs).select("doc_id", "check", "root"), "found")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "check"))
+    groups = stage(found.groupBy("root").agg(best.alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1").select("root", "best"), "groups")
+    of = found.join(groups, "root").groupBy("doc_id", "check").agg(F.max(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "check") == F.col("best")).alias("stays"))
+    of = stage(of.select(*[c.alias(k) for k, c in key_parts().items()], "check", "stays"), "of")
+    sent = spark.sparkContext.broadcast(bitmap(of, "check"))
+    rows = packed_rows(docs, check=F.xxhash64(text_or_empty()), **key_parts())
+    rows = rows.mapInArrow(in_short_batches(_met(sent)), T.StructType([*rows.schema.fields, T.StructField("met", T.BooleanType())]))
+    # Rows that repeat another whole are cut before they move.  What the bit map takes for another has no decision and stays.
+    once = F.row_number().over(Window.partitionBy("no_id", "id", "check").orderBy("check"))
+    some = rows.where("met").withColumn("turn", once).where("turn = 1").drop("turn").join(of, ["no_id", "id", "check"], "left").where("stays or stays is null")
+    return unpacked(rows.where("not met").select("r").unionAll(some.select("r")))
