@@ -42,3 +42,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
         live = stage(live.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
         if live.isEmpty():
             return labels.select("node", F.col("parent").alias("root"))
+
+
+def extended_components(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """``roots`` (node, root: of ``connected_components``) with further ``edges`` (src, dst): only what these join is worked through."""
+    to = lambda c, end: roots.select(F.col("node").alias(c), F.col("root").alias(end))
+    ends = edges.join(to("src", "a"), "src", "left").join(to("dst", "b"), "dst", "left")
+    joined = connected_components(ends.select(F.coalesce("a", "src").alias("src"), F.coalesce("b", "dst").alias("dst")))
+    moved = joined.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    old = roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return stage(old.unionByName(joined.join(roots.select("node"), "node", "left_anti").select("node", "root")), "roots")

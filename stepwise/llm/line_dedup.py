@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import flat
-from .components import connected_components
-from .shared import bitmap, in_bitmap, in_steps, short_batches, stage, text_or_empty
+from .components import connected_components, extended_components
+from .shared import bitmap, in_bitmap, in_short_batches, in_steps, key_parts, packed_rows, stage, text_or_empty, unpacked
 
 #: Characters of a shingle (a shorter line is one shingle), and the least Jaccard similarity of a link.
 SHINGLE = 8
@@ -32,6 +33,8 @@ MULTIPLIERS = _RNG.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint
 FOLDS = _RNG.integers(1, 1 << 63, ROWS, dtype=np.uint64) | np.uint64(1)
 #: Characters whose shingles are hashed at once.
 STEP = 200_000
+#: Lines that a task remembers as seen, about; one that it has forgotten just sends its keys again.
+SEEN = 200_000
 #: Hashed similarities this close to the threshold are computed again from the shingles.
 CLOSE = 0.02
 
@@ -41,8 +44,14 @@ def normal_lines(text: str) -> list[str]:
     return [" ".join(x.split()) for x in text.lower().split("\n")]
 
 
+def line_ids(line: str, bits: int = 64) -> tuple[int, int]:
+    """Two 64-bit hashes of a line: its identifier (of ``bits`` bits), and the check that tells lines of one identifier apart."""
+    own, other = struct.unpack("<qq", xxhash.xxh3_128_digest(line.encode("utf-8", "replace")))
+    return own >> (64 - bits), other
+
+
 def line_id(line: str) -> int:
-    return int.from_bytes(hashlib.blake2b(line.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+    return line_ids(line)[0]
 
 
 def shingles(line: str) -> set[str]:
@@ -86,25 +95,36 @@ def band_keys(lines: list[str]) -> np.ndarray:
     return np.concatenate(done).view(np.int64) if done else np.zeros((0, BANDS), np.int64)
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each line that isn't blank; the band keys come with a line's first place in the batch."""
-    for batch in batches:
-        docs, numbers, ids, new, fresh, seen = [], [], [], [], [], set()
-        for d, text in enumerate(batch.column("text").to_pylist()):
-            for i, line in enumerate(normal_lines(text)):
-                if line:
-                    h = line_id(line)
-                    docs.append(d)
-                    numbers.append(i)
-                    ids.append(h)
-                    new.append(h not in seen)
-                    if new[-1]:
-                        seen.add(h)
-                        fresh.append(line)
-        keys = iter(band_keys(fresh).tolist())
-        bands = [next(keys) if x else None for x in new]
-        at = pa.array(docs, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("row").take(at), batch.column("doc_id").take(at), batch.column("check").take(at), pa.array(numbers, pa.int32()), pa.array(ids, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["row", "doc_id", "check", "line_no", "line", "bands"])
+def _lines(bits: int):
+    """A row for each line that isn't blank; the band keys come with a line's first place in the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            docs, numbers, ids, others, new, fresh = [], [], [], [], [], []
+            if len(seen) > SEEN:
+                seen.clear()
+            for d, text in enumerate(batch.column("text").to_pylist()):
+                for i, line in enumerate(normal_lines(text)):
+                    if line:
+                        h, other = line_ids(line, bits)
+                        docs.append(d)
+                        numbers.append(i)
+                        ids.append(h)
+                        others.append(other)
+                        new.append((h, other) not in seen)
+                        if new[-1]:
+                            seen.add((h, other))
+                            fresh.append(line)
+            keys = iter(band_keys(fresh).tolist())
+            bands = [next(keys) if x else None for x in new]
+            at = pa.array(docs, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row").take(at), batch.column("doc_id").take(at), batch.column("check").take(at), pa.array(numbers, pa.int32()), pa.array(ids, pa.int64()), pa.array(others, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+                ["row", "doc_id", "check", "line_no", "line", "other", "bands"],
+            )
+
+    return in_short_batches(run)
 
 
 def _members(shared):
@@ -121,15 +141,49 @@ def _members(shared):
     return run
 
 
-def _texts(shared):
+def _texts(shared, bits: int):
+    """(line, other, text) of the lines that are sought, once for each task, about."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             lines = list({line for text in batch.column("text").to_pylist() for line in normal_lines(text) if line})
-            ids = np.array([line_id(x) for x in lines], np.int64)
-            hit = np.flatnonzero(in_bitmap(shared.value, ids)) if lines else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[hit], pa.int64()), pa.array([lines[i] for i in hit], pa.string())], ["line", "text"])
+            ids = [line_ids(x, bits) for x in lines]
+            hit = np.flatnonzero(in_bitmap(shared.value, np.array([i for i, _ in ids], np.int64))).tolist()
+            if len(seen) > SEEN:
+                seen.clear()
+            new = [i for i in hit if ids[i] not in seen]
+            seen.update(ids[i] for i in new)
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i][0] for i in new], pa.int64()), pa.array([ids[i][1] for i in new], pa.int64()), pa.array([lines[i] for i in new], pa.string())], ["line", "other", "text"])
+
+    return in_short_batches(run)
 
-    return run
+
+def own_ids(lines: DataFrame) -> DataFrame | None:
+    """(line, other, own): new identifiers of lines whose identifier another line has too; None where there are none.
+
+    ``lines`` (line, other) tells each line of the table by 128 bits.  New
+    identifiers are hashes of both halves; they are tried until none is taken.
+    """
+    given = lines.select("line", "other").distinct()
+    clash = lines.groupBy("line").agg(F.min("other").alias("lo"), F.max("other").alias("hi")).where("lo <> hi").select("line")
+    clash = stage(clash, "clash")
+    if clash.isEmpty():
+        return None
+    doubled = stage(given.join(clash, "line", "left_semi"), "doubled")
+    for salt in range(16):
+        own = doubled.withColumn("own", F.xxhash64(F.lit(salt), "line", "other"))
+        taken = own.select("own").unionAll(given.select(F.col("line").alias("own"))).groupBy("own").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        if own.join(taken, "own", "left_semi").isEmpty():
+            return stage(own, "own")
+    raise ValueError("no free identifiers found")
+
+
+def with_own_ids(rows: DataFrame, own: DataFrame | None) -> DataFrame:
+    """``rows`` (line, other, …) with ``line`` unique, and without ``other``."""
+    if own is None:
+        return rows.drop("other")
+    return rows.join(own, ["line", "other"], "left").withColumn("line", F.coalesce("own", "line")).drop("own", "other")
 
 
 def _pair_keys(pair: np.ndarray, text: np.ndarray, sets: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
@@ -202,8 +256,13 @@ class Labels:
         self.of = np.array([self.find(i) for i in range(len(self.parent))], np.int64)[self.of]
 
 
-def prefixes(text: list[str], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, shingle) of each text's prefix, and the size of each text's set.
+def distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])[: len(x)]]
+
+
+def prefixes(text: list[str], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, shingle, place in its set) of each text's prefix, and the size of each text's set.
 
     Of a set of n shingles, rarest first, two that reach the threshold share one
     among their first n - ceil(threshold * n) + 1.
@@ -214,17 +273,46 @@ def prefixes(text: list[str], threshold: float) -> tuple[np.ndarray, np.ndarray,
     rank = np.empty(len(times), np.int64)
     rank[np.argsort(times, kind="stable")] = np.arange(len(times))
     owner = np.repeat(np.arange(len(number)), n)
-    held = np.unique((owner << 32) | rank[token])
+    held = distinct((owner << 32) | rank[token])
     owner, rank = held >> 32, held & 0xFFFFFFFF
     size = np.bincount(owner, minlength=len(number))
     place = np.arange(len(held)) - (np.cumsum(size) - size)[owner]
     own = place < (size - np.ceil(threshold * size - 1e-9) + 1)[owner]
-    owner, rank = owner[own], rank[own]
+    owner, rank, place = owner[own], rank[own], place[own]
     n = np.bincount(owner, minlength=len(number))
     row = np.array([number[x] for x in text], np.int64)
     m = n[row]
     places = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m - (np.cumsum(n) - n)[row], m)
-    return np.repeat(np.arange(len(text)), m), rank[places], size[row]
+    return np.repeat(np.arange(len(text)), m), rank[places], place[places], size[row]
+
+
+def meetings(group: np.ndarray, main: np.ndarray, row: np.ndarray, token: np.ndarray, place: np.ndarray, size: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(a, b): rows of one group that share a shingle early enough to reach the threshold, some STEP_PAIRS at a time.
+
+    The smaller set b (or an equal one) shows only the first n - ceil(least
+    overlap) + 1 of its shingles, and what both have from the shared one on must
+    suffice for the least overlap.  Two rows that are ``main`` never meet.
+    """
+    share = threshold / (1 + threshold)
+    order = np.lexsort((row, size[row], token, group[row]))
+    row, token, place = row[order], token[order], place[order]
+    new = np.append(True, (token[1:] != token[:-1]) | (group[row][1:] != group[row][:-1]))[: len(row)]
+    first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(row) else row
+    shown = place < size[row] - np.ceil(2 * share * size[row] - 1e-9) + 1
+    left = size[row] - place
+    for asks, holds in ((np.ones(len(row), bool), shown & ~main[row]), (~main[row], shown & main[row])):
+        asks, holds = np.flatnonzero(asks), np.flatnonzero(holds)
+        low, high = np.searchsorted(holds, first[asks]), np.searchsorted(holds, asks)
+        asks, low, count = asks[high > low], low[high > low], (high - low)[high > low]
+        seen, end = 0, np.cumsum(count)
+        while seen < len(asks):
+            to = max(seen + 1, int(np.searchsorted(end, (end[seen - 1] if seen else 0) + STEP_PAIRS, side="right")))
+            c = count[seen:to]
+            a = np.repeat(asks[seen:to], c)
+            b = holds[np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c - low[seen:to], c)]
+            seen = to
+            fit = np.minimum(left[a], left[b]) >= share * (size[row[a]] + size[row[b]]) - 1e-9
+            yield row[a[fit]], row[b[fit]]
 
 
 def block_links(group: np.ndarray, part: np.ndarray, whole: np.ndarray, main: np.ndarray, root: np.ndarray, text: list[str], threshold: float) -> list[tuple[int, int]]:
@@ -232,22 +320,11 @@ def block_links(group: np.ndarray, part: np.ndarray, whole: np.ndarray, main: np
 
     Rows that are ``main`` have their key's commonest root, so two of them are never compared.
     """
-    row, token, size = prefixes(text, threshold)
-    order = np.lexsort((~main[row], token, group[row]))
-    row, token = row[order], token[order]
-    new = np.append(True, (token[1:] != token[:-1]) | (group[row][1:] != group[row][:-1]))
-    first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    count = np.where(main[row], 0, np.arange(len(row)) - first)
+    row, token, place, size = prefixes(text, threshold)
     labels, length, out = Labels(root), np.array([len(x) for x in text]), []
-    seen, end = 0, np.cumsum(count)
-    while seen < len(row):
-        to = max(seen + 1, int(np.searchsorted(end, (end[seen - 1] if seen else 0) + STEP_PAIRS, side="right")))
-        c = count[seen:to]
-        a = np.repeat(row[seen:to], c)
-        b = row[np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c - first[seen:to], c)]
-        seen = to
-        fit = (labels.of[a] != labels.of[b]) & (whole[a] | (part[a] != part[b])) & (np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b]) - 1e-9)
-        pairs = np.unique(a[fit] * len(text) + b[fit])
+    for a, b in meetings(group, main, row, token, place, size, threshold):
+        fit = (labels.of[a] != labels.of[b]) & (whole[a] | (part[a] != part[b]))
+        pairs = distinct(a[fit] * len(text) + b[fit])
         a, b = pairs // len(text), pairs % len(text)
         while len(a):
             n = max(1, int(np.searchsorted(np.cumsum(length[a] + length[b]), STEP, side="right")))
@@ -334,8 +411,8 @@ def candidates(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = lines.sparkSession
     fresh = lines.where("bands is not null").select("line", "bands")
     counts = fresh.select("line", F.explode("bands").alias("key")).groupBy("key").agg(F.min("line").alias("least"), F.max("line").alias("most"))
-    sent = spark.sparkContext.broadcast(bitmap(counts.where("least <> most"), "key"))
-    members = fresh.mapInArrow(_members(sent), "key long, line long, near long").groupBy("key", "line", "near").agg(F.count(F.lit(1)).alias("n")).drop("n")
+    sent = spark.sparkContext.broadcast(bitmap(stage(counts.where("least <> most").select("key"), "keys"), "key"))
+    members = fresh.mapInArrow(in_short_batches(_members(sent)), "key long, line long, near long").groupBy("key", "line", "near").agg(F.count(F.lit(1)).alias("n")).drop("n")
     members = stage(members, "members")
     groups = members.groupBy("key").agg(F.min("line").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
     hot = members.join(groups.where(F.col("n") > NEAR + 1).select("key"), "key").select("key", "line")
@@ -346,7 +423,7 @@ def candidates(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return both.groupBy("a", "b").agg(F.max("pivot").alias("pivot")), hot
 
 
-def line_components(docs: DataFrame, lines: DataFrame, threshold: float = SIMILAR) -> DataFrame:
+def line_components(docs: DataFrame, lines: DataFrame, threshold: float = SIMILAR, own: DataFrame | None = None, id_bits: int = 64) -> DataFrame:
     """(node, root) of lines with a verified link.
 
     Pairs with a key's pivot are verified first; then, of the others, only those
@@ -356,14 +433,15 @@ def line_components(docs: DataFrame, lines: DataFrame, threshold: float = SIMILA
     spark = lines.sparkSession
     pairs, hot = candidates(lines)
     pairs = stage(pairs, "candidates")
-    ends = pairs.select(F.col("a").alias("line")).unionAll(pairs.select("b")).distinct()
-    sent = spark.sparkContext.broadcast(bitmap(ends, "line"))
-    texts = docs.select(text_or_empty().alias("text")).mapInArrow(_texts(sent), "line long, text string")
+    ends = stage(pairs.select(F.col("a").alias("line")).unionAll(pairs.select("b")).distinct(), "ends")
+    # Given identifiers are looked up, so what was given a new one isn't sought by it.
+    sent = spark.sparkContext.broadcast(bitmap(ends, "line") if own is None else None)
+    texts = with_own_ids(docs.select(text_or_empty().alias("text")).mapInArrow(_texts(sent, id_bits), "line long, other long, text string"), own)
     texts = stage(texts.groupBy("line", "text").agg(F.count(F.lit(1)).alias("n")).select("line", "text"), "texts")
 
     def verified(some: DataFrame) -> DataFrame:
         a, b = texts.select(F.col("line").alias("a"), F.col("text").alias("a_text")), texts.select(F.col("line").alias("b"), F.col("text").alias("b_text"))
-        return some.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "a_text", "b_text").mapInArrow(_similar(threshold), "src long, dst long")
+        return some.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "a_text", "b_text").mapInArrow(in_short_batches(_similar(threshold)), "src long, dst long")
 
     links = stage(verified(pairs.where("pivot")), "links")
     roots = connected_components(links)
@@ -371,28 +449,30 @@ def line_components(docs: DataFrame, lines: DataFrame, threshold: float = SIMILA
     apart = pairs.where("not pivot").join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
     more = stage(verified(apart), "more")
     if not more.isEmpty():
-        links = links.unionAll(more)
-        roots = connected_components(links)
+        roots = extended_components(roots, more)
     last = stage(apart_links(hot, roots, texts, threshold), "last")
-    return roots if last.isEmpty() else connected_components(links.unionAll(last))
+    return roots if last.isEmpty() else extended_components(roots, last)
 
 
-def dedup_lines(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: float = SIMILAR, id_bits: int = 64) -> DataFrame:
     """One row per non-blank line of ``docs`` (doc_id, text): doc_id, check, line_no (from 0), line_id, component_id, kept.
 
     Lines (cut at line feeds) are compared in lower case with white space
     collapsed.  Lines are linked at a Jaccard similarity of ``threshold`` or
-    more of their character shingles; equal lines always are.  Of a component
-    the first line by doc_id and line number is kept (of rows that repeat a
-    doc_id, one row's).  Blank lines, null and empty texts give no row; a line
-    of any length takes part whole; a null doc_id comes first in the order.
-    An empty table gives no rows; other columns are not read.
+    more of their character shingles; equal lines always are.  A line's
+    identifier is a hash of ``id_bits`` bits; lines that share one and differ in
+    another 64 get identifiers of their own.  Of a component the first line by
+    doc_id and line number is kept (of rows that repeat a doc_id, one row's).
+    Blank lines, null and empty texts give no row; a line of any length takes
+    part whole; a null doc_id comes first in the order.  An empty table gives no
+    rows; other columns are not read, whatever their names.
     """
-    short_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64(text_or_empty()).alias("check"), text_or_empty().alias("text"))
-    lines = stage(rows.mapInArrow(_lines, f"row long, doc_id {kind}, check long, line_no int, line long, bands array<long>"), "lines")
-    roots = line_components(docs, lines, threshold)
+    lines = stage(rows.mapInArrow(_lines(id_bits), f"row long, doc_id {kind}, check long, line_no int, line long, other long, bands array<long>"), "lines")
+    own = own_ids(lines.where("bands is not null"))
+    lines = with_own_ids(lines, own)
+    roots = line_components(docs, lines, threshold, own, id_bits)
     named = lines.drop("bands").join(roots, lines["line"] == roots["node"], "left").withColumn("component_id", F.coalesce("root", "line")).drop("node", "root")
     named = stage(named, "named")
     first = stage(named.groupBy("component_id").agg(F.min(F.struct("doc_id", "line_no", "row")).alias("first")).select("component_id", F.col("first.row").alias("first_row"), F.col("first.line_no").alias("first_line")), "first")
@@ -402,10 +482,14 @@ def dedup_lines(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
 
 
 def without_repeated_lines(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
-    """``docs`` with the lines that are not kept cut out of ``text``, all other columns unchanged."""
-    names = docs.columns
-    gone = dedup_lines(docs, threshold).where("not kept").groupBy("doc_id", "check").agg(F.collect_set("line_no").alias("_gone")).select(F.col("doc_id").alias("_id"), F.col("check").alias("_of"), "_gone")
-    rows = docs.withColumn("_check", F.xxhash64(text_or_empty()))
-    rows = rows.join(gone, rows["doc_id"].eqNullSafe(gone["_id"]) & (rows["_check"] == gone["_of"]), "left")
-    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    return rows.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left)).select(*[F.col(f"`{c}`") for c in names])
+    """``docs`` with the lines that are not kept cut out of ``text``, all other columns unchanged, whatever their names.
+
+    Null texts stay null; rows that repeat a doc_id and text each keep the lines
+    that any of them keeps.
+    """
+    lines = dedup_lines(docs, threshold).select("check", "line_no", "kept", *[c.alias(k) for k, c in key_parts().items()])
+    gone = lines.groupBy("no_id", "id", "check", "line_no").agg(F.max("kept").alias("kept")).where("not kept")
+    gone = gone.groupBy("no_id", "id", "check").agg(F.collect_set("line_no").alias("gone"))
+    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    rows = packed_rows(docs, text=F.col("text"), check=F.xxhash64(text_or_empty()), **key_parts()).join(gone, ["no_id", "id", "check"], "left")
+    return unpacked(rows.withColumn("r", F.when(F.col("gone").isNull(), F.col("r")).otherwise(F.col("r").withField("text", left))))
