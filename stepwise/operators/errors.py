@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stepwise.functions.geometry import distance_bucket
 from stepwise.functions.text import action_text, compact
 from stepwise.operators.pair_filter import last_by_key
-from stepwise.operators.profile import with_pair_facts
+from stepwise.operators.profile import histograms, with_pair_facts
 
 # Labels that a reviewer chooses from; lengths of review texts.
 REVIEW_LABELS = ("clean_error", "semantic_hard", "ambiguous", "construction_error")
@@ -32,17 +32,48 @@ def errors(predictions: DataFrame, focus: str | None = None) -> DataFrame:
 
 def enriched(wrong: DataFrame, pairs: DataFrame, pos: str = "pos") -> DataFrame:
     """Errors with what their pair tells (left join, the last of repeated pairs): elements, distance, bucket."""
-    facts = with_pair_facts(last_by_key(pairs.select("pair_id", pos, "chosen", "rejected", "boxes", "screen_size"), "pair_id", pos))
+    named = pairs.join(wrong.select("pair_id").distinct(), "pair_id", "left_semi")
+    facts = with_pair_facts(last_by_key(named.select("pair_id", pos, "chosen", "rejected", "boxes", "screen_size"), "pair_id", pos))
     found = F.col("rejected_element")
     facts = facts.select("pair_id", action_text(F.col("chosen")).alias("gt_action_text"), found.alias("candidate_element"), "gt_element", found.isNotNull().alias("candidate_in_ui_element"), F.col("same_element").alias("same_element_as_gt"), "distance_px")
     return wrong.join(facts, "pair_id", "left").withColumn("distance_bucket", distance_bucket(F.col("distance_px")))
 
 
+#: Ranges that rows are numbered in, at most.
+RANGES = 200
+
+
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``rows`` with their place from 1 in ``order``: by ranges of its first column, which are counted, so no task numbers them all.
+
+    The ranges' bounds are values of at most ``RANGES`` rows, those of the smallest hashes.
+    """
+    key = F.col(order[0])
+    near = F.xxhash64(key)
+    some = rows.where(key.isNotNull()).select(key.alias("k"), near.alias("h")).orderBy("h").limit(RANGES).collect()
+    kind = rows.schema[order[0]].dataType.simpleString()
+    bounds = F.array(*[F.lit(v) for v in sorted({r["k"] for r in some})]).cast(f"array<{kind}>")
+    part = F.coalesce(F.size(F.filter(bounds, lambda b: b <= key)), F.lit(0))
+    rows = rows.withColumn("_range", F.when(key.isNull(), -1).otherwise(part))
+    counts = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    # One row a range.
+    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) + F.col("_before")
+    return rows.join(F.broadcast(before), "_range").withColumn(name, place.cast("int")).drop("_range", "_before")
+
+
 def review_rows(cases: DataFrame, order: list[str]) -> DataFrame:
-    """Cases numbered from 1 for a reviewer, texts compacted; a report for people, of a bounded number of cases."""
+    """Cases numbered from 1 for a reviewer, texts compacted."""
     texts = {k: compact(F.col(k), n) for k, n in TEXT_LENGTHS.items() if k in cases.columns}
-    numbered = cases.withColumn("case_index", F.row_number().over(Window.orderBy(*order)))
-    return numbered.withColumns({**texts, "review_label": F.lit(""), "notes": F.lit(""), "suggested_labels": F.lit("|".join(REVIEW_LABELS))})
+    return numbered(cases, order, "case_index").withColumns({**texts, "review_label": F.lit(""), "notes": F.lit(""), "suggested_labels": F.lit("|".join(REVIEW_LABELS))})
+
+
+def error_summary(wrong: DataFrame, top: int = 20) -> DataFrame:
+    """(dim, value, n) of errors: by kind, type, subtype and both, and the ``top`` most frequent instructions (ties by text)."""
+    sub = subtype(F.col("negative_subtype"), F.col("negative_source"))
+    dims = {"error": F.concat_ws("->", "label", "prediction_label"), "negative_type": F.col("negative_type"), "negative_subtype": sub, "type_subtype": F.concat_ws("->", "negative_type", sub)}
+    said = wrong.groupBy(F.col("instruction").alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value").limit(top)
+    return histograms(wrong, dims).unionByName(said.select(F.lit("instruction").alias("dim"), "value", "n"))
 
 
 def marker_style(x: Column, y: Column) -> Column:

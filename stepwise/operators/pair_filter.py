@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepwise.functions.geometry import once, overlap, primary_point, to_pixel
+from stepwise.operators.profile import histograms
 from stepwise.operators.regions import CARD, COMPACT, CTA, SEARCH, in_region, with_region
 
 # Kinds by confidence, the overlap that counts, variants and what they drop.
@@ -66,3 +67,13 @@ def with_decision(pairs: DataFrame, decisions: DataFrame, pos: str = "pos") -> D
 def variant(pairs: DataFrame, name: str) -> DataFrame:
     """``pairs`` (with ``decision``) and ``kept`` by a variant."""
     return pairs.withColumn("kept", ~F.col("decision").isin(*VARIANTS[name]))
+
+
+def decision_summary(decided_pairs: DataFrame) -> DataFrame:
+    """(dim, value, n) of decided pairs: decisions, reasons and categories, alone and by type or subtype, in one pass."""
+    arrow = lambda a, b: F.concat_ws("->", a, b)
+    kind, sub = F.col("negative_type"), F.coalesce("negative_subtype", F.lit("unknown"))
+    return histograms(decided_pairs, {
+        "decision": F.col("decision"), "reason": F.col("reason"), "category": F.col("major_category"), "negative_type": kind, "negative_subtype": sub,
+        "decision_by_type": arrow(kind, "decision"), "category_by_type": arrow(kind, "major_category"), "reason_by_type": arrow("reason", kind), "decision_by_subtype": arrow(sub, "decision"),
+    })

@@ -535,11 +535,11 @@ def region_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decided(spark, sf_dir).where("region_overlap > 0").select("pair_id", _r(F.col("region_overlap")).alias("region_overlap"))
 
 
-@query(_DECIDED + """, v AS (SELECT unnest(['decision', 'reason', 'category', 'decision_by_type', 'category_by_type']) AS dim, unnest([decision, reason, major_category, negative_type || '->' || decision, negative_type || '->' || major_category]) AS value FROM ds)
+@query(_DECIDED + """, v AS (SELECT unnest(['decision', 'reason', 'category', 'negative_type', 'negative_subtype', 'decision_by_type', 'category_by_type', 'reason_by_type', 'decision_by_subtype']) AS dim,
+      unnest([decision, reason, major_category, negative_type, subtype, negative_type || '->' || decision, negative_type || '->' || major_category, reason || '->' || negative_type, subtype || '->' || decision]) AS value FROM ds)
   SELECT dim, value, count(*) AS n FROM v GROUP BY ALL""")
 def decision_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.col("negative_type")
-    return profile.histograms(_decided(spark, sf_dir), {"decision": F.col("decision"), "reason": F.col("reason"), "category": F.col("major_category"), "decision_by_type": F.concat_ws("->", kind, "decision"), "category_by_type": F.concat_ws("->", kind, "major_category")})
+    return pair_filter.decision_summary(_decided(spark, sf_dir))
 
 
 def _variant_query(name: str, dropped: tuple[str, ...]) -> None:
@@ -605,35 +605,43 @@ def run_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.run_comparison(rows, ["a", "b"], "negative_type")
 
 
-_WRONG = """, wr AS (SELECT * FROM fb WHERE event_id % 9 = 0)
+# Every ninth step's pairs are judged wrongly; so SQL needs only those, and says all the same.
+_WRONG_STEPS = SQL_STEPS.replace("    steps AS (", "    all_steps AS (").replace("    els AS (", "    steps AS (SELECT * FROM all_steps WHERE event_id % 9 = 0),\n    els AS (").replace("range(7) r(i) WHERE event_id % 50 <> 0", "range(7) r(i) WHERE event_id % 50 <> 0 AND event_id % 9 = 0")
+_WRONG = """, wr AS (SELECT * FROM fb)
 """
 
 
 def _wrong(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Pairs whose rejected action was taken for right, as predictions; one in eleven has lost its pair."""
+    """The wrong ones of predictions on all rejected actions, and the pairs; one in eleven has lost its pair."""
     pairs = _pairs(spark, sf_dir)
-    rows = pairs.where(F.col("event_id") % 9 == 0).select(
+    rows = pairs.select(
         F.when(F.col("event_id") % 11 == 0, F.concat(F.lit("lost:"), "pair_id")).otherwise(F.col("pair_id")).alias("pair_id"), F.concat("pair_id", F.lit(":rejected")).alias("sample_id"),
-        F.lit("No").alias("label"), F.lit("Yes").alias("prediction_label"), F.lit(None).cast("boolean").alias("correct"), F.col("task").alias("instruction"), "negative_type",
+        F.lit("No").alias("label"), F.when(F.col("event_id") % 9 == 0, "Yes").otherwise("No").alias("prediction_label"), F.lit(None).cast("boolean").alias("correct"), F.col("task").alias("instruction"), "negative_type", "negative_subtype", "negative_source",
     )
     return errors.errors(rows), pairs.withColumn("pos", F.lit(0))
 
 
 @query(_NEG + _FACTS + _WRONG + """SELECT pair_id || ':rejected' AS sample_id, CASE WHEN event_id % 11 <> 0 THEN ri IS NOT NULL END AS candidate_in_ui_element, CASE WHEN event_id % 11 <> 0 THEN same_element END AS same_element_as_gt,
-    CASE WHEN event_id % 11 = 0 THEN 'unknown' ELSE bucket END AS distance_bucket, CASE WHEN event_id % 11 <> 0 THEN round(dist, 6) END AS distance_px FROM wr""")
+    CASE WHEN event_id % 11 = 0 THEN 'unknown' ELSE bucket END AS distance_bucket, CASE WHEN event_id % 11 <> 0 THEN round(dist, 6) END AS distance_px FROM wr""", _WRONG_STEPS)
 def error_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = errors.enriched(*_wrong(spark, sf_dir))
     return out.select("sample_id", "candidate_in_ui_element", "same_element_as_gt", "distance_bucket", _r(F.col("distance_px")).alias("distance_px"))
 
 
 @query(_NEG + _FACTS + _WRONG + """SELECT CAST(row_number() OVER (ORDER BY pair_id || ':rejected') AS INTEGER) AS case_index, pair_id || ':rejected' AS sample_id, '' AS review_label,
-    CASE WHEN length(trim(task)) > 40 THEN rtrim(substr(trim(task), 1, 37)) || '...' ELSE trim(task) END AS instruction FROM wr""")
+    CASE WHEN length(trim(task)) > 40 THEN rtrim(substr(trim(task), 1, 37)) || '...' ELSE trim(task) END AS instruction FROM wr""", _WRONG_STEPS)
 def badcase_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     wrong, _ = _wrong(spark, sf_dir)
     short = wrong.withColumn("instruction", X.compact(F.col("instruction"), 40))
     return errors.review_rows(short, ["sample_id"]).select("case_index", "sample_id", "review_label", "instruction")
 
 
+@query(_NEG + _FACTS + _WRONG + """, v AS (SELECT unnest(['error', 'negative_type', 'negative_subtype', 'type_subtype']) AS dim, unnest(['No->Yes', negative_type, subtype, negative_type || '->' || subtype]) AS value FROM wr)
+  SELECT dim, value, count(*) AS n FROM v GROUP BY ALL UNION ALL SELECT * FROM (SELECT 'instruction', task, count(*) FROM wr GROUP BY task ORDER BY count(*) DESC, task LIMIT 20)""", _WRONG_STEPS)
+def error_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return errors.error_summary(_wrong(spark, sf_dir)[0])
+
+
 # Metrics.
 
 _LISTS = """g AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL),

@@ -18,8 +18,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _ascii(text: Column, n: int) -> Column:
-    return F.regexp_replace(F.substring(F.coalesce(text, F.lit("")), 1, n), "[^ -~]", "?")
+def _ascii(text: Column) -> Column:
+    return F.regexp_replace(F.coalesce(text, F.lit("")), "[^ -~]", "?")
 
 
 def _pick(values: tuple[str, ...], i: Column) -> Column:
@@ -27,7 +27,7 @@ def _pick(values: tuple[str, ...], i: Column) -> Column:
 
 
 def steps(spark: SparkSession, sf_dir: str, texts: bool = True) -> DataFrame:
-    """One step for each event, with its event_id; ``texts``: tasks and typed texts come from the documents."""
+    """One step for each event, with its event_id; ``texts``: tasks are documents' texts, typed texts the names of parts (some many times over)."""
     e = F.col("event_id")
     df = read(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value")
     df = df.withColumn("step_id", (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("int"))
@@ -36,10 +36,12 @@ def steps(spark: SparkSession, sf_dir: str, texts: bool = True) -> DataFrame:
         docs = read(spark, sf_dir, "documents")
         n = docs.agg(F.count(F.lit(1)).alias("n_docs"))
         df = df.join(F.broadcast(n))  # one row
-        heads = docs.select("doc_id", _ascii(F.col("text"), 60).alias("head"))
-        df = df.withColumns({"_t": e % F.col("n_docs"), "_u": F.col("user_id") % F.col("n_docs")})
-        df = df.join(heads.select(F.col("doc_id").alias("_t"), F.substring("head", 1, 40).alias("_typed")), "_t", "left")
-        df = df.join(heads.select(F.col("doc_id").alias("_u"), F.col("head").alias("_task")), "_u", "left")
+        parts = read(spark, sf_dir, "part")
+        df = df.join(F.broadcast(parts.agg(F.count(F.lit(1)).alias("n_parts"))))  # one row
+        df = df.withColumns({"_t": e % F.col("n_parts") + 1, "_u": F.col("user_id") % F.col("n_docs")})
+        df = df.join(parts.select(F.col("p_partkey").alias("_t"), F.col("p_name").alias("_typed")), "_t", "left")
+        df = df.withColumn("_typed", F.when(e % 13 == 0, F.repeat("_typed", 30)).otherwise(F.col("_typed")))
+        df = df.join(docs.select(F.col("doc_id").alias("_u"), _ascii(F.col("text")).alias("_task")), "_u", "left")
         task = F.concat(_pick(TASK_WORDS, F.col("user_id") % 5), F.coalesce("_task", F.lit("")))
         typed = F.when(F.col("kind") == "type", F.when(e % 11 == 0, "").otherwise(F.coalesce("_typed", F.lit(""))))
     else:
@@ -89,7 +91,8 @@ _list = lambda v: "[" + ", ".join(f"'{x}'" for x in v) + "]"
 #: Common table expressions for the other engine: steps (flat: x, y the primary point, px, py in pixels) and els (an element a row, in pixels).
 SQL_STEPS = f"""
     nd AS (SELECT count(*) AS n FROM documents),
-    heads AS (SELECT doc_id, regexp_replace(substr(coalesce(text, ''), 1, 60), '[^ -~]', '?', 'g') AS head FROM documents),
+    np AS (SELECT count(*) AS m FROM part),
+    heads AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^ -~]', '?', 'g') AS head FROM documents),
     k AS (
         SELECT e.*, CASE event_type WHEN 'click' THEN 'click' WHEN 'view' THEN 'swipe' WHEN 'signup' THEN 'type' WHEN 'purchase' THEN 'finish' WHEN 'error' THEN 'back' END AS kind,
                CASE {_S} % 3 WHEN 0 THEN 'pixel' WHEN 1 THEN 'normalized_1000' ELSE 'normalized_1' END AS space,
@@ -97,13 +100,13 @@ SQL_STEPS = f"""
     steps AS (
         SELECT k.event_id, 'u' || user_id AS episode_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS step_id,
                {_list(TASK_WORDS)}[1 + user_id % 5] || coalesce(u.head, '') AS task, kind, space, event_id % 50 <> 0 AS screen,
-               CASE WHEN kind = 'type' THEN CASE WHEN event_id % 11 = 0 THEN '' ELSE coalesce(substr(t.head, 1, 40), '') END END AS typed,
+               CASE WHEN kind = 'type' THEN CASE WHEN event_id % 11 = 0 THEN '' ELSE coalesce(CASE WHEN event_id % 13 = 0 THEN repeat(t.p_name, 30) ELSE t.p_name END, '') END END AS typed,
                CASE WHEN kind IN ('click', 'swipe') THEN rx END AS x, CASE WHEN kind IN ('click', 'swipe') THEN ry END AS y,
                CASE WHEN kind = 'swipe' THEN rex END AS ex, CASE WHEN kind = 'swipe' THEN rey END AS ey,
                CASE WHEN event_id % 50 <> 0 AND kind IN ('click', 'swipe') THEN CASE space WHEN 'pixel' THEN rx WHEN 'normalized_1000' THEN rx / 1000 * {WIDTH} ELSE rx / 1 * {WIDTH} END END AS px,
                CASE WHEN event_id % 50 <> 0 AND kind IN ('click', 'swipe') THEN CASE space WHEN 'pixel' THEN ry WHEN 'normalized_1000' THEN ry / 1000 * {HEIGHT} ELSE ry / 1 * {HEIGHT} END END AS py,
                CASE WHEN event_id % 7 <> 0 THEN 'shots/' || event_id || '.png' END AS image, value / 500 AS difficulty
-        FROM k CROSS JOIN nd LEFT JOIN heads t ON t.doc_id = event_id % n LEFT JOIN heads u ON u.doc_id = user_id % n),
+        FROM k CROSS JOIN nd CROSS JOIN np LEFT JOIN part t ON t.p_partkey = event_id % m + 1 LEFT JOIN heads u ON u.doc_id = user_id % n),
     els AS (
         SELECT event_id, i, x1, y1, x2, y2, w > 0 AS valid, lower(trim(txt)) AS txt, ui_type
         FROM (SELECT event_id, i, w, CASE WHEN i = 6 THEN a / 1000 * {WIDTH} ELSE a END AS x1, CASE WHEN i = 6 THEN b / 1000 * {HEIGHT} ELSE b END AS y1,
