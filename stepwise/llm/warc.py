@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bitmap, in_bitmap, new_folder, short_batches, stage
+from .shared import Mapper, bitmap, in_bitmap, in_short_batches, new_folder, stage
 
 #: Payloads below this many bytes are never replaced by a reference.
 LEAST_BYTES = 100
@@ -44,13 +44,25 @@ def record(page_id: int | None, url: str, digest: str, n_bytes: int, body: bytes
     return gzip.compress("\r\n".join(lines).encode() + body + b"\r\n\r\n", 6, mtime=0)
 
 
-def _flags(shared):
+def _flags(shared, firsts, alone=None) -> Mapper:
+    """Add whether a row's digest may be shared (``shared``), and whether its payload is surely another row's (``spare``).
+
+    Without ``alone``, the digests that the first map takes for shared ones, the
+    latter is only a guess, and payloads aren't there; with it, spare payloads go.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit = in_bitmap(shared.value, batch.column("h").to_numpy(zero_copy_only=False).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit, pa.bool_())], [*batch.schema.names, "shared"])
+            h, own = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("h", "own"))
+            hit = in_bitmap(shared.value, h)
+            spare = hit & ~in_bitmap(firsts.value, own)
+            columns = {c: batch.column(c) for c in batch.schema.names}
+            if alone is not None:
+                spare &= ~in_bitmap(alone.value, h)
+                columns["payload"] = columns["payload"].take(pa.array(np.arange(batch.num_rows), mask=spare))
+            yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(hit), pa.array(spare)], [*columns, "shared", "spare"])
 
-    return run
+    return in_short_batches(run)
 
 
 def _write(folder: str):
@@ -92,20 +104,23 @@ def write_archive(pages: DataFrame, folder: str) -> DataFrame:
     it.  A task writes its rows to a file of its own, one gzip member a record,
     and the index, which is staged once, names only files of committed tasks.
 
-    Digests are counted first, and a bit map of fixed size says which may be
-    shared: all other payloads go from the table to the archive without a
-    shuffle.  The rest meet their group's first page, and only a payload that is
-    kept goes on.
+    Digests are counted first, and a bit map, sized by their count, says which
+    may be shared: all other payloads go from the table to the archive without a
+    shuffle.  Of the rest a second map tells which rows may be their group's
+    first, and a third one which digests the first map took for shared ones; all
+    other payloads go before anything moves.
     """
     spark = pages.sparkSession
-    short_batches(spark)
     payload = F.coalesce("html", F.lit(""))
     seen = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("n"))
     firsts = seen.where(F.col("n") >= LEAST_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    firsts = stage(firsts.select("digest", "first", F.xxhash64("digest").alias("h")), "firsts")
-    sent = spark.sparkContext.broadcast(bitmap(firsts, "h"))
-    flagged = seen.withColumn("h", F.xxhash64("digest"))
-    flagged = flagged.mapInArrow(_flags(sent), "page_id long, url string, payload string, digest string, n long, h long, shared boolean")
+    firsts = stage(firsts.select("digest", "first", F.xxhash64("digest").alias("h"), F.xxhash64("first", "digest").alias("own")), "firsts")
+    sent = [spark.sparkContext.broadcast(bitmap(firsts, c)) for c in ("h", "own")]
+    seen = seen.withColumns({"h": F.xxhash64("digest"), "own": F.xxhash64("page_id", "digest")})
+    guessed = seen.select("digest", "h", "own").mapInArrow(_flags(*sent), "digest string, h long, own long, shared boolean, spare boolean").where("spare")
+    wrong = stage(guessed.select("digest", "h").distinct().join(firsts.select("digest"), "digest", "left_anti").select("h"), "wrong")
+    sent.append(spark.sparkContext.broadcast(bitmap(wrong, "h")))
+    flagged = seen.mapInArrow(_flags(*sent), "page_id long, url string, payload string, digest string, n long, h long, own long, shared boolean, spare boolean")
     alone = flagged.where("not shared").select("page_id", "url", "digest", "n", "payload", F.lit(None).cast("long").alias("first"))
     copies = flagged.where("shared").join(firsts.select("digest", "first"), "digest", "left")
     # Where all ids of a group are null there is no first, and all are responses.
@@ -175,6 +190,8 @@ def archive_roundtrip(pages: DataFrame) -> DataFrame:
     A null html is an empty payload, a null url an empty one (line breaks in it
     become blanks), a null page_id an empty record id that never is a target.
     Rows that repeat a page_id are records of their own.  An empty table writes
-    no record and gives no rows.  Other columns are not written.
+    no record and gives no rows.  A very long page is one record, made and read
+    in the memory of one task.  Other columns are not written, whatever their
+    names.
     """
     return read_archive(write_archive(pages, new_folder(pages.sparkSession, "warc")))
