@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bitmap, in_bitmap, short_batches, stage, text_or_empty
+from .shared import bitmap, in_bitmap, in_short_batches, stage, text_or_empty
 
 END_OF_TEXT = "<|endoftext|>"
 #: A chunk ends where the rolling hash of the last WINDOW bytes has these low bits zero.
@@ -264,27 +264,28 @@ def encoded(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
 
     ``paths`` are the vocabulary's two files, which every node has.  Chunk
     hashes are counted over all documents; a chunk that several documents hold
-    is encoded once and its ids are joined back.  A bit map of fixed size says
-    which chunks may be shared: others never leave the task that read them, so
-    only texts that share something move, once for each distinct text.
+    is encoded once and its ids are joined back.  A bit map, sized by their
+    count, says which chunks may be shared: others never leave the task that
+    read them, so only texts that share something move, once for each distinct
+    text (beyond the largest map, every text).
 
     A null or empty text has no tokens; rows that repeat a doc_id or a text are
     answered each; a text with the end-of-text token is encoded whole, as the
-    token may straddle a cut.  An empty table gives no rows.  Other columns are
-    not read.
+    token may straddle a cut; a very long text is cut, encoded and decoded whole
+    in the memory of one task.  An empty table gives no rows.  Other columns are
+    not read, whatever their names.
     """
     spark = docs.sparkSession
-    short_batches(spark)
     paths = paths or default_paths()
     rows = docs.select("doc_id", text_or_empty().alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    counted = rows.select("text").mapInArrow(_hashes, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    counted = rows.select("text").mapInArrow(in_short_batches(_hashes), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     shared = spark.sparkContext.broadcast(bitmap(stage(counted.where("n > 1").select("h"), "shared"), "h"))
-    first = stage(rows.mapInArrow(_alone(shared, paths), f"doc_id {kind}, sha string, text string, {RESULT}"), "first")
+    first = stage(rows.mapInArrow(in_short_batches(_alone(shared, paths)), f"doc_id {kind}, sha string, text string, {RESULT}"), "first")
     texts = stage(first.where("sha is not null").groupBy("sha", "text").agg(F.count(F.lit(1)).alias("n")).select("sha", "text"), "texts")
-    refs = stage(texts.mapInArrow(_references(shared), "sha string, pos int, key binary, chunk string"), "refs")
-    ids = stage(refs.groupBy("key", "chunk").agg(F.count(F.lit(1)).alias("n")).select("key", "chunk").mapInArrow(_encode(paths), "key binary, ids binary"), "ids")
+    refs = stage(texts.mapInArrow(in_short_batches(_references(shared)), "sha string, pos int, key binary, chunk string"), "refs")
+    ids = stage(refs.groupBy("key", "chunk").agg(F.count(F.lit(1)).alias("n")).select("key", "chunk").mapInArrow(in_short_batches(_encode(paths)), "key binary, ids binary"), "ids")
     given = refs.select("sha", "pos", "key").join(ids, "key").groupBy("sha").agg(F.collect_list(F.struct("pos", "ids")).alias("given"))
-    joined = texts.join(given, "sha").select("sha", "text", "given").mapInArrow(_assemble(paths), f"sha string, {RESULT}")
+    joined = texts.join(given, "sha").select("sha", "text", "given").mapInArrow(in_short_batches(_assemble(paths)), f"sha string, {RESULT}")
     alone = first.where("sha is null").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
     return alone.unionByName(first.where("sha is not null").select("doc_id", "sha").join(stage(joined, "joined"), "sha").drop("sha"))

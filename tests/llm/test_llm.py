@@ -8,9 +8,10 @@ from collections import Counter, defaultdict
 import pytest
 import xxhash
 from conftest import DATA, same_as_sql
+from odd_rows import ODD_TEXTS, odd  # noqa: F401
 from pyspark.sql import functions as F
 
-from stepwise.llm import license_scan, line_dedup
+from stepwise.llm import line_dedup
 from stepwise.llm.bpe import encoded
 from stepwise.llm.components import connected_components
 from stepwise.llm.exact_dedup import drop_copies, exact_groups
@@ -24,16 +25,6 @@ from stepwise.llm.toxicity import drop_toxic, toxicity
 from stepwise.llm.warc import archive_roundtrip, read_archive, write_archive
 
 SMALL = f"{DATA}/sf0.001"
-LONG = "a long text of many words, " * 20_000
-ODD_TEXTS = [None, "", "   \n ", "one", "one", "two words here", "Two  words here", "under the MIT License\nor the apache license", "<|endoftext|> ü ß   漢字", LONG, LONG + "x"]
-
-
-@pytest.fixture(scope="module")
-def odd(spark):
-    """Nulls in every column, empty and very long texts, ties, a repeated row, and extra columns with clashing names."""
-    rows = [(i, t, [None, "en", "de"][i % 3], [None, "web1"][i % 2], len(t or ""), "k", 1) for i, t in enumerate(ODD_TEXTS)]
-    rows += [rows[5], (None, "no id", None, None, None, None, None)]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key string, component_id int")
 
 
 @pytest.fixture(scope="module")
@@ -41,8 +32,11 @@ def labels(spark):
     return spark.createDataFrame([(0, 1, 1), (0, 1, 0), (2, None, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
 
 
-def texts(spark):
-    return [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
+def texts(spark, folder=SMALL):
+    return [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
+
+
+SIZES = pytest.mark.parametrize("folder", [SMALL, f"{DATA}/sf0.01"])
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -84,77 +78,6 @@ def test_toxicity_on_odd_rows(odd, labels):
     assert drop_toxic(odd, labels.where("false")).collect() == odd.collect()
 
 
-def find_phrase(words, phrase):
-    p = phrase.split(" ")
-    return [i for i in range(len(words)) if words[i : i + len(p)] == p]
-
-
-def test_license_scan_base_phrases(spark, odd):
-    for df in (spark.read.parquet(f"{SMALL}/documents.parquet"), odd):
-        given = Counter((r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect())
-        want = []
-        for (doc_id, text), n in given.items():
-            lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
-            words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
-            at = {label: find_phrase(words, p) for p, label in (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))}
-            places = sorted(sum(at.values(), []))
-            row = (doc_id, len(words), len(places), places[0] if places else None, places[-1] if places else None, ",".join(sorted(k for k, v in at.items() if v)))
-            want += [row] * n
-        rows = scan(df).collect()
-        got = [tuple(r[c] for c in ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")) for r in rows]
-        assert Counter(got) == Counter(want)
-        assert all(set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1 for r in rows)
-
-
-def test_license_scan_suppresses_contained_detections(spark):
-    text = "Licensed under the GNU Lesser General Public License. Also BSD 3-Clause License, and CC0."
-    row = scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
-    assert {"lgpl", "bsd-3-clause", "gpl"} <= set(row["labels"].split(","))
-    spans = [(d["start"], d["stop"], d["level"]) for d in row["detections"]]
-    assert not any(a != b and a[0] <= b[0] and b[1] <= a[1] and a[2] <= b[2] for a in spans for b in spans)
-
-
-def phrases(parsed):
-    """Texts that a rule's pattern matches: each alternative, with and without what is optional."""
-    out = [""]
-    for op, arg in parsed:
-        kind = str(op)
-        if kind == "LITERAL":
-            more = [chr(arg)]
-        elif kind == "ANY":
-            more = ["x"]
-        elif kind == "IN":
-            first = arg[0]
-            more = ["1" if str(first[0]) == "CATEGORY" else chr(first[1] if str(first[0]) == "LITERAL" else first[1][0])]
-        elif kind == "SUBPATTERN":
-            more = phrases(arg[3])
-        elif kind == "BRANCH":
-            more = [p for branch in arg[1] for p in phrases(branch)]
-        else:
-            assert kind == "MAX_REPEAT", kind
-            more = ([""] if arg[0] == 0 else []) + phrases(arg[2])
-        out = [a + b for a in out for b in more]
-    return out
-
-
-def test_license_rules_find_their_own_phrases_alone(spark):
-    wanted = []
-    for rule in license_scan.rules():
-        for p in phrases(re._parser.parse(rule.pattern)):
-            assert re.fullmatch(rule.pattern, p) and rule.keyword in f" {p}", (rule, p)
-            if rule.level > 1 or p.startswith(("spdx", "released under")) or not re.match("[a-z]+ (under|by) ", p):
-                wanted.append((rule, p))
-    texts = sorted({p for _, p in wanted})
-    rows = scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)).select("doc_id", "labels", "detections", "score").collect()
-    found = {texts[r["doc_id"]]: r for r in rows}
-    for rule, p in wanted:
-        r, n = found[p], p.count(" ") + 1
-        # Another rule of the same words or more may suppress it.
-        assert r["score"] > 0 and (rule.label in r["labels"].split(",") or any(d["start"] == 0 and d["stop"] == n and d["level"] <= rule.level for d in r["detections"])), (rule, p)
-    text = "Released under MIT. Copyright 2020"
-    assert scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["labels"] == "mit"
-
-
 def test_exact_dedup_numbers_chunks_whose_hashes_clash(odd):
     plain = {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_groups(odd).collect()}
     one_hash = {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_groups(odd, lambda c: F.length(c).cast("long") % 2).collect()}
@@ -185,8 +108,9 @@ def test_connected_components(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
-def test_line_components_equal_brute_force(spark):
-    lines = sorted({x for _, t in texts(spark) for x in line_dedup.normal_lines(t or "") if x})
+@SIZES
+def test_line_components_equal_brute_force(spark, folder):
+    lines = sorted({x for _, t in texts(spark, folder) for x in line_dedup.normal_lines(t or "") if x})
     ids = [line_dedup.line_id(x) for x in lines]
     sets = [line_dedup.shingles(x) for x in lines]
     holders = defaultdict(list)
@@ -197,7 +121,7 @@ def test_line_components_equal_brute_force(spark):
         for g in s:
             holders[g].append(i)
     want = roots([*links, *((i, i) for i in ids)])
-    got = QUERIES["op3_line_dedup"](spark, SMALL).collect()
+    got = QUERIES["op3_line_dedup"](spark, folder).collect()
     mine = {r["line_id"]: r["component_id"] for r in got}
     assert len(set(mine.values())) == len(set(want.values()))
     assert len({(mine[i], want[i]) for i in ids}) == len(set(want.values()))
@@ -246,12 +170,13 @@ def plain_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def test_simhash_components_equal_brute_force(spark):
-    prints = {i: plain_fingerprint(t) for i, t in texts(spark)}
+@SIZES
+def test_simhash_components_equal_brute_force(spark, folder):
+    prints = {i: plain_fingerprint(t) for i, t in texts(spark, folder)}
     ids = sorted(prints)
     links = [(a, b) for k, a in enumerate(ids) for b in ids[k:] if (prints[a] ^ prints[b]).bit_count() <= 2]
     want = roots(links)
-    got = QUERIES["op6_simhash_near_dedup"](spark, SMALL).collect()
+    got = QUERIES["op6_simhash_near_dedup"](spark, folder).collect()
     assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in got} == {i: (f"{prints[i]:016x}", want[i]) for i in ids}
 
 
@@ -266,7 +191,7 @@ def test_bpe_equals_the_library(spark, odd):
         ids = library.encode(text or "", add_special_tokens=False).ids
         return doc_id, len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))
 
-    for df in (spark.read.parquet(f"{SMALL}/documents.parquet"), odd):
+    for df in (spark.read.parquet(f"{DATA}/sf0.01/documents.parquet"), odd):
         want = Counter(row(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect())
         assert Counter(tuple(r) for r in encoded(df).collect()) == want
 
