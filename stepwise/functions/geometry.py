@@ -99,13 +99,13 @@ def action_to_space(action: Column, screen: Column, space: Column) -> Column:
 
 
 def pixel_boxes(elements: Column, screen: Column) -> Column:
-    """A screen's elements as pixel boxes in list order; null without a screen."""
+    """A screen's elements as pixel boxes in list order; null without a screen.  ``text`` is in its normal form, ``label`` as given."""
 
     def one(e: Column, i: Column) -> Column:
         b = box_to_pixel(e["bbox"], screen)
         return F.struct(
             i.alias("pos"), e["index"].alias("index"), b["x1"].alias("x1"), b["y1"].alias("y1"), b["x2"].alias("x2"), b["y2"].alias("y2"),
-            valid_box(e["bbox"]).alias("valid"), F.lower(F.trim(F.coalesce(e["text"], F.lit("")))).alias("text"), e["ui_type"].alias("ui_type"),
+            valid_box(e["bbox"]).alias("valid"), F.lower(F.trim(F.coalesce(e["text"], F.lit("")))).alias("text"), e["ui_type"].alias("ui_type"), e["text"].alias("label"),
         )
 
     return F.when(screen.isNotNull(), F.transform(elements, one))

@@ -46,12 +46,18 @@ def answer(text: Column) -> Column:
 
 def compact(text: Column, most: int = 220) -> Column:
     clean = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\r\n]", " "))
-    return F.when(F.length(clean) > most, F.concat(F.rtrim(F.substring(clean, 1, most - 3)), F.lit("..."))).otherwise(clean)
+    return F.when(F.length(clean) > most, F.concat(F.substring(clean, 1, most - 3), F.lit("..."))).otherwise(clean)
 
 
 def number_text(value: Column) -> Column:
-    """A double as text: exact for numbers of up to 15 digits between 1e-3 and 1e7."""
-    return value.cast("double").cast("string")
+    """A double as its shortest exact text: plain from 1e-4 to 1e16, beyond with an exponent of two digits or more."""
+    text, size = value.cast("double").cast("string"), F.abs(value)
+    plain = F.regexp_replace(F.regexp_replace(text.cast("decimal(38,21)").cast("string"), "0+$", ""), r"\.$", ".0")
+    mantissa = F.regexp_replace(F.regexp_extract(text, "^([^E]*)E", 1), r"\.0$", "")
+    power = F.regexp_extract(text, "E-?([0-9]+)$", 1)
+    power = F.when(F.length(power) < 2, F.concat(F.lit("0"), power)).otherwise(power)
+    long = F.concat(mantissa, F.when(F.contains(text, F.lit("E-")), "e-").otherwise("e+"), power)
+    return F.when(~F.contains(text, F.lit("E")), text).when((size >= 1e-4) & (size < 1e16), plain).otherwise(long)
 
 
 def point_text(p: Column) -> Column:
@@ -65,15 +71,28 @@ def quoted(text: Column) -> Column:
     return F.when(text.isNull(), "None").when(double, F.concat(F.lit('"'), plain, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(plain, F.lit("'"), F.lit("\\'")), F.lit("'")))
 
 
+def _literal(text: Column) -> Column:
+    return F.coalesce(quoted(text), F.lit("None"))
+
+
+def mapping_text(action: Column) -> Column:
+    """An action as a mapping of its fields, in literals."""
+    points = [F.concat(F.lit(f"'{k}': "), point_text(action[k])) for k in ("point", "start_point", "end_point")]
+    words = [F.concat(F.lit(f"'{k}': "), _literal(action[k])) for k in ("text", "direction", "coordinate_space")]
+    told = F.transform(F.map_entries(action["metadata"]), lambda e: F.concat(_literal(e["key"]), F.lit(": "), _literal(e["value"])))
+    facts = F.concat(F.lit("'metadata': {"), F.coalesce(F.array_join(told, ", "), F.lit("")), F.lit("}"))
+    return F.concat(F.lit("{"), F.concat_ws(", ", F.concat(F.lit("'type': "), _literal(action["type"])), *points, *words, facts), F.lit("}"))
+
+
 def action_text(action: Column) -> Column:
-    """An action as a call, for prompts; types without a form of their own as JSON."""
+    """An action as a call, for prompts; types without a form of their own as a mapping."""
     kind = action["type"]
     return (
         F.when(kind == "click", F.concat(F.lit("click(point="), point_text(action["point"]), F.lit(")")))
         .when(kind == "swipe", F.concat(F.lit("swipe(start_point="), point_text(action["start_point"]), F.lit(", end_point="), point_text(action["end_point"]), F.lit(")")))
         .when(kind == "type", F.concat(F.lit("type(text="), quoted(action["text"]), F.lit(")")))
         .when(kind.isin("back", "home", "wait", "finish", "impossible"), kind)
-        .otherwise(F.to_json(action))
+        .otherwise(mapping_text(action))
     )
 
 

@@ -33,10 +33,22 @@ def errors(predictions: DataFrame, focus: str | None = None) -> DataFrame:
 def enriched(wrong: DataFrame, pairs: DataFrame, pos: str = "pos") -> DataFrame:
     """Errors with what their pair tells (left join, the last of repeated pairs): elements, distance, bucket."""
     named = pairs.join(wrong.select("pair_id").distinct(), "pair_id", "left_semi")
-    facts = with_pair_facts(last_by_key(named.select("pair_id", pos, "chosen", "rejected", "boxes", "screen_size"), "pair_id", pos))
+    facts = with_pair_facts(named)
     found = F.col("rejected_element")
-    facts = facts.select("pair_id", action_text(F.col("chosen")).alias("gt_action_text"), found.alias("candidate_element"), "gt_element", found.isNotNull().alias("candidate_in_ui_element"), F.col("same_element").alias("same_element_as_gt"), "distance_px")
-    return wrong.join(facts, "pair_id", "left").withColumn("distance_bucket", distance_bucket(F.col("distance_px")))
+    facts = facts.select(
+        "pair_id",
+        pos,
+        F.col("chosen").alias("gt_action"),
+        action_text(F.col("chosen")).alias("gt_action_text"),
+        found.alias("candidate_element"),
+        "gt_element",
+        F.coalesce(found["label"], F.lit("")).alias("candidate_element_text"),
+        F.coalesce(F.col("gt_element.label"), F.lit("")).alias("gt_element_text"),
+        found.isNotNull().alias("candidate_in_ui_element"),
+        F.col("same_element").alias("same_element_as_gt"),
+        "distance_px",
+    )
+    return wrong.join(last_by_key(facts, "pair_id", pos), "pair_id", "left").withColumn("distance_bucket", distance_bucket(F.col("distance_px")))
 
 
 #: Ranges that rows are numbered in, at most.
@@ -62,21 +74,99 @@ def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     return rows.join(F.broadcast(before), "_range").withColumn(name, place.cast("int")).drop("_range", "_before")
 
 
-def review_rows(cases: DataFrame, order: list[str]) -> DataFrame:
-    """Cases numbered from 1 for a reviewer, texts compacted."""
-    texts = {k: compact(F.col(k), n) for k, n in TEXT_LENGTHS.items() if k in cases.columns}
-    return numbered(cases, order, "case_index").withColumns({**texts, "review_label": F.lit(""), "notes": F.lit(""), "suggested_labels": F.lit("|".join(REVIEW_LABELS))})
+def _told(cases: DataFrame, name: str, none: str = "") -> Column:
+    """A column as text, ``none`` where it is null or the cases lack it."""
+    return F.coalesce(F.col(name).cast("string"), F.lit(none)) if name in cases.columns else F.lit(none)
+
+
+def _of(cases: DataFrame, struct: str, field: str) -> Column:
+    return F.coalesce(F.col(f"{struct}.{field}"), F.lit("")) if struct in cases.columns else F.lit("")
+
+
+def review_rows(cases: DataFrame, order: list[str], negative_subtype: str | None = None, action_type: str | None = None) -> DataFrame:
+    """Enriched errors as a reviewer's rows: numbered from 1 in ``order``, 25 columns, texts compacted; one subtype or action type if asked.
+
+    Columns that the cases lack, and nulls, are empty texts.
+    """
+    sub, kind = subtype(F.col("negative_subtype"), F.col("negative_source")), F.col("candidate_action.type")
+    if negative_subtype is not None:
+        cases = cases.where(sub == negative_subtype)
+    if action_type is not None:
+        cases = cases.where(kind == action_type)
+    as_json = lambda name: F.coalesce(F.to_json(name), F.lit("{}")).alias(f"{name}_json") if name in cases.columns else F.lit("{}").alias(f"{name}_json")
+    plain = ("distance_px", "distance_bucket", "candidate_in_ui_element", "same_element_as_gt")
+    texts = [compact(_told(cases, k), n).alias(k) for k, n in TEXT_LENGTHS.items()]
+    return numbered(cases, order, "case_index").select(
+        "case_index",
+        F.lit("").alias("review_label"),
+        F.lit("").alias("notes"),
+        F.lit("|".join(REVIEW_LABELS)).alias("suggested_labels"),
+        _told(cases, "label").alias("label"),
+        _told(cases, "prediction_label").alias("prediction"),
+        _told(cases, "negative_type").alias("negative_type"),
+        sub.alias("negative_subtype"),
+        F.coalesce(kind, F.lit("unknown")).alias("candidate_action_type"),
+        *[_told(cases, k).alias(k) for k in plain],
+        *texts,
+        _of(cases, "candidate_element", "ui_type").alias("candidate_element_type"),
+        _of(cases, "gt_element", "ui_type").alias("gt_element_type"),
+        *[_told(cases, k).alias(k) for k in ("image", "sample_id", "pair_id")],
+        as_json("candidate_action"),
+        as_json("gt_action"),
+    )
+
+
+def _case_facts(cases: DataFrame) -> dict[str, Column]:
+    flag = lambda name: _told(cases, name, "unknown")
+    return {
+        "candidate_action_type": F.coalesce(F.col("candidate_action.type"), F.lit("unknown")),
+        "distance_bucket": flag("distance_bucket"),
+        "candidate_in_ui_element": flag("candidate_in_ui_element"),
+        "same_element_as_gt": flag("same_element_as_gt"),
+    }
+
+
+def _with_instructions(cases: DataFrame, dims: dict[str, Column], top: int) -> DataFrame:
+    said = cases.groupBy(F.coalesce("instruction", F.lit("")).alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value").limit(top)
+    return histograms(cases, dims).unionByName(said.select(F.lit("instruction").alias("dim"), "value", "n"))
 
 
 def error_summary(wrong: DataFrame, top: int = 20) -> DataFrame:
-    """(dim, value, n) of errors: by kind, type, subtype and both, and the ``top`` most frequent instructions (ties by text)."""
+    """(dim, value, n) of enriched errors: confusion, type and subtype (of those labelled No), action type, distance, elements, top instructions.
+
+    The ``top`` most frequent instructions count, ties by text.
+    """
+    no = F.col("label") == "No"
     sub = subtype(F.col("negative_subtype"), F.col("negative_source"))
-    dims = {"error": F.concat_ws("->", "label", "prediction_label"), "negative_type": F.col("negative_type"), "negative_subtype": sub, "type_subtype": F.concat_ws("->", "negative_type", sub)}
-    said = wrong.groupBy(F.col("instruction").alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value").limit(top)
-    return histograms(wrong, dims).unionByName(said.select(F.lit("instruction").alias("dim"), "value", "n"))
+    dims = {"error": F.concat_ws("->", "label", "prediction_label"), "negative_type": F.when(no, F.col("negative_type")), "negative_subtype": F.when(no, sub)}
+    return _with_instructions(wrong, {**dims, **_case_facts(wrong)}, top)
+
+
+def badcase_summary(cases: DataFrame, top: int = 20) -> DataFrame:
+    """(dim, value, n) of the cases that go to a reviewer, whatever their label: their number, then as ``error_summary``."""
+    dims = {"all": F.lit("all"), "negative_type": _told(cases, "negative_type"), "negative_subtype": subtype(F.col("negative_subtype"), F.col("negative_source"))}
+    return _with_instructions(cases, {**dims, **_case_facts(cases)}, top)
 
 
 def marker_style(x: Column, y: Column) -> Column:
     """A normalised point as a marker's place: clamped to [0, 1], in percent."""
     part = lambda v: F.format_number(F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)) * 100, 3)
-    return F.concat(F.lit("left:"), part(x), F.lit("%;top:"), part(y), F.lit("%"))
+    return F.concat(F.lit("left: "), part(x), F.lit("%; top: "), part(y), F.lit("%;"))
+
+
+# The sides of a screen whose size is unknown.
+WIDTH, HEIGHT = 720, 1520
+
+
+def aspect_ratio(screen: Column) -> Column:
+    side = lambda name, none: F.greatest(F.coalesce(F.nullif(screen[name], F.lit(0)), F.lit(none)), F.lit(1)).cast("string")
+    return F.concat(side("width", WIDTH), F.lit(" / "), side("height", HEIGHT))
+
+
+def action_markers(action: Column) -> Column:
+    """Where a page marks an action (points are normalised): (label, style) of a click's point or a move's ends; empty without any."""
+    marks = []
+    for label, kinds, name in (("click", ("click",), "point"), ("start", ("swipe", "scroll"), "start_point"), ("end", ("swipe", "scroll"), "end_point")):
+        mark = F.struct(F.lit(label).alias("label"), marker_style(action[name]["x"], action[name]["y"]).alias("style"))
+        marks.append(F.when(action["type"].isin(*kinds) & action[name].isNotNull(), mark))
+    return F.array_compact(F.array(*marks))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepwise.functions.geometry import center, clamp, first_at, from_pixel, once, point, primary_point, to_pixel
+from stepwise.functions.maps import entries, merged
 from stepwise.functions.text import uniform
 
 # Tries for a point off all elements, and the shifts, nearest first.
@@ -21,7 +22,15 @@ ORDER = ("random_coordinate", "shifted_coordinate", "same_screen_element", "wron
 FIRST_TRIES = 4
 
 
-def _action(kind: Column | str, at: Column | None = None, text: Column | None = None, start: Column | None = None, end: Column | None = None, direction: Column | None = None) -> Column:
+def _action(
+    kind: Column | str,
+    at: Column | None = None,
+    text: Column | None = None,
+    start: Column | None = None,
+    end: Column | None = None,
+    direction: Column | None = None,
+    metadata: Column | None = None,
+) -> Column:
     none = F.lit(None).cast("struct<x:double,y:double>")
     return F.struct(
         (F.lit(kind) if isinstance(kind, str) else kind).alias("type"),
@@ -31,11 +40,15 @@ def _action(kind: Column | str, at: Column | None = None, text: Column | None =
         (F.lit(None).cast("string") if text is None else text).alias("text"),
         (F.lit(None).cast("string") if direction is None else direction).alias("direction"),
         F.col("action.coordinate_space").alias("coordinate_space"),
+        (entries() if metadata is None else metadata).alias("metadata"),
     )
 
 
 def _negative(action: Column, source: str, subtype: Column | str) -> Column:
-    return F.struct(action.alias("action"), F.lit(source).alias("negative_source"), (F.lit(subtype) if isinstance(subtype, str) else subtype).alias("negative_subtype"))
+    """An action whose metadata tell where it comes from, and the same as columns."""
+    kind = F.lit(subtype) if isinstance(subtype, str) else subtype
+    told = merged(action["metadata"], entries(negative_source=source, negative_subtype=kind))
+    return F.struct(action.withField("metadata", told).alias("action"), F.lit(source).alias("negative_source"), kind.alias("negative_subtype"))
 
 
 def _attempt(i: Column, seed: int) -> Column:
@@ -62,7 +75,7 @@ def with_sampling(steps: DataFrame, seed: int = 42) -> DataFrame:
     df = once(df, _pixel=F.coalesce("_free", F.when(screen.isNotNull(), _attempt(F.lit(RANDOM_TRIES - 1), seed))), _landed=landed, _others=others)
     first = lambda test: F.get(F.filter("_landed", test), F.lit(0))["q"]
     pick = F.get("_others", F.floor(uniform(F.col("_key"), F.lit(0), "element", seed) * F.size("_others")).cast("int"))
-    return once(df, _off=first(lambda c: c["pos"].isNull()), _other=first(lambda c: ~c["pos"].eqNullSafe(source["pos"])), _pick=center(pick))
+    return once(df, _off=first(lambda c: c["pos"].isNull()), _other=first(lambda c: ~c["pos"].eqNullSafe(source["pos"])), _pick=pick)
 
 
 def random_coordinate() -> Column:
@@ -73,7 +86,7 @@ def random_coordinate() -> Column:
 
 def reversed_swipe() -> Column:
     a = F.col("action")
-    swapped = _action(a["type"], a["end_point"], a["text"], a["end_point"], a["start_point"], a["direction"])
+    swapped = _action(a["type"], a["end_point"], a["text"], a["end_point"], a["start_point"], a["direction"], a["metadata"])
     ends = a["start_point"].isNotNull() & a["end_point"].isNotNull()
     return F.when(ends, _negative(swapped, "shifted_coordinate", "wrong_swipe_direction")).otherwise(random_coordinate())
 
@@ -94,13 +107,16 @@ def shifted_coordinate() -> Column:
     a, screen = F.col("action"), F.col("screen_size")
     at = from_pixel(F.coalesce("_off", "_other", _moved(F.lit(OFFSET), F.lit(OFFSET))), screen, a["coordinate_space"])
     subtype = F.when(F.col("_off").isNotNull(), "near_miss_non_ui_shift").when(F.col("_other").isNotNull(), "shifted_other_ui_element").otherwise("shifted_coordinate_fallback")
-    shifted = _negative(_action(a["type"], at, a["text"], a["start_point"], a["end_point"], a["direction"]), "shifted_coordinate", subtype)
+    shifted = _negative(_action(a["type"], at, a["text"], a["start_point"], a["end_point"], a["direction"], a["metadata"]), "shifted_coordinate", subtype)
     return F.when(a["type"].isin(*MOVES), reversed_swipe()).when(F.col("_p").isNull(), random_coordinate()).otherwise(shifted)
 
 
 def same_screen_element() -> Column:
-    """The middle of another valid element, picked by the step's key."""
-    found = _negative(_action("click", from_pixel(F.col("_pick"), F.col("screen_size"), F.col("action.coordinate_space"))), "same_screen_element", "wrong_ui_element")
+    """The middle of another valid element, picked by the step's key; its index, text and type go to the metadata."""
+    other = F.col("_pick")
+    at = from_pixel(center(other), F.col("screen_size"), F.col("action.coordinate_space"))
+    facts = entries(ui_element_index=other["index"], ui_element_text=other["label"], ui_element_type=other["ui_type"])
+    found = _negative(_action("click", at, metadata=facts), "same_screen_element", "wrong_ui_element")
     return F.when(F.coalesce(F.size("_others") > 0, F.lit(False)), found).otherwise(random_coordinate())
 
 

@@ -20,15 +20,25 @@ def _said(decision: str, reason: str, category: str) -> Column:
     return F.struct(F.lit(decision).alias("decision"), F.lit(reason).alias("reason"), F.lit(category).alias("major_category"))
 
 
+def _clicked(action: Column) -> Column:
+    return F.when(action["type"] == "click", to_pixel(primary_point(action), F.col("screen_size"), action["coordinate_space"]))
+
+
+def with_target_region(rows: DataFrame, action: str = "action") -> DataFrame:
+    """``rows`` and the region of their recorded click: on steps, it is found once for all pairs that are made of them."""
+    return with_region(once(rows, _c=_clicked(F.col(action))), F.col("_c"), "target_region").drop("_c")
+
+
 def decided(pairs: DataFrame) -> DataFrame:
     """``pairs`` (with ``boxes``, ``screen_size``, ``task``) and decision, reason, major_category and both regions.
 
-    The first test that holds decides.  Regions are those of clicks; no shuffle.
+    The first test that holds decides.  Regions are those of clicks; no
+    shuffle.  A ``target_region`` that the pairs have from their steps is taken
+    as it is.
     """
-    screen, chosen, rejected = F.col("screen_size"), F.col("chosen"), F.col("rejected")
-    at = lambda a: F.when(a["type"] == "click", to_pixel(primary_point(a), screen, a["coordinate_space"]))
-    df = once(pairs, _c=at(chosen), _r=at(rejected))
-    df = with_region(with_region(df, F.col("_c"), "target_region"), F.col("_r"), "candidate_region")
+    chosen, rejected = F.col("chosen"), F.col("rejected")
+    df = pairs if "target_region" in pairs.columns else with_target_region(pairs, "chosen")
+    df = with_region(once(df, _r=_clicked(rejected)), F.col("_r"), "candidate_region")
     df = once(df, region_overlap=overlap(F.col("target_region"), F.col("candidate_region")))
     kind, other = F.col("target_region.kind"), F.col("candidate_region.kind")
     by_type = F.col("negative_type") == "wrong_action_type"
@@ -49,13 +59,13 @@ def decided(pairs: DataFrame) -> DataFrame:
         .when(other.isin(*FUNCTIONAL) | F.col("negative_type").isin("same_screen_element", "shifted_coordinate"), _said("keep", "candidate_other_ui_or_functional_region", "semantic_hard_negative"))
         .otherwise(_said("keep", "candidate_other_ui_region", "clean_negative"))
     )
-    return once(df, _d=tree).select("*", "_d.*").drop("_d", "_c", "_r")
+    return once(df, _d=tree).select("*", "_d.*").drop("_d", "_r")
 
 
 def last_by_key(rows: DataFrame, key: str, pos: str) -> DataFrame:
-    """Of rows that repeat a key, the one that came last."""
+    """Of rows that repeat a key, the one that came last by ``pos``, which tells a key's rows apart."""
     rest = [c for c in rows.columns if c not in (key, pos)]
-    return rows.groupBy(key).agg(F.max(F.struct(pos, *rest)).alias("_last")).select(key, *[f"_last.{c}" for c in rest])
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(pos)).alias("_last")).select(key, *[f"_last.{c}" for c in rest])
 
 
 def with_decision(pairs: DataFrame, decisions: DataFrame, pos: str = "pos") -> DataFrame:

@@ -145,6 +145,15 @@ def in_region(name: str, p: Column) -> Column:
     return F.coalesce(contains(F.col(name), p), F.lit(False))
 
 
+def distinct_boxes(df: DataFrame, boxes: str = "boxes", label: str = "ui_type", grid: int = 6) -> DataFrame:
+    """``df`` with ``boxes`` cut down as ``dedupe_boxes`` does, within the row: no shuffle."""
+    cell = lambda b: F.struct(*[(F.bround(b[c] / grid) * grid).alias(c) for c in ("x1", "y1", "x2", "y2")], b[label].alias("label"))
+    valid = F.filter(boxes, lambda b: (b["x2"] > b["x1"]) & (b["y2"] > b["y1"]))
+    df = once(df, _cells=F.array_sort(F.transform(valid, lambda b: F.struct(cell(b).alias("cell"), b["pos"].alias("pos"), b.alias("box")))))
+    first = F.filter("_cells", lambda c, i: (i == 0) | ~c["cell"].eqNullSafe(F.get("_cells", i - 1)["cell"]))
+    return df.withColumn(boxes, F.array_sort(F.transform(first, lambda c: c["box"]))).drop("_cells")
+
+
 def dedupe_boxes(boxes: DataFrame, keys: list[str], grid: int = 6) -> DataFrame:
     """Of a screen's valid boxes (``keys``, pos, x1..y2, label), the first of those that agree on a grid and in their label."""
     cells = [(F.bround(F.col(c) / grid) * grid).alias(f"_{c}") for c in ("x1", "y1", "x2", "y2")]

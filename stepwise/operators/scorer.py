@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepwise.functions.text import action_text, prompt
+from stepwise.operators.profile import histograms
 
 # Fixed value: the question of a prompt.
 QUESTION = "Is this candidate action correct for the instruction and screenshot?"
@@ -40,7 +41,8 @@ def messages(system: str, text: Column, image: Column, reply: Column | None = No
 
 
 def resolved(path: Column, root: str) -> Column:
-    return F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), path))
+    """An image's path below ``root``, unless it is absolute; null without one."""
+    return F.when(path.startswith("/"), path).when(path != "", F.concat(F.lit(root.rstrip("/") + "/"), path))
 
 
 def scorer_summary(rows: DataFrame) -> DataFrame:
@@ -56,6 +58,16 @@ def scorer_summary(rows: DataFrame) -> DataFrame:
 
 
 def missing_images(rows: DataFrame, files: DataFrame, root: str) -> DataFrame:
-    """Distinct image paths of ``rows`` that ``files`` (path) lacks."""
-    paths = rows.where("image is not null").select(resolved(F.col("image"), root).alias("path")).distinct()
+    """Image paths of ``rows`` that ``files`` (path) lacks, with the number of rows that name them (n)."""
+    paths = rows.select(resolved(F.col("image"), root).alias("path")).where("path is not null").groupBy("path").agg(F.count(F.lit(1)).alias("n"))
     return paths.join(files.select("path"), "path", "left_anti")
+
+
+def scorer_histograms(rows: DataFrame) -> DataFrame:
+    """(dim, value, n) of scorer rows: labels, negative types of those labelled No, candidate action types."""
+    no = F.col("label") == "No"
+    return histograms(rows, {
+        "label": F.coalesce("label", F.lit("")),
+        "negative_type": F.when(no, F.coalesce("negative_type", F.lit(""))),
+        "candidate_action_type": F.coalesce(F.col("candidate_action.type"), F.lit("unknown")),
+    })

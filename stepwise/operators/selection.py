@@ -15,6 +15,12 @@ def difficulty(score: Column, model_error: Column, quality: Column) -> Column:
     return F.coalesce(score, model_error, 1 - F.coalesce(quality, F.lit(1.0)))
 
 
+def step_difficulty(metadata: Column, quality: Column) -> Column:
+    """A step's difficulty: what its metadata say, else what it lacks in quality."""
+    told = lambda key: F.try_element_at(metadata, F.lit(key)).cast("double")
+    return difficulty(told("difficulty_score"), told("model_error_rate"), quality)
+
+
 def select_diverse(rows: DataFrame, max_samples: int, min_quality: str = "high", per_action: int | None = None) -> DataFrame:
     """Round robin over action types, the most difficult first: ``rows`` (key, action_type, bucket, difficulty) with turn and position.
 

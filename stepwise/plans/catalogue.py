@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from stepwise.functions import geometry as G
 from stepwise.functions import text as X
-from stepwise.operators import audit, errors, metrics, negatives, pair_filter, profile, regions, rewards, scorer, selection
-from stepwise.plans.fixtures import SQL_PREDICTIONS, SQL_STEPS, predictions, read, steps
+from stepwise.operators import audit, errors, metrics, negatives, pair_filter, profile, regions, rewards, scorer, selection, transforms
+from stepwise.plans.fixtures import ELEMENT_TEXTS, ELEMENT_TYPES, SQL_PREDICTIONS, SQL_STEPS, sql_list, predictions, read, steps
 from stepwise.sources import episodes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,7 +96,7 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.sequence(F.lit(0), F.lit(2))
     record = F.struct(
         F.concat(F.lit("e"), e.cast("string")).alias("ep_id"), F.concat(F.lit("goal "), (e % 9).cast("string")).alias("goal_info"), F.get(F.array(*map(F.lit, (3, 4, 5, 6, 7, 10, 11, 99))), (e % 8).cast("int")).alias("results_action_type"),
-        F.when(e % 16 != 1, touch).alias("results_yx_touch"), lift.alias("results_yx_lift"), F.array(F.lit("hi"), F.lit("there")).alias("results_type_action"),
+        F.when(e % 2 == 0, "phone").alias("device_type"), (e % 7).alias("episode_length"), F.when(e % 16 != 1, touch).alias("results_yx_touch"), lift.alias("results_yx_lift"), F.array(F.lit("hi"), F.lit("there")).alias("results_type_action"),
         F.struct(F.array(F.lit(1080), F.lit(2400)).alias("size"), F.concat(F.lit("shots/"), e.cast("string"), F.lit(".png")).alias("path")).alias("image_encoded"),
         F.flatten(F.transform(i, lambda k: F.array((e * 3 + k * 311) % 1000 / 1000.0, (e * 7 + k * 97) % 1000 / 1000.0, F.lit(0.1), F.lit(0.3)))).alias("image_ui_annotations_positions"),
         F.array(F.lit("a"), F.lit(None).cast("string"), F.lit("c")).alias("image_ui_annotations_text"), F.array(F.lit("TEXT"), F.lit("ICON"), F.lit("TEXT")).alias("image_ui_annotations_ui_types"),
@@ -110,13 +110,16 @@ _RAW = """r AS (
            CASE WHEN event_id % 3 = 0 THEN ((event_id * 104729) % 1000) / 1000.0::DOUBLE ELSE ((event_id * 9973) % 1000) / 1000.0::DOUBLE END AS lx FROM events)"""
 
 
-@query("""SELECT 'e' || e AS episode_id, 0 AS step_id, 'goal ' || e % 9 AS task, 'shots/' || e || '.png' AS screenshot_before, 1080 AS width, 2400 AS height, type, CASE WHEN type = 'type' THEN 'hi' END AS text,
+@query("""SELECT 'e' || e AS episode_id, 0 AS step_id, 'goal ' || e % 9 AS task, 'shots/' || e || '.png' AS screenshot_before, 1080 AS width, 2400 AS height, type, CASE WHEN type = 'type' THEN 'hi' END AS text, ['3', '4', '5', '6', '7', '10', '11', '99'][c + 1] AS action_code,
+      CASE WHEN c = 4 THEN 'press_enter' END AS semantic, 'coded' AS source, CASE WHEN e % 2 = 0 THEN 'phone' END AS device_type, CAST(e % 7 AS VARCHAR) AS episode_length, CASE WHEN type IN ('click', 'swipe') THEN 'normalized_1' ELSE 'pixel' END AS space,
       CASE WHEN type = 'click' THEN tx END AS x, CASE WHEN type = 'click' THEN ty END AS y, CASE WHEN type = 'swipe' THEN tx END AS sx, CASE WHEN type = 'swipe' THEN ly END AS ey
     FROM (SELECT *, CASE c WHEN 0 THEN 'type' WHEN 1 THEN CASE WHEN e % 16 = 1 THEN 'wait' WHEN sqrt((tx - lx) * (tx - lx) + (ty - ly) * (ty - ly)) <= 0.04 THEN 'click' ELSE 'swipe' END
             WHEN 2 THEN 'back' WHEN 3 THEN 'home' WHEN 4 THEN 'wait' WHEN 5 THEN 'finish' WHEN 6 THEN 'impossible' ELSE 'wait' END AS type FROM r)""", _RAW)
 def decode_coded_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = episodes.parser("coded")(_raw(spark, sf_dir))
-    return s.select("episode_id", "step_id", "task", "screenshot_before", F.col("screen_size.width"), F.col("screen_size.height"), F.col("action.type"), F.col("action.text"), F.col("action.point.x").alias("x"), F.col("action.point.y").alias("y"), F.col("action.start_point.x").alias("sx"), F.col("action.end_point.y").alias("ey"))
+    return s.select("episode_id", "step_id", "task", "screenshot_before", F.col("screen_size.width"), F.col("screen_size.height"), F.col("action.type"), F.col("action.text"), F.col("action.point.x").alias("x"), F.col("action.point.y").alias("y"), F.col("action.start_point.x").alias("sx"), F.col("action.end_point.y").alias("ey"),
+        *[F.try_element_at("action.metadata", F.lit(k)).alias(k) for k in ("action_code", "semantic")], *[F.try_element_at("metadata", F.lit(k)).alias(k) for k in ("source", "device_type", "episode_length")],
+        F.col("action.coordinate_space").alias("space"))
 
 
 @query("""SELECT 'e' || e AS episode_id, CAST(k AS INTEGER) AS "index", ['a', '', 'c'][k + 1] AS text, ['TEXT', 'ICON', 'TEXT'][k + 1] AS ui_type,
@@ -159,13 +162,21 @@ def coords_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT event_id, CASE WHEN screen THEN 'normalized_1000' ELSE space END AS space, round(CASE WHEN screen THEN px / 1080 * 1000 ELSE x END, 6) AS x,
-      round(CASE WHEN screen THEN ((event_id * 11) % 800)::DOUBLE / 1080 * 1000 ELSE (event_id * 11) % 800 END, 6) AS tx1 FROM steps""".replace(" FILTER_T", ""))
+      round(CASE WHEN screen THEN ((event_id * 11) % 800)::DOUBLE / 1080 * 1000 ELSE (event_id * 11) % 800 END, 6) AS tx1,
+      round(CASE WHEN screen THEN px / 1080 * 1000 ELSE x END, 6) AS history_x, 1 AS n_history FROM steps""")
 def step_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, screen = steps(spark, sf_dir, texts=False), F.col("screen_size")
-    s = s.withColumn("target_bbox", G.box((F.col("event_id") * 11) % 800, F.lit(0), F.lit(900), F.lit(10)))
-    there = F.lit("normalized_1000")
-    s = s.withColumns({"action": F.when(screen.isNull(), F.col("action")).otherwise(G.action_to_space(F.col("action"), screen, there)), "target_bbox": F.when(screen.isNull(), F.col("target_bbox")).otherwise(G.box_to_space(F.col("target_bbox"), screen, there))})
-    return s.select("event_id", F.col("action.coordinate_space").alias("space"), _r(G.primary_point(F.col("action"))["x"]).alias("x"), _r(F.col("target_bbox.x1")).alias("tx1"))
+    s = steps(spark, sf_dir, texts=False)
+    s = s.withColumns({"target_bbox": G.box((F.col("event_id") * 11) % 800, F.lit(0), F.lit(900), F.lit(10)), "history": F.array("action")})
+    s = transforms.in_space(s)
+    past = F.get("history", F.lit(0))
+    return s.select(
+        "event_id",
+        F.col("action.coordinate_space").alias("space"),
+        _r(G.primary_point(F.col("action"))["x"]).alias("x"),
+        _r(F.col("target_bbox.x1")).alias("tx1"),
+        _r(G.primary_point(past)["x"]).alias("history_x"),
+        F.size("history").alias("n_history"),
+    )
 
 
 _HELD = ", held AS (SELECT s.event_id, i, txt, ui_type, valid, (x2 - x1) * (y2 - y1) AS area FROM steps s JOIN els e ON s.event_id = e.event_id AND px BETWEEN x1 AND x2 AND py BETWEEN y1 AND y2) "
@@ -173,13 +184,16 @@ _HELD = ", held AS (SELECT s.event_id, i, txt, ui_type, valid, (x2 - x1) * (y2 -
 
 @query(_HELD + "SELECT event_id, min(i) FILTER (valid) AS first_valid, min(i) AS first_any FROM held GROUP BY event_id")
 def element_at_point_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _boxed(spark, sf_dir).select("event_id", G.first_at(F.col("boxes"), _p())["index"].cast("long").alias("first_valid"), G.first_at(F.col("boxes"), _p(), True)["index"].cast("long").alias("first_any"))
-    return s.where("first_any is not null")
+    s = G.once(_boxed(spark, sf_dir), p=_p())
+    s = G.once(s, first_valid=G.first_at(F.col("boxes"), F.col("p"))["index"].cast("long"), first_any=G.first_at(F.col("boxes"), F.col("p"), True)["index"].cast("long"))
+    return s.where("first_any is not null").select("event_id", "first_valid", "first_any")
 
 
 @query(_HELD + "SELECT event_id, i AS smallest FROM held WHERE valid QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY area, i) = 1")
 def element_at_point_smallest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _boxed(spark, sf_dir).select("event_id", G.smallest_at(F.col("boxes"), _p())["index"].cast("long").alias("smallest")).where("smallest is not null")
+    s = G.once(_boxed(spark, sf_dir), p=_p())
+    s = G.once(s, smallest=G.smallest_at(F.col("boxes"), F.col("p"))["index"].cast("long"))
+    return s.where("smallest is not null").select("event_id", "smallest")
 
 
 # Profiles.
@@ -203,6 +217,26 @@ def action_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.histograms(steps(spark, sf_dir, texts=False), {"action_type": F.col("action.type")}).drop("dim")
 
 
+_RECORDS = """n AS (SELECT event_type AS k, count(*) AS n FROM events GROUP BY ALL), s AS (SELECT CAST(sum(n) AS BIGINT) AS n FROM n)"""
+_PATHS = "(VALUES ('id', 'int', 1), ('steps', 'list', 2), ('steps[]', 'dict', 2), ('steps[].action', 'str', 1), ('steps[].action', 'dict', 1), ('steps[].action.type', 'str', 1), ('steps[].size', 'float', 1), ('none', 'list', 2)) p(path, type, m)"
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    form = '{"id": %d, "steps": [{"action": "%s"}, {"action": {"type": "%s"}, "size": 1.5}], "none": []}'
+    return read(spark, sf_dir, "events").select(F.format_string(form, "event_id", "event_type", "event_type").alias("raw"))
+
+
+@query(f"SELECT path, type, m * n AS n FROM s, {_PATHS}", _RECORDS)
+def json_census_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.json_census(_records(spark, sf_dir), limit=None, depth=5)
+
+
+@query(f"""SELECT 'path' AS dim, path AS value, type, m * n AS n FROM s, {_PATHS} UNION ALL SELECT 'record', 'all', NULL, n FROM s
+    UNION ALL SELECT 'key', unnest(['id', 'steps', 'none']), NULL, n FROM s UNION ALL SELECT 'action_like', k, NULL, 2 * n FROM n""", _RECORDS)
+def record_census(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.record_census(_records(spark, sf_dir), limit=None, depth=5)
+
+
 @query("""SELECT path, type, n FROM (SELECT 'k' AS path, CASE typeof(v) WHEN 'x' THEN '' ELSE 'int' END AS type, count(*) AS n FROM (SELECT json_extract(props, '$.k') AS v FROM events WHERE json_valid(props)) WHERE v IS NOT NULL GROUP BY ALL)""", "u AS (SELECT 1)")
 def json_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.json_census(read(spark, sf_dir, "events").where("props is not null").select(F.col("props").alias("raw")), limit=None, depth=4)
@@ -211,14 +245,14 @@ def json_census(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Selection and splits.
 
 _QDD = _PASSED + """, t AS (
-    SELECT episode_id || ':' || step_id AS key, kind AS action_type, difficulty, row_number() OVER (PARTITION BY kind ORDER BY difficulty DESC, episode_id || ':' || step_id DESC) AS turn
-    FROM b WHERE bucket = 'high')
+    SELECT key, action_type, difficulty, row_number() OVER (PARTITION BY action_type ORDER BY difficulty DESC, key DESC) AS turn
+    FROM (SELECT episode_id || ':' || step_id AS key, kind AS action_type, coalesce(difficulty, 1 - score) AS difficulty FROM b WHERE bucket = 'high'))
 """
 
 
 def _qdd(spark: SparkSession, sf_dir: str, **limits: int) -> DataFrame:
     rows = audit.audited(steps(spark, sf_dir))
-    hard = selection.difficulty(F.col("difficulty"), F.lit(None).cast("double"), F.col("audit.quality_score"))
+    hard = selection.step_difficulty(F.col("metadata"), F.col("audit.quality_score"))
     rows = rows.select(F.col("audit.key").alias("key"), F.col("action.type").alias("action_type"), F.col("audit.quality_bucket").alias("bucket"), hard.alias("difficulty"))
     return selection.select_diverse(rows, **limits).select("key", "action_type", "difficulty", "turn")
 
@@ -360,6 +394,10 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.preference_pairs(_boxed(spark, sf_dir))
 
 
+def _pairs_of_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.preference_pairs(profile.with_gt_element(_boxed(spark, sf_dir)))
+
+
 def _negative_query(name: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         n = negatives.with_sampling(_boxed(spark, sf_dir)).select("event_id", negatives.SAMPLERS[name]().alias("n"))
@@ -374,6 +412,17 @@ for _name in negatives.ORDER:
     _negative_query(_name)
 
 
+@query(_NEG + """, chosen AS (SELECT s.event_id, o.i FROM steps s JOIN oth o ON s.event_id = o.event_id
+      AND rn = CAST(floor(CAST('0x' || substr(md5('42|' || episode_id || ':' || step_id || '|0|element'), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE * n) AS BIGINT))
+  SELECT p.event_id, p.negative_type, source AS negative_source, subtype AS negative_subtype, CASE WHEN source = 'shifted_coordinate' THEN 'd' END AS device,
+    CAST(c.i AS VARCHAR) AS ui_element_index, e.txt AS ui_element_text, e.ui_type AS ui_element_type
+  FROM pairs p LEFT JOIN chosen c ON p.event_id = c.event_id AND p.negative_type = 'same_screen_element' LEFT JOIN els e ON c.event_id = e.event_id AND c.i = e.i""")
+def negative_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = lambda key: F.try_element_at("rejected.metadata", F.lit(key)).alias(key)
+    keys = ("negative_source", "negative_subtype", "device", "ui_element_index", "ui_element_type")
+    return _pairs(spark, sf_dir).select("event_id", "negative_type", *map(told, keys), F.lower(F.trim(told("ui_element_text"))).alias("ui_element_text"))
+
+
 @query("SELECT event_id, x AS old_x, ex AS start_x, ey AS start_y, x AS end_x, y AS end_y FROM steps WHERE kind = 'swipe'")
 def neg_swipe_reversed(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = negatives.with_sampling(_boxed(spark, sf_dir)).where("action.type = 'swipe'").select("event_id", F.col("action.start_point.x").alias("old_x"), negatives.reversed_swipe().alias("n"))
@@ -395,12 +444,12 @@ _FACTS = """, ge AS (SELECT p.pair_id, min(i) AS gi FROM pr p JOIN els e ON p.ev
                    CASE WHEN ri IS NOT NULL THEN ['TEXT', 'ICON_MAGNIFYING_GLASS', 'TEXT', 'BUTTON', 'ICON_MIC'][1 + (event_id + ri) % 5] END]) AS value FROM fb)
   SELECT dim, value, count(*) AS n FROM v WHERE value IS NOT NULL GROUP BY ALL""")
 def pairs_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.pair_profile(_pairs(spark, sf_dir))
+    return profile.pair_profile(_pairs_of_elements(spark, sf_dir))
 
 
 @query(_NEG + _FACTS + "SELECT negative_type, bucket, count(*) AS n FROM fb GROUP BY ALL")
 def distance_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = profile.with_pair_facts(_pairs(spark, sf_dir))
+    rows = profile.with_pair_facts(_pairs_of_elements(spark, sf_dir))
     return rows.groupBy("negative_type", G.distance_bucket(F.col("distance_px")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -419,13 +468,26 @@ def scorer_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scorer.scorer_summary(scorer.scorer_rows(_pairs(spark, sf_dir)))
 
 
-_TEXT = "CASE kind WHEN 'type' THEN 'type(text=' || CASE WHEN contains(typed, '''') AND NOT contains(typed, '\"') THEN '\"' || replace(typed, '\\', '\\\\') || '\"' ELSE '''' || replace(replace(typed, '\\', '\\\\'), '''', '\\''') || '''' END || ')' ELSE kind END"
+@query(_NEG + """, r AS (SELECT 'Yes' AS label, kind AS k, negative_type FROM pairs UNION ALL SELECT 'No', rkind, negative_type FROM pairs),
+    v AS (SELECT unnest(['label', 'negative_type', 'candidate_action_type']) AS dim, unnest([label, CASE WHEN label = 'No' THEN negative_type END, k]) AS value FROM r)
+  SELECT dim, value, count(*) AS n FROM v WHERE value IS NOT NULL GROUP BY ALL""")
+def scorer_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scorer.scorer_histograms(scorer.scorer_rows(_pairs(spark, sf_dir)))
+
 
+@query("SELECT '/shots/root/' || image AS path, count(*) AS n FROM steps WHERE event_id % 3 <> 0 AND image IS NOT NULL GROUP BY image")
+def missing_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = steps(spark, sf_dir, texts=False).select("event_id", F.col("screenshot_before").alias("image"))
+    there = rows.where(F.col("event_id") % 3 == 0).select(scorer.resolved(F.col("image"), "/shots/root/").alias("path")).where("path is not null")
+    return scorer.missing_images(rows, there, "/shots/root")
 
-@query(f"SELECT event_id, 'Instruction: ' || task || chr(10) || 'Candidate action: ' || {_TEXT} || chr(10) || 'Is this candidate action correct for the instruction and screenshot?' || chr(10) || 'Answer only Yes or No.' AS prompt FROM steps WHERE kind NOT IN ('click', 'swipe')")
+
+_TEXT = "CASE kind WHEN 'click' THEN 'click(point=[' || x || ', ' || y || '])' WHEN 'swipe' THEN 'swipe(start_point=[' || x || ', ' || y || '], end_point=[' || ex || ', ' || ey || '])' WHEN 'type' THEN 'type(text=' || CASE WHEN contains(typed, '''') AND NOT contains(typed, '\"') THEN '\"' || replace(typed, '\\', '\\\\') || '\"' ELSE '''' || replace(replace(typed, '\\', '\\\\'), '''', '\\''') || '''' END || ')' ELSE kind END"
+
+
+@query(f"SELECT event_id, 'Instruction: ' || task || chr(10) || 'Candidate action: ' || {_TEXT} || chr(10) || 'Is this candidate action correct for the instruction and screenshot?' || chr(10) || 'Answer only Yes or No.' AS prompt FROM steps")
 def prompt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = steps(spark, sf_dir).where(~F.col("action.type").isin("click", "swipe"))
-    s = s.select("event_id", F.col("task").alias("instruction"), X.action_text(F.col("action")).alias("candidate_action_text"))
+    s = steps(spark, sf_dir).select("event_id", F.col("task").alias("instruction"), X.action_text(F.col("action")).alias("candidate_action_text"))
     return scorer.with_prompt(s).select("event_id", "prompt")
 
 
@@ -522,7 +584,7 @@ _DECIDED = _NEG + _region_sql("SELECT pair_id || '+' AS id, event_id, task, px A
 
 
 def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pair_filter.decided(_pairs(spark, sf_dir))
+    return pair_filter.decided(negatives.preference_pairs(pair_filter.with_target_region(_boxed(spark, sf_dir))))
 
 
 @query(_DECIDED + "SELECT pair_id, decision, reason, major_category, tk AS target_kind, ok AS candidate_kind FROM ds")
@@ -566,9 +628,8 @@ def sample_per_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(""", v AS (SELECT DISTINCT event_id, bround6(x1) AS a, bround6(y1) AS b, bround6(x2) AS c, bround6(y2) AS d, ui_type AS label FROM els WHERE valid)
   SELECT event_id, count(*) AS n FROM v GROUP BY event_id""".replace("bround6(", "round_even6("), SQL_STEPS.replace("\n", "\n"))
 def boxes_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _boxed(spark, sf_dir).select("event_id", F.explode("boxes").alias("b"))
-    s = s.select("event_id", "b.pos", "b.x1", "b.y1", "b.x2", "b.y2", F.col("b.ui_type").alias("label"))
-    return regions.dedupe_boxes(s, ["event_id"]).groupBy("event_id").agg(F.count(F.lit(1)).alias("n"))
+    s = regions.distinct_boxes(_boxed(spark, sf_dir).where("boxes is not null"))
+    return s.select("event_id", F.size("boxes").cast("long").alias("n")).where("n > 0")
 
 
 ORACLES["boxes_dedupe"] = f"""WITH {SQL_STEPS}, v AS (
@@ -617,6 +678,7 @@ def _wrong(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = pairs.select(
         F.when(F.col("event_id") % 11 == 0, F.concat(F.lit("lost:"), "pair_id")).otherwise(F.col("pair_id")).alias("pair_id"), F.concat("pair_id", F.lit(":rejected")).alias("sample_id"),
         F.lit("No").alias("label"), F.when(F.col("event_id") % 9 == 0, "Yes").otherwise("No").alias("prediction_label"), F.lit(None).cast("boolean").alias("correct"), F.col("task").alias("instruction"), "negative_type", "negative_subtype", "negative_source",
+        F.col("rejected").alias("candidate_action"), F.col("screenshot_before").alias("image"),
     )
     return errors.errors(rows), pairs.withColumn("pos", F.lit(0))
 
@@ -628,18 +690,61 @@ def error_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("sample_id", "candidate_in_ui_element", "same_element_as_gt", "distance_bucket", _r(F.col("distance_px")).alias("distance_px"))
 
 
-@query(_NEG + _FACTS + _WRONG + """SELECT CAST(row_number() OVER (ORDER BY pair_id || ':rejected') AS INTEGER) AS case_index, pair_id || ':rejected' AS sample_id, '' AS review_label,
-    CASE WHEN length(trim(task)) > 40 THEN rtrim(substr(trim(task), 1, 37)) || '...' ELSE trim(task) END AS instruction FROM wr""", _WRONG_STEPS)
+_LOST = "event_id % 11 = 0"
+_CASES = f"""SELECT CAST(row_number() OVER (ORDER BY pair_id || ':rejected') AS INTEGER) AS case_index, '' AS review_label, '' AS notes, 'No' AS label, 'Yes' AS prediction, negative_type,
+    subtype AS negative_subtype, rkind AS candidate_action_type, CASE WHEN {_LOST} THEN 'unknown' ELSE bucket END AS distance_bucket, CASE WHEN {_LOST} THEN '' WHEN ri IS NULL THEN 'false' ELSE 'true' END AS candidate_in_ui_element,
+    CASE WHEN {_LOST} THEN '' WHEN same_element THEN 'true' ELSE 'false' END AS same_element_as_gt, CASE WHEN length(trim(task)) > 300 THEN substr(trim(task), 1, 297) || '...' ELSE trim(task) END AS instruction,
+    CASE WHEN {_LOST} THEN '' WHEN length({_TEXT}) > 260 THEN substr({_TEXT}, 1, 257) || '...' ELSE {_TEXT} END AS gt_action_text, coalesce(image, '') AS image, pair_id || ':rejected' AS sample_id, CASE WHEN {_LOST} THEN 'lost:' ELSE '' END || pair_id AS pair_id,
+    CASE WHEN {_LOST} OR ri IS NULL THEN '' ELSE {sql_list(ELEMENT_TYPES)}[1 + (event_id + ri) % 5] END AS candidate_element_type, CASE WHEN {_LOST} OR gi IS NULL THEN '' ELSE {sql_list(ELEMENT_TEXTS)}[1 + (event_id + gi * 3) % 10] END AS gt_element_text FROM wr"""
+_LEFT_OUT = ("suggested_labels", "distance_px", "candidate_action_text", "candidate_element_text", "gt_element_type", "candidate_action_json", "gt_action_json")
+
+
+@query(_NEG + _FACTS + _WRONG + _CASES, _WRONG_STEPS)
 def badcase_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Review rows, but for columns of numbers as text."""
+    return errors.review_rows(errors.enriched(*_wrong(spark, sf_dir)), ["sample_id"]).drop(*_LEFT_OUT)
+
+
+@query(_NEG + _FACTS + _WRONG + "SELECT CAST(row_number() OVER (ORDER BY pair_id || ':rejected') AS INTEGER) AS case_index, pair_id || ':rejected' AS sample_id FROM wr WHERE subtype = 'near_miss_non_ui_shift' AND rkind = 'click'", _WRONG_STEPS)
+def badcase_rows_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     wrong, _ = _wrong(spark, sf_dir)
-    short = wrong.withColumn("instruction", X.compact(F.col("instruction"), 40))
-    return errors.review_rows(short, ["sample_id"]).select("case_index", "sample_id", "review_label", "instruction")
+    return errors.review_rows(wrong, ["sample_id"], "near_miss_non_ui_shift", "click").select("case_index", "sample_id")
+
 
+_SUMMED = f"""candidate_action_type', 'distance_bucket', 'candidate_in_ui_element', 'same_element_as_gt']) AS dim,
+    unnest([{{0}}, negative_type, subtype, rkind, CASE WHEN {_LOST} THEN 'unknown' ELSE bucket END, CASE WHEN {_LOST} THEN 'unknown' WHEN ri IS NULL THEN 'false' ELSE 'true' END,
+            CASE WHEN {_LOST} THEN 'unknown' WHEN same_element THEN 'true' ELSE 'false' END]) AS value FROM wr)
+  SELECT dim, value, count(*) AS n FROM v GROUP BY ALL UNION ALL SELECT * FROM (SELECT 'instruction', task, count(*) FROM wr GROUP BY task ORDER BY count(*) DESC, task LIMIT 20)"""
 
-@query(_NEG + _FACTS + _WRONG + """, v AS (SELECT unnest(['error', 'negative_type', 'negative_subtype', 'type_subtype']) AS dim, unnest(['No->Yes', negative_type, subtype, negative_type || '->' || subtype]) AS value FROM wr)
-  SELECT dim, value, count(*) AS n FROM v GROUP BY ALL UNION ALL SELECT * FROM (SELECT 'instruction', task, count(*) FROM wr GROUP BY task ORDER BY count(*) DESC, task LIMIT 20)""", _WRONG_STEPS)
+
+@query(_NEG + _FACTS + _WRONG + ", v AS (SELECT unnest(['error', 'negative_type', 'negative_subtype', '" + _SUMMED.format("'No->Yes'"), _WRONG_STEPS)
 def error_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return errors.error_summary(_wrong(spark, sf_dir)[0])
+    return errors.error_summary(errors.enriched(*_wrong(spark, sf_dir)))
+
+
+@query(_NEG + _FACTS + _WRONG + ", v AS (SELECT unnest(['all', 'negative_type', 'negative_subtype', '" + _SUMMED.format("'all'"), _WRONG_STEPS)
+def badcase_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return errors.badcase_summary(errors.enriched(*_wrong(spark, sf_dir)))
+
+
+@query("""SELECT event_id, CASE kind WHEN 'click' THEN 1 WHEN 'swipe' THEN 2 ELSE 0 END AS n,
+    CASE WHEN x IS NOT NULL THEN format('left: {:.3f}%; top: {:.3f}%;', greatest(0.0::DOUBLE, least(1.0::DOUBLE, x)) * 100, greatest(0.0::DOUBLE, least(1.0::DOUBLE, y)) * 100) END AS first_style FROM steps""")
+def action_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = steps(spark, sf_dir, texts=False).select("event_id", errors.action_markers(F.col("action")).alias("m"))
+    return s.select("event_id", F.size("m").alias("n"), F.get("m", F.lit(0))["style"].alias("first_style"))
+
+
+@query("""SELECT doc_id % 5 AS run_id, count(*) AS num_samples, round(avg((label = prediction_label)::INT), 9) AS accuracy, count(*) FILTER (label = 'No' AND prediction_label = 'Yes') AS false_positive_no_to_yes
+    FROM (SELECT sample_id AS doc_id, label, prediction_label FROM preds) GROUP BY ALL""", SQL_PREDICTIONS)
+def run_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five runs' reports as JSON, looked up again."""
+    p = predictions(spark, sf_dir).withColumn("run", (F.col("sample_id") % 5).cast("string"))
+    right = F.avg((F.col("label") == F.col("prediction_label")).cast("int"))
+    wrong = F.count_if((F.col("label") == "No") & (F.col("prediction_label") == "Yes"))
+    r = p.groupBy("run").agg(F.count(F.lit(1)).alias("num_samples"), right.alias("accuracy"), F.create_map(F.lit("No->Yes"), wrong).alias("confusion"))
+    r = r.select("run", F.parse_json(F.to_json(F.struct("num_samples", "accuracy", "confusion"))).alias("report"))
+    out = profile.run_figures(r)
+    return out.select(F.col("run").cast("long").alias("run_id"), "num_samples", _r(F.col("accuracy"), 9).alias("accuracy"), "false_positive_no_to_yes")
 
 
 # Metrics.

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stepwise.functions.geometry import box, once, point
+from stepwise.functions.maps import entries
+from stepwise.sources.episodes import ACTION
 
 EVENT_TYPES = {"click": "click", "view": "swipe", "signup": "type", "purchase": "finish", "error": "back"}
 WIDTH, HEIGHT = 1080, 2400
@@ -58,6 +60,7 @@ def steps(spark: SparkSession, sf_dir: str, texts: bool = True) -> DataFrame:
     action = F.struct(
         kind.alias("type"), F.when(kind == "click", at(7919, 104729)).alias("point"), F.when(kind == "swipe", at(7919, 104729)).alias("start_point"), F.when(kind == "swipe", at(6007, 9973)).alias("end_point"),
         typed.alias("text"), F.lit(None).cast("string").alias("direction"), space.alias("coordinate_space"),
+        entries(device="d").alias("metadata"),
     )
 
     def element(i: Column) -> Column:
@@ -68,10 +71,13 @@ def steps(spark: SparkSession, sf_dir: str, texts: bool = True) -> DataFrame:
 
     target = F.when(e % 4 == 0, box((e * 11) % 800, (e * 19) % 1800, (e * 11) % 800 + 200, (e * 19) % 1800 + 300))
     df = once(df, task=task, action=action, target_bbox=target, screen_size=screen)
+    hard = (F.col("value") / 500).cast("string")
+    told = F.when(turn == 0, entries(difficulty_score=hard)).when(turn == 1, entries(model_error_rate=hard)).otherwise(entries())
     return df.select(
         "event_id", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("episode_id"), "step_id", "task",
         F.when(e % 7 != 0, F.concat(F.lit("shots/"), e.cast("string"), F.lit(".png"))).alias("screenshot_before"), "screen_size", "action",
-        "target_bbox", F.transform(F.sequence(F.lit(0), F.lit(6)), element).alias("ui_elements"), (F.col("value") / 500).alias("difficulty"),
+        "target_bbox", F.transform(F.sequence(F.lit(0), F.lit(6)), element).alias("ui_elements"),
+        F.array().cast(f"array<{ACTION}>").alias("history"), told.alias("metadata"),
     )
 
 
@@ -86,7 +92,7 @@ def _sql_at(a: int, b: int) -> tuple[str, str]:
 
 _X, _Y = _sql_at(7919, 104729)
 _EX, _EY = _sql_at(6007, 9973)
-_list = lambda v: "[" + ", ".join(f"'{x}'" for x in v) + "]"
+sql_list = lambda v: "[" + ", ".join(f"'{x}'" for x in v) + "]"
 
 #: Common table expressions for the other engine: steps (flat: x, y the primary point, px, py in pixels) and els (an element a row, in pixels).
 SQL_STEPS = f"""
@@ -99,19 +105,19 @@ SQL_STEPS = f"""
                {_X} AS rx, {_Y} AS ry, {_EX} AS rex, {_EY} AS rey FROM events e),
     steps AS (
         SELECT k.event_id, 'u' || user_id AS episode_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS step_id,
-               {_list(TASK_WORDS)}[1 + user_id % 5] || coalesce(u.head, '') AS task, kind, space, event_id % 50 <> 0 AS screen,
+               {sql_list(TASK_WORDS)}[1 + user_id % 5] || coalesce(u.head, '') AS task, kind, space, event_id % 50 <> 0 AS screen,
                CASE WHEN kind = 'type' THEN CASE WHEN event_id % 11 = 0 THEN '' ELSE coalesce(CASE WHEN event_id % 13 = 0 THEN repeat(t.p_name, 30) ELSE t.p_name END, '') END END AS typed,
                CASE WHEN kind IN ('click', 'swipe') THEN rx END AS x, CASE WHEN kind IN ('click', 'swipe') THEN ry END AS y,
                CASE WHEN kind = 'swipe' THEN rex END AS ex, CASE WHEN kind = 'swipe' THEN rey END AS ey,
                CASE WHEN event_id % 50 <> 0 AND kind IN ('click', 'swipe') THEN CASE space WHEN 'pixel' THEN rx WHEN 'normalized_1000' THEN rx / 1000 * {WIDTH} ELSE rx / 1 * {WIDTH} END END AS px,
                CASE WHEN event_id % 50 <> 0 AND kind IN ('click', 'swipe') THEN CASE space WHEN 'pixel' THEN ry WHEN 'normalized_1000' THEN ry / 1000 * {HEIGHT} ELSE ry / 1 * {HEIGHT} END END AS py,
-               CASE WHEN event_id % 7 <> 0 THEN 'shots/' || event_id || '.png' END AS image, value / 500 AS difficulty
+               CASE WHEN event_id % 7 <> 0 THEN 'shots/' || event_id || '.png' END AS image, CASE WHEN event_id % 3 < 2 THEN value / 500 END AS difficulty
         FROM k CROSS JOIN nd CROSS JOIN np LEFT JOIN part t ON t.p_partkey = event_id % m + 1 LEFT JOIN heads u ON u.doc_id = user_id % n),
     els AS (
         SELECT event_id, i, x1, y1, x2, y2, w > 0 AS valid, lower(trim(txt)) AS txt, ui_type
         FROM (SELECT event_id, i, w, CASE WHEN i = 6 THEN a / 1000 * {WIDTH} ELSE a END AS x1, CASE WHEN i = 6 THEN b / 1000 * {HEIGHT} ELSE b END AS y1,
                      CASE WHEN i = 6 THEN (a + w) / 1000 * {WIDTH} ELSE a + w END AS x2, CASE WHEN i = 6 THEN (b + h) / 1000 * {HEIGHT} ELSE b + h END AS y2,
-                     {_list(ELEMENT_TEXTS)}[1 + (event_id + i * 3) % 10] AS txt, {_list(ELEMENT_TYPES)}[1 + (event_id + i) % 5] AS ui_type
+                     {sql_list(ELEMENT_TEXTS)}[1 + (event_id + i * 3) % 10] AS txt, {sql_list(ELEMENT_TYPES)}[1 + (event_id + i) % 5] AS ui_type
               FROM (SELECT event_id, i, CAST((event_id * 13 + i * 151) % 900 AS DOUBLE) AS a, CAST((event_id * 17 + i * 337) % 2000 AS DOUBLE) AS b,
                            CASE WHEN event_id % 37 = 0 AND i = 3 THEN 0 ELSE 40 + (event_id + i * 53) % 600 END AS w, 20 + (event_id * 3 + i * 71) % 500 AS h
                     FROM events, range(7) r(i) WHERE event_id % 50 <> 0)))"""

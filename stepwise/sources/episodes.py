@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepwise.functions.geometry import box, distance, point
+from stepwise.functions.maps import METADATA, entries
 
 # Aliases, in order of precedence.
 TYPE_ALIASES = {
@@ -30,6 +31,7 @@ ACTION_SPACE = ("coordinate_space", "coord_space")
 STEP_LISTS = ("steps", "actions", "trajectory", "events")
 BEFORE, AFTER = ("screenshot_before", "image", "image_path", "screenshot", "before", "image_encoded"), ("screenshot_after", "next_image", "next_image_path", "after")
 CODED_EPISODE, CODED_TASK = ("episode_id", "ep_id", "id"), ("task", "instruction", "goal", "goal_info", "query")
+LEVEL_EPISODE = ("episode_id", "id")
 LEVEL_TASK, LEVEL_STEP_TASK = ("high_level_instruction", "task", "instruction", "goal"), ("low_level_instruction", "task", "instruction")
 ACTION_PAYLOAD, TARGET_BOX = ("action", "target_action", "operation"), ("target_bbox", "bbox", "box")
 TYPED = ("results_type_action", "type_action")
@@ -37,9 +39,13 @@ TYPED = ("results_type_action", "type_action")
 CALL = r"^([a-zA-Z_ ]+)\s*\((?s:(.*))\)"
 # Action codes, and the least distance of a swipe (normalised).
 CODES = {3: "type", 5: "back", 6: "home", 7: "wait", 10: "finish", 11: "impossible"}
+ENTER, ENTER_MEANING = 7, "press_enter"
 DUAL_POINT, TAP_DISTANCE = 4, 0.04
 
 POINT = "struct<x:double,y:double>"
+ACTION = f"struct<type:string,point:{POINT},start_point:{POINT},end_point:{POINT},text:string,direction:string,coordinate_space:string,metadata:{METADATA}>"
+#: Fields of a coded step that its metadata keep.
+STEP_FACTS = ("current_activity", "device_type", "episode_length")
 
 
 def present(v: Column, keys: Sequence[str]) -> Column:
@@ -91,11 +97,26 @@ def screen_size(v: Column) -> Column:
     return F.coalesce(*pairs)
 
 
-def action(kind: Column, at: Column | None = None, start: Column | None = None, end: Column | None = None, text: Column | None = None, direction: Column | None = None, space: Column | str = "pixel") -> Column:
+def action(
+    kind: Column,
+    at: Column | None = None,
+    start: Column | None = None,
+    end: Column | None = None,
+    text: Column | None = None,
+    direction: Column | None = None,
+    space: Column | str = "pixel",
+    metadata: Column | None = None,
+) -> Column:
     none, word = F.lit(None).cast(POINT), F.lit(None).cast("string")
     return F.struct(
-        kind.alias("type"), (none if at is None else at).alias("point"), (none if start is None else start).alias("start_point"), (none if end is None else end).alias("end_point"),
-        (word if text is None else text).alias("text"), (word if direction is None else direction).alias("direction"), (F.lit(space) if isinstance(space, str) else space).alias("coordinate_space"),
+        kind.alias("type"),
+        (none if at is None else at).alias("point"),
+        (none if start is None else start).alias("start_point"),
+        (none if end is None else end).alias("end_point"),
+        (word if text is None else text).alias("text"),
+        (word if direction is None else direction).alias("direction"),
+        (F.lit(space) if isinstance(space, str) else space).alias("coordinate_space"),
+        (entries() if metadata is None else metadata).alias("metadata"),
     )
 
 
@@ -109,19 +130,29 @@ def string_action(text: Column) -> Column:
     at = F.when(call & (kind == "click") & (F.size(args) >= 2), point(F.get(args, F.lit(0)), F.get(args, F.lit(1))))
     typed = F.when(call & (kind == "type"), F.array_join(args, ", "))
     direction = F.when(call & kind.isin("scroll", "swipe"), F.get(args, F.lit(0)))
-    return action(kind, at, text=typed, direction=direction)
+    return action(kind, at, text=typed, direction=direction, metadata=entries(raw_action=text))
 
 
 def object_action(v: Column) -> Column:
     x, y = of_type(present(v, ACTION_X), "double"), of_type(present(v, ACTION_Y), "double")
     at = F.coalesce(as_point(present(v, ACTION_POINT)), F.when(x.isNotNull() & y.isNotNull(), point(x, y)))
     word = lambda keys: of_type(present(v, keys), "string")
-    return action(action_type(word(ACTION_TYPE_KEYS)), at, as_point(present(v, ACTION_START)), as_point(present(v, ACTION_END)), word(ACTION_TEXT), word(ACTION_DIRECTION), F.coalesce(word(ACTION_SPACE), F.lit("pixel")))
+    return action(
+        action_type(word(ACTION_TYPE_KEYS)),
+        at,
+        as_point(present(v, ACTION_START)),
+        as_point(present(v, ACTION_END)),
+        word(ACTION_TEXT),
+        word(ACTION_DIRECTION),
+        F.coalesce(word(ACTION_SPACE), F.lit("pixel")),
+        entries(raw_action=F.to_json(v)),
+    )
 
 
 def any_action(v: Column) -> Column:
-    """A text, an object, or anything else (``wait``)."""
-    return F.when(_is(v, "STRING"), string_action(of_type(v, "string"))).when(_is(v, "OBJECT"), object_action(v)).otherwise(action(F.lit("wait")))
+    """A text, an object, or anything else (``wait``); the metadata hold what was given (objects as JSON)."""
+    text = F.when(_is(v, "STRING"), string_action(of_type(v, "string")))
+    return text.when(_is(v, "OBJECT"), object_action(v)).otherwise(action(F.lit("wait"), metadata=entries(raw_action=F.to_json(v))))
 
 
 def is_tap(touch: Column, lift: Column) -> Column:
@@ -129,14 +160,25 @@ def is_tap(touch: Column, lift: Column) -> Column:
 
 
 def coded_action(code: Column, touch: Column, lift: Column, typed: Column) -> Column:
-    """An action of a numeric code; null without one."""
-    out = F.when(code.isNull(), F.lit(None))
-    out = out.when((code == DUAL_POINT) & touch.isNull(), action(F.lit("wait")))
-    out = out.when((code == DUAL_POINT) & (lift.isNull() | is_tap(touch, lift)), action(F.lit("click"), touch, space="normalized_1"))
-    out = out.when(code == DUAL_POINT, action(F.lit("swipe"), start=touch, end=lift, space="normalized_1"))
-    for number, kind in CODES.items():
-        out = out.when(code == number, action(F.lit(kind), text=typed if kind == "type" else None))
-    return out.otherwise(action(F.lit("wait")))
+    """An action of a numeric code; null without one.  The metadata hold the code and, of the enter key, its meaning."""
+    given = entries(action_code=code)
+    tapped = lift.isNull() | is_tap(touch, lift)
+    start = F.when(touch.isNull() | tapped, None).otherwise(touch)
+    kind = F.when(code == DUAL_POINT, F.when(touch.isNull(), "wait").when(tapped, "click").otherwise("swipe"))
+    for number, name in CODES.items():
+        kind = kind.when(code == number, name)
+    pointed = code == DUAL_POINT
+    made = action(
+        kind.otherwise("wait"),
+        F.when(pointed & tapped, touch),
+        F.when(pointed, start),
+        F.when(pointed & start.isNotNull(), lift),
+        F.when(code == 3, typed),
+        None,
+        F.when(pointed & touch.isNotNull(), "normalized_1").otherwise("pixel"),
+        F.when(code == ENTER, entries(action_code=code, semantic=ENTER_MEANING)).otherwise(given),
+    )
+    return F.when(code.isNotNull(), made)
 
 
 def coded_step_action(v: Column) -> Column:
@@ -175,10 +217,10 @@ def flat_elements(positions: Column, texts: Column, types: Column) -> Column:
 
 
 def step_list(v: Column) -> Column:
-    """An episode's steps: the first list that isn't empty; without any, a record with a code is itself the step."""
-    lists = [F.try_variant_get(v, f"$.{k}", "array<variant>") for k in STEP_LISTS]
+    """An episode's steps: the first alias that is there counts; if that is no list or empty, a record with a code is itself the step."""
+    listed = F.try_variant_get(present(v, STEP_LISTS), "$", "array<variant>")
     coded = F.try_variant_get(v, "$.results_action_type", "variant").isNotNull()
-    return F.coalesce(*[F.when(F.size(x) > 0, x) for x in lists], F.when(coded, F.array(v)))
+    return F.when(F.size(listed) > 0, listed).when(coded, F.array(v))
 
 
 def before_image(v: Column) -> Column:
@@ -195,31 +237,49 @@ def _word(v: Column, keys: Sequence[str]) -> Column:
     return of_type(present(v, keys), "string")
 
 
-def _common(df: DataFrame, episode: Column, task: Column, screen: Column, act: Column, elements: Column) -> DataFrame:
+def _common(df: DataFrame, episode: Column, task: Column, screen: Column, act: Column, elements: Column, metadata: Column) -> DataFrame:
     number = F.try_variant_get("s", "$.step_id", "variant")
     bad = F.raise_error("step_id must be a number").cast("int")
     step = F.when(number.isNull(), F.col("pos")).otherwise(F.coalesce(of_type(number, "int"), bad))
     return df.select(
-        episode.alias("episode_id"), step.cast("int").alias("step_id"), F.coalesce(task, F.lit("")).alias("task"), before_image(F.col("s")).alias("screenshot_before"), _word(F.col("s"), AFTER).alias("screenshot_after"),
-        screen.alias("screen_size"), act.alias("action"), as_box(present(F.col("s"), TARGET_BOX)).alias("target_bbox"), elements.alias("ui_elements"),
+        episode.alias("episode_id"),
+        step.cast("int").alias("step_id"),
+        F.coalesce(task, F.lit("")).alias("task"),
+        before_image(F.col("s")).alias("screenshot_before"),
+        _word(F.col("s"), AFTER).alias("screenshot_after"),
+        screen.alias("screen_size"),
+        act.alias("action"),
+        as_box(present(F.col("s"), TARGET_BOX)).alias("target_bbox"),
+        elements.alias("ui_elements"),
+        F.array().cast(f"array<{ACTION}>").alias("history"),
+        metadata.alias("metadata"),
     )
 
 
 def coded_episodes(raw: DataFrame) -> DataFrame:
-    """Steps of records whose actions may be coded: a step's task and screen come before its episode's."""
+    """Steps of records whose actions may be coded: a step's task and screen come before its episode's.
+
+    ``metadata`` hold the source and the step's STEP_FACTS; ``history`` is empty, as records have none.
+    """
     v, s = F.col("v"), F.col("s")
     array = lambda key, kind: F.try_variant_get(s, f"$.{key}", f"array<{kind}>")
     elements = flat_elements(array("image_ui_annotations_positions", "double"), array("image_ui_annotations_text", "string"), array("image_ui_annotations_ui_types", "string"))
     act = F.coalesce(coded_step_action(s), any_action(present(s, ACTION_PAYLOAD)))
-    return _common(_steps(raw), F.coalesce(_word(v, CODED_EPISODE), F.lit("unknown")), F.coalesce(_word(s, CODED_TASK[:4]), _word(v, CODED_TASK)), F.coalesce(screen_size(s), screen_size(v)), act, elements)
+    facts = entries(source="coded", **{k: F.try_variant_get(s, f"$.{k}", "string") for k in STEP_FACTS})
+    episode = F.coalesce(_word(v, CODED_EPISODE), F.lit("unknown"))
+    task = F.coalesce(_word(s, CODED_TASK[:4]), _word(v, CODED_TASK))
+    return _common(_steps(raw), episode, task, F.coalesce(screen_size(s), screen_size(v)), act, elements, facts)
 
 
 def two_level_episodes(raw: DataFrame) -> DataFrame:
     """Steps of records with an instruction for each step besides the episode's; the screen is the episode's, and there are no elements."""
     v, s = F.col("v"), F.col("s")
-    given = F.try_variant_get(v, "$.episode_id", "variant")
+    given = F.coalesce(*[F.try_variant_get(v, f"$.{k}", "variant") for k in LEVEL_EPISODE])
     episode = F.when(given.isNull(), F.lit("unknown")).when(F.is_variant_null(given), F.lit("None")).otherwise(of_type(given, "string"))
-    return _common(_steps(raw), episode, F.coalesce(_word(s, LEVEL_STEP_TASK), _word(v, LEVEL_TASK)), screen_size(v), any_action(F.coalesce(present(s, ACTION_PAYLOAD), s)), F.array().cast(ELEMENTS))
+    whole = F.coalesce(_word(v, LEVEL_TASK), F.lit(""))
+    act = any_action(present(s, ACTION_PAYLOAD))
+    facts = entries(source="two_level", high_level_instruction=whole)
+    return _common(_steps(raw), episode, F.coalesce(_word(s, LEVEL_STEP_TASK), whole), screen_size(v), act, F.array().cast(ELEMENTS), facts)
 
 
 PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {"coded": coded_episodes, "two_level": two_level_episodes}
