@@ -11,7 +11,7 @@ from stepwise.sources import episodes, jsonl
 from stepwise.streaming.steps import audited_stream, stream_jsonl, write_stream
 
 RECORDS = [
-    {"episode_id": "e1", "task": "open the shop", "screen_size": {"width": 1080, "height": 2400}, "steps": [{"action": "click(12, 34)"}, {"action": {"action_type": "tap", "x": 2000, "y": 6}}, {"action": {"type": "type", "text": ""}}]},
+    {"episode_id": "e1", "task": "open the shop", "screen_size": {"width": 1080, "height": 2400}, "steps": [{"action": "click(45, 310)"}, {"action": {"action_type": "tap", "x": 3100, "y": 9}}, {"action": {"type": "type", "text": ""}}]},
     {"ep_id": "e2", "goal_info": "go", "results_action_type": 4, "results_yx_touch": [0.2, 0.1], "results_yx_lift": [0.2, 0.13], "image_encoded": {"size": [100, 200], "path": "a.png"}},
     {"episode_id": "e3", "steps": []},
 ]
