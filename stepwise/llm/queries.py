@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import encoded
 from .exact_dedup import exact_groups
@@ -15,6 +16,7 @@ from .maxscore import top_k
 from .mixing import mixture
 from .shared import table
 from .simhash import hex_print, near_components
+from .suffix_dedup import repeats
 from .toxicity import toxicity
 from .warc import archive_roundtrip
 
@@ -60,9 +62,26 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_license_scan, op2_exact_dedup, op3_line_dedup, op4_maxscore_topk, op5_source_mixing, op6_simhash_near_dedup, op7_warc, op8_bpe, op9_language_id, op10_toxicity)
+    for f in (
+        op1_license_scan,
+        op2_exact_dedup,
+        op3_line_dedup,
+        op4_maxscore_topk,
+        op5_source_mixing,
+        op6_simhash_near_dedup,
+        op7_warc,
+        op8_bpe,
+        op9_language_id,
+        op10_toxicity,
+        op11_suffix_dedup,
+    )
 }
 
 ORACLES: dict[str, str] = {
