@@ -23,11 +23,15 @@ STEP = 8
 SEEDS = 1024
 
 
-def weights(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """(vec_id, w): floor(scale * x) of each component; vectors that are null, empty or hold null or non-finite components go."""
+def weights(vectors: DataFrame, scale: int = SCALE, *others: str) -> DataFrame:
+    """(vec_id, others, w): floor(scale * x) of each component; vectors that are null, empty or hold null or non-finite components go.
+
+    A component whose product reaches 2^62 raises: whole numbers of 64 bits would not hold it.
+    """
     x = F.transform("embedding", lambda v: v.cast("double"))
     sound = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    return vectors.where(sound).select("vec_id", F.transform(x, lambda v: F.floor(v * scale).cast("long")).alias("w"))
+    whole = lambda v: F.when(F.abs(v * scale) < float(1 << 62), F.floor(v * scale).cast("long")).otherwise(F.raise_error(F.lit("a component is too large")).cast("long"))
+    return vectors.where(sound).select("vec_id", *others, F.transform(x, whole).alias("w"))
 
 
 def _pack(rows_of: int):

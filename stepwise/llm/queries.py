@@ -18,6 +18,7 @@ from .shared import table
 from .simhash import hex_print, near_components
 from .suffix_dedup import repeats
 from .toxicity import toxicity
+from .vector_codes import compressed
 from .warc import archive_roundtrip
 
 
@@ -67,6 +68,12 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = compressed(table(spark, sf_dir, "embeddings"))
+    code = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    return found.select("vec_id", code.alias("code"), "error", "label_error", "codebooks_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -81,10 +88,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_language_id,
         op10_toxicity,
         op11_suffix_dedup,
+        op12_vector_codes,
     )
 }
 
+def _codebook_sql() -> str:
+    """Four rounds over all pairs of a part and an entry, in whole numbers."""
+    steps = [
+        """v AS MATERIALIZED (
+            SELECT vec_id, label, w, row_number() OVER (ORDER BY vec_id, w) AS n
+            FROM (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+                  FROM embeddings
+                  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0)),
+        p AS MATERIALIZED (SELECT n, p, w[p * len(w) // 4 + 1 : (p + 1) * len(w) // 4] AS x FROM v, range(4) AS r(p)),
+        c0 AS MATERIALIZED (SELECT p, n - 1 AS e, x AS c FROM p WHERE n <= 256)"""
+    ]
+    for k in range(5):
+        steps.append(f"""a{k} AS MATERIALIZED (
+            SELECT n, p, min(256 * d + e) AS best
+            FROM (SELECT n, p, e, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM p JOIN c{k} USING (p))
+            GROUP BY n, p)""")
+        steps.append(f"""s{k} AS MATERIALIZED (
+            SELECT p, e, list(x ORDER BY i) AS c
+            FROM (SELECT p, e, i, CAST((s - ((s % m) + m) % m) // m AS BIGINT) AS x
+                  FROM (SELECT p, best % 256 AS e, i, sum(x[i]) AS s, count(*) AS m FROM a{k} JOIN p USING (n, p), LATERAL (SELECT unnest(range(1, len(x) + 1)) AS i) GROUP BY ALL))
+            GROUP BY p, e),
+        c{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(s{k}.c, c{k}.c) AS c FROM c{k} LEFT JOIN s{k} USING (p, e))""")
+    return f"""WITH {", ".join(steps)},
+        f AS (SELECT n, string_agg(printf('%02x', best % 256), '' ORDER BY p) AS code, CAST(sum(best // 256) AS BIGINT) AS error FROM a4 GROUP BY n)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+               (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, e, i)) FROM c4, LATERAL (SELECT unnest(c) AS x, unnest(range(len(c))) AS i)) AS codebooks_sha256
+        FROM f JOIN v USING (n)"""
+
+
 ORACLES: dict[str, str] = {
+    "op12_vector_codes": _codebook_sql(),
     "op2_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
