@@ -14,6 +14,7 @@ from .license_scan import scan
 from .line_dedup import dedup_lines
 from .maxscore import top_k
 from .mixing import mixture
+from .phrases import collocations
 from .shared import table
 from .simhash import hex_print, near_components
 from .suffix_dedup import repeats
@@ -74,6 +75,10 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", code.alias("code"), "error", "label_error", "codebooks_sha256")
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_toxicity,
         op11_suffix_dedup,
         op12_vector_codes,
+        op13_phrases,
     )
 }
 
@@ -123,6 +129,29 @@ def _codebook_sql() -> str:
 
 ORACLES: dict[str, str] = {
     "op12_vector_codes": _codebook_sql(),
+    "op13_phrases": """
+        WITH t AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                   unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+            FROM documents),
+        w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM t),
+        total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+        g AS (
+            SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase
+            FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 5) AS r(k))),
+        f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+        cuts AS (
+            SELECT c.lang, c.k, c.phrase, c.f AS a, j, x.f AS l, y.f AS r, CAST(2000000::HUGEINT * c.f // (x.f + y.f) AS BIGINT) AS score
+            FROM (SELECT *, string_split(phrase, ' ') AS p, unnest(range(1, k)) AS j FROM f WHERE k > 1) c
+            JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(p[1 : j], ' ')
+            JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(p[j + 1 :], ' ')),
+        best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+        kept AS (
+            SELECT * FROM best c
+            WHERE NOT EXISTS (
+                SELECT 1 FROM best o WHERE o.lang = c.lang AND o.k > c.k AND 100 * o.a >= 80 * c.a AND contains(' ' || o.phrase || ' ', ' ' || c.phrase || ' '))),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000""",
     "op2_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
