@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -185,12 +186,15 @@ def _rule(label: str, level: int, pattern: str) -> Rule:
 
 
 def rules() -> list[Rule]:
-    """All rules in order of priority: statements, then names and addresses, then hints."""
+    """All rules in order of priority: statements, then names and addresses, then hints.
+
+    No pattern repeats a group of alternatives: the JVM's engine would recurse for each repetition.
+    """
     out = [_rule(label, 2, phrase) for phrase, label in BASE]
     for label, name, others in _lines(NAMES):
         words = label.replace("-", " ").replace(".", " ")
         spellings = [name, *filter(None, others.split(", "))]
-        out.append(_rule(label, 1, f"spdx license identifier {words}( 0| \\d)*( or later| only)?"))
+        out.append(_rule(label, 1, f"spdx license identifier {words}(?: \\d)*( or later| only)?"))
         either = "|".join(dict.fromkeys([*sorted(spellings, key=len, reverse=True), words]))
         under = f"({'|'.join(VERBS)}) ({'|'.join(LINKS)}) (the )?(terms of )?(the )?(gnu )?({either})( license| licence)?( version \\d+( \\d+)?| \\d 0)?"
         out.append(Rule(label, 1, under, tuple(dict.fromkeys(a for x in [*spellings, words] for a in anchors(x))), "", True))
@@ -230,6 +234,8 @@ def gate(listed: list[Rule]) -> Gate:
 
 #: What a detection of each level adds to the score: the chance, by judgement, that a license is meant.
 TRUST = {1: 0.95, 2: 0.8, 3: 0.4}
+#: Matches whose places are added up in one list.
+PART = 512
 SPANS = "array<struct<start:int,stop:int,level:int,label:string>>"
 
 
@@ -242,34 +248,56 @@ def _labels_of(detections: str, level: int) -> Column:
     return F.size(F.array_distinct(F.transform(F.filter(detections, lambda d: d["level"] == level), lambda d: d["label"])))
 
 
+def _bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(x)`` with x worked out once, however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _running(items: Column, zero: Column, plus: Callable[[Column, Column], Column], kind: str) -> Column:
+    """What is added up before each of the items: in parts of ``PART``, so that no list is copied for each item."""
+
+    def before(of: Column, first: Column) -> Column:
+        start = F.struct(first.alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+        step = lambda acc, x: F.struct(plus(acc["at"], x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
+        return F.aggregate(of, start, step, lambda acc: acc["out"])
+
+    last = F.greatest(F.lit(0), F.ceil(F.size(items) / PART).cast("int") - 1)
+    cut = _bound(items, lambda xs: F.transform(F.sequence(F.lit(0), last), lambda c: F.slice(xs, c * PART + 1, PART)))
+    return _bound(cut, lambda parts: F.flatten(F.zip_with(parts, before(F.transform(parts, lambda p: F.aggregate(p, zero, plus)), zero), before)))
+
+
 def _spans(norm: Column, rule: Column) -> Column:
     """Word spans of a rule's matches, from the left, none overlapping another: mark them, and count the words between the marks."""
     marked = F.regexp_replace(norm, F.concat(F.lit("(?s) (?:"), rule["pattern"], F.lit(r")(?= |\z)")), F.lit("\1$0\2"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("found"))
 
-    def step(acc: Column, piece: Column) -> Column:
-        words = _blanks(F.substring_index(piece, "\2", 1))
-        span = F.struct(acc["at"].alias("start"), (acc["at"] + words).alias("stop"), rule["level"].alias("level"), rule["label"].alias("label"))
+    def span(piece: Column, at: Column) -> Column:
+        stop = at + _blanks(F.substring_index(piece, "\2", 1))
         # The first piece stands before the first match.
-        found = F.when(F.contains(piece, F.lit("\2")), F.array_append(acc["found"], span)).otherwise(acc["found"])
-        return F.struct((acc["at"] + _blanks(piece)).cast("int").alias("at"), found.alias("found"))
+        return F.when(F.contains(piece, F.lit("\2")), F.struct(at.alias("start"), stop.alias("stop"), rule["level"].alias("level"), rule["label"].alias("label")))
+
+    def of(pieces: Column) -> Column:
+        counts = F.transform(pieces, _blanks)
+        return F.array_compact(F.zip_with(pieces, _running(counts, F.lit(0), lambda x, y: (x + y).cast("int"), "int"), span))
 
-    return F.aggregate(F.split(marked, "\1", -1), start, step, lambda acc: acc["found"])
+    return _bound(F.split(marked, "\1", -1), of)
 
 
 def _survivors(spans: Column) -> Column:
-    """Spans that lie in no other span of equal or higher priority: one sweep by start, longest first."""
+    """Spans that lie in no other span of equal or higher priority: by start, longest first, none may end before one of those before it."""
+    levels = (1, 2, 3)
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["stop"]).alias("stop"), s["level"].alias("level"), s["label"].alias("label"))))
-    start = F.struct(F.lit(-1).alias("e1"), F.lit(-1).alias("e2"), F.lit(-1).alias("e3"), F.array().cast(SPANS).alias("kept"))
+    kind = f"struct<{','.join(f'e{k}:int' for k in levels)}>"
+    none = F.struct(*[F.lit(-1).alias(f"e{k}") for k in levels])
+    #: How far spans of each level or a higher one reach.
+    own = lambda s: F.struct(*[F.when(s["level"] <= k, -s["stop"]).otherwise(-1).cast("int").alias(f"e{k}") for k in levels])
+    most = lambda a, b: F.struct(*[F.greatest(a[f"e{k}"], b[f"e{k}"]).cast("int").alias(f"e{k}") for k in levels])
 
-    def step(acc: Column, s: Column) -> Column:
-        stop = -s["stop"]
-        reach = F.when(s["level"] == 1, acc["e1"]).when(s["level"] == 2, acc["e2"]).otherwise(acc["e3"])
-        span = F.struct(s["start"].alias("start"), stop.alias("stop"), s["level"].alias("level"), s["label"].alias("label"))
-        far = lambda level: F.when(s["level"] <= level, F.greatest(acc[f"e{level}"], stop)).otherwise(acc[f"e{level}"]).cast("int").alias(f"e{level}")
-        return F.struct(far(1), far(2), far(3), F.when(reach >= stop, acc["kept"]).otherwise(F.array_append(acc["kept"], span)).alias("kept"))
+    def kept(s: Column, reach: Column) -> Column:
+        before = F.when(s["level"] == 1, reach["e1"]).when(s["level"] == 2, reach["e2"]).otherwise(reach["e3"])
+        return F.when(before < -s["stop"], F.struct(s["start"].alias("start"), (-s["stop"]).alias("stop"), s["level"].alias("level"), s["label"].alias("label")))
 
-    return F.aggregate(ordered, start, step, lambda acc: acc["kept"])
+    left = _bound(ordered, lambda x: F.array_compact(F.zip_with(x, _running(F.transform(x, own), none, most, kind), kept)))
+    return F.coalesce(left, F.array().cast(SPANS))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -285,7 +313,8 @@ def scan(docs: DataFrame) -> DataFrame:
     nothing suppresses; their labels are always among ``labels``.  The score is
     1 less the product of the chances that each detected label is none.  Null
     text counts as empty: no words, no labels, score 0, null places.  A very
-    long text is scanned whole, in the memory of its own row.  Repeated rows and
+    long text is scanned whole, in the memory of its own row and in time that
+    grows as its length, however many matches it has.  Repeated rows and
     ids are answered each; an empty table gives no rows; other columns are not
     read, whatever their names.
     """

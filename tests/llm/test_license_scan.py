@@ -134,3 +134,50 @@ def test_labels_and_true_spans(spark):
     assert same_as_plain(df) > 0
     row = scan(spark.createDataFrame([(1, "Licensed under the GNU Lesser General Public License. Also BSD 3-Clause License, and CC0.")], "doc_id long, text string")).first()
     assert {"lgpl", "bsd-3-clause", "gpl"} <= set(row["labels"].split(","))
+
+
+def optional_parts(pattern):
+    """The bodies of what a pattern may repeat without bound."""
+    return [m[1] or m[0][:-1] for m in re.finditer(r"\((?:\?:)?([^()]*)\)[*+]|(?:\[[^\]]*\]|\\.|.)[*+]", pattern)]
+
+
+def test_no_rule_repeats_alternatives():
+    for rule in license_scan.rules():
+        assert not re.search(r"\|[^()]*\)[*+]|\)\)[*+]", rule.pattern), rule
+        assert not re.search(r"\((?!\?:)[^()]*\)[*+]", rule.pattern), rule
+
+
+def test_repetitions_of_any_length(spark):
+    """What a rule may repeat, 100,000 times over: no recursion in the JVM's engine, and the plain matcher's spans."""
+    repeated = [r for r in license_scan.rules() if optional_parts(r.pattern) and not r.stated]
+    texts = []
+    for rule in repeated[:3] + [r for r in repeated if "w" in "".join(optional_parts(r.pattern))][:2]:
+        own = min(phrases(re._parser.parse(rule.pattern)), key=len)
+        texts.append(own + (" 0" if "\\d)*" in rule.pattern else "x") * 100_000)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in scan(df).collect()}
+    for i, text in enumerate(texts):
+        assert got[i]["n_words"] == text.count(" ") + 1 and got[i]["detections"], text[:60]
+        assert max(d["stop"] for d in got[i]["detections"]) == got[i]["n_words"]
+
+
+def test_many_matches_take_linear_time(spark):
+    import time
+
+    took = []
+    for n in (3_000, 60_000):
+        df = spark.createDataFrame([(1, "MIT License, " * n)], "doc_id long, text string")
+        began = time.perf_counter()
+        row = scan(df).first()
+        took.append(time.perf_counter() - began)
+        assert len(row["detections"]) == row["n_base"] == n and row["detections"][-1]["stop"] == row["n_words"] == 2 * n
+    # Twenty times the text; the square of it would be four hundred.
+    assert took[1] < 60 * max(took[0], 0.5)
+
+
+def test_detections_of_many_parts_equal_a_plain_matcher(spark, monkeypatch):
+    monkeypatch.setattr(license_scan, "PART", 3)
+    names = ["MIT License", "Apache License 2.0", "GNU Lesser General Public License", "BSD 3-Clause", "all rights reserved", "released under the MIT", "word", "gpl v3"]
+    rng = random.Random(11)
+    rows = [(i, ", ".join(rng.choice(names) for _ in range(rng.randrange(40)))) for i in range(30)]
+    assert same_as_plain(spark.createDataFrame(rows, "doc_id long, text string")) > 100
