@@ -128,15 +128,16 @@ def sample(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlab
     At most ``positives`` confirmed toxic documents and ``unlabelled`` others,
     each a doc_id outside the held-out fold with one text, however often it is
     repeated: those of the smallest hashes of their ids.  The prior is the toxic
-    share among the labelled ids outside the fold; it is right for the corpus as
+    share among the labelled ids outside the fold that have a text; it is right for the corpus as
     far as labels were given without regard to toxicity.
     """
     learn = fold("doc_id", 3) != 1
+    rows = docs.select("doc_id", "text").where(learn & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     known = labels.where(learn & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    known = stage(known, "known")
+    # Labels of documents that aren't there, or have no text, take no place.
+    known = stage(known.join(rows.select("doc_id"), "doc_id", "left_semi"), "known")
     share = known.agg(F.avg("toxic").alias("p")).first()["p"]
     near = F.xxhash64(F.lit("toxicity"), F.col("doc_id"))
-    rows = docs.select("doc_id", "text").where(learn & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     yes = smallest(known.where("toxic = 1").select("doc_id"), "doc_id", near, positives).withColumn("toxic", F.lit(1))
     no = smallest(rows.select("doc_id"), "doc_id", near, unlabelled).withColumn("toxic", F.lit(0))
     # At most positives + unlabelled rows are broadcast.

@@ -2,13 +2,14 @@
 
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
-from stepwise.llm import language_id, toxicity
+from stepwise.llm import flat, language_id, toxicity
 
 # Language: the chain.
 
@@ -130,3 +131,39 @@ def test_sample_is_bounded_whatever_is_repeated(spark):
     counts = {r["toxic"]: r["count"] for r in got.groupBy("toxic").count().collect()}
     assert counts[0] == 20 and counts.get(1, 0) <= 1 and 0 <= prior <= 1
     assert toxicity.sample(docs, labels, unlabelled=200)[0].count() <= 50
+
+
+def test_labels_of_absent_documents_take_no_place(spark):
+    """13 toxic documents, and thousands of toxic labels of documents that are not there or have no text."""
+    docs = [(i, "an awful vile text" if i < 20 else f"a calm note {i}") for i in range(300)] + [(i, None) for i in range(300, 400)]
+    labels = [(i, 1 if i < 20 else 0) for i in range(100)] + [(i, 1) for i in range(300, 6000)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    rows, prior = toxicity.sample(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), positives=20)
+    plain, prior_of_present = toxicity.sample(docs, spark.createDataFrame(labels[:100], "doc_id long, toxic int"), positives=20)
+    assert rows.where("toxic = 1").count() == plain.where("toxic = 1").count() > 10
+    assert prior == prior_of_present and 0.1 < prior < 0.4
+
+
+def plain_score(model, text):
+    """The score by a dict of weights: distinct words and the first letters of longer ones, hashed one by one."""
+    weights = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True))
+    found = set()
+    for word in re.findall(r"[^\W\d_]+", "".join(c if c.isalpha() else " " for c in text.lower())):
+        for salt, part in ((1, word), *((2, word[:4]) for _ in range(len(word) > 4)), *((3, word[:5]) for _ in range(len(word) > 5))):
+            h, power = 0, 1
+            for c in part:
+                h, power = (h + (ord(c) + 1) * power) % 2**64, power * flat._ODD % 2**64
+            h = (h * (2 * salt + 1) + salt) % 2**64
+            for shift in (31, 29):
+                h = (h ^ h >> shift) * int(flat._FACTOR) % 2**64
+            found.add(h >> (64 - toxicity.BITS))
+    z = model.bias + sum(weights.get(f, 0.0) for f in found)
+    return 1 / (1 + np.exp(-z))
+
+
+def test_scores_equal_a_plain_scorer(spark):
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{DATA}/sf0.01/labels.parquet"))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    rows = toxicity.scored(docs, model).collect()
+    assert len(model.features) and all(abs(r["score"] - plain_score(model, texts[r["doc_id"]])) < 1e-9 for r in rows)
