@@ -149,10 +149,18 @@ def search(query: np.ndarray, own: int, shard: Shard, found: Found) -> int:
     return seen
 
 
+def fits(queries: np.ndarray, postings: np.ndarray) -> None:
+    """Raise where a sum of products may leave 64 bits, so that none wraps around."""
+    reach = lambda w: max(abs(int(w.max(initial=0))), abs(int(w.min(initial=0))))
+    if queries.shape[1] * reach(queries) * reach(postings) >= 1 << 63:
+        raise OverflowError("components are too large: a score may not fit into 64 bits")
+
+
 def floors(queries: np.ndarray, own: np.ndarray, seeds: np.ndarray, seed_ids: np.ndarray, k: int) -> list[int | None]:
     """Each query's k-th best score among the seeds (one vector an id), its own id apart: k vectors reach it for sure."""
     if len(seed_ids) <= k:
         return [None] * len(queries)
+    fits(queries, seeds)
     out: list[int | None] = []
     for at in range(0, len(queries), 256):
         scores = queries[at : at + 256] @ seeds.T
@@ -183,6 +191,7 @@ def _search_cells(k: int, seeds):
                     seed_ids, vectors = seeds.value.get(x.dim, (np.zeros(0, np.int64), np.zeros((0, x.dim), np.int64)))
                     found += [Found(k, f) for f in floors(postings.T, ids, vectors, seed_ids, k)]
                 elif len(own):
+                    fits(queries, postings)
                     shard = Shard(ids, postings)
                     for i in range(len(own)):
                         search(queries[i], own[i], shard, found[i])
@@ -217,7 +226,9 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, shard_rows: int = SHA
     part, rows with a null vec_id neither; vectors of different lengths are not
     compared.  Rows that repeat a vec_id are candidates of their own, and a
     query that is repeated is answered for each distinct vector, the best of
-    all; equal scores go to the smaller vec_id.  Empty tables give no rows.
+    all; equal scores go to the smaller vec_id.  Where the largest components of
+    a block of queries and of a shard could give a score beyond 64 bits, the
+    search raises; nothing wraps around.  Empty tables give no rows.
     Other columns are not read, whatever their names.
     """
     spark = vectors.sparkSession

@@ -191,3 +191,11 @@ def test_many_shared_pages_keep_their_payloads(spark):
         r = got[i]
         assert (r["record_type"], r["refers_to"]) == (("response", None) if first[html] == i else ("revisit", first[html]))
         assert r["record_type"] == "revisit" or bytes(r["block"]).decode() == html
+
+
+def test_scores_beyond_64_bits_raise(spark):
+    vectors = lambda x: spark.createDataFrame([(i, [x, -x, x * (i % 7)]) for i in range(60)], "vec_id long, embedding array<double>")
+    assert maxscore.top_k(vectors(1e5)).count() == 10
+    for x in (3e7, 1e30):
+        with pytest.raises(Exception, match="too large"):
+            maxscore.top_k(vectors(x)).collect()
