@@ -40,28 +40,37 @@ def _induce(t: np.ndarray, wanted: np.ndarray, seeds: np.ndarray, sigma: int) ->
     """
     mine = np.flatnonzero(wanted)
     symbols = t[mine]
-    start = np.concatenate(([0], np.cumsum(np.bincount(symbols, minlength=sigma))))
+    start = np.zeros(sigma + 1, np.int32)
+    np.cumsum(np.bincount(symbols, minlength=sigma), out=start[1:])
     head = start[:-1].copy()
-    out = np.empty(len(mine), np.int64)
-    least = np.full(sigma, sigma, np.int64)
-    np.minimum.at(least, t[mine + 1], symbols.astype(np.int64))
-    seed_start = np.searchsorted(t[seeds], np.arange(sigma + 1))
-    low = least.tolist()
-    starts, seed_starts = start.tolist(), seed_start.tolist()
+    out = np.empty(len(mine), np.int32)
+    least = np.full(sigma, sigma, t.dtype if sigma <= np.iinfo(t.dtype).max else np.int32)
+    np.minimum.at(least, t[mine + 1], symbols)
+    low, starts = least.tolist(), start.tolist()
+    seed_starts = np.searchsorted(t[seeds], np.arange(sigma + 1)).tolist()
+    count_up = np.arange(len(mine) + 1, dtype=np.int32)
 
     def place(sources: np.ndarray) -> None:
         j = sources - 1
-        j = j[j >= 0]
-        j = j[wanted[j]]
+        j = j[wanted[j] & (sources > 0)]
         if not len(j):
             return
         c = t[j]
-        order = np.argsort(c, kind="stable")
+        order = c.argsort(kind="stable")
         j, c = j[order], c[order]
-        first = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
-        size = np.diff(np.append(first, len(c)))
-        out[np.repeat(head[c[first]] - first, size) + np.arange(len(c))] = j
-        head[c[first]] += size
+        edge = (c[1:] != c[:-1]).nonzero()[0]
+        if not len(edge):
+            at = int(head[c[0]])
+            out[at : at + len(j)] = j
+            head[c[0]] += len(j)
+            return
+        bound = np.empty(len(edge) + 2, np.int32)
+        bound[0], bound[1:-1], bound[-1] = 0, edge + 1, len(j)
+        first, size = bound[:-1], bound[1:] - bound[:-1]
+        own = c[first]
+        begin = head[own]
+        out[(begin - first).repeat(size) + count_up[: len(j)]] = j
+        head[own] = begin + size
 
     for a, b in _batches(low):
         if low[a] == a:
@@ -115,9 +124,9 @@ def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
     """
     n = len(t)
     if n == 1:
-        return np.zeros(1, np.int64)
+        return np.zeros(1, np.int32)
     smaller = _types(t)
-    marks = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
+    marks = (np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1).astype(np.int32)
     mirrored = (sigma - 1 - t).astype(t.dtype)
     # The substrings: marks in order of their first symbols alone, then all that follows from these.
     first = marks[np.argsort(t[marks], kind="stable")]
@@ -125,8 +134,8 @@ def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
         is_mark = np.zeros(n, bool)
         is_mark[marks] = True
         _, s = _induced(t, mirrored, smaller, first, sigma)
-        order = np.concatenate(([n - 1], s[is_mark[s]]))
-        number = np.empty(n, np.int64)
+        order = np.concatenate((marks[-1:], s[is_mark[s]]))
+        number = np.empty(n, np.int32)
         number[marks] = np.arange(len(marks))
         size = np.append(np.diff(marks) + 1, 1)[number[order]]
         names, count = _names(t, order, size)
@@ -137,7 +146,7 @@ def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
         first = order
     larger, smallest = _induced(t, mirrored, smaller, first, sigma)
     both = np.concatenate((larger, smallest))
-    return np.concatenate(([n - 1], both[np.argsort(t[both], kind="stable")]))
+    return np.concatenate((marks[-1:], both[np.argsort(t[both], kind="stable")]))
 
 
 def common_prefixes(t: np.ndarray, order: np.ndarray) -> np.ndarray:

@@ -6,7 +6,7 @@ can be sorted on its own:
 1. Texts are told apart by 128 bits of their SHA-256, and each distinct one is
    written once, bucketed by it.  Later joins with texts move no text.
 2. A *window* is the string of 400 bytes at a place.  It belongs to the group of
-   the smallest hash of the 32-byte strings in it, so equal windows share a
+   the smallest hash of the 64-byte strings in it, so equal windows share a
    group.  Neighbouring windows of one group are a *segment*, with a digest.
 3. Segments that occur twice as they are need no sorting.  Of groups with
    several different segments, or one that may repeat itself, one copy of each
@@ -37,12 +37,8 @@ from .shared import Mapper, in_short_batches, new_folder, packed_rows, stage, te
 from .suffix_array import common_prefixes, suffix_array
 
 WINDOW = 400
-#: Bytes of the strings whose smallest hash names a window's group.
-GRAM = 32
 #: Windows in a segment, different segments in a group that is sorted, and bytes in a shard's suffix array.
-SEGMENT, GROUP, SHARD_BYTES = 512, 2000, 1 << 20
-#: How many places the windows of a split group may differ in where the group's hash stands.
-WIDTHS = (46, 6, 1)
+SEGMENT, GROUP, SHARD_BYTES = 512, 2000, 2 << 20
 #: Bytes that are hashed at once.
 STEP_BYTES = 1 << 20
 
@@ -51,14 +47,27 @@ SEGMENTS = "g long, b binary, key binary, start int, n int, due boolean, inner b
 EMPTY_SHA = hashlib.sha256(b"").digest()
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the ``GRAM`` bytes from each place on."""
-    words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
-    n = len(data) - GRAM + 1
-    h = np.zeros(n, np.uint64)
-    for at in range(0, GRAM, 8):
-        h = (h ^ words[at : at + n]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
+def gram_of(window: int) -> int:
+    """Bytes of the strings whose smallest hash names a window's group: 64 of 400; 8 times a power of two."""
+    if window < 8:
+        raise ValueError("a window has 8 bytes or more")
+    return 8 << max(0, (window // 48).bit_length() - 1)
+
+
+def widths_of(window: int) -> tuple[int, ...]:
+    """How many places the windows of a split group may differ in where the group's hash stands, split by split."""
+    return max(1, window // 8), max(1, window // 64), 1
+
+
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """A 64-bit hash of the ``gram`` bytes from each place on: of 8 bytes, then of twice as many from two, until they are so many."""
+    h = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,)) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    size = 8
+    while size < gram:
+        h = h[:-size] * np.uint64(0xD6E8FEB86659FD93) + h[size:]
+        h ^= h >> np.uint64(31)
+        size *= 2
     return h * np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -116,6 +125,7 @@ def _holds_twice(grams: np.ndarray, h: np.ndarray, start: np.ndarray, stop: np.n
 
 def _segments(window: int) -> Mapper:
     """The segments of each text: of columns key, text (bytes) and copies."""
+    gram = gram_of(window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,8 +134,8 @@ def _segments(window: int) -> Mapper:
                 data = b"".join(piece for _, _, piece in group)
                 size = np.array([len(piece) for _, _, piece in group])
                 offset = np.cumsum(size) - size
-                grams = gram_hashes(np.frombuffer(data, np.uint8))
-                least = sliding_least(grams, window - GRAM + 1)
+                grams = gram_hashes(np.frombuffer(data, np.uint8), gram)
+                least = sliding_least(grams, window - gram + 1)
                 count = size - window + 1
                 begins = np.cumsum(count) - count
                 place = np.arange(count.sum()) + np.repeat(offset - begins, count)
@@ -137,7 +147,7 @@ def _segments(window: int) -> Mapper:
                 text = np.array([i for i, _, _ in group])[of]
                 start = at - offset[of] + np.array([s for _, s, _ in group])[of]
                 b = _digests(data, at, at + n + window - 1)
-                inner = _holds_twice(grams, h[first], at, at + n + window - GRAM)
+                inner = _holds_twice(grams, h[first], at, at + n + window - gram)
                 columns = [pa.array(h[first].view(np.int64)), pa.array(b, pa.binary()), keys.take(pa.array(text)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(single[text]), pa.array(inner)]
                 yield pa.RecordBatch.from_arrays(columns, ["g", "b", "key", "start", "n", "due", "inner"])
 
@@ -150,8 +160,9 @@ def split_segment(body: bytes, n: int, width: int, window: int) -> Iterator[tupl
     Windows whose hash stands ``width * j`` to ``width * (j + 1) - 1`` bytes in share
     the bytes from ``width * j`` before it on that lie in all of them; these, and j, are the group.
     """
-    h = gram_hashes(np.frombuffer(body, np.uint8))
-    value = h[: window - GRAM + 1].min()
+    gram = gram_of(window)
+    h = gram_hashes(np.frombuffer(body, np.uint8), gram)
+    value = h[: window - gram + 1].min()
     places = np.flatnonzero(h == value)
     start = np.arange(n)
     anchor = places[np.searchsorted(places, start)]
@@ -305,7 +316,7 @@ def _found(texts: Texts, window: int) -> DataFrame:
     """(key, start, n): runs of windows of the texts that have one copy which stand anywhere else."""
     segments = stage(texts.table.mapInArrow(_segments(window), SEGMENTS), "segments")
     found, to_sort = [], []
-    for width in (*WIDTHS, None):
+    for width in (*widths_of(window), None):
         groups = segments.groupBy("g", "b").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("key", "start", "n", "due", "inner")).alias("one"))
         groups = stage(groups, "groups")
         twice = groups.where("times > 1").select("g", "b")
