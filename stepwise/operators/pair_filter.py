@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepwise.functions.geometry import once, overlap, primary_point, to_pixel
+from stepwise.functions.maps import entries
 from stepwise.operators.profile import histograms
 from stepwise.operators.regions import CARD, COMPACT, CTA, SEARCH, in_region, with_region
 
@@ -79,6 +80,42 @@ def variant(pairs: DataFrame, name: str) -> DataFrame:
     return pairs.withColumn("kept", ~F.col("decision").isin(*VARIANTS[name]))
 
 
+# What a kept pair's metadata tell of its decision, by the decision's column.
+FILTER_KEYS = {
+    "v3_filter_decision": "decision",
+    "v3_filter_reason": "reason",
+    "v3_major_category": "major_category",
+    "target_region_kind": "target_region_kind",
+    "candidate_region_kind": "candidate_region_kind",
+}
+DECISION_COLUMNS = tuple(FILTER_KEYS.values())
+
+
+def with_filter_metadata(decided_pairs: DataFrame) -> DataFrame:
+    """Pairs with their decision's columns as a map ``filter_metadata``; these columns go."""
+    told = entries(**{k: F.col(c).cast("string") for k, c in FILTER_KEYS.items()})
+    return decided_pairs.withColumn("filter_metadata", told).drop(*DECISION_COLUMNS, "kept")
+
+
+def variant_summary(marked: DataFrame) -> DataFrame:
+    """(dim, value, n) of a variant's pairs (``kept`` or not), in one pass: kept ones by decision, category and type; dropped ones by decision, reason, type, type and reason."""
+    kept = lambda c: F.when(F.col("kept"), F.coalesce(c, F.lit("unknown")))
+    gone = lambda c: F.when(~F.col("kept"), F.coalesce(c, F.lit("unknown")))
+    kind = F.col("negative_type")
+    by_reason = F.concat_ws("->", F.coalesce(kind, F.lit("unknown")), F.coalesce("reason", F.lit("unknown")))
+    return histograms(marked, {
+        "num_pairs": F.when(F.col("kept"), "all"),
+        "kept_decisions": kept(F.col("decision")),
+        "kept_major_categories": kept(F.col("major_category")),
+        "kept_negative_types": kept(kind),
+        "num_dropped_pairs": F.when(~F.col("kept"), "all"),
+        "dropped_decisions": gone(F.col("decision")),
+        "dropped_reasons": gone(F.col("reason")),
+        "dropped_negative_types": gone(kind),
+        "dropped_by_negative_type_reason": F.when(~F.col("kept"), by_reason),
+    })
+
+
 def decision_summary(decided_pairs: DataFrame) -> DataFrame:
     """(dim, value, n) of decided pairs: decisions, reasons and categories, alone and by type or subtype, in one pass."""
     arrow = lambda a, b: F.concat_ws("->", a, b)

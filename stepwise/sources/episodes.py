@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepwise.functions.geometry import box, distance, point
+from stepwise.functions.geometry import SPACES, box, distance, point
 from stepwise.functions.maps import METADATA, entries
 
 # Aliases, in order of precedence.
@@ -291,7 +291,33 @@ def parser(source: str) -> Callable[[DataFrame], DataFrame]:
     return PARSERS[source]
 
 
+def action_checks(action: Column, name: str = "action") -> dict[str, Column]:
+    """What holds for an action: a known type and space."""
+    return {f"{name} type": action["type"].isin(sorted(set(TYPE_ALIASES.values()))), f"{name} space": action["coordinate_space"].isin(*SPACES)}
+
+
+def step_checks() -> dict[str, Column]:
+    """What holds for the columns that steps, and pairs made of them, share: ids, task, sides of a screen, spaces of boxes."""
+    known = lambda b: b["coordinate_space"].isin(*SPACES)
+    return {
+        "episode_id": F.col("episode_id").isNotNull(),
+        "step_id": F.col("step_id") >= 0,
+        "task": F.col("task").isNotNull(),
+        "screen_size": F.col("screen_size").isNull() | ((F.col("screen_size.width") > 0) & (F.col("screen_size.height") > 0)),
+        "target_bbox space": F.col("target_bbox").isNull() | known(F.col("target_bbox")),
+        "ui_elements": F.col("ui_elements").isNull() | F.forall("ui_elements", lambda e: F.coalesce(known(e["bbox"]), F.lit(False))),
+    }
+
+
+def pair_checks() -> dict[str, Column]:
+    """What holds for a written pair."""
+    own = {k: F.col(k).isNotNull() for k in ("pair_id", "negative_type")}
+    return {**own, **step_checks(), **action_checks(F.col("chosen"), "chosen"), **action_checks(F.col("rejected"), "rejected")}
+
+
 def validated(steps: DataFrame) -> DataFrame:
-    """``steps``, raising at a row whose type, screen or number is out of its domain."""
-    ok = F.col("action.type").isin(sorted(set(TYPE_ALIASES.values()))) & (F.col("step_id") >= 0) & F.coalesce((F.col("screen_size.width") > 0) & (F.col("screen_size.height") > 0), F.lit(True))
+    """``steps``, raising at a row that is out of its domain."""
+    ok = F.lit(True)
+    for check in {**step_checks(), **action_checks(F.col("action"))}.values():
+        ok = ok & F.coalesce(check, F.lit(False))
     return steps.where(F.assert_true(ok, "a step is out of its domain").isNull())

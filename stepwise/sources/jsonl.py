@@ -12,14 +12,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from stepwise.sources.lines import numbered_lines
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str | None = None, limit: int | None = None) -> DataFrame:
-    """One row a non-blank line: typed columns with ``schema`` (a bad line raises), else one VARIANT column ``raw``."""
+    """One row a non-blank line: typed columns with ``schema`` (a bad line raises), else one VARIANT column ``raw``; ``limit``: of the first lines."""
+    if limit is not None:
+        lines = numbered_lines(spark, path).where(F.col("pos") < limit)
+        if schema is None:
+            return lines.select(F.parse_json(F.trim("value")).alias("raw"))
+        return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("_r")).select("_r.*")
     if schema is not None:
-        rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    else:
-        rows = spark.read.text(path).where(F.length(F.trim("value")) > 0).select(F.parse_json(F.trim("value")).alias("raw"))
-    return rows if limit is None else rows.limit(limit)
+        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    return spark.read.text(path).where(F.length(F.trim("value")) > 0).select(F.parse_json(F.trim("value")).alias("raw"))
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
