@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from stepwise.functions import geometry as G
 from stepwise.functions import text as X
-from stepwise.operators import audit, errors, metrics, negatives, pair_filter, profile, regions, rewards, scorer, selection, transforms
-from stepwise.plans.fixtures import ELEMENT_TEXTS, ELEMENT_TYPES, SQL_PREDICTIONS, SQL_STEPS, sql_list, predictions, read, steps
+from stepwise.operators import audit, errors, metrics, negatives, pair_filter, profile, regions, rewards, scorer, screens, selection, transforms
+from stepwise.plans.fixtures import ELEMENT_TEXTS, ELEMENT_TYPES, HEIGHT, SQL_PREDICTIONS, SQL_STEPS, WIDTH, predictions, read, sql_list, steps
 from stepwise.sources import episodes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -597,6 +597,23 @@ def region_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decided(spark, sf_dir).where("region_overlap > 0").select("pair_id", _r(F.col("region_overlap")).alias("region_overlap"))
 
 
+_DROPS = " UNION ALL ".join(f"SELECT '{name}' AS variant, *, decision NOT IN ({', '.join(repr(d) for d in drops)}) AS kept FROM ds" for name, drops in pair_filter.VARIANTS.items())
+
+
+@query(_DECIDED + f""", mv AS ({_DROPS}),
+  v AS (
+    SELECT variant, unnest(['num_pairs', 'kept_decisions', 'kept_major_categories', 'kept_negative_types', 'num_dropped_pairs', 'dropped_decisions', 'dropped_reasons', 'dropped_negative_types', 'dropped_by_negative_type_reason']) AS dim,
+           unnest(CASE WHEN kept THEN ['all', decision, major_category, negative_type, NULL, NULL, NULL, NULL, NULL] ELSE [NULL, NULL, NULL, NULL, 'all', decision, reason, negative_type, negative_type || '->' || reason] END) AS value FROM mv)
+  SELECT variant, dim, value, count(*) AS n FROM v WHERE value IS NOT NULL GROUP BY ALL""")
+def ablation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = _decided(spark, sf_dir).select("negative_type", "decision", "reason", "major_category")
+    out = None
+    for name in pair_filter.VARIANTS:
+        one = pair_filter.variant_summary(pair_filter.variant(facts, name)).withColumn("variant", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query(_DECIDED + """, v AS (SELECT unnest(['decision', 'reason', 'category', 'negative_type', 'negative_subtype', 'decision_by_type', 'category_by_type', 'reason_by_type', 'decision_by_subtype']) AS dim,
       unnest([decision, reason, major_category, negative_type, subtype, negative_type || '->' || decision, negative_type || '->' || major_category, reason || '->' || negative_type, subtype || '->' || decision]) AS value FROM ds)
   SELECT dim, value, count(*) AS n FROM v GROUP BY ALL""")
@@ -637,6 +654,70 @@ ORACLES["boxes_dedupe"] = f"""WITH {SQL_STEPS}, v AS (
   SELECT event_id, count(*) AS n FROM v GROUP BY event_id"""
 
 
+# Whole screens, and targets the second way.
+
+_SB = f""", sb AS (
+    SELECT event_id, i AS pos, greatest(0.0::DOUBLE, least(x1, {WIDTH})) AS x1, greatest(0.0::DOUBLE, least(y1, {HEIGHT})) AS y1, greatest(0.0::DOUBLE, least(x2, {WIDTH})) AS x2, greatest(0.0::DOUBLE, least(y2, {HEIGHT})) AS y2,
+           upper(i || ':' || ui_type || CASE WHEN txt <> '' THEN ':' || txt ELSE '' END) AS label, contains(ui_type, 'TEXT') AS texty, CASE WHEN txt <> '' THEN left(txt, 18) ELSE lower(i || ':' || ui_type) END AS t FROM els),
+  bx AS (SELECT b.*, x2 - x1 AS w, y2 - y1 AS h, (y1 + y2) / 2 AS cy, lower(task) AS task FROM sb b JOIN steps USING (event_id) WHERE x2 > x1 AND y2 > y1),
+  nx AS (
+    SELECT b.event_id, b.pos, b.w, b.h, b.cy, o.pos AS opos, o.x1, o.y1, o.x2, o.y2, o.t, o.label, greatest(0.0::DOUBLE, o.x1 - b.x2, b.x1 - o.x2) AS gx, greatest(0.0::DOUBLE, o.y1 - b.y2, b.y1 - o.y2) AS gy,
+           abs(o.cy - b.cy) AS dy, least(o.x2, b.x2) - greatest(o.x1, b.x1) AS ov, abs(o.cy - b.cy) <= greatest(20.0::DOUBLE, b.h * 1.5::DOUBLE) OR (o.y2 >= b.y1 AND o.y1 <= b.y2) AS in_row
+    FROM bx b JOIN bx o USING (event_id)),
+  ax AS (
+    SELECT event_id, pos, string_agg(t, ' ' ORDER BY x1, opos) FILTER (in_row) AS rt, SEARCH_ AS se, SIDE_ AS co, CARD_ AS ca FROM nx GROUP BY event_id, pos),
+  kx AS (
+    SELECT *, CASE WHEN contains(t, 'search') OR contains(label, 'ICON_MAGNIFYING_GLASS') THEN 'search_or_suggestion_row' WHEN {_LIKE("rt", screens.SCREEN_CTA_PHRASES)} OR (contains(rt, 'sign') AND contains(rt, 'check out')) THEN 'full_width_cta_button'
+           WHEN {_LIKE("t", regions.COMPACT_WORDS)} THEN 'compact_control_button' WHEN {_LIKE("t", screens.SCREEN_BUTTON_WORDS)} THEN 'button_like' WHEN {_LIKE("task", regions.PRODUCT_WORDS)} AND (texty OR h > 60) THEN 'possible_card_region' ELSE 'padded_raw_bbox' END AS kind
+    FROM bx JOIN ax USING (event_id, pos)),
+  ux AS (
+    SELECT event_id, pos, kind, h, w, CASE kind WHEN 'search_or_suggestion_row' THEN coalesce(se, [x1, y1, x2, y2]) WHEN 'full_width_cta_button' THEN [{WIDTH} * 0.04::DOUBLE, cy, {WIDTH} * 0.96::DOUBLE, cy] WHEN 'compact_control_button' THEN co WHEN 'possible_card_region' THEN ca ELSE [x1, y1, x2, y2] END AS s,
+           CASE kind WHEN 'search_or_suggestion_row' THEN [10.0::DOUBLE, greatest(8.0::DOUBLE, h * 0.35::DOUBLE)] WHEN 'full_width_cta_button' THEN [0.0::DOUBLE, greatest(52.0::DOUBLE, h * 2.7::DOUBLE) / 2] WHEN 'compact_control_button' THEN [greatest(24.0::DOUBLE, w * 0.35::DOUBLE), greatest(18.0::DOUBLE, h * 0.95::DOUBLE)]
+                WHEN 'button_like' THEN [greatest(24.0::DOUBLE, w * 0.55::DOUBLE), greatest(10.0::DOUBLE, h * 0.65::DOUBLE)] WHEN 'possible_card_region' THEN [10.0::DOUBLE, 10.0::DOUBLE] ELSE [greatest(6.0::DOUBLE, w * 0.12::DOUBLE), greatest(4.0::DOUBLE, h * 0.12::DOUBLE)] END AS p FROM kx),
+  cx AS (SELECT event_id, pos, kind, greatest(0.0::DOUBLE, least(s[1] - p[1], {WIDTH})) AS a, greatest(0.0::DOUBLE, least(s[2] - p[2], {HEIGHT})) AS b, greatest(0.0::DOUBLE, least(s[3] + p[1], {WIDTH})) AS c, greatest(0.0::DOUBLE, least(s[4] + p[2], {HEIGHT})) AS d FROM ux),
+  rx AS (SELECT event_id, pos, kind, CASE WHEN kind = 'search_or_suggestion_row' THEN greatest(0.0::DOUBLE, a - 8) ELSE a END AS a, b, CASE WHEN kind = 'search_or_suggestion_row' THEN least({WIDTH}::DOUBLE, c + 8) ELSE c END AS c, d FROM cx),
+  dx AS (SELECT * FROM rx WHERE c > a AND d > b QUALIFY row_number() OVER (PARTITION BY event_id, kind, round_even(a / 6, 0), round_even(b / 6, 0), round_even(c / 6, 0), round_even(d / 6, 0) ORDER BY pos) = 1)
+"""
+
+
+def _sides(when: str) -> str:
+    return f"CASE WHEN count(*) FILTER ({when}) > 0 THEN [min(x1) FILTER ({when}), min(y1) FILTER ({when}), max(x2) FILTER ({when}), max(y2) FILTER ({when})] END"
+
+
+_SEARCHISH = "contains(t, 'search') OR " + _LIKE("label", regions.SEARCH_ICONS)
+_SB = _SB.replace("SEARCH_ AS", _sides(f"in_row AND ({_SEARCHISH}) AND gx <= greatest(70.0::DOUBLE, w * 2.5::DOUBLE) AND dy <= greatest(28.0::DOUBLE, h * 2.0::DOUBLE)") + " AS")
+_SB = _SB.replace("SIDE_ AS", _sides("in_row AND gx <= greatest(48.0::DOUBLE, w * 2.2::DOUBLE)") + " AS")
+_SB = _SB.replace("CARD_ AS", _sides(f"gy <= greatest(120.0::DOUBLE, h * 3.0::DOUBLE) AND ov > {WIDTH} * -0.20::DOUBLE") + " AS")
+
+
+@query(_SB + "SELECT event_id, pos, kind, round(a, 6) AS x1, round(b, 6) AS y1, round(c, 6) AS x2, round(d, 6) AS y2 FROM dx")
+def screen_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = screens.with_screen_regions(steps(spark, sf_dir)).select("event_id", F.explode("screen_regions").alias("r"))
+    return s.select("event_id", F.col("r.pos").cast("long").alias("pos"), "r.kind", *[_r(F.col(f"r.{k}")).alias(k) for k in ("x1", "y1", "x2", "y2")])
+
+
+_TA = _OWN + f""", na AS (
+    SELECT t.id, e.x1, e.y1, e.x2, e.y2, e.ui_type, t.h, t.w, abs((e.y1 + e.y2) / 2 - t.cy) AS dy, e.y2 >= t.y1 AND e.y1 <= t.y2 AS over, greatest(0.0::DOUBLE, e.y1 - t.y2, t.y1 - e.y2) AS gy, least(e.x2, t.x2) - greatest(e.x1, t.x1) AS ov
+    FROM tg t JOIN els e ON t.event_id = e.event_id AND valid),
+  aa AS (SELECT id, bool_or(ui_type = 'ICON_MAGNIFYING_GLASS' AND (over OR dy <= greatest(20.0::DOUBLE, h * 1.4::DOUBLE))) AS icon, ROW_ AS ro, CARD_ AS ca FROM na GROUP BY id),
+  ka AS (
+    SELECT t.*, ro, ca, CASE WHEN contains(txt, 'search') OR (contains(lower(task), 'search') AND y1 < {HEIGHT} * 0.35::DOUBLE) OR icon THEN 'search_or_suggestion_row' WHEN {_LIKE("txt", screens.TARGET_BUTTON_WORDS)} THEN 'button_like'
+           WHEN {_LIKE("lower(task)", regions.PRODUCT_WORDS)} AND (ui_type = 'TEXT' OR h > 60) THEN 'possible_card_region' ELSE 'padded_bbox' END AS kind FROM tg t JOIN aa USING (id)),
+  ua AS (
+    SELECT id, kind, ro IS NULL AS alone, CASE kind WHEN 'search_or_suggestion_row' THEN coalesce(ro, [x1, y1, x2, y2]) WHEN 'possible_card_region' THEN ca ELSE [x1, y1, x2, y2] END AS s,
+           CASE kind WHEN 'search_or_suggestion_row' THEN CASE WHEN ro IS NULL THEN [w * 3.0::DOUBLE, h * 0.7::DOUBLE] ELSE [12.0::DOUBLE, greatest(8.0::DOUBLE, h * 0.4::DOUBLE)] END WHEN 'button_like' THEN [greatest(24.0::DOUBLE, w * 0.55::DOUBLE), greatest(10.0::DOUBLE, h * 0.65::DOUBLE)]
+                WHEN 'possible_card_region' THEN [12.0::DOUBLE, 12.0::DOUBLE] ELSE [greatest(12.0::DOUBLE, w * 0.35::DOUBLE), greatest(8.0::DOUBLE, h * 0.35::DOUBLE)] END AS p FROM ka),
+  ba AS (SELECT id, kind, alone, greatest(0.0::DOUBLE, least(s[1] - p[1], {WIDTH})) AS a, greatest(0.0::DOUBLE, least(s[2] - p[2], {HEIGHT})) AS b, greatest(0.0::DOUBLE, least(s[3] + p[1], {WIDTH})) AS c, greatest(0.0::DOUBLE, least(s[4] + p[2], {HEIGHT})) AS d FROM ua)
+""".replace("ROW_ AS", _sides("(over OR dy <= greatest(24.0::DOUBLE, h * 1.6::DOUBLE)) AND x2 - x1 > 2 AND y2 - y1 > 2") + " AS").replace("CARD_ AS", _sides(f"gy <= greatest(120.0::DOUBLE, h * 3.0::DOUBLE) AND ov > {WIDTH} * -0.20::DOUBLE") + " AS")
+
+
+@query(_TA + f"""SELECT id AS event_id, kind, round(CASE WHEN kind = 'search_or_suggestion_row' AND NOT alone THEN 0 ELSE a END, 6) AS x1, round(b, 6) AS y1,
+  round(CASE WHEN kind = 'search_or_suggestion_row' AND NOT alone THEN greatest(c, {WIDTH} * 0.75::DOUBLE) ELSE c END, 6) AS x2, round(d, 6) AS y2 FROM ba""")
+def target_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = screens.with_target_area(_boxed(spark, sf_dir).where("action.type = 'click'"), _p(), "area").where("area is not null")
+    return s.select("event_id", "area.kind", *[_r(F.col(f"area.{k}")).alias(k) for k in ("x1", "y1", "x2", "y2")])
+
+
 # Predictions.
 
 _OK = ", p AS (SELECT *, label = prediction_label AS ok FROM preds)"
