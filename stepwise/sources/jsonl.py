@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from stepwise.sources.documents import read_items
 from stepwise.sources.lines import numbered_lines
 
 
@@ -31,12 +32,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Rows of VARIANT ``raw``: JSON lines by their suffix, else a list's items, ``episodes`` of an object, or the object."""
     if path.endswith(".jsonl"):
         return read_jsonl(spark, path)
-    whole = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
-    kind = F.schema_of_variant("v")
-    listed = F.coalesce(F.try_variant_get("v", "$.episodes", "array<variant>"), F.try_variant_get("v", "$", "array<variant>"))
-    bad = F.raise_error("records must be a list or an object").cast("array<variant>")
-    rows = F.when(listed.isNotNull(), listed).when(kind.startswith("OBJECT"), F.array("v")).otherwise(bad)
-    return whole.select(F.explode(rows).alias("raw"))
+    return read_items(spark, path).select(F.parse_json("text").alias("raw"))
 
 
 def write_jsonl(df: DataFrame, path: str, order: list[str] | None = None) -> None:
