@@ -7,6 +7,8 @@ struct<width,height>.  Spaces are ``pixel``, ``normalized_1000`` and
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,11 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
 
 
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(x)`` with x worked out once, however often f names it; within a lambda too."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepwise.functions.geometry import distance_bucket
 from stepwise.functions.text import action_text, compact
 from stepwise.operators.pair_filter import last_by_key
+from stepwise.operators.places import numbered
 from stepwise.operators.profile import histograms, with_pair_facts
 
 # Labels that a reviewer chooses from; lengths of review texts.
@@ -51,29 +52,6 @@ def enriched(wrong: DataFrame, pairs: DataFrame, pos: str = "pos") -> DataFrame:
     return wrong.join(last_by_key(facts, "pair_id", pos), "pair_id", "left").withColumn("distance_bucket", distance_bucket(F.col("distance_px")))
 
 
-#: Ranges that rows are numbered in, at most.
-RANGES = 200
-
-
-def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """``rows`` with their place from 1 in ``order``: by ranges of its first column, which are counted, so no task numbers them all.
-
-    The ranges' bounds are values of at most ``RANGES`` rows, those of the smallest hashes.
-    """
-    key = F.col(order[0])
-    near = F.xxhash64(key)
-    some = rows.where(key.isNotNull()).select(key.alias("k"), near.alias("h")).orderBy("h").limit(RANGES).collect()
-    kind = rows.schema[order[0]].dataType.simpleString()
-    bounds = F.array(*[F.lit(v) for v in sorted({r["k"] for r in some})]).cast(f"array<{kind}>")
-    part = F.coalesce(F.size(F.filter(bounds, lambda b: b <= key)), F.lit(0))
-    rows = rows.withColumn("_range", F.when(key.isNull(), -1).otherwise(part))
-    counts = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    # One row a range.
-    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) + F.col("_before")
-    return rows.join(F.broadcast(before), "_range").withColumn(name, place.cast("int")).drop("_range", "_before")
-
-
 def _told(cases: DataFrame, name: str, none: str = "") -> Column:
     """A column as text, ``none`` where it is null or the cases lack it."""
     return F.coalesce(F.col(name).cast("string"), F.lit(none)) if name in cases.columns else F.lit(none)
@@ -97,7 +75,7 @@ def review_rows(cases: DataFrame, order: list[str], negative_subtype: str | None
     plain = ("distance_px", "distance_bucket", "candidate_in_ui_element", "same_element_as_gt")
     texts = [compact(_told(cases, k), n).alias(k) for k, n in TEXT_LENGTHS.items()]
     return numbered(cases, order, "case_index").select(
-        "case_index",
+        F.col("case_index").cast("int").alias("case_index"),
         F.lit("").alias("review_label"),
         F.lit("").alias("notes"),
         F.lit("|".join(REVIEW_LABELS)).alias("suggested_labels"),

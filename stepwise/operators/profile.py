@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepwise.functions.geometry import distance, distance_bucket, first_at, once, primary_point, to_pixel
+from stepwise.functions.text import identity
 
 
 def histograms(rows: DataFrame, dims: Mapping[str, Column]) -> DataFrame:
@@ -17,27 +18,31 @@ def histograms(rows: DataFrame, dims: Mapping[str, Column]) -> DataFrame:
 
 
 def step_profile(steps: DataFrame) -> DataFrame:
-    """One row of step statistics; episode lengths are counted first, so no distinct set is gathered."""
+    """One row of step statistics, in one pass: sums by episode and by task (128 bits of it) are counted first, so no distinct set is gathered."""
     action, screen = F.col("action"), F.col("screen_size")
     p = to_pixel(primary_point(action), screen, action["coordinate_space"])
+    rows = once(steps, _p=p).withColumn("_task", identity(F.col("task")))
+    p = F.col("_p")
     out = ~((p["x"] >= 0) & (p["x"] < screen["width"]) & (p["y"] >= 0) & (p["y"] < screen["height"]))
     typed = action["type"] == "type"
     empty = typed & (F.length(F.trim(F.coalesce(action["text"], F.lit("")))) == 0)
-    sums = steps.groupBy("episode_id").agg(
-        F.count(F.lit(1)).alias("len"), F.count_if(primary_point(action).isNotNull()).alias("points"), F.count_if(F.coalesce(out, F.lit(False))).alias("outside"),
-        F.sum(F.round(p["x"] / screen["width"], 9)).alias("sx"), F.sum(F.round(p["y"] / screen["height"], 9)).alias("sy"), F.count(p).alias("np"),
-        F.count_if(typed).alias("typed"), F.count_if(empty).alias("empty"),
-    )
+    sums = {
+        "len": F.count(F.lit(1)), "points": F.count_if(primary_point(action).isNotNull()), "outside": F.count_if(F.coalesce(out, F.lit(False))),
+        "sx": F.sum(F.round(p["x"] / screen["width"], 9)), "sy": F.sum(F.round(p["y"] / screen["height"], 9)), "np": F.count(p), "typed": F.count_if(typed), "empty": F.count_if(empty),
+    }
+    both = rows.groupBy("episode_id", "_task").agg(*[v.alias(k) for k, v in sums.items()])
+    # Each row stands once for its episode and once for its task.
+    own = F.struct(F.lit(True).alias("episode"), F.col("episode_id").cast("binary").alias("key"), *sums)
+    other = F.struct(F.lit(False).alias("episode"), F.col("_task").alias("key"), *[F.lit(None).alias(k) for k in sums])
+    keyed = both.select(F.inline(F.array(own, other))).groupBy("episode", "key").agg(*[F.sum(k).alias(k) for k in sums])
     n, points = F.sum("len"), F.sum("points")
-    tasks = steps.select("task").distinct().agg(F.count(F.lit(1)).alias("n_tasks"))
-    whole = sums.agg(
-        n.alias("n_steps"), F.count(F.lit(1)).alias("n_episodes"), F.min("len").alias("len_min"), F.max("len").alias("len_max"), F.avg("len").alias("len_mean"),
+    return keyed.agg(
+        n.alias("n_steps"), F.count_if("episode").alias("n_episodes"), F.min("len").alias("len_min"), F.max("len").alias("len_max"), F.avg("len").alias("len_mean"),
         points.alias("n_points"), F.sum("outside").alias("n_outside"), (F.sum("outside") / F.greatest(points, F.lit(1))).alias("outside_rate"),
         F.round(F.sum("sx") / F.sum("np"), 6).alias("mean_x"), F.round(F.sum("sy") / F.sum("np"), 6).alias("mean_y"),
         F.sum("typed").alias("n_typed"), F.sum("empty").alias("n_empty"), (F.sum("empty") / F.greatest(F.sum("typed"), F.lit(1))).alias("empty_rate"),
-    )
-    # One row each.
-    return whole.join(F.broadcast(tasks))
+        F.count_if(~F.col("episode") & F.col("key").isNotNull()).alias("n_tasks"),
+    )
 
 
 def _pixel(action: str) -> Column:

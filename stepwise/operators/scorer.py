@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepwise.functions.text import action_text, prompt
+from stepwise.functions.text import action_text, identity, prompt
 from stepwise.operators.profile import histograms
 
 # Fixed value: the question of a prompt.
@@ -51,7 +51,7 @@ def scorer_summary(rows: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("label") == "Yes").alias("n_yes"),
         F.count_if(F.col("label") == "No").alias("n_no"),
-        F.count_distinct(F.lower(F.trim(F.coalesce("instruction", F.lit(""))))).alias("n_instructions"),
+        F.count_distinct(identity(F.lower(F.trim(F.coalesce("instruction", F.lit("")))))).alias("n_instructions"),
         F.count_distinct("episode_id").alias("n_episodes"),
         F.count("image").alias("n_images"),
     )

@@ -5,12 +5,10 @@ All is done within a row, on the array of a screen's boxes: no shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepwise.functions.geometry import box_to_pixel, clamp, once, smallest_at
+from stepwise.functions.geometry import bound, box_to_pixel, clamp, once, smallest_at
 from stepwise.operators.regions import COMPACT, COMPACT_WORDS, CTA, CTA_PAIR, CTA_PHRASES, PADDED, PRODUCT_WORDS, SEARCH, SEARCH_ICON, SEARCH_ICONS, SEARCH_WORD, distinct_boxes, region
 
 # Kinds that only these ways know, and their words.
@@ -29,11 +27,6 @@ CTA_SIDES, CARD_OVERLAP, CARD_HEIGHT, TOP_OF_SCREEN, TARGET_ROW_WIDTH = (0.04, 0
 SCREEN_PAD, SCREEN_ROW_MORE, TARGET_UNION_PAD, LEAST_SIDE, TARGET_ALONE = 10.0, 8.0, 12.0, 2, (3.0, 0.7)
 
 
-def bound(x: Column, f: Callable[[Column], Column]) -> Column:
-    """``f(x)`` with x worked out once, within a lambda too."""
-    return F.get(F.transform(F.array(x), f), F.lit(0))
-
-
 def _any_in(text: Column, words: tuple[str, ...]) -> Column:
     out = F.lit(False)
     for w in words:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepwise.functions.text import split_name
+from stepwise.operators.places import numbered
 
 # The order of the quality buckets.
 QUALITY = {"low": 0, "medium": 1, "high": 2}
@@ -21,19 +22,59 @@ def step_difficulty(metadata: Column, quality: Column) -> Column:
     return difficulty(told("difficulty_score"), told("model_error_rate"), quality)
 
 
+#: Beyond this many rows a type, Spark's group limit doesn't cut a type below the shuffle, and rows are numbered by ranges.
+GROUP_LIMIT = 1000
+
+
+def last_turn(sizes: list[int], max_samples: int) -> int:
+    """The last turn in which all types that have rows left can give one, so that no more than ``max_samples`` are given."""
+    turn, left, given = 0, sorted(sizes), 0
+    while left:
+        step = left[0] - turn
+        if given + step * len(left) > max_samples:
+            return turn + (max_samples - given) // len(left)
+        given, turn = given + step * len(left), left[0]
+        left = [n for n in left if n > turn]
+    return turn
+
+
+def _many_diverse(rows: DataFrame, least: int, max_samples: int) -> DataFrame:
+    """``select_diverse`` for many rows a type: turns are places in the order by type, difficulty and key, counted by ranges, from each type's end.
+
+    The last turn that is given whole follows from the types' sizes (a row a
+    type comes to the driver), so that rows beyond it are cut by a filter.
+    """
+    sizes = {r["action_type"]: r["n"] for r in rows.groupBy("action_type").agg(F.count(F.lit(1)).alias("n")).orderBy("action_type").collect()}
+    ends, total = {}, 0
+    for kind, n in sizes.items():
+        total += n
+        ends[kind] = total
+    end = F.create_map(*[F.lit(x) for pair in ends.items() for x in pair])[F.col("action_type")] if ends else F.lit(0)
+    turns = numbered(rows, ["action_type", "difficulty", "key"], "turn").withColumn("turn", (end - F.col("turn") + 1).cast("int"))
+    capped = {k: min(n, least) for k, n in sizes.items()}
+    turn = last_turn(list(capped.values()), max_samples)
+    # Of the turn after it, the first types give what is left.
+    rest = max_samples - sum(min(n, turn) for n in capped.values())
+    more = [k for k in sorted(capped) if capped[k] > turn][: max(0, rest)]
+    kept = turns.where((F.col("turn") <= turn) | ((F.col("turn") == turn + 1) & F.col("action_type").isin(more)))
+    return kept.where(F.col("turn") <= least).orderBy("turn", "action_type")
+
+
 def select_diverse(rows: DataFrame, max_samples: int, min_quality: str = "high", per_action: int | None = None) -> DataFrame:
     """Round robin over action types, the most difficult first: ``rows`` (key, action_type, bucket, difficulty) with turn and position.
 
     Rows of equal difficulty come by key, descending.  A type's rows beyond
     ``max_samples`` can never be chosen, so each type keeps that many before
-    the types meet: the window is cut by Spark's group limit, a partial one
-    before the shuffle.
+    the types meet: up to ``GROUP_LIMIT`` by Spark's group limit, a partial one
+    before the shuffle, and beyond it by counted ranges.
     """
     rank = {k: v for k, v in QUALITY.items() if v >= QUALITY[min_quality]}
     least = min(max_samples, per_action) if per_action is not None else max_samples
+    rows = rows.where(F.coalesce("bucket", F.lit("low")).isin(list(rank))).withColumn("action_type", F.coalesce("action_type", F.lit("unknown")))
+    if least > GROUP_LIMIT:
+        return _many_diverse(rows, least, max_samples)
     order = Window.partitionBy("action_type").orderBy(F.desc("difficulty"), F.desc("key"))
-    turns = rows.where(F.coalesce("bucket", F.lit("low")).isin(list(rank))).withColumn("action_type", F.coalesce("action_type", F.lit("unknown")))
-    turns = turns.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= least)
+    turns = rows.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= least)
     return turns.orderBy("turn", "action_type").limit(max_samples)
 
 

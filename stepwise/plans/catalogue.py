@@ -281,7 +281,7 @@ def instruction_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_SPLIT + "SELECT split, count(*) AS n, count(DISTINCT task) AS n_tasks FROM w GROUP BY split")
 def split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.with_split(steps(spark, sf_dir), "task").groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("task").alias("n_tasks"))
+    return selection.with_split(steps(spark, sf_dir), "task").groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(X.identity(F.col("task"))).alias("n_tasks"))
 
 
 @query("SELECT event_id FROM events ORDER BY md5('42|' || event_id), event_id LIMIT 100", "u AS (SELECT 1)")

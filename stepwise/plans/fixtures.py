@@ -70,7 +70,8 @@ def steps(spark: SparkSession, sf_dir: str, texts: bool = True) -> DataFrame:
         return F.struct(box(x, y, x + w, y + h, F.when(i == 6, "normalized_1000").otherwise("pixel")).alias("bbox"), _pick(ELEMENT_TEXTS, (e + i * 3) % 10).alias("text"), _pick(ELEMENT_TYPES, (e + i) % 5).alias("ui_type"), i.alias("index"))
 
     target = F.when(e % 4 == 0, box((e * 11) % 800, (e * 19) % 1800, (e * 11) % 800 + 200, (e * 19) % 1800 + 300))
-    df = once(df, task=task, action=action, target_bbox=target, screen_size=screen)
+    # The task stands by itself: who uses none reads no document's text.
+    df = once(df.withColumn("task", task), action=action, target_bbox=target, screen_size=screen)
     hard = (F.col("value") / 500).cast("string")
     told = F.when(turn == 0, entries(difficulty_score=hard)).when(turn == 1, entries(model_error_rate=hard)).otherwise(entries())
     return df.select(

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import csv
+import io
 import json
 import os
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 from typing import Any
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -67,20 +72,56 @@ def _review_rows(df: DataFrame, most: int) -> list[dict[str, Any]]:
     return [r.asDict(recursive=True) for r in df.limit(most).collect()]
 
 
-def write_csv(df: DataFrame, path: str, empty_header: tuple[str, ...] = ("case_index", "review_label", "notes", "sample_id")) -> None:
-    """One CSV file of all rows with a byte order mark; without rows just ``empty_header``.
+def _csv_lines(header: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows as CSV lines without their ends; the first task's begin with a byte order mark and the header."""
 
-    Rows come to the driver a partition at a time, so it never holds them all.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text = io.StringIO()
+        out = csv.writer(text, lineterminator="")
+
+        def line(values: Iterable[Any]) -> str:
+            text.seek(0)
+            text.truncate()
+            out.writerow(values)
+            return text.getvalue()
+
+        if TaskContext.get().partitionId() == 0:
+            yield pa.RecordBatch.from_arrays([pa.array(["\ufeff" + line(header)])], ["value"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([line(r.values()) for r in batch.to_pylist()], pa.string())], ["value"])
+
+    return run
+
+
+def write_csv(df: DataFrame, path: str, empty_header: tuple[str, ...] = ("case_index", "review_label", "notes", "sample_id"), order: str = "case_index") -> None:
+    """One CSV file of all rows with a byte order mark, by ``order`` if ``df`` has it; without rows just ``empty_header``.
+
+    Tasks write ranges of rows as parts in a folder beside ``path``; these are
+    joined, byte by byte, to a file that takes its name when it is whole.
     """
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    rows = (r.asDict(recursive=True) for r in df.toLocalIterator())
-    first = next(rows, None)
-    with open(path, "w", encoding="utf-8-sig", newline="") as f:
-        out = csv.DictWriter(f, fieldnames=list(empty_header) if first is None else list(first))
-        out.writeheader()
-        if first is not None:
-            out.writerow(first)
-        out.writerows(rows)
+    spark = df.sparkSession
+    folder, whole = f"{path}.parts-{uuid.uuid4().hex}", f"{path}.whole-{uuid.uuid4().hex}"
+    rows = df.repartitionByRange(order).sortWithinPartitions(order) if order in df.columns else df
+    rows.mapInArrow(_csv_lines(df.columns), "value string").write.option("lineSep", "\r\n").text(folder)
+    hadoop = spark._jvm.org.apache.hadoop
+    conf = spark._jsc.hadoopConfiguration()
+    at = lambda p: hadoop.fs.Path(p)
+    files = at(folder).getFileSystem(conf)
+    parts = sorted((f.getPath().toString(), f.getLen()) for f in files.listStatus(at(folder)) if f.getPath().getName().startswith("part-"))
+    header = len(("\ufeff" + ",".join(df.columns) + "\r\n").encode())
+    out = files.create(at(whole), True)
+    if sum(n for _, n in parts) <= header:
+        out.write(bytearray(("\ufeff" + ",".join(empty_header) + "\r\n").encode()))
+    else:
+        for part, _ in parts:
+            source = files.open(at(part))
+            hadoop.io.IOUtils.copyBytes(source, out, conf, False)
+            source.close()
+    out.close()
+    files.delete(at(path), False)
+    if not files.rename(at(whole), at(path)):
+        raise OSError(f"could not write {path}")
+    files.delete(at(folder), True)
 
 
 def write_markdown(df: DataFrame, path: str, title: str, most: int = 100) -> None:
