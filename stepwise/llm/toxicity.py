@@ -80,18 +80,21 @@ def risk_and_slope(theta: np.ndarray, positive: Texts, unlabelled: Texts, prior:
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
     """Minimise the non-negative PU risk of a logistic model over selected features, by Adam with decay."""
     n_p, n_u = max(1, len(positive)), max(1, len(unlabelled))
-    count = lambda rows: np.bincount(np.concatenate([np.zeros(0, np.int64), *rows]), minlength=1 << BITS).astype(float)
+    count = lambda rows: np.bincount(np.concatenate([np.zeros(0, np.int32), *rows]), minlength=1 << BITS)
     c_p, c_u = count(positive), count(unlabelled)
+    # No other feature can be frequent in the toxic texts.
+    there = np.flatnonzero(c_p)
+    c_p, c_u = c_p[there].astype(float), c_u[there].astype(float)
     low, high = (c_p - 2 * np.sqrt(c_p)) / n_p, (c_u + 2 * np.sqrt(c_u) + 1) / n_u
-    chosen = np.flatnonzero(low > LIFT * high)
+    chosen = there[low > LIFT * high]
     if not len(chosen):
         return Model(chosen, np.zeros(0), -5.0)
-    place = np.full(1 << BITS, -1)
+    place = np.full(1 << BITS, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
 
     def texts_of(rows: list[np.ndarray]) -> Texts:
         doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        at = place[np.concatenate([np.zeros(0, np.int64), *rows])]
+        at = place[np.concatenate([np.zeros(0, np.int32), *rows])]
         return doc[at >= 0], at[at >= 0], len(rows)
 
     sets = texts_of(positive), texts_of(unlabelled)
@@ -118,8 +121,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[np.ndarray] = []
         for group in in_steps(batch.column("text").to_pylist()):
             doc, found = features(group)
-            rows += np.split(found, np.searchsorted(doc, np.arange(1, len(group))))
-        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(rows, pa.list_(pa.int64()))], ["toxic", "f"])
+            rows += np.split(found.astype(np.int32), np.searchsorted(doc, np.arange(1, len(group))))
+        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(rows, pa.list_(pa.int32()))], ["toxic", "f"])
 
 
 def sample(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> tuple[DataFrame, float]:
@@ -149,9 +152,11 @@ def sample(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlab
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
     """Fit on ``sample``; of its texts only the distinct features come to the driver."""
     rows, prior = sample(docs, labels, positives, unlabelled)
-    got = rows.mapInArrow(in_short_batches(_features), "toxic int, f array<long>").toPandas()
+    got = rows.mapInArrow(in_short_batches(_features), "toxic int, f array<int>").toArrow()
+    toxic = got.column("toxic").to_numpy()
+    lists = [x for chunk in got.column("f").chunks for x in np.split(chunk.flatten().to_numpy(), np.cumsum(chunk.value_lengths().to_numpy())[:-1])]
     # In an order that the tasks' don't change.
-    rows_of = lambda v: sorted((np.asarray(x, np.int64) for x in got.loc[got["toxic"] == v, "f"]), key=lambda x: (len(x), int(x.sum())))
+    rows_of = lambda v: sorted((x for x, t in zip(lists, toxic, strict=True) if t == v), key=lambda x: (len(x), int(x.sum())))
     return fit(rows_of(1), rows_of(0), prior)
 
 
