@@ -127,6 +127,31 @@ def area(b: Column) -> Column:
     return F.greatest(b["x2"] - b["x1"], F.lit(0.0)) * F.greatest(b["y2"] - b["y1"], F.lit(0.0))
 
 
+def held_at(boxes: Column, p: Column) -> Column:
+    """All valid boxes that hold a point, the least area first, equal ones in list order; none without a point."""
+    held = F.filter(boxes, lambda b: b["valid"] & contains(b, p))
+    ordered = F.array_sort(F.transform(held, lambda b: F.struct(area(b).alias("area"), b["pos"].alias("pos"), b.alias("box"))))
+    return F.transform(ordered, lambda x: x["box"])
+
+
+# How much of an element's text its label tells, and decimals of a listed side.
+LABEL_TEXT, LIST_DECIMALS = 24, 1
+
+
+def element_label(element: Column) -> Column:
+    """``index:type``, and ``:text`` of a text that isn't blank, cut to its beginning."""
+    text = F.trim(F.coalesce(element["text"], F.lit("")))
+    start = F.concat_ws(":", F.coalesce(element["index"].cast("string"), F.lit("None")), F.coalesce(element["ui_type"], F.lit("")))
+    return F.when(text != "", F.concat(start, F.lit(":"), F.substring(text, 1, LABEL_TEXT))).otherwise(start)
+
+
+def listed(b: Column, label: Column) -> Column:
+    """A box as [x1, y1, x2, y2, label], its sides rounded, as JSON."""
+    sides = [F.bround(b[k], LIST_DECIMALS).cast("string") for k in ("x1", "y1", "x2", "y2")]
+    quoted = F.substring(F.to_json(F.array(label)), 2, 1_000_000_000)
+    return F.concat(F.lit("["), F.concat_ws(", ", *sides), F.lit(", "), quoted)
+
+
 def smallest_at(boxes: Column, p: Column) -> Column:
     """The valid box of the least area that holds a point, the first of equals."""
     held = F.filter(boxes, lambda b: b["valid"] & contains(b, p))

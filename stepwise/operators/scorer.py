@@ -45,6 +45,13 @@ def resolved(path: Column, root: str) -> Column:
     return F.when(path.startswith("/"), path).when(path != "", F.concat(F.lit(root.rstrip("/") + "/"), path))
 
 
+def needed_image(path: Column, root: str) -> Column:
+    """The path of an image that has to be there: below ``root`` unless it is absolute (the root itself if blank); null raises."""
+    missing = F.raise_error("a row has no image").cast("string")
+    root = root.rstrip("/")
+    return F.when(path.isNull(), missing).when(path.startswith("/"), path).when(path == "", F.lit(root)).otherwise(F.concat(F.lit(root + "/"), path))
+
+
 def scorer_summary(rows: DataFrame) -> DataFrame:
     """Counts over all scorer rows, in one row."""
     return rows.agg(

@@ -196,6 +196,13 @@ def element_at_point_smallest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.where("smallest is not null").select("event_id", "smallest")
 
 
+@query(_HELD + "SELECT event_id, row_number() OVER (PARTITION BY event_id ORDER BY area, i) AS place, i AS element FROM held WHERE valid")
+def elements_at_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = G.once(G.once(_boxed(spark, sf_dir), p=_p()), held=G.held_at(F.col("boxes"), F.col("p")))
+    s = s.select("event_id", F.posexplode("held").alias("at", "b"))
+    return s.select("event_id", (F.col("at") + 1).cast("long").alias("place"), F.col("b.index").cast("long").alias("element"))
+
+
 # Profiles.
 
 
