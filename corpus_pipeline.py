@@ -52,7 +52,16 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order; each writes Parquet in the shared folder and the next one reads it."""
+    """All stages in order; each writes Parquet in the shared folder and the next one reads it.
+
+    All but the last return the columns of ``documents`` unchanged, whatever else
+    they are named.  Null and empty texts are texts like others: they are scored
+    as texts without known features, equal one another, and count as no words and
+    no tokens.  Very long texts are taken whole.  Ties go as each stage's operator
+    says; rows that repeat another one are copies, of which one stays.  Rows with
+    a null doc_id stay rows of their own where their texts differ.  Empty tables
+    give no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = new_folder(spark, name.replace(" ", "-"))
