@@ -372,12 +372,42 @@ def _block_links(threshold: float):
     return run
 
 
-def apart_links(hot: DataFrame, roots: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(line, size, shingle) for each distinct hashed shingle of a line; size is how many it has."""
+    for batch in batches:
+        text = batch.column("text").to_pylist()
+        h, n, _ = shingle_hashes(text)
+        rows = np.stack((np.repeat(np.arange(len(text)), n), flat.mix(h, 63)), axis=1)
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        rows = rows[np.append(True, (rows[1:] != rows[:-1]).any(axis=1))[: len(rows)]]
+        size = np.bincount(rows[:, 0], minlength=len(text))
+        yield pa.RecordBatch.from_arrays([batch.column("line").take(pa.array(rows[:, 0])), pa.array(size[rows[:, 0]].astype(np.int32)), pa.array(rows[:, 1])], ["line", "size", "shingle"])
+
+
+def rare_keys(hot: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(key, line) with keys made of each key and each of a line's rarest shingles, so many that two similar lines share one of them.
+
+    Lines that share ``threshold`` of their shingles or more share one of the
+    first n - ceil(threshold * n) + 1 of n in any order.  In the order of their
+    counts, a template's shingles come last, and lines meet by what is their own.
+    """
+    lines = hot.select("line").distinct().join(texts, "line").select("line", "text")
+    found = stage(lines.mapInArrow(in_short_batches(_shingle_rows), "line long, size int, shingle long"), "shingles")
+    counts = stage(found.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
+    each = found.join(counts, "shingle", "left").groupBy("line", "size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "shingle"))).alias("own"))
+    first = (F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).cast("int")
+    rare = each.select("line", F.inline(F.slice("own", F.lit(1), first))).where("n > 1").select("line", "shingle")
+    return hot.join(stage(rare, "rare"), "line").select(F.xxhash64("key", "shingle").alias("key"), "line")
+
+
+def apart_links(hot: DataFrame, roots: DataFrame, texts: DataFrame, threshold: float, by_shingles: bool = True) -> DataFrame:
     """(src, dst): verified links that join what is still apart of each hot key's lines (key, line), so that no pair is left.
 
-    Lines of a key's commonest root (main) meet only those of other roots.  A
-    key with more than a block of lines is dealt to blocks, and each two blocks
-    that may hold such a pair meet in one group.
+    Lines of a key's commonest root (main) meet only those of other roots.  Of a
+    key with more than a block of lines only those meet that share one of their
+    rarest shingles too (``rare_keys``).  If even these are more than a block,
+    they are dealt to blocks, and each two blocks that may hold such a pair meet
+    in one group.
     """
     named = hot.join(roots, hot["line"] == roots["node"], "left").select("key", "line", F.coalesce("root", "line").alias("root"))
     named = stage(named, "hot")
@@ -390,13 +420,20 @@ def apart_links(hot: DataFrame, roots: DataFrame, texts: DataFrame, threshold: f
     one = (F.col("main_n") + F.col("other_n") <= BLOCK) & (F.col("main_chars") + F.col("other_chars") <= BLOCK_CHARS)
     size = size.select("key", one.alias("one"), parts(F.col("main_n"), F.col("main_chars")).alias("mains"), parts(F.col("other_n"), F.col("other_chars")).alias("others"))
     rows = rows.join(size, "key")
+    links = None
+    if by_shingles:
+        big = stage(rows.where(~F.col("one")).select("key", "line"), "big")
+        if not big.isEmpty():
+            links = apart_links(rare_keys(big, texts, threshold), roots, texts, threshold, False)
+            rows = rows.where("one")
     part = F.when(F.col("one"), 0).when(F.col("main"), F.col("others") + F.pmod(F.xxhash64("line"), "mains")).otherwise(F.pmod(F.xxhash64("line"), "others")).cast("int")
     rows = rows.withColumn("part", part)
     pair = lambda x: F.struct(F.least("part", x).alias("i"), F.greatest("part", x).alias("j"))
     met = F.when(F.col("one"), F.array(F.lit(0))).when(F.col("main"), F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("others") + F.col("mains") - 1))
     rows = rows.select("key", "line", "root", "main", "part", "text", F.inline(F.transform(met, pair)))
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return rows.select("key", "i", "j", "part", "main", "root", "line", "text").mapInArrow(_block_links(threshold), "src long, dst long")
+    out = rows.select("key", "i", "j", "part", "main", "root", "line", "text").mapInArrow(_block_links(threshold), "src long, dst long")
+    return out if links is None else out.unionByName(links)
 
 
 def candidates(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
