@@ -323,7 +323,9 @@ def _found(texts: Texts, window: int) -> DataFrame:
         found.append(stage(segments.where("due").join(twice, ["g", "b"], "left_semi").select("key", "start", "n"), "twice"))
         counts = F.count(F.lit(1)).alias("different"), F.max("one.inner").alias("inner"), F.max(F.col("one.due") & (F.col("times") == 1)).alias("due")
         sizes = groups.groupBy("g").agg(*counts).where("(different > 1 or inner) and due")
-        mixed = groups.join(sizes.select("g", "different"), "g").select("g", "b", "one.key", "one.start", "one.n", (F.col("one.due") & (F.col("times") == 1)).alias("due"), "different")
+        # Written, so that the join may split what a group of very many segments has.
+        sizes = stage(sizes.select("g", "different"), "sizes")
+        mixed = groups.join(sizes, "g").select("g", "b", "one.key", "one.start", "one.n", (F.col("one.due") & (F.col("times") == 1)).alias("due"), "different")
         mixed = stage(mixed, "mixed")
         to_sort.append(mixed.where(F.col("different") <= GROUP).drop("different", "b"))
         hot = mixed.where(F.col("different") > GROUP).drop("different", "b", "g")
