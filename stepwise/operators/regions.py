@@ -18,6 +18,13 @@ CTA_PHRASES = ("sign in to check out", "buy it now", "buy now", "add to cart", "
 CTA_PAIR = ("sign", "check out")
 COMPACT_WORDS = ("best match", "filter", "sort", "condition", "screen size", "maximum", "quantity")
 PRODUCT_WORDS = ("product", "item", "result", "cart", "macbook", "ebay", "amazon", "walmart", "bestbuy", "costco")
+# A least length in pixels and the times of a side that may exceed it, as (least, times).
+ROW, TARGET_ROW = (20, 1.5), (20, 1.6)
+SEARCH_GAP, SEARCH_HEIGHT, SEARCH_PAD = (70, 2.5), (28, 2.0), (8, 0.35)
+SIDE_GAP, CARD_COLUMN, CARD_GAP = (48, 2.2), (150, 0.85), (110, 2.4)
+CTA_HEIGHT, COMPACT_PAD, OWN_PAD = (52, 2.7), ((24, 0.35), (18, 0.95)), ((6, 0.12), (4, 0.12))
+# Paddings and least sides in pixels, parts of a screen's width, elements of a card.
+UNION_PAD, SEARCH_MORE, LEAST_SIDE, CTA_SIDES, LEAST_CARD = 10.0, 8, 2, (0.04, 0.96), 2
 # Kinds, in the order in which they are tried.
 SEARCH, CTA, COMPACT, CARD, PADDED = "search_or_suggestion_row", "full_width_cta_button", "compact_control_button", "product_card_region", "padded_raw_bbox"
 
@@ -45,13 +52,13 @@ def _gap(a: Column, b: Column, axis: str) -> Column:
     return F.greatest(F.lit(0.0), a[f"{axis}1"] - b[f"{axis}2"], b[f"{axis}1"] - a[f"{axis}2"])
 
 
-def _most(floor: float, side: Column, times: float) -> Column:
-    return F.greatest(F.lit(float(floor)), side * times)
+def _most(limit: tuple[float, float], side: Column) -> Column:
+    return F.greatest(F.lit(float(limit[0])), side * limit[1])
 
 
-def same_row(boxes: Column, target: Column, times: float = 1.5) -> Column:
+def same_row(boxes: Column, target: Column, limit: tuple[float, float] = ROW) -> Column:
     """Valid boxes whose middle is near the target's, or that overlap it vertically; the target too."""
-    near = _most(20, _h(target), times)
+    near = _most(limit, _h(target))
     return F.filter(boxes, lambda b: b["valid"] & ((F.abs(_mid(b, "y") - _mid(target, "y")) <= near) | ((b["y2"] >= target["y1"]) & (b["y1"] <= target["y2"]))))
 
 
@@ -67,9 +74,9 @@ def search_like(b: Column) -> Column:
 
 def search_boxes(row: Column, target: Column) -> Column:
     """The row's boxes that belong to a search field, the target if there is none; those far above or below go."""
-    related = F.filter(row, lambda b: (F.contains(b["text"], F.lit(SEARCH_WORD)) | F.upper(F.coalesce(b["ui_type"], F.lit(""))).isin(*SEARCH_ICONS)) & (_gap(b, target, "x") <= _most(70, _w(target), 2.5)))
+    related = F.filter(row, lambda b: (F.contains(b["text"], F.lit(SEARCH_WORD)) | F.upper(F.coalesce(b["ui_type"], F.lit(""))).isin(*SEARCH_ICONS)) & (_gap(b, target, "x") <= _most(SEARCH_GAP, _w(target))))
     related = F.when(F.size(related) > 0, related).otherwise(F.array(target))
-    return F.filter(related, lambda b: F.abs(_mid(b, "y") - _mid(target, "y")) <= _most(28, _h(target), 2.0))
+    return F.filter(related, lambda b: F.abs(_mid(b, "y") - _mid(target, "y")) <= _most(SEARCH_HEIGHT, _h(target)))
 
 
 def full_width_cta(text: Column) -> Column:
@@ -77,12 +84,12 @@ def full_width_cta(text: Column) -> Column:
 
 
 def side_by_side(row: Column, target: Column) -> Column:
-    related = F.filter(row, lambda b: _gap(b, target, "x") <= _most(48, _w(target), 2.2))
+    related = F.filter(row, lambda b: _gap(b, target, "x") <= _most(SIDE_GAP, _w(target)))
     return F.when(F.size(related) > 0, related).otherwise(F.array(target))
 
 
 def card_boxes(boxes: Column, target: Column) -> Column:
-    return F.filter(boxes, lambda b: b["valid"] & (F.abs(_mid(b, "x") - _mid(target, "x")) <= _most(150, _w(target), 0.85)) & (_gap(b, target, "y") <= _most(110, _h(target), 2.4)))
+    return F.filter(boxes, lambda b: b["valid"] & (F.abs(_mid(b, "x") - _mid(target, "x")) <= _most(CARD_COLUMN, _w(target))) & (_gap(b, target, "y") <= _most(CARD_GAP, _h(target))))
 
 
 def region(kind: str, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
@@ -119,8 +126,8 @@ def with_region(df: DataFrame, p: Column, name: str) -> DataFrame:
     """
     t, row, screen = F.col("_target"), F.col("_row"), F.col("screen_size")
     df = once(df, _target=F.when(p.isNotNull(), smallest_at(F.col("boxes"), p)))
-    df = once(df, _row=F.when(t.isNotNull(), same_row(F.col("boxes"), t, 1.6)))
-    found = F.filter(search_boxes(row, t), lambda b: (_w(b) > 2) & (_h(b) > 2))
+    df = once(df, _row=F.when(t.isNotNull(), same_row(F.col("boxes"), t, TARGET_ROW)))
+    found = F.filter(search_boxes(row, t), lambda b: (_w(b) > LEAST_SIDE) & (_h(b) > LEAST_SIDE))
     df = once(df, _found=F.when(search_like(t), found), _row_text=row_text(row))
     df = once(
         df,
@@ -129,14 +136,14 @@ def with_region(df: DataFrame, p: Column, name: str) -> DataFrame:
         _card=F.when(t.isNotNull() & _any_in(F.lower(F.coalesce("task", F.lit(""))), PRODUCT_WORDS), card_boxes(F.col("boxes"), t)),
         _cta=full_width_cta(F.col("_row_text")),
     )
-    search = _padded(SEARCH, _union(F.col("_search")), screen, F.lit(10.0), _most(8, _h(t), 0.35))
-    search = region(SEARCH, F.greatest(F.lit(0.0), search["x1"] - 8), search["y1"], F.least(screen["width"], search["x2"] + 8), search["y2"])
-    half = _most(52, _h(t), 2.7) / 2
-    cta = region(CTA, screen["width"] * 0.04, clamp(_mid(t, "y") - half, F.lit(0.0), screen["height"]), screen["width"] * 0.96, clamp(_mid(t, "y") + half, F.lit(0.0), screen["height"]))
-    compact = _padded(COMPACT, _union(F.col("_side")), screen, _most(24, _w(t), 0.35), _most(18, _h(t), 0.95))
-    card = _padded(CARD, _union(F.col("_card")), screen, F.lit(10.0), F.lit(10.0))
-    own = _padded(PADDED, {k: t[k] for k in ("x1", "y1", "x2", "y2")}, screen, _most(6, _w(t), 0.12), _most(4, _h(t), 0.12))
-    cascade = F.when(t.isNull(), F.lit(None)).when(F.col("_search").isNotNull(), search).when(F.col("_cta"), cta).when(F.col("_side").isNotNull(), compact).when(F.size("_card") >= 2, card).otherwise(own)
+    search = _padded(SEARCH, _union(F.col("_search")), screen, F.lit(UNION_PAD), _most(SEARCH_PAD, _h(t)))
+    search = region(SEARCH, F.greatest(F.lit(0.0), search["x1"] - SEARCH_MORE), search["y1"], F.least(screen["width"], search["x2"] + SEARCH_MORE), search["y2"])
+    half = _most(CTA_HEIGHT, _h(t)) / 2
+    cta = region(CTA, screen["width"] * CTA_SIDES[0], clamp(_mid(t, "y") - half, F.lit(0.0), screen["height"]), screen["width"] * CTA_SIDES[1], clamp(_mid(t, "y") + half, F.lit(0.0), screen["height"]))
+    compact = _padded(COMPACT, _union(F.col("_side")), screen, _most(COMPACT_PAD[0], _w(t)), _most(COMPACT_PAD[1], _h(t)))
+    card = _padded(CARD, _union(F.col("_card")), screen, F.lit(UNION_PAD), F.lit(UNION_PAD))
+    own = _padded(PADDED, {k: t[k] for k in ("x1", "y1", "x2", "y2")}, screen, _most(OWN_PAD[0], _w(t)), _most(OWN_PAD[1], _h(t)))
+    cascade = F.when(t.isNull(), F.lit(None)).when(F.col("_search").isNotNull(), search).when(F.col("_cta"), cta).when(F.col("_side").isNotNull(), compact).when(F.size("_card") >= LEAST_CARD, card).otherwise(own)
     df = once(df, **{name: cascade, f"{name}_element": t})
     return df.drop("_target", "_row", "_found", "_row_text", "_search", "_side", "_card", "_cta")
 
@@ -146,18 +153,9 @@ def in_region(name: str, p: Column) -> Column:
 
 
 def distinct_boxes(df: DataFrame, boxes: str = "boxes", label: str = "ui_type", grid: int = 6) -> DataFrame:
-    """``df`` with ``boxes`` cut down as ``dedupe_boxes`` does, within the row: no shuffle."""
+    """``df`` with ``boxes`` less those without a side, and of those that agree on a grid and in their label all but the first; within the row: no shuffle."""
     cell = lambda b: F.struct(*[(F.bround(b[c] / grid) * grid).alias(c) for c in ("x1", "y1", "x2", "y2")], b[label].alias("label"))
     valid = F.filter(boxes, lambda b: (b["x2"] > b["x1"]) & (b["y2"] > b["y1"]))
     df = once(df, _cells=F.array_sort(F.transform(valid, lambda b: F.struct(cell(b).alias("cell"), b["pos"].alias("pos"), b.alias("box")))))
     first = F.filter("_cells", lambda c, i: (i == 0) | ~c["cell"].eqNullSafe(F.get("_cells", i - 1)["cell"]))
     return df.withColumn(boxes, F.array_sort(F.transform(first, lambda c: c["box"]))).drop("_cells")
-
-
-def dedupe_boxes(boxes: DataFrame, keys: list[str], grid: int = 6) -> DataFrame:
-    """Of a screen's valid boxes (``keys``, pos, x1..y2, label), the first of those that agree on a grid and in their label."""
-    cells = [(F.bround(F.col(c) / grid) * grid).alias(f"_{c}") for c in ("x1", "y1", "x2", "y2")]
-    valid = boxes.where((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")))
-    cols = [F.struct("pos", *[c for c in boxes.columns if c not in keys and c != "pos"]).alias("_first")]
-    first = valid.select(*keys, *cells, *cols, "label").groupBy(*keys, "_x1", "_y1", "_x2", "_y2", "label").agg(F.min("_first").alias("_first"))
-    return first.select(*keys, "_first.*")
