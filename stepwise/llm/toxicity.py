@@ -154,7 +154,10 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     rows, prior = sample(docs, labels, positives, unlabelled)
     got = rows.mapInArrow(in_short_batches(_features), "toxic int, f array<int>").toArrow()
     toxic = got.column("toxic").to_numpy()
-    lists = [x for chunk in got.column("f").chunks for x in np.split(chunk.flatten().to_numpy(), np.cumsum(chunk.value_lengths().to_numpy())[:-1])]
+    lists: list[np.ndarray] = []
+    for chunk in got.column("f").chunks:
+        held, size = chunk.flatten().to_numpy(), chunk.value_lengths().to_numpy()
+        lists += [held[end - n : end] for end, n in zip(np.cumsum(size).tolist(), size.tolist(), strict=True)]
     # In an order that the tasks' don't change.
     rows_of = lambda v: sorted((x for x, t in zip(lists, toxic, strict=True) if t == v), key=lambda x: (len(x), int(x.sum())))
     return fit(rows_of(1), rows_of(0), prior)
