@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from stepwise.llm.bpe import encoded
 from stepwise.llm.exact_dedup import drop_copies
 from stepwise.llm.mixing import mixed
-from stepwise.llm.shared import new_folder, table
+from stepwise.llm.shared import new_folder, remove_folder, scratch, table
 from stepwise.llm.simhash import drop_near_copies
 from stepwise.llm.toxicity import drop_toxic
 
@@ -54,6 +54,9 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order; each writes Parquet in the shared folder and the next one reads it.
 
+    What a stage has staged goes when its result is written, and that when the
+    next one's is; the last result stays in the shared folder.
+
     All but the last return the columns of ``documents`` unchanged, whatever else
     they are named.  Null and empty texts are texts like others: they are scored
     as texts without known features, equal one another, and count as no words and
@@ -62,9 +65,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     a null doc_id stay rows of their own where their texts differ.  Empty tables
     give no rows.
     """
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = new_folder(spark, name.replace(" ", "-"))
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before is not None:
+            remove_folder(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs

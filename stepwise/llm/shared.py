@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,31 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Folders that were named since each open ``scratch`` began.
+_scratch: list[list[str]] = []
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/stepwise/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/stepwise/{label}-{uuid.uuid4().hex}"
+    for made in _scratch[-1:]:
+        made.append(path)
+    return path
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end all folders that operators have staged within: their result must be written by then."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            remove_folder(spark, path)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

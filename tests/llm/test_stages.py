@@ -2,6 +2,8 @@
 
 import random
 from collections import Counter
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
@@ -163,7 +165,13 @@ def test_pipeline_on_odd_and_empty_documents(spark, odd, tmp_path):
     labels = spark.createDataFrame([(0, 1, None)], "doc_id long, toxic int, text string")
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     odd.write.parquet(f"{tmp_path}/documents.parquet")
-    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    folder = urlparse(spark.conf.get("spark.checkpoint.dir")).path
+    there = set(Path(folder, "stepwise").glob("*"))
+    result = corpus_pipeline.run(spark, str(tmp_path))
+    # Of all that was staged only the result is left.
+    left = set(Path(folder, "stepwise").glob("*")) - there
+    assert [p.name.partition("-")[0] for p in left] == ["BPE"]
+    got = result.collect()
     assert got and {r["doc_id"] for r in got} <= {r["doc_id"] for r in odd.collect()}
     empty = tmp_path / "empty"
     labels.where("false").write.parquet(f"{empty}/labels.parquet")
