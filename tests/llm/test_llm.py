@@ -155,25 +155,6 @@ def test_line_components_of_hot_keys_equal_brute_force(spark, monkeypatch, block
     assert sum(r["kept"] for r in got) == len(set(want.values()))
 
 
-def test_hot_lines_that_are_apart_move_little(spark):
-    """20,000 lines on one template, no two of them similar: each meets those with which it shares a rare shingle, not all others."""
-    rng = random.Random(9)
-    word = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=n))
-    head = word(40)
-    lines = [head + word(24) for _ in range(20_000)]
-    texts = spark.createDataFrame([(line_dedup.line_id(x), x) for x in lines], "line long, text string").repartition(8)
-    hot = texts.select(F.lit(1).cast("long").alias("key"), "line")
-    keys = line_dedup.rare_keys(hot, texts, line_dedup.SIMILAR)
-    met = keys.groupBy("key").count().where("count > 1").agg(F.sum("count"), F.max("count")).first()
-    assert (met[0] or 0) < len(lines) and (met[1] or 0) < 10
-    roots = spark.createDataFrame([], "node long, root long")
-    assert line_dedup.apart_links(hot, roots, texts, line_dedup.SIMILAR).count() == 0
-    twins = [(line_dedup.line_id(x + "!"), x + "!") for x in lines[:40]]
-    more = texts.unionByName(spark.createDataFrame(twins, texts.schema))
-    got = line_dedup.apart_links(more.select(F.lit(1).cast("long").alias("key"), "line"), roots, more, line_dedup.SIMILAR)
-    assert {frozenset(r) for r in got.collect()} == {frozenset((line_dedup.line_id(x), line_dedup.line_id(x + "!"))) for x in lines[:40]}
-
-
 def test_line_similarity_is_exact():
     pairs = [("ab", "ab"), ("ab", "abc"), ("abcdefgh", "abcdefgh"), ("a" * 100, "a" * 50), ("the quick brown fox jumps over", "the quick brown fox jumped over")]
     a, b = zip(*pairs, strict=True)
