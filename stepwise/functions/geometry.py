@@ -24,9 +24,18 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
 
     A plain projection may be merged into those above it, or into a filter that
     is pushed below it, which repeats nested expressions many times over; a
-    generated row of one element is neither merged nor passed.
+    generated row of one element is neither merged nor passed.  The columns are
+    worked out in a projection below it, as compiled code: a generator that
+    holds a higher-order function is interpreted as a whole.
     """
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+    mine = {f"_once_{k}": c.alias(f"_once_{k}") for k, c in columns.items()}
+    row = F.struct(*[F.col(m).alias(k) for m, k in zip(mine, columns, strict=True)])
+    return df.select("*", *mine.values()).select(*[F.col(f"`{c}`") for c in df.columns], F.inline(F.array(row)))
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df``, each of its columns worked out once a row though later steps take several fields of it; columns that none takes are left out."""
+    return df.select("*", F.inline(F.array(F.struct(F.lit(True).alias("_settled"))))).drop("_settled")
 
 
 def bound(x: Column, f: Callable[[Column], Column]) -> Column:
@@ -80,6 +89,11 @@ def box_to_space(b: Column, screen: Column, space: Column) -> Column:
     return box_from_pixel(box_to_pixel(b, screen), screen, space)
 
 
+def pixel_sides(b: Column, screen: Column) -> dict[str, Column]:
+    """A box's sides in pixels, each worked out by itself: a field of ``box_to_pixel`` works out all four, where nothing is compiled."""
+    return {k: _scale(b[k], screen["width" if k[0] == "x" else "height"], b["coordinate_space"], True) for k in ("x1", "y1", "x2", "y2")}
+
+
 def valid_box(b: Column) -> Column:
     return (b["x2"] > b["x1"]) & (b["y2"] > b["y1"])
 
@@ -109,9 +123,9 @@ def pixel_boxes(elements: Column, screen: Column) -> Column:
     """A screen's elements as pixel boxes in list order; null without a screen.  ``text`` is in its normal form, ``label`` as given."""
 
     def one(e: Column, i: Column) -> Column:
-        b = box_to_pixel(e["bbox"], screen)
+        sides = [v.alias(k) for k, v in pixel_sides(e["bbox"], screen).items()]
         return F.struct(
-            i.alias("pos"), e["index"].alias("index"), b["x1"].alias("x1"), b["y1"].alias("y1"), b["x2"].alias("x2"), b["y2"].alias("y2"),
+            i.alias("pos"), e["index"].alias("index"), *sides,
             valid_box(e["bbox"]).alias("valid"), F.lower(F.trim(F.coalesce(e["text"], F.lit("")))).alias("text"), e["ui_type"].alias("ui_type"), e["text"].alias("label"),
         )
 

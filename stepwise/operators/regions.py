@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepwise.functions.geometry import clamp, contains, once, pixel_boxes, smallest_at
+from stepwise.functions.geometry import bound, clamp, contains, once, pixel_boxes, smallest_at
 
 # Word lists and icon types.
 SEARCH_WORD = "search"
@@ -36,6 +36,11 @@ def _any_in(text: Column, words: tuple[str, ...]) -> Column:
     return out
 
 
+def on_products(task: Column) -> Column:
+    """Whether a task names products; its text, which may be long, is lowered once for all words."""
+    return bound(F.lower(F.coalesce(task, F.lit(""))), lambda t: _any_in(t, PRODUCT_WORDS))
+
+
 def _w(b: Column) -> Column:
     return b["x2"] - b["x1"]
 
@@ -64,7 +69,7 @@ def same_row(boxes: Column, target: Column, limit: tuple[float, float] = ROW) ->
 
 def row_text(row: Column) -> Column:
     """The row's texts from left to right."""
-    ordered = F.array_sort(F.transform(row, lambda b: F.struct(b["x1"], b["pos"], b["text"].alias("text"))))
+    ordered = F.sort_array(F.transform(row, lambda b: F.struct(b["x1"], b["pos"], b["text"].alias("text"))))
     return F.array_join(F.transform(ordered, lambda b: b["text"]), " ")
 
 
@@ -121,9 +126,11 @@ def with_region(df: DataFrame, p: Column, name: str) -> DataFrame:
     """Add the region of the smallest element at a pixel point: ``name`` (kind, x1, y1, x2, y2) and ``name``_element.
 
     ``df`` needs ``boxes`` (of ``with_pixel_boxes``), ``screen_size`` and
-    ``task``.  Both are null where no valid element holds the point.  The parts
-    are columns of their own, so that each is computed once.
+    ``task``, or what ``on_products`` says of it as ``product_task``.  Both are
+    null where no valid element holds the point.  The parts are columns of their
+    own, so that each is computed once.
     """
+    product = F.col("product_task") if "product_task" in df.columns else on_products(F.col("task"))
     t, row, screen = F.col("_target"), F.col("_row"), F.col("screen_size")
     df = once(df, _target=F.when(p.isNotNull(), smallest_at(F.col("boxes"), p)))
     df = once(df, _row=F.when(t.isNotNull(), same_row(F.col("boxes"), t, TARGET_ROW)))
@@ -133,7 +140,7 @@ def with_region(df: DataFrame, p: Column, name: str) -> DataFrame:
         df,
         _search=F.when(search_like(t), F.when(F.size("_found") > 0, F.col("_found")).otherwise(F.array(t))),
         _side=F.when(_any_in(t["text"], COMPACT_WORDS), side_by_side(row, t)),
-        _card=F.when(t.isNotNull() & _any_in(F.lower(F.coalesce("task", F.lit(""))), PRODUCT_WORDS), card_boxes(F.col("boxes"), t)),
+        _card=F.when(t.isNotNull() & product, card_boxes(F.col("boxes"), t)),
         _cta=full_width_cta(F.col("_row_text")),
     )
     search = _padded(SEARCH, _union(F.col("_search")), screen, F.lit(UNION_PAD), _most(SEARCH_PAD, _h(t)))
@@ -156,6 +163,6 @@ def distinct_boxes(df: DataFrame, boxes: str = "boxes", label: str = "ui_type",
     """``df`` with ``boxes`` less those without a side, and of those that agree on a grid and in their label all but the first; within the row: no shuffle."""
     cell = lambda b: F.struct(*[(F.bround(b[c] / grid) * grid).alias(c) for c in ("x1", "y1", "x2", "y2")], b[label].alias("label"))
     valid = F.filter(boxes, lambda b: (b["x2"] > b["x1"]) & (b["y2"] > b["y1"]))
-    df = once(df, _cells=F.array_sort(F.transform(valid, lambda b: F.struct(cell(b).alias("cell"), b["pos"].alias("pos"), b.alias("box")))))
+    df = once(df, _cells=F.sort_array(F.transform(valid, lambda b: F.struct(cell(b).alias("cell"), b["pos"].alias("pos"), b.alias("box")))))
     first = F.filter("_cells", lambda c, i: (i == 0) | ~c["cell"].eqNullSafe(F.get("_cells", i - 1)["cell"]))
-    return df.withColumn(boxes, F.array_sort(F.transform(first, lambda c: c["box"]))).drop("_cells")
+    return df.withColumn(boxes, F.sort_array(F.transform(first, lambda c: c["box"]))).drop("_cells")

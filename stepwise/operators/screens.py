@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepwise.functions.geometry import bound, box_to_pixel, clamp, once, smallest_at
-from stepwise.operators.regions import COMPACT, COMPACT_WORDS, CTA, CTA_PAIR, CTA_PHRASES, PADDED, PRODUCT_WORDS, SEARCH, SEARCH_ICON, SEARCH_ICONS, SEARCH_WORD, distinct_boxes, region
+from stepwise.functions.geometry import bound, clamp, once, pixel_sides, smallest_at
+from stepwise.operators.regions import COMPACT, COMPACT_WORDS, CTA, CTA_PAIR, CTA_PHRASES, PADDED, PRODUCT_WORDS, SEARCH, SEARCH_ICON, SEARCH_ICONS, SEARCH_WORD, distinct_boxes, on_products, region
 
 # Kinds that only these ways know, and their words.
 BUTTON, CARD, PADDED_TARGET = "button_like", "possible_card_region", "padded_bbox"
@@ -84,7 +84,7 @@ def screen_boxes(elements: Column, screen: Column) -> Column:
     """A screen's elements as boxes cut to it, those with a width and height: pos, sides, label ``index:type[:text]``, and the lower text (the label without one)."""
 
     def one(e: Column, i: Column) -> Column:
-        b = box_to_pixel(e["bbox"], screen)
+        b = pixel_sides(e["bbox"], screen)
         zero, text = F.lit(0.0), F.substring(F.trim(F.coalesce(e["text"], F.lit(""))), 1, TEXT_LENGTH)
         label = F.concat(i.cast("string"), F.lit(":"), F.trim(F.coalesce(e["ui_type"], F.lit(""))), F.when(text != "", F.concat(F.lit(":"), text)).otherwise(""))
         return F.struct(
@@ -108,7 +108,7 @@ def _screen_region(boxes: Column, b: Column, screen: Column, product: Column) ->
             wide = _expanded(SEARCH, _union(some), screen, F.lit(SCREEN_PAD), _most(SCREEN_ROW_PAD, _h(b)))
             return bound(wide, lambda r: region(SEARCH, F.greatest(F.lit(0.0), r["x1"] - SCREEN_ROW_MORE), r["y1"], F.least(screen["width"], r["x2"] + SCREEN_ROW_MORE), r["y2"]))
 
-        texts = F.array_sort(F.transform(row, lambda o: F.struct(o["x1"], o["pos"], o["text"].alias("text"))))
+        texts = F.sort_array(F.transform(row, lambda o: F.struct(o["x1"], o["pos"], o["text"].alias("text"))))
         said = F.array_join(F.transform(texts, lambda o: o["text"]), " ")
         cta = bound(said, lambda t: _any_in(t, SCREEN_CTA_PHRASES) | (F.contains(t, F.lit(CTA_PAIR[0])) & F.contains(t, F.lit(CTA_PAIR[1]))))
         half, zero = _most(CTA_HEIGHT, _h(b)) / 2, F.lit(0.0)
@@ -125,7 +125,8 @@ def _screen_region(boxes: Column, b: Column, screen: Column, product: Column) ->
             .otherwise(_expanded(PADDED, _own(b), screen, *pad(PAD)))
         )
 
-    return bound(_row(boxes, b, ROW), of).withField("pos", b["pos"])
+    # A field that is set on the result would repeat the whole expression for each of its fields.
+    return bound(bound(_row(boxes, b, ROW), of), lambda r: F.struct(*[r[k].alias(k) for k in ("kind", "x1", "y1", "x2", "y2")], b["pos"].alias("pos")))
 
 
 def with_screen_regions(steps: DataFrame, merge_cards: bool = True, name: str = "screen_regions") -> DataFrame:
@@ -136,7 +137,7 @@ def with_screen_regions(steps: DataFrame, merge_cards: bool = True, name: str =
     neighbours.  Null without a screen.
     """
     screen = F.col("screen_size")
-    product = _any_in(F.lower(F.coalesce("task", F.lit(""))), PRODUCT_WORDS) if merge_cards else F.lit(False)
+    product = on_products(F.col("task")) if merge_cards else F.lit(False)
     df = once(steps, _raw=screen_boxes(F.col("ui_elements"), screen), _product=product)
     df = once(df, **{name: F.transform("_raw", lambda b: _screen_region(F.col("_raw"), b, screen, F.col("_product")))})
     return distinct_boxes(df, name, "kind").drop("_raw", "_product")

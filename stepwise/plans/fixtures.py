@@ -20,6 +20,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Narrow rows dealt to as many tasks as shuffles have, before they become wide.
+
+    What a row becomes is long work for its bytes: input splits, and partitions
+    that adaptive execution merges by their bytes, leave cores idle.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _ascii(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), "[^ -~]", "?")
 
@@ -43,11 +52,12 @@ def steps(spark: SparkSession, sf_dir: str, texts: bool = True) -> DataFrame:
         df = df.withColumns({"_t": e % F.col("n_parts") + 1, "_u": F.col("user_id") % F.col("n_docs")})
         df = df.join(parts.select(F.col("p_partkey").alias("_t"), F.col("p_name").alias("_typed")), "_t", "left")
         df = df.withColumn("_typed", F.when(e % 13 == 0, F.repeat("_typed", 30)).otherwise(F.col("_typed")))
-        df = df.join(docs.select(F.col("doc_id").alias("_u"), _ascii(F.col("text")).alias("_task")), "_u", "left")
+        df = spread(df, "_u").join(docs.select(F.col("doc_id").alias("_u"), _ascii(F.col("text")).alias("_task")), "_u", "left")
         task = F.concat(_pick(TASK_WORDS, F.col("user_id") % 5), F.coalesce("_task", F.lit("")))
         typed = F.when(F.col("kind") == "type", F.when(e % 11 == 0, "").otherwise(F.coalesce("_typed", F.lit(""))))
     else:
         task, typed = _pick(TASK_WORDS, F.col("user_id") % 5), F.when(F.col("kind") == "type", F.when(e % 11 == 0, "").otherwise("text"))
+        df = spread(df, "user_id")
     turn = e % 3
     space = F.when(turn == 0, "pixel").when(turn == 1, "normalized_1000").otherwise("normalized_1")
 
@@ -77,7 +87,7 @@ def steps(spark: SparkSession, sf_dir: str, texts: bool = True) -> DataFrame:
     return df.select(
         "event_id", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("episode_id"), "step_id", "task",
         F.when(e % 7 != 0, F.concat(F.lit("shots/"), e.cast("string"), F.lit(".png"))).alias("screenshot_before"), "screen_size", "action",
-        "target_bbox", F.transform(F.sequence(F.lit(0), F.lit(6)), element).alias("ui_elements"),
+        "target_bbox", F.array(*[element(F.lit(i)) for i in range(7)]).alias("ui_elements"),
         F.array().cast(f"array<{ACTION}>").alias("history"), told.alias("metadata"),
     )
 
