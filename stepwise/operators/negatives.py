@@ -145,6 +145,7 @@ def preference_pairs(steps: DataFrame, strategies: int = len(ORDER), seed: int =
     df = with_sampling(steps, seed)
     made = F.array(*[F.struct(F.lit(name).alias("negative_type"), SAMPLERS[name]().alias("n")) for name in ORDER[:strategies]])
     keep = [c for c in steps.columns if c != "action"]
-    df = df.select(*keep, F.col("action").alias("chosen"), F.explode(made).alias("m"))
+    # Made below the generator, which would interpret all of it.
+    df = df.select(*keep, F.col("action").alias("chosen"), made.alias("_made")).select(*keep, "chosen", F.explode("_made").alias("m"))
     key = F.concat_ws(":", "episode_id", F.col("step_id").cast("string"), "m.negative_type")
     return df.select(*keep, key.alias("pair_id"), F.col("m.negative_type"), "chosen", F.col("m.n.action").alias("rejected"), F.col("m.n.negative_source"), F.col("m.n.negative_subtype"))

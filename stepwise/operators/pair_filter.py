@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stepwise.functions.geometry import once, overlap, primary_point, to_pixel
 from stepwise.functions.maps import entries
 from stepwise.operators.profile import histograms
-from stepwise.operators.regions import CARD, COMPACT, CTA, SEARCH, in_region, with_region
+from stepwise.operators.regions import CARD, COMPACT, CTA, SEARCH, in_region, on_products, with_region
 
 # Kinds by confidence, the overlap that counts, variants and what they drop.
 HIGH_CONFIDENCE = (CTA, COMPACT)
@@ -26,8 +26,8 @@ def _clicked(action: Column) -> Column:
 
 
 def with_target_region(rows: DataFrame, action: str = "action") -> DataFrame:
-    """``rows`` and the region of their recorded click: on steps, it is found once for all pairs that are made of them."""
-    return with_region(once(rows, _c=_clicked(F.col(action))), F.col("_c"), "target_region").drop("_c")
+    """``rows``, the region of their recorded click, and ``product_task``: on steps, they are found once for all pairs that are made of them."""
+    return with_region(once(rows, _c=_clicked(F.col(action)), product_task=on_products(F.col("task"))), F.col("_c"), "target_region").drop("_c")
 
 
 def decided(pairs: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def decided(pairs: DataFrame) -> DataFrame:
 
     The first test that holds decides.  Regions are those of clicks; no
     shuffle.  A ``target_region`` that the pairs have from their steps is taken
-    as it is.
+    as it is, and so is ``product_task``, which goes.
     """
     chosen, rejected = F.col("chosen"), F.col("rejected")
     df = pairs if "target_region" in pairs.columns else with_target_region(pairs, "chosen")
@@ -60,7 +60,7 @@ def decided(pairs: DataFrame) -> DataFrame:
         .when(other.isin(*FUNCTIONAL) | F.col("negative_type").isin("same_screen_element", "shifted_coordinate"), _said("keep", "candidate_other_ui_or_functional_region", "semantic_hard_negative"))
         .otherwise(_said("keep", "candidate_other_ui_region", "clean_negative"))
     )
-    return once(df, _d=tree).select("*", "_d.*").drop("_d", "_r")
+    return once(df, _d=tree).select("*", "_d.*").drop("_d", "_r", "product_task")
 
 
 def last_by_key(rows: DataFrame, key: str, pos: str) -> DataFrame:
@@ -97,8 +97,8 @@ def with_filter_metadata(decided_pairs: DataFrame) -> DataFrame:
     return decided_pairs.withColumn("filter_metadata", told).drop(*DECISION_COLUMNS, "kept")
 
 
-def variant_summary(marked: DataFrame) -> DataFrame:
-    """(dim, value, n) of a variant's pairs (``kept`` or not), in one pass: kept ones by decision, category and type; dropped ones by decision, reason, type, type and reason."""
+def variant_summary(marked: DataFrame, times: str | None = None) -> DataFrame:
+    """(dim, value, n) of a variant's pairs (``kept`` or not), in one pass: kept ones by decision, category and type; dropped ones by decision, reason, type, type and reason; a row stands for ``times`` pairs."""
     kept = lambda c: F.when(F.col("kept"), F.coalesce(c, F.lit("unknown")))
     gone = lambda c: F.when(~F.col("kept"), F.coalesce(c, F.lit("unknown")))
     kind = F.col("negative_type")
@@ -113,7 +113,7 @@ def variant_summary(marked: DataFrame) -> DataFrame:
         "dropped_reasons": gone(F.col("reason")),
         "dropped_negative_types": gone(kind),
         "dropped_by_negative_type_reason": F.when(~F.col("kept"), by_reason),
-    })
+    }, times)
 
 
 def decision_summary(decided_pairs: DataFrame) -> DataFrame:
