@@ -13,10 +13,13 @@ SPLIT_BUCKETS = 10_000
 
 def collapsed(text: Column) -> Column:
     """Lower case, white space collapsed and trimmed; null counts as empty."""
-    low = F.lower(F.coalesce(text, F.lit("")))
     # Blanks of ASCII alone, named one by one, are found many times faster.
     plain, any_blank = r"[ \t\n\x0b\f\r\x1c\x1d\x1e\x1f]+", r"(?U)[\s\x1c-\x1f]+"
-    return F.trim(F.when(F.octet_length(low) == F.length(low), F.regexp_replace(low, plain, " ")).otherwise(F.regexp_replace(low, any_blank, " ")))
+
+    def one(low: Column) -> Column:
+        return F.trim(F.when(F.octet_length(low) == F.length(low), F.regexp_replace(low, plain, " ")).otherwise(F.regexp_replace(low, any_blank, " ")))
+
+    return bound(F.lower(F.coalesce(text, F.lit(""))), one)
 
 
 def md5_mod(text: Column, modulus: int = SPLIT_BUCKETS) -> Column:
@@ -37,10 +40,14 @@ def identity(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
+def split_of(bucket: Column, train: float = 0.8, val: float = 0.1) -> Column:
+    """train, val or test by a bucket."""
+    return F.when(bucket < int(train * SPLIT_BUCKETS), "train").when(bucket < int((train + val) * SPLIT_BUCKETS), "val").otherwise("test")
+
+
 def split_name(text: Column, train: float = 0.8, val: float = 0.1) -> Column:
     """train, val or test by the hash of the instruction's normal form."""
-    name = lambda b: F.when(b < int(train * SPLIT_BUCKETS), "train").when(b < int((train + val) * SPLIT_BUCKETS), "val").otherwise("test")
-    return bound(md5_mod(collapsed(text)), name)
+    return bound(md5_mod(collapsed(text)), lambda b: split_of(b, train, val))
 
 
 def uniform(key: Column, attempt: Column, axis: str, seed: int = 42) -> Column:

@@ -7,14 +7,15 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepwise.functions.geometry import distance, distance_bucket, first_at, once, primary_point, to_pixel
+from stepwise.functions.geometry import bound, distance, distance_bucket, first_at, once, primary_point, to_pixel
 from stepwise.functions.text import identity
 
 
-def histograms(rows: DataFrame, dims: Mapping[str, Column]) -> DataFrame:
-    """(dim, value, n): several group-bys over one pass and one shuffle; null values don't count."""
+def histograms(rows: DataFrame, dims: Mapping[str, Column], times: str | None = None) -> DataFrame:
+    """(dim, value, n): several group-bys over one pass and one shuffle; null values don't count; a row stands for ``times`` rows."""
+    n, kept = (F.count(F.lit(1)), []) if times is None else (F.sum(times), [times])
     cells = F.array(*[F.struct(F.lit(k).alias("dim"), v.cast("string").alias("value")) for k, v in dims.items()])
-    return rows.select(F.explode(cells).alias("c")).where("c.value is not null").groupBy("c.dim", "c.value").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select(*kept, F.explode(cells).alias("c")).where("c.value is not null").groupBy("c.dim", "c.value").agg(n.alias("n"))
 
 
 def step_profile(steps: DataFrame) -> DataFrame:
@@ -130,11 +131,13 @@ ACTION_ENDS, ACTION_PART, ACTION_KEYS, ACTION_LENGTH, ACTION_TOP = ("action", "o
 
 
 def json_type(v: Column) -> Column:
-    kind = F.schema_of_variant(v)
-    out = F.when(kind.startswith("OBJECT"), "dict").when(kind.startswith("ARRAY"), "list").when(kind.startswith("DECIMAL"), "float")
-    for spark, name in TYPE_NAMES.items():
-        out = out.when(kind == spark, name)
-    return out.otherwise(F.lower(kind))
+    def of(kind: Column) -> Column:
+        out = F.when(kind.startswith("OBJECT"), "dict").when(kind.startswith("ARRAY"), "list").when(kind.startswith("DECIMAL"), "float")
+        for spark, name in TYPE_NAMES.items():
+            out = out.when(kind == spark, name)
+        return out.otherwise(F.lower(kind))
+
+    return bound(F.schema_of_variant(v), of)
 
 
 def action_said(path: Column, sample: Column) -> Column:
@@ -169,8 +172,7 @@ def json_nodes(raw: DataFrame, column: str = "raw", limit: int | None = CENSUS_R
         return F.struct(*[p.alias(k) for k, p in zip(("path", "type", "n", "level", "said", "v", "sample"), parts, strict=True)]).cast(kind)
 
     def child(path: Column, v: Column, sample: Column) -> Column:
-        named = json_type(v)
-        return node(path, F.when(named == "list", 2).otherwise(1), F.col("level") + 1, action_said(path, sample), v, sample, named)
+        return bound(json_type(v), lambda named: node(path, F.when(named == "list", 2).otherwise(1), F.col("level") + 1, action_said(path, sample), v, sample, named))
 
     own = json_type(F.col("v"))
     level = rows.select(F.inline(F.array(node(F.lit(""), F.when(own == "list", 1).otherwise(0), F.lit(0), None, F.col("v"), F.col("v"), own))))
@@ -183,9 +185,10 @@ def json_nodes(raw: DataFrame, column: str = "raw", limit: int | None = CENSUS_R
     of_list = F.transform(listed, lambda x: child(F.concat(path, F.lit("[]")), x, first))
     below = F.when(v.isNull(), None).when(F.col("type") == "dict", of_object).when(F.col("type") == "list", of_list)
     closed = F.array(node(path, F.col("n"), F.col("level"), F.col("said"), None, None, F.col("type")))
-    step = F.inline(F.concat(closed, F.coalesce(below, F.array().cast(f"array<{kind}>"))))
+    # Made below the generator, which would interpret all of it.
+    step = F.concat(closed, F.coalesce(below, F.array().cast(f"array<{kind}>"))).alias("_below")
     for _ in range(depth):
-        level = level.select(step)
+        level = level.select(step).select(F.inline("_below"))
     inside = F.size(F.try_variant_get(v, "$", "array<variant>")) > 0
     deeper = F.coalesce(F.when(F.col("type") == "list", inside).when(F.col("type") == "dict", F.size(F.try_variant_get(v, "$", "map<string,variant>")) > 0), F.lit(False))
     level = level.where(F.assert_true(~deeper, f"records have more than {depth} levels").isNull())

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepwise.functions.text import split_name
+from stepwise.functions.geometry import once
+from stepwise.functions.text import collapsed, md5_mod, split_name, split_of
 from stepwise.operators.places import numbered
 
 # The order of the quality buckets.
@@ -78,9 +79,14 @@ def select_diverse(rows: DataFrame, max_samples: int, min_quality: str = "high",
     return turns.orderBy("turn", "action_type").limit(max_samples)
 
 
-def with_split(rows: DataFrame, instruction: str, train: float = 0.8, val: float = 0.1) -> DataFrame:
-    """Add ``split`` by the instruction's hash: equal instructions stay together, and nothing is shuffled."""
-    return rows.withColumn("split", split_name(F.col(instruction), train, val))
+def with_split(rows: DataFrame, instruction: str, train: float = 0.8, val: float = 0.1, bucket: str | None = None) -> DataFrame:
+    """Add ``split`` by the instruction's hash: equal instructions stay together, and nothing is shuffled.
+
+    ``bucket``: a column for the hash's bucket too; the text's normal form is made once for both.
+    """
+    if bucket is None:
+        return rows.withColumn("split", split_name(F.col(instruction), train, val))
+    return once(rows, **{bucket: md5_mod(collapsed(F.col(instruction)))}).withColumn("split", split_of(F.col(bucket), train, val))
 
 
 def first_per_group(rows: DataFrame, group: str, order: list[str], n: int) -> DataFrame:

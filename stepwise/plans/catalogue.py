@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stepwise.functions import geometry as G
 from stepwise.functions import text as X
 from stepwise.operators import audit, errors, metrics, negatives, pair_filter, profile, regions, rewards, scorer, screens, selection, transforms
-from stepwise.plans.fixtures import ELEMENT_TEXTS, ELEMENT_TYPES, HEIGHT, SQL_PREDICTIONS, SQL_STEPS, WIDTH, predictions, read, sql_list, steps
+from stepwise.plans.fixtures import ELEMENT_TEXTS, ELEMENT_TYPES, HEIGHT, SQL_PREDICTIONS, SQL_STEPS, WIDTH, predictions, read, spread, sql_list, steps
 from stepwise.sources import episodes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,7 +101,7 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.flatten(F.transform(i, lambda k: F.array((e * 3 + k * 311) % 1000 / 1000.0, (e * 7 + k * 97) % 1000 / 1000.0, F.lit(0.1), F.lit(0.3)))).alias("image_ui_annotations_positions"),
         F.array(F.lit("a"), F.lit(None).cast("string"), F.lit("c")).alias("image_ui_annotations_text"), F.array(F.lit("TEXT"), F.lit("ICON"), F.lit("TEXT")).alias("image_ui_annotations_ui_types"),
     )
-    return read(spark, sf_dir, "events").select(F.parse_json(F.to_json(record)).alias("raw"))
+    return spread(read(spark, sf_dir, "events").select("event_id"), "event_id").select(F.parse_json(F.to_json(record)).alias("raw"))
 
 
 _RAW = """r AS (
@@ -116,7 +116,7 @@ _RAW = """r AS (
     FROM (SELECT *, CASE c WHEN 0 THEN 'type' WHEN 1 THEN CASE WHEN e % 16 = 1 THEN 'wait' WHEN sqrt((tx - lx) * (tx - lx) + (ty - ly) * (ty - ly)) <= 0.04 THEN 'click' ELSE 'swipe' END
             WHEN 2 THEN 'back' WHEN 3 THEN 'home' WHEN 4 THEN 'wait' WHEN 5 THEN 'finish' WHEN 6 THEN 'impossible' ELSE 'wait' END AS type FROM r)""", _RAW)
 def decode_coded_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = episodes.parser("coded")(_raw(spark, sf_dir))
+    s = G.settled(episodes.parser("coded")(_raw(spark, sf_dir)))
     return s.select("episode_id", "step_id", "task", "screenshot_before", F.col("screen_size.width"), F.col("screen_size.height"), F.col("action.type"), F.col("action.text"), F.col("action.point.x").alias("x"), F.col("action.point.y").alias("y"), F.col("action.start_point.x").alias("sx"), F.col("action.end_point.y").alias("ey"),
         *[F.try_element_at("action.metadata", F.lit(k)).alias(k) for k in ("action_code", "semantic")], *[F.try_element_at("metadata", F.lit(k)).alias(k) for k in ("source", "device_type", "episode_length")],
         F.col("action.coordinate_space").alias("space"))
@@ -147,7 +147,8 @@ def parse_object_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("event_id") % 500
     forms = ('{"action_type":"tap","x":%d,"y":6}', '{"type":"click","position":{"X":%d,"Y":8},"coord_space":"normalized_1000"}', '{"action":"swipe","from":[1,2],"to":[3,4]}', '{"name":"input text","value":"hey"}', "[1]", '"scroll(up)"')
     text = F.get(F.array(*[F.format_string(f, x) if "%d" in f else F.lit(f) for f in forms]), (F.col("event_id") % 6).cast("int"))
-    a = read(spark, sf_dir, "events").select("event_id", F.parse_json(text).alias("v")).select("event_id", episodes.any_action(F.col("v")).alias("a"))
+    rows = spread(read(spark, sf_dir, "events").select("event_id"), "event_id")
+    a = G.once(rows.select("event_id", F.parse_json(text).alias("v")), a=episodes.any_action(F.col("v")))
     return a.select("event_id", "a.type", F.col("a.point.x").alias("x"), F.col("a.end_point.x").alias("ex"), "a.text", "a.direction", F.col("a.coordinate_space").alias("space"))
 
 
@@ -230,7 +231,7 @@ _PATHS = "(VALUES ('id', 'int', 1), ('steps', 'list', 2), ('steps[]', 'dict', 2)
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     form = '{"id": %d, "steps": [{"action": "%s"}, {"action": {"type": "%s"}, "size": 1.5}], "none": []}'
-    return read(spark, sf_dir, "events").select(F.format_string(form, "event_id", "event_type", "event_type").alias("raw"))
+    return spread(read(spark, sf_dir, "events").select("event_id", "event_type"), "event_id").select(F.format_string(form, "event_id", "event_type", "event_type").alias("raw"))
 
 
 @query(f"SELECT path, type, m * n AS n FROM s, {_PATHS}", _RECORDS)
@@ -282,8 +283,7 @@ _SPLIT = """, h AS (SELECT *, md5(trim(regexp_replace(lower(task), '[\\s\\x0B\\x
 
 @query(_SPLIT + "SELECT event_id, bucket, split FROM w")
 def instruction_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = selection.with_split(steps(spark, sf_dir), "task")
-    return s.select("event_id", X.md5_mod(X.collapsed(F.col("task"))).alias("bucket"), "split")
+    return selection.with_split(steps(spark, sf_dir), "task", bucket="bucket").select("event_id", "bucket", "split")
 
 
 @query(_SPLIT + "SELECT split, count(*) AS n, count(DISTINCT task) AS n_tasks FROM w GROUP BY split")
@@ -613,10 +613,11 @@ _DROPS = " UNION ALL ".join(f"SELECT '{name}' AS variant, *, decision NOT IN ({'
            unnest(CASE WHEN kept THEN ['all', decision, major_category, negative_type, NULL, NULL, NULL, NULL, NULL] ELSE [NULL, NULL, NULL, NULL, 'all', decision, reason, negative_type, negative_type || '->' || reason] END) AS value FROM mv)
   SELECT variant, dim, value, count(*) AS n FROM v WHERE value IS NOT NULL GROUP BY ALL""")
 def ablation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = _decided(spark, sf_dir).select("negative_type", "decision", "reason", "major_category")
+    # Pairs are counted once for all variants.
+    facts = _decided(spark, sf_dir).groupBy("negative_type", "decision", "reason", "major_category").agg(F.count(F.lit(1)).alias("times"))
     out = None
     for name in pair_filter.VARIANTS:
-        one = pair_filter.variant_summary(pair_filter.variant(facts, name)).withColumn("variant", F.lit(name))
+        one = pair_filter.variant_summary(pair_filter.variant(facts, name), "times").withColumn("variant", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -631,7 +632,7 @@ def decision_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _variant_query(name: str, dropped: tuple[str, ...]) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         pairs = _pairs(spark, sf_dir)
-        decisions = pair_filter.decided(pairs).select("pair_id", "decision", F.lit(0).alias("pos"))
+        decisions = _decided(spark, sf_dir).select("pair_id", "decision", F.lit(0).alias("pos"))
         rows = pair_filter.variant(pair_filter.with_decision(pairs.select("pair_id", "negative_type"), decisions), name)
         return rows.groupBy("negative_type", "kept").agg(F.count(F.lit(1)).alias("n_pairs"), F.sum(F.when(F.col("kept"), 2).otherwise(0)).alias("n_scorer_rows"))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepwise.functions.geometry import SPACES, box, distance, point
+from stepwise.functions.geometry import SPACES, bound, box, distance, point, settled
 from stepwise.functions.maps import METADATA, entries
 
 # Aliases, in order of precedence.
@@ -230,7 +230,7 @@ def before_image(v: Column) -> Column:
 
 def _steps(raw: DataFrame) -> DataFrame:
     """(v, pos, s): each step of each record."""
-    return raw.select(F.col("raw").alias("v"), F.posexplode(step_list(F.col("raw"))).alias("pos", "s"))
+    return settled(raw).select(F.col("raw").alias("v"), step_list(F.col("raw")).alias("_s")).select("v", F.posexplode("_s").alias("pos", "s"))
 
 
 def _word(v: Column, keys: Sequence[str]) -> Column:
@@ -263,7 +263,9 @@ def coded_episodes(raw: DataFrame) -> DataFrame:
     """
     v, s = F.col("v"), F.col("s")
     array = lambda key, kind: F.try_variant_get(s, f"$.{key}", f"array<{kind}>")
-    elements = flat_elements(array("image_ui_annotations_positions", "double"), array("image_ui_annotations_text", "string"), array("image_ui_annotations_ui_types", "string"))
+    lists = F.struct(array("image_ui_annotations_positions", "double").alias("at"), array("image_ui_annotations_text", "string").alias("texts"), array("image_ui_annotations_ui_types", "string").alias("types"))
+    # The lists are read once a step, not once for each of an element's numbers.
+    elements = bound(lists, lambda x: flat_elements(x["at"], x["texts"], x["types"]))
     act = F.coalesce(coded_step_action(s), any_action(present(s, ACTION_PAYLOAD)))
     facts = entries(source="coded", **{k: F.try_variant_get(s, f"$.{k}", "string") for k in STEP_FACTS})
     episode = F.coalesce(_word(v, CODED_EPISODE), F.lit("unknown"))
