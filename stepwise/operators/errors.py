@@ -33,8 +33,8 @@ def errors(predictions: DataFrame, focus: str | None = None) -> DataFrame:
 
 def enriched(wrong: DataFrame, pairs: DataFrame, pos: str = "pos") -> DataFrame:
     """Errors with what their pair tells (left join, the last of repeated pairs): elements, distance, bucket."""
-    named = pairs.join(wrong.select("pair_id").distinct(), "pair_id", "left_semi")
-    facts = with_pair_facts(named)
+    # Facts are row-local and narrow: they are found before the pairs move, so that no screen's boxes are shuffled.
+    facts = with_pair_facts(pairs)
     found = F.col("rejected_element")
     facts = facts.select(
         "pair_id",
@@ -49,6 +49,7 @@ def enriched(wrong: DataFrame, pairs: DataFrame, pos: str = "pos") -> DataFrame:
         F.col("same_element").alias("same_element_as_gt"),
         "distance_px",
     )
+    facts = facts.join(wrong.select("pair_id").distinct(), "pair_id", "left_semi")
     return wrong.join(last_by_key(facts, "pair_id", pos), "pair_id", "left").withColumn("distance_bucket", distance_bucket(F.col("distance_px")))
 
 
@@ -74,8 +75,9 @@ def review_rows(cases: DataFrame, order: list[str], negative_subtype: str | None
     as_json = lambda name: F.coalesce(F.to_json(name), F.lit("{}")).alias(f"{name}_json") if name in cases.columns else F.lit("{}").alias(f"{name}_json")
     plain = ("distance_px", "distance_bucket", "candidate_in_ui_element", "same_element_as_gt")
     texts = [compact(_told(cases, k), n).alias(k) for k, n in TEXT_LENGTHS.items()]
-    return numbered(cases, order, "case_index").select(
-        F.col("case_index").cast("int").alias("case_index"),
+    # Rows are numbered when their texts are cut, so that whole instructions aren't sorted.
+    rows = cases.select(
+        *[F.col(c).alias(f"_by_{i}") for i, c in enumerate(order)],
         F.lit("").alias("review_label"),
         F.lit("").alias("notes"),
         F.lit("|".join(REVIEW_LABELS)).alias("suggested_labels"),
@@ -92,6 +94,8 @@ def review_rows(cases: DataFrame, order: list[str], negative_subtype: str | None
         as_json("candidate_action"),
         as_json("gt_action"),
     )
+    by = [f"_by_{i}" for i in range(len(order))]
+    return numbered(rows, by, "case_index").select(F.col("case_index").cast("int").alias("case_index"), *[c for c in rows.columns if c not in by])
 
 
 def _case_facts(cases: DataFrame) -> dict[str, Column]:
