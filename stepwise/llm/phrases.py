@@ -7,11 +7,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Mapper, stage, text_or_empty
+from .shared import Mapper, in_short_batches, stage, text_or_empty
 
 LONGEST, LEAST, SHARE, TOP = 4, 30, 80, 2000
 UNKNOWN = "und"
@@ -20,7 +21,9 @@ ROWS, CELL_BYTES, WIDTHS = 2, 32, (1 << 16, 1 << 26)
 #: Cells of a sketch that are merged as one value.
 BLOCK = 1 << 16
 #: Bytes of text whose words are numbered and counted at once.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
+#: Phrases that a task writes out and sends on at once.
+SENT = 16_384
 #: Groups that the phrases of a language are ranked in first.
 SPREAD = 64
 
@@ -167,6 +170,15 @@ def _merged(least: int) -> Mapper:
     return run
 
 
+def _written(words: list[pa.Array]) -> pa.Array:
+    """Phrases as texts, of their first words, their second words and so on; bytes that are no UTF-8 are replaced."""
+    joined = pc.binary_join_element_wise(*words, b" ")
+    try:
+        return joined.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([x.decode("utf-8", "replace") for x in joined.to_pylist()], pa.string())
+
+
 def _survivors(bits, longest: int) -> Mapper:
     """Exact counts of a task's phrases whose cells all reached the bound, and whose parts' cells did."""
 
@@ -182,13 +194,13 @@ def _survivors(bits, longest: int) -> Mapper:
             return good
 
         for chunk in chunks(batches):
+            words = pa.array(chunk.words, pa.binary())
             for n, p in phrases_of(chunk, longest, keep):
-                if not len(p.at):
-                    continue
-                parts = [chunk.numbers[p.at + i].tolist() for i in range(n)]
-                texts = [b" ".join([chunk.words[i] for i in row]).decode("utf-8", "replace") for row in zip(*parts, strict=True)]
-                columns = [pa.array([chunk.lang] * len(texts)), pa.array(np.full(len(texts), n, np.int32)), pa.array(texts), pa.array(p.times.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, ["lang", "words", "phrase", "times"])
+                for low in range(0, len(p.at), SENT):
+                    at = p.at[low : low + SENT]
+                    texts = _written([words.take(pa.array(chunk.numbers[at + i])) for i in range(n)])
+                    columns = [pa.array([chunk.lang] * len(at)), pa.array(np.full(len(at), n, np.int32)), texts, pa.array(p.times[low : low + SENT].astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, ["lang", "words", "phrase", "times"])
 
     return run
 
@@ -211,7 +223,7 @@ def counted(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, sketch_
         sketch_width = min(WIDTHS[1], max(WIDTHS[0], 1 << (size // CELL_BYTES).bit_length()))
     # Few sketches, each of many texts: two for each core.
     few = rows.coalesce(2 * spark.sparkContext.defaultParallelism)
-    sketches = stage(few.mapInArrow(_sketch(sketch_width, longest, least), "lang string, row int, block int, n long, cells binary"), "sketches")
+    sketches = stage(few.mapInArrow(in_short_batches(_sketch(sketch_width, longest, least)), "lang string, row int, block int, n long, cells binary"), "sketches")
     words = sketches.where("row < 0").groupBy("lang").agg(F.sum("n").alias("n"))
     blocks = sketches.where("row >= 0").select("row", "block", "cells").repartition("row", "block").sortWithinPartitions("row", "block")
     bits = np.zeros((ROWS, sketch_width // 8), np.uint8)
@@ -219,7 +231,7 @@ def counted(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, sketch_
         at = r["block"] * BLOCK // 8
         bits[r["row"], at : at + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
     sent = spark.sparkContext.broadcast(bits)
-    found = rows.mapInArrow(_survivors(sent, longest), "lang string, words int, phrase string, times long")
+    found = rows.mapInArrow(in_short_batches(_survivors(sent, longest)), "lang string, words int, phrase string, times long")
     exact = found.groupBy("lang", "words", "phrase").agg(F.sum("times").alias("f")).where(F.col("f") >= least)
     return stage(exact, "phrases"), stage(words, "words")
 
