@@ -35,13 +35,18 @@ FOLDS = _RNG.integers(1, 1 << 63, ROWS, dtype=np.uint64) | np.uint64(1)
 STEP = 200_000
 #: Lines that a task remembers as seen, about; one that it has forgotten just sends its keys again.
 SEEN = 200_000
+#: Band keys that are sorted at once to find those of several lines, and keys of a part that meet in one step, about.
+SORTED_KEYS, PART_KEYS = 1 << 20, 1 << 18
+#: Least number of parts, so that they can be dealt evenly.
+PARTS = 512
 #: Hashed similarities this close to the threshold are computed again from the shingles.
 CLOSE = 0.02
 
 
 def normal_lines(text: str) -> list[str]:
     """What is compared of a text's lines: lower case, white space collapsed and trimmed."""
-    return [" ".join(x.split()) for x in text.lower().split("\n")]
+    # Of white space only the blank is printable, so most lines are seen to be normal as they are.
+    return [x if x.isprintable() and "  " not in x and x[:1] != " " and x[-1:] != " " else " ".join(x.split()) for x in text.lower().split("\n")]
 
 
 def line_ids(line: str, bits: int = 64) -> tuple[int, int]:
@@ -127,6 +132,78 @@ def _lines(bits: int):
     return in_short_batches(run)
 
 
+def _extremes(keys: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, its smallest line, its largest line) of each distinct key, ascending."""
+    order = np.argsort(keys)
+    keys, lines = keys[order], lines[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    if not len(first):
+        return keys, lines, lines
+    return keys[first], np.minimum.reduceat(lines, first), np.maximum.reduceat(lines, first)
+
+
+def _key_parts(parts: int):
+    """(part, keys, lines): a task's band keys, ``SORTED_KEYS`` at a time, in ``parts`` ranges of keys; of a key's lines the smallest and the largest."""
+    edges = np.array([-(1 << 63) + (i << 64) // parts for i in range(1, parts)], np.int64)
+
+    def dealt(keys: np.ndarray, lines: np.ndarray) -> pa.RecordBatch:
+        key, least, most = _extremes(keys, lines)
+        times = 1 + (least != most)
+        line = np.repeat(least, times)
+        line[np.cumsum(times) - 1] = most
+        key = np.repeat(key, times)
+        ends = np.concatenate(([0], np.searchsorted(key, edges), [len(key)])) * 8
+        packed = [pa.Array.from_buffers(pa.binary(), parts, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(x)]) for x in (key, line)]
+        held = pa.array(np.flatnonzero(ends[1:] > ends[:-1]), pa.int32())
+        return pa.RecordBatch.from_arrays([held, *[x.take(held) for x in packed]], ["part", "keys", "lines"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, lines, n = [], [], 0
+        for batch in batches:
+            keys.append(batch.column("bands").flatten().to_numpy(zero_copy_only=False))
+            lines.append(np.repeat(batch.column("line").to_numpy(zero_copy_only=False), BANDS))
+            n += len(keys[-1])
+            if n >= SORTED_KEYS:
+                yield dealt(np.concatenate(keys), np.concatenate(lines))
+                keys, lines, n = [], [], 0
+        if n:
+            yield dealt(np.concatenate(keys), np.concatenate(lines))
+
+    return run
+
+
+def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The keys of two lines or more, of rows of ``_key_parts`` sorted by part."""
+
+    def shared(keys: list[bytes], lines: list[bytes]) -> pa.RecordBatch:
+        key, least, most = _extremes(np.frombuffer(b"".join(keys), np.int64), np.frombuffer(b"".join(lines), np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(key[least != most], pa.int64())], ["key"])
+
+    at, keys, lines = None, [], []
+    for batch in batches:
+        for part, k, x in zip(*(batch.column(c) for c in ("part", "keys", "lines")), strict=True):
+            if part.as_py() != at:
+                if keys:
+                    yield shared(keys, lines)
+                at, keys, lines = part.as_py(), [], []
+            keys.append(k.as_py())
+            lines.append(x.as_py())
+    if keys:
+        yield shared(keys, lines)
+
+
+def shared_keys(fresh: DataFrame) -> DataFrame:
+    """(key): the band keys that two different lines of ``fresh`` (line, bands) or more have.
+
+    Nearly all keys are of one line.  They are sorted in the tasks and shuffled
+    as ranges, some thousands a row; a hot key leaves a task as two lines each
+    ``SORTED_KEYS`` keys at most, however many lines have it.
+    """
+    parts = max(PARTS, 1 << (fresh.count() * BANDS // PART_KEYS).bit_length())
+    dealt = fresh.select("line", "bands").mapInArrow(_key_parts(parts), "part int, keys binary, lines binary")
+    return dealt.repartition("part").sortWithinPartitions("part").mapInArrow(_shared_keys, "key long")
+
+
 def _members(shared):
     """(key, line, near) for each key of a line that others may have; near is the line's next key, by which chains are ordered."""
 
@@ -410,8 +487,7 @@ def candidates(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     spark = lines.sparkSession
     fresh = lines.where("bands is not null").select("line", "bands")
-    counts = fresh.select("line", F.explode("bands").alias("key")).groupBy("key").agg(F.min("line").alias("least"), F.max("line").alias("most"))
-    sent = spark.sparkContext.broadcast(bitmap(stage(counts.where("least <> most").select("key"), "keys"), "key"))
+    sent = spark.sparkContext.broadcast(bitmap(stage(shared_keys(fresh), "keys"), "key"))
     members = fresh.mapInArrow(in_short_batches(_members(sent)), "key long, line long, near long").groupBy("key", "line", "near").agg(F.count(F.lit(1)).alias("n")).drop("n")
     members = stage(members, "members")
     groups = members.groupBy("key").agg(F.min("line").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
