@@ -13,6 +13,10 @@ EVENT_TYPES = {"click": "click", "view": "swipe", "signup": "type", "purchase":
 WIDTH, HEIGHT = 1080, 2400
 TASK_WORDS = ("search ", "add item to cart ", "open settings ", "amazon result ", "")
 ELEMENT_TEXTS = ("Search", "Add to cart", "Sign", "in to check out", "Filter", "Best Match", "$ 12", "", "Home", "Sort by")
+#: Documents whose texts a task joins, about: few enough for one Parquet dictionary, so that rows of one text are written with one copy of it.
+TASK_TEXTS = 200
+#: Tasks for each of the session's shuffle partitions, at most.
+MORE_TASKS = 16
 ELEMENT_TYPES = ("TEXT", "ICON_MAGNIFYING_GLASS", "TEXT", "BUTTON", "ICON_MIC")
 
 
@@ -20,13 +24,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(rows: DataFrame, *keys: str) -> DataFrame:
-    """Narrow rows dealt to as many tasks as shuffles have, before they become wide.
+def spread(rows: DataFrame, *keys: str, least: int = 1) -> DataFrame:
+    """Narrow rows dealt to as many tasks as shuffles have, before they become wide; to ``least`` tasks, if that is more and not out of proportion.
 
     What a row becomes is long work for its bytes: input splits, and partitions
     that adaptive execution merges by their bytes, leave cores idle.
     """
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(n, min(least, MORE_TASKS * n)), *keys)
 
 
 def _ascii(text: Column) -> Column:
@@ -52,7 +57,7 @@ def steps(spark: SparkSession, sf_dir: str, texts: bool = True) -> DataFrame:
         df = df.withColumns({"_t": e % F.col("n_parts") + 1, "_u": F.col("user_id") % F.col("n_docs")})
         df = df.join(parts.select(F.col("p_partkey").alias("_t"), F.col("p_name").alias("_typed")), "_t", "left")
         df = df.withColumn("_typed", F.when(e % 13 == 0, F.repeat("_typed", 30)).otherwise(F.col("_typed")))
-        df = spread(df, "_u").join(docs.select(F.col("doc_id").alias("_u"), _ascii(F.col("text")).alias("_task")), "_u", "left")
+        df = spread(df, "_u", least=-(-docs.count() // TASK_TEXTS)).join(docs.select(F.col("doc_id").alias("_u"), _ascii(F.col("text")).alias("_task")), "_u", "left")
         task = F.concat(_pick(TASK_WORDS, F.col("user_id") % 5), F.coalesce("_task", F.lit("")))
         typed = F.when(F.col("kind") == "type", F.when(e % 11 == 0, "").otherwise(F.coalesce("_typed", F.lit(""))))
     else:
