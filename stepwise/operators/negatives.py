@@ -18,7 +18,7 @@ OFFSET = 120.0
 RADII = (1.0, 1.5, 2.0)
 DIRECTIONS = ((1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (-1, -1), (1, -1), (-1, 1))
 ORDER = ("random_coordinate", "shifted_coordinate", "same_screen_element", "wrong_action_type")
-#: Random points that are tried before the rest of RANDOM_TRIES; most steps need no more.
+#: Random points and shifts that are tried before the rest; most steps need no more, and the first random point often does.
 FIRST_TRIES = 4
 
 
@@ -51,8 +51,8 @@ def _negative(action: Column, source: str, subtype: Column | str) -> Column:
     return F.struct(action.withField("metadata", told).alias("action"), F.lit(source).alias("negative_source"), kind.alias("negative_subtype"))
 
 
-def _attempt(i: Column, seed: int) -> Column:
-    screen, key = F.col("screen_size"), F.col("_key")
+def _attempt(i: Column, seed: int, key: Column | None = None) -> Column:
+    screen, key = F.col("screen_size"), F.col("_key") if key is None else key
     return point(uniform(key, i, "x", seed) * (screen["width"] - 1), uniform(key, i, "y", seed) * (screen["height"] - 1))
 
 
@@ -61,21 +61,27 @@ def with_sampling(steps: DataFrame, seed: int = 42) -> DataFrame:
 
     The random point is the first of RANDOM_TRIES points that lies on no valid
     element, else the last; the step's key and the seed fix them all.  Each is
-    computed once a step; points after the FIRST_TRIES only where those all
-    lie on elements.
+    computed once a step; points after the first, and those and shifts after the
+    FIRST_TRIES, only where those before all lie on elements.
     """
     screen, boxes, p, source = F.col("screen_size"), F.col("boxes"), F.col("_p"), F.col("_source")
     key = F.concat_ws(":", "episode_id", F.col("step_id").cast("string"))
-    df = once(steps, _p=to_pixel(primary_point(F.col("action")), screen, F.col("action.coordinate_space")), _key=key)
+    at = F.when(screen.isNotNull(), _attempt(F.lit(0), seed, key))
+    df = once(steps, _p=to_pixel(primary_point(F.col("action")), screen, F.col("action.coordinate_space")), _key=key, _first=at)
     taken = lambda q: F.exists(boxes, lambda b: b["valid"] & q["x"].between(b["x1"], b["x2"]) & q["y"].between(b["y1"], b["y2"]))
     free = lambda low, high: F.get(F.filter(F.transform(F.sequence(F.lit(low), F.lit(high - 1)), lambda i: _attempt(i, seed)), lambda q: ~taken(q)), F.lit(0))
-    df = once(df, _source=F.when(p.isNotNull(), first_at(boxes, p)), _free=F.when(screen.isNotNull(), F.coalesce(free(0, FIRST_TRIES), free(FIRST_TRIES, RANDOM_TRIES))))
-    landed = F.when(p.isNotNull() & ~F.col("action.type").isin(*MOVES), _landed(OFFSET))
+    off = lambda shifts: F.get(F.filter(F.array(*shifts), lambda q: first_at(boxes, q)["pos"].isNull()), F.lit(0))
+    shifts, shifted = _shifts(OFFSET), p.isNotNull() & ~F.col("action.type").isin(*MOVES)
+    unheld = F.coalesce(F.when(~taken(F.col("_first")), F.col("_first")), free(1, FIRST_TRIES), free(FIRST_TRIES, RANDOM_TRIES))
+    df = once(
+        df, _source=F.when(p.isNotNull(), first_at(boxes, p)), _free=F.when(screen.isNotNull(), unheld),
+        _off=F.when(shifted, F.coalesce(off(shifts[:FIRST_TRIES]), off(shifts[FIRST_TRIES:]))),
+    )
+    other = F.get(F.filter(F.array(*shifts), lambda q: ~first_at(boxes, q)["pos"].eqNullSafe(source["pos"])), F.lit(0))
     others = F.filter(boxes, lambda b: b["valid"] & (source.isNull() | ~b["index"].eqNullSafe(source["index"])))
-    df = once(df, _pixel=F.coalesce("_free", F.when(screen.isNotNull(), _attempt(F.lit(RANDOM_TRIES - 1), seed))), _landed=landed, _others=others)
-    first = lambda test: F.get(F.filter("_landed", test), F.lit(0))["q"]
+    df = once(df, _pixel=F.coalesce("_free", F.when(screen.isNotNull(), _attempt(F.lit(RANDOM_TRIES - 1), seed))), _other=F.when(shifted & F.col("_off").isNull(), other), _others=others)
     pick = F.get("_others", F.floor(uniform(F.col("_key"), F.lit(0), "element", seed) * F.size("_others")).cast("int"))
-    return once(df, _off=first(lambda c: c["pos"].isNull()), _other=first(lambda c: ~c["pos"].eqNullSafe(source["pos"])), _pick=pick)
+    return once(df, _pick=pick)
 
 
 def random_coordinate() -> Column:
@@ -96,10 +102,9 @@ def _moved(dx: Column, dy: Column) -> Column:
     return point(clamp(p["x"] + dx, zero, (screen["width"] - 1).cast("double")), clamp(p["y"] + dy, zero, (screen["height"] - 1).cast("double")))
 
 
-def _landed(offset: float) -> Column:
-    """Where each shift leads (q), and the element there (pos)."""
-    shifts = F.array(*[_moved(F.lit(offset * r * dx), F.lit(offset * r * dy)) for r in RADII for dx, dy in DIRECTIONS])
-    return F.transform(shifts, lambda q: F.struct(q.alias("q"), first_at(F.col("boxes"), q)["pos"].alias("pos")))
+def _shifts(offset: float) -> list[Column]:
+    """Where each shift leads."""
+    return [_moved(F.lit(offset * r * dx), F.lit(offset * r * dy)) for r in RADII for dx, dy in DIRECTIONS]
 
 
 def shifted_coordinate() -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from stepwise.operators import negatives, regions
 from stepwise.plans import fixtures
 
 
@@ -17,3 +18,10 @@ def test_a_task_joins_few_texts(spark, monkeypatch):
     assert want > n
     tasks = fixtures.steps(spark, sf_dir).select(F.length("task")).rdd.getNumPartitions()
     assert tasks == want
+
+
+def test_shifts_are_looked_up_only_until_one_is_off_all_elements(spark):
+    """No row carries all shifts; another element's shift is worked out only where none is off all elements."""
+    rows = negatives.with_sampling(regions.with_pixel_boxes(fixtures.steps(spark, "/root/testdata/sf0.001", texts=False)))
+    assert "_landed" not in rows.columns
+    assert rows.where("_off is not null and _other is not null").isEmpty() and not rows.where("_off is not null").isEmpty()
