@@ -15,7 +15,7 @@ TASK_WORDS = ("search ", "add item to cart ", "open settings ", "amazon result "
 ELEMENT_TEXTS = ("Search", "Add to cart", "Sign", "in to check out", "Filter", "Best Match", "$ 12", "", "Home", "Sort by")
 #: Documents whose texts a task joins, about: few enough for one Parquet dictionary, so that rows of one text are written with one copy of it.
 TASK_TEXTS = 200
-#: Tasks for each of the session's shuffle partitions, at most.
+#: Tasks for each of the session's shuffle partitions, at most, unless the texts that events have need more.
 MORE_TASKS = 16
 ELEMENT_TYPES = ("TEXT", "ICON_MAGNIFYING_GLASS", "TEXT", "BUTTON", "ICON_MIC")
 
@@ -25,13 +25,26 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(rows: DataFrame, *keys: str, least: int = 1) -> DataFrame:
-    """Narrow rows dealt to as many tasks as shuffles have, before they become wide; to ``least`` tasks, if that is more and not out of proportion.
+    """Narrow rows dealt to as many tasks as shuffles have, before they become wide; to ``least`` tasks, if that is more.
 
     What a row becomes is long work for its bytes: input splits, and partitions
     that adaptive execution merges by their bytes, leave cores idle.
     """
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(max(n, min(least, MORE_TASKS * n)), *keys)
+    return rows.repartition(max(_shuffle_tasks(rows), least), *keys)
+
+
+def _shuffle_tasks(rows: DataFrame) -> int:
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _text_tasks(events: DataFrame, docs: DataFrame) -> int:
+    """Tasks of TASK_TEXTS documents each; where these are out of proportion to a shuffle's, of as many texts as there are users, if that takes more."""
+    of = lambda texts: -(-texts // TASK_TEXTS)
+    whole, most = of(docs.count()), MORE_TASKS * _shuffle_tasks(docs)
+    if whole <= most:
+        return whole
+    users = events.agg(F.approx_count_distinct("user_id")).first()[0]
+    return max(most, min(whole, of(users)))
 
 
 def _ascii(text: Column) -> Column:
@@ -45,8 +58,8 @@ def _pick(values: tuple[str, ...], i: Column) -> Column:
 def steps(spark: SparkSession, sf_dir: str, texts: bool = True) -> DataFrame:
     """One step for each event, with its event_id; ``texts``: tasks are documents' texts, typed texts the names of parts (some many times over)."""
     e = F.col("event_id")
-    df = read(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value")
-    df = df.withColumn("step_id", (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("int"))
+    events = read(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value")
+    df = events.withColumn("step_id", (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("int"))
     df = df.withColumn("kind", F.create_map(*[F.lit(x) for p in EVENT_TYPES.items() for x in p])[F.col("event_type")])
     if texts:
         docs = read(spark, sf_dir, "documents")
@@ -57,7 +70,7 @@ def steps(spark: SparkSession, sf_dir: str, texts: bool = True) -> DataFrame:
         df = df.withColumns({"_t": e % F.col("n_parts") + 1, "_u": F.col("user_id") % F.col("n_docs")})
         df = df.join(parts.select(F.col("p_partkey").alias("_t"), F.col("p_name").alias("_typed")), "_t", "left")
         df = df.withColumn("_typed", F.when(e % 13 == 0, F.repeat("_typed", 30)).otherwise(F.col("_typed")))
-        df = spread(df, "_u", least=-(-docs.count() // TASK_TEXTS)).join(docs.select(F.col("doc_id").alias("_u"), _ascii(F.col("text")).alias("_task")), "_u", "left")
+        df = spread(df, "_u", least=_text_tasks(events, docs)).join(docs.select(F.col("doc_id").alias("_u"), _ascii(F.col("text")).alias("_task")), "_u", "left")
         task = F.concat(_pick(TASK_WORDS, F.col("user_id") % 5), F.coalesce("_task", F.lit("")))
         typed = F.when(F.col("kind") == "type", F.when(e % 11 == 0, "").otherwise(F.coalesce("_typed", F.lit(""))))
     else:
